@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.llm import bpe, mtree, token_store, warc
+from meshlark.llm import bpe, html_extract, license_scan, mtree, quality_rules, secret_scan, token_store, warc
 from meshlark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": lambda s, d: token_store.op3_tokens(s, table(s, d, "documents")),
+    "op4_html": lambda s, d: html_extract.op4_html(s, table(s, d, "pages")),
     "op5_topk_mtree": lambda s, d: mtree.op5_topk(s, table(s, d, "embeddings")),
     "op6_warc": lambda s, d: warc.op6_warc(s, table(s, d, "pages")),
+    "op7_quality": lambda s, d: quality_rules.op7_quality(s, table(s, d, "documents"), table(s, d, "labels")),
+    "op8_license": lambda s, d: license_scan.op8_license(s, table(s, d, "documents")),
+    "op9_secrets": lambda s, d: secret_scan.op9_secrets(s, table(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe.op10_bpe(s, table(s, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_topk_mtree": mtree.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
+    "op8_license": license_scan.oracle_sql(),
 }
