@@ -1,0 +1,38 @@
+"""Connected components of an edge table by alternating large-star and small-star steps, each one aggregate and one join."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from meshlark.llm.common import materialize
+
+
+def _both(e: DataFrame) -> DataFrame:
+    return e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """id, component (the smallest id it reaches) for every id of ``edges`` (a bigint, b bigint); ids without edges are absent.
+
+    State is an edge table that shrinks to stars; the longest chain halves each round. Each step's result goes to the shared folder.
+    """
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = materialize(e, "edges")
+    for _ in range(rounds):
+        # Large star: neighbours above u go to the least neighbour of u.
+        both = _both(e)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Small star: u and its neighbours below go to the least of them.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        new = materialize(small, "edges")
+        # Stars: no centre is itself below another.
+        if new.select("v").distinct().join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
+            e = new
+            break
+        e = new
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
