@@ -103,7 +103,7 @@ class PartEnum:
         out = []
         for i in self.instances(len(s)):
             n1, spare = self.plan(i)
-            h = _mix(s + np.uint64(i + 1) * M3)
+            h = _mix(s + np.uint64((i + 1) * int(M3) % 2**64))
             if n1 == 1:  # no difference is allowed: the set itself
                 out.append(_mix(np.array([h.sum(dtype=np.uint64)], dtype=np.uint64) + np.uint64(i)))
                 continue
