@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PAGE, FAN, TREE_ROWS, BLOCK_ROWS = 64, 16, 16384, 256
+PAGE, FAN, TREE_ROWS, BLOCK_ROWS = 512, 16, 65536, 256
 
 
 class MTree:
@@ -76,13 +76,15 @@ class MTree:
                 if not len(keep):
                     continue
                 s = np.rint(self.x[keep] @ qf).astype(np.int64) if self.exact else self.ints[keep] @ q
+                if len(best_s) >= k:  # most pages add nothing any more
+                    s, keep = s[s >= floor], keep[s >= floor]
+                    if not len(s):
+                        continue
                 best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, self.ids[keep]])
-                if len(best_s) > k:
+                if len(best_s) >= k:
                     order = np.lexsort((best_i, -best_s))[:k]
                     best_s, best_i = best_s[order], best_i[order]
                     floor = float(best_s[-1])
-                elif len(best_s) == k:
-                    floor = float(best_s.min())
                 continue
             maybe = np.flatnonzero(dot + norm * (node["up"] + node["rs"]) + slack >= floor)  # no distance computed for the others
             dots = node["cs"][maybe] @ qf
