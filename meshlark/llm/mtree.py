@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PAGE, FAN, TREE_ROWS, BLOCK_ROWS = 512, 16, 65536, 256
+PAGE, FAN, TREE_ROWS, BLOCK_ROWS = 512, 16, 16384, 256
 
 
 class MTree:
@@ -31,6 +31,7 @@ class MTree:
         self.ids, self.x = ids, rows.astype(np.float64)
         self.ints = rows
         self.exact = len(rows) == 0 or rows.shape[1] == 0 or float(np.abs(self.x).max()) ** 2 * rows.shape[1] < 2.0**52
+        self.longest = float(np.sqrt((self.x**2).sum(axis=1)).max(initial=0.0))
         self.root = self._node(np.arange(len(ids)), self._centre(np.arange(len(ids))), 0)
 
     def _centre(self, at: np.ndarray) -> np.ndarray:
@@ -41,11 +42,12 @@ class MTree:
         node = {"c": centre, "r": float(gap.max(initial=0.0))}
         if len(at) <= PAGE or node["r"] == 0.0 or depth > 24:
             order = np.argsort(gap, kind="stable")
-            return node | {"rows": at[order], "gap": gap[order]}
+            at = at[order]
+            return node | {"rows": at, "gap": gap[order], "ids": self.ids[at], "x": self.x[at]}
         pivots = [int(at[np.argmax(gap)])]
         near = ((self.x[at] - self.x[pivots[0]]) ** 2).sum(axis=1)
         owner = np.zeros(len(at), dtype=np.int64)
-        for k in range(1, FAN):  # farthest point next
+        for k in range(1, min(FAN, -(-len(at) // PAGE))):  # farthest point next
             if near.max() == 0.0:
                 break
             p = int(at[np.argmax(near)])
@@ -57,43 +59,50 @@ class MTree:
         c = np.array([n["c"] for n in nodes])
         return node | {"nodes": nodes, "cs": c, "rs": np.array([n["r"] for n in nodes]), "up": np.sqrt(((c - centre) ** 2).sum(axis=1))}
 
-    def top(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, vec_id), best first."""
-        if not len(self.ids):
-            return []
-        qf = q.astype(np.float64)
-        norm = float(np.sqrt(qf @ qf))
-        slack = 1e-9 * (1.0 + norm * (abs(float(np.abs(self.x).max(initial=0.0))) * max(1, len(q)) ** 0.5))
-        best_s, best_i = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        floor = -np.inf
-        dot = float(self.root["c"] @ qf)
-        heap, n = [(-(dot + norm * self.root["r"]), 0, dot, self.root)], 1
-        while heap and -heap[0][0] + slack >= floor:
-            _, _, dot, node = heapq.heappop(heap)
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query its k best (score, vec_id), best first; the queries of a block go down together, best bound of any first."""
+        m = len(query_ids)
+        found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)) for _ in range(m)]
+        if not len(self.ids) or not m:
+            return [[] for _ in range(m)]
+        q = queries.astype(np.float64)
+        norm, floor = np.sqrt((q * q).sum(axis=1)), np.full(m, -np.inf)
+        slack = 1e-9 * (1.0 + norm * self.longest)
+        dot = q @ self.root["c"]
+        bound = dot + norm * self.root["r"] + slack
+        heap, n = [(-float(bound.max()), 0, bound, dot, self.root)], 1
+        while heap and -heap[0][0] >= floor.min():
+            _, _, bound, dot, node = heapq.heappop(heap)
+            on = np.flatnonzero(bound >= floor)
+            if not len(on):
+                continue
             if "rows" in node:
-                keep = node["rows"][dot + norm * node["gap"] + slack >= floor]  # the stored distances to the centre
-                keep = keep[self.ids[keep] != query_id]
-                if not len(keep):
-                    continue
-                s = np.rint(self.x[keep] @ qf).astype(np.int64) if self.exact else self.ints[keep] @ q
-                if len(best_s) >= k:  # most pages add nothing any more
-                    s, keep = s[s >= floor], keep[s >= floor]
-                    if not len(s):
-                        continue
-                best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, self.ids[keep]])
-                if len(best_s) >= k:
+                # Rows come by their distance to the centre: the first ones are too near it to reach any floor.
+                need = np.full(len(on), 0.0)
+                np.divide(floor[on] - slack[on] - dot[on], norm[on], out=need, where=norm[on] > 0)
+                lo = int(np.searchsorted(node["gap"], need.min())) if (norm[on] > 0).all() else 0
+                rows, ids = node["rows"][lo:], node["ids"][lo:]
+                s = np.rint(node["x"][lo:] @ q[on].T) if self.exact else self.ints[rows] @ queries[on].T
+                hit = (s >= floor[on]) & (ids[:, None] != query_ids[on][None, :])
+                for c in np.flatnonzero(hit.any(axis=0)):
+                    j, h = on[c], np.flatnonzero(hit[:, c])
+                    best_s, best_i = np.concatenate([found[j][0], s[h, c].astype(np.int64)]), np.concatenate([found[j][1], ids[h]])
                     order = np.lexsort((best_i, -best_s))[:k]
-                    best_s, best_i = best_s[order], best_i[order]
-                    floor = float(best_s[-1])
+                    found[j] = best_s[order], best_i[order]
+                    if len(order) == k:
+                        floor[j] = float(best_s[order[-1]])
                 continue
-            maybe = np.flatnonzero(dot + norm * (node["up"] + node["rs"]) + slack >= floor)  # no distance computed for the others
-            dots = node["cs"][maybe] @ qf
-            for j, d, up in zip(maybe, dots, dots + norm * node["rs"][maybe], strict=True):
-                if up + slack >= floor:
-                    heapq.heappush(heap, (-up, n, float(d), node["nodes"][j]))
+            # The stored distances to the parent's centre rule out entries before their own centres are compared.
+            may = (dot[on][None, :] + norm[on][None, :] * (node["up"] + node["rs"])[:, None] + slack[on][None, :] >= floor[on][None, :]).any(axis=1)
+            which = np.flatnonzero(may)
+            dots = node["cs"][which] @ q[on].T
+            for d, k_ in zip(dots, which, strict=True):
+                up, full = np.full(m, -np.inf), np.zeros(m)
+                up[on], full[on] = d + norm[on] * node["rs"][k_] + slack[on], d
+                if (up >= floor).any():
+                    heapq.heappush(heap, (-float(up.max()), n, up, full, node["nodes"][k_]))
                     n += 1
-        order = np.lexsort((best_i, -best_s))[:k]
-        return [(int(best_s[o]), int(best_i[o])) for o in order]
+        return [[(int(a), int(b)) for a, b in zip(*x, strict=True)] for x in found]
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
@@ -127,8 +136,8 @@ def _search(k: int):
                 if (key := (r.dim, r.tree)) not in trees:
                     trees.clear()  # one at a time is held
                     trees[key] = MTree(ids, xs)
-                for at, (i, q) in enumerate(zip(qids, qs, strict=True)):
-                    out += [(int(i), int(r.block) * BLOCK_ROWS * 64 + at, v, s) for s, v in trees[key].top(int(i), q, k)]
+                for at, best in enumerate(trees[key].top(qids, qs, k)):
+                    out += [(int(qids[at]), (int(r.block) << 32) + at, v, s) for s, v in best]
             yield pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score"])
 
     return search
