@@ -171,7 +171,11 @@ def learn(labelled: DataFrame, seed: int = 1) -> DecisionList:
         if p < 1 or p < MIN_PRECISION * (p + n):
             break
         rules.append(rule[: k + 1])
-    return DecisionList(tuple(tuple(Condition(names[f], above, float(cuts[names[f]][at])) for f, above, at in r) for r in rules))
+    # A threshold lies half-way between its cut, which is a value of the data, and the next greater value.
+    used = sorted({(f, at) for r in rules for f, _, at in r})
+    above = x.agg(*(F.min(F.when(F.col(names[f]) > F.lit(cuts[names[f]][at]), F.col(names[f]))).alias(f"t{k}") for k, (f, at) in enumerate(used))).first() if used else []
+    middle = {(f, at): (cuts[names[f]][at] + (cuts[names[f]][at] if v is None else v)) / 2 for (f, at), v in zip(used, above, strict=True)}
+    return DecisionList(tuple(tuple(Condition(names[f], up, float(middle[f, at])) for f, up, at in r) for r in rules))
 
 
 def fit(counts: DataFrame, labels: DataFrame) -> DecisionList:
@@ -191,8 +195,7 @@ def op7_quality(spark: SparkSession, documents: DataFrame, labels: DataFrame) ->
 
 
 def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the rules keep, all columns as they are: the list is fitted first, then each row is judged by its own text."""
-    names = documents.columns
-    model = fit(materialize(features(documents.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), "counts"), labels)
-    d = features(documents.withColumn("_row", F.struct(*names)), "_row")
+    """The rows of documents that the rules keep, all columns as they are."""
+    d = materialize(features(documents.withColumn("_row", F.struct(*documents.columns)), "_row"), "counts")
+    model = fit(d.drop("_row"), labels)
     return d.where(~base_failed() & ~model.reject()).select("_row.*")

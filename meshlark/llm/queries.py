@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.llm import bpe, html_extract, license_scan, mtree, ngram_join, quality_rules, secret_scan, token_store, warc
+from meshlark.llm import bpe, html_extract, license_scan, mtree, ngram_join, packing, quality_rules, secret_scan, token_store, warc
 from meshlark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": lambda s, d: ngram_join.op1_jaccard(s, table(s, d, "documents")),
+    "op2_packing": lambda s, d: packing.op2_packing(s, table(s, d, "documents")),
     "op3_token_store": lambda s, d: token_store.op3_tokens(s, table(s, d, "documents")),
     "op4_html": lambda s, d: html_extract.op4_html(s, table(s, d, "pages")),
     "op5_topk_mtree": lambda s, d: mtree.op5_topk(s, table(s, d, "embeddings")),
