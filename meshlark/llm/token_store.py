@@ -21,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.bpe import CACHE_ENTRIES, LONG_PIECE, OTHER_SPACE, load, tokenizer_path
+from meshlark.llm.bpe import CACHE_ENTRIES, LONG_PIECE, byte_table, load, tokenizer_path
 from meshlark.llm.common import materialize, shared_path
 
 MAGIC, END_ID, SHARD_IDS = b"MLTOKEN1", 1, 4_000_000
-WORDS = re.compile("[^ \t\n\r]+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+# Fixed value: the pre-token pattern of the word BPE vocabulary.
+PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -128,26 +132,48 @@ class Shard:
 
 
 class WordEncoder:
-    """Raw ids of a word BPE: the text's words (by the four white-space characters) are encoded once each and kept in a bounded cache."""
+    """Raw ids of a word BPE, whose pre-tokens never cross white space: words and pre-tokens are encoded once each and kept in bounded caches.
+
+    Latin words (to U+024F, where composed and decomposed forms do not differ) are lower-cased and cut by the vocabulary's own pattern, others
+    go to the library. So does a whole text with added tokens' marks or the four separators that only Python counts as white space.
+    """
 
     def __init__(self, path: str):
         self.whole = load(path)
         self.item = 2 if self.whole.get_vocab_size() <= 65536 else 4
         self.dtype = "<u2" if self.item == 2 else "<u4"
-        self.cache: dict[str, bytes] = {}
+        self.words = _Words(self)
+
+    def raw(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
 
     def encode_batch(self, texts: list[str], end: int | None = END_ID) -> list[bytes]:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache = {}
-        cache, split = self.cache, [None if OTHER_SPACE.search(t) else WORDS.findall(t) for t in texts]
-        new = [w for w in {w for words in split if words for w in words} if w not in cache]
-        raw = lambda ids: np.array(ids, dtype=self.dtype).tobytes()
-        found = {w: raw(e.ids) for w, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True)}
-        cache.update({w: x for w, x in found.items() if len(w) <= LONG_PIECE})
-        long = {w: x for w, x in found.items() if len(w) > LONG_PIECE}
-        tail = b"" if end is None else raw([end])
-        get = lambda w: long[w] if w in long else cache[w]
-        return [(raw(self.whole.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(get if long else cache.__getitem__, words))) + tail for t, words in zip(texts, split, strict=True)]
+        for kept in (self.words, self.words.pieces):
+            if len(kept) > CACHE_ENTRIES:
+                kept.clear()
+        tail, words = b"" if end is None else self.raw([end]), self.words.__getitem__
+        return [(self.raw(self.whole.encode(t, add_special_tokens=False).ids) if "<|" in t or SEPARATORS.search(t) else b"".join(map(words, t.split()))) + tail for t in texts]
+
+
+class _Words(dict):
+    def __init__(self, of: WordEncoder):
+        self.of, self.model, self.pieces = of, of.whole.model, {}
+        self.stand = {b: c for c, b in byte_table().items()}
+
+    def __missing__(self, w: str) -> bytes:
+        if BEYOND_LATIN.search(w):
+            x = self.of.raw(self.of.whole.encode(w, add_special_tokens=False).ids)
+        else:
+            x = b"".join([self.pieces[p] if p in self.pieces else self._piece(p) for p in PRETOKENS.findall(w.lower())])
+        if len(w) <= LONG_PIECE:
+            self[w] = x
+        return x
+
+    def _piece(self, p: str) -> bytes:
+        x = self.of.raw([t.id for t in self.model.tokenize("".join([self.stand[b] for b in p.encode()]))])
+        if len(p) <= LONG_PIECE:
+            self.pieces[p] = x
+        return x
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
