@@ -360,7 +360,7 @@ def links(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tu
     sized = rows.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).join(cl, "doc_id")
     big = sized.groupBy("cl").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("features")).where((F.col("sets") > CLUSTER_SETS) | (F.col("features") > CLUSTER_FEATURES)).select("cl", F.lit(True).alias("big"))
     cl = cl.join(big, "cl", "left").select("doc_id", "cl", F.coalesce("big", F.lit(False)).alias("big"))
-    members = d.join(cl, "doc_id")
+    members = materialize(d.join(cl, "doc_id"), "members")  # read twice, and only documents that met another
     small = members.where("not big").select("cl", "doc_id", "text").groupBy("cl").applyInArrow(_cluster_links(n, num, den), "a bigint, b bigint")
     edges = copies.union(materialize(small.where("a <> b"), "links"))
     if not big.isEmpty():
