@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions import vectors as V
-from meshlark.operators.graph import adjacency, canonical
+from meshlark.operators.graph import canonical
 from meshlark.operators.paths import distances, hops
 from meshlark.plans.shared import materialize
 
@@ -171,8 +171,4 @@ def farthest_landmarks(dist: DataFrame, count: int) -> DataFrame:
                 score = np.minimum(score, d[b])
         return pd.DataFrame(out, columns=["s", "v"])
 
-    return dist.groupBy(F.lit(1)).applyInPandas(pick, "s bigint, v bigint")  # callers guard the number of vertices
-
-
-def adjacent(edges: DataFrame) -> DataFrame:
-    return adjacency(edges)
+    return dist.withColumn("_", F.lit(1)).groupBy("_").applyInPandas(pick, "s bigint, v bigint")  # callers guard the number of vertices

@@ -1,10 +1,889 @@
-"""Queries of the graph operators over the driver's tables, each with its SQL twin."""
+"""Queries of the graph operators over the driver's tables, each with its SQL twin (DuckDB)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meshlark.functions import vectors as V
+from meshlark.operators import catalogue, compare, components, generators, graph, hierarchy, knn, layout, mds, objectives, paths, pivots, quality, schedules
+from meshlark.plans.shared import estimate_preparation
+from meshlark.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+
+
+def r6(c) :
+    """Rounded to 6 digits without negative zero: sums differ by their order."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*(r6(c).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
+
+
+# Graphs of the tables -------------------------------------------------------------------------------------------------
+
+
+def observations(s: SparkSession, d: str) -> DataFrame:
+    return load(s, d, "embeddings").select((F.col("vec_id") + 1).alias("v"), V.as_double("embedding").alias("x"), F.col("label").cast("string").alias("cluster"))
+
+
+def plane(s: SparkSession, d: str, dims: int = 2) -> DataFrame:
+    return observations(s, d).select("v", F.slice("x", 1, dims).alias("x"))
+
+
+OBS = "obs AS (SELECT vec_id + 1 AS v, list_transform(embedding, lambda z: z::DOUBLE) AS x, label::VARCHAR AS cluster FROM embeddings)"
+XY = "xy AS (SELECT vec_id + 1 AS v, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label::VARCHAR AS cluster FROM embeddings)"
+KNN5 = f"""{OBS},
+pd AS (SELECT a.v AS v, b.v AS u, list_max(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))) AS d FROM obs a JOIN obs b ON a.v <> b.v),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY d, u) AS rank FROM pd) WHERE rank <= 5)"""
+EDGES5 = "e AS (SELECT least(v, u) AS src, greatest(v, u) AS dst, min(d) AS w FROM nn GROUP BY ALL)"
+# A ring of the observations in id order: a graph on given coordinates whose edges need no search.
+RING = "ring AS (SELECT v AS src, v + k AS dst FROM xy, (VALUES (1), (7)) t(k) WHERE v + k <= (SELECT max(v) FROM xy))"
+
+
+def ring(s: SparkSession, d: str) -> DataFrame:
+    n = load(s, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    return s.range(1, n + 1).select(F.col("id").alias("src"), F.explode(F.array(F.col("id") + 1, F.col("id") + 7)).alias("dst")).where(F.col("dst") <= n)
+
+
+def geo_tree(s: SparkSession, d: str) -> DataFrame:
+    """root 1, regions 10 +, nations 100 +, suppliers 1000000 +, customers 10000000 +; lengths by level."""
+    r = load(s, d, "region").select(F.lit(1).cast("bigint").alias("src"), (F.col("r_regionkey") + 10).cast("bigint").alias("dst"), F.lit(4.0).alias("w"))
+    n = load(s, d, "nation").select((F.col("n_regionkey") + 10).cast("bigint"), (F.col("n_nationkey") + 100).cast("bigint"), F.lit(2.0))
+    u = load(s, d, "supplier").select((F.col("s_nationkey") + 100).cast("bigint"), (F.col("s_suppkey") + 1000000).cast("bigint"), F.lit(1.0))
+    c = load(s, d, "customer").select((F.col("c_nationkey") + 100).cast("bigint"), (F.col("c_custkey") + 10000000).cast("bigint"), F.lit(0.5))
+    return r.union(n).union(u).union(c)
+
+
+GEO = """geo AS (SELECT 1::BIGINT AS src, r_regionkey::BIGINT + 10 AS dst, 4.0::DOUBLE AS w FROM region
+ UNION ALL SELECT n_regionkey::BIGINT + 10, n_nationkey::BIGINT + 100, 2.0 FROM nation
+ UNION ALL SELECT s_nationkey::BIGINT + 100, s_suppkey::BIGINT + 1000000, 1.0 FROM supplier
+ UNION ALL SELECT c_nationkey::BIGINT + 100, c_custkey::BIGINT + 10000000, 0.5 FROM customer),
+adj AS (SELECT src, dst, w FROM geo UNION ALL SELECT dst, src, w FROM geo)"""
+
+
+def vertices_of(e: DataFrame) -> DataFrame:
+    return e.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
+
+
+def single(s: SparkSession, *ids: int) -> DataFrame:
+    return s.createDataFrame([(i,) for i in ids], "s bigint")
+
+
+# Sources, predicates, set operations ----------------------------------------------------------------------------------
+
+
+@query("bipartite_edges", "SELECT DISTINCT l_suppkey::BIGINT AS src, l_partkey::BIGINT + (SELECT max(l_suppkey) FROM lineitem)::BIGINT AS dst FROM lineitem")
+def _(s, d):
+    e = load(s, d, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("i"), F.col("l_partkey").cast("bigint").alias("j"), F.lit(1.0).alias("a"))
+    rows = int(e.agg(F.max("i")).first()[0])
+    return readers.matrix_edges(e, rows, -1)
+
+
+@query("canonical_copurchase", """WITH p AS (SELECT DISTINCT l_orderkey AS o, l_partkey::BIGINT AS v FROM lineitem)
+SELECT a.v AS src, b.v AS dst, 1.0::DOUBLE / count(*) AS w FROM p a JOIN p b ON a.o = b.o AND a.v < b.v GROUP BY ALL""")
+def _(s, d):
+    p = load(s, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("bigint").alias("v")).distinct()
+    both = p.alias("a").join(p.alias("b"), "o").where("a.v < b.v").groupBy(F.col("a.v").alias("src"), F.col("b.v").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.canonical(both.select("src", "dst", (1.0 / F.col("n")).alias("w")))
+
+
+@query("event_transitions", """WITH t AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM t WHERE b IS NOT NULL AND a <> b GROUP BY ALL""")
+def _(s, d):
+    t = load(s, d, "events").select(F.col("event_type").alias("a"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b"))
+    return t.where("b is not null and a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count(F.lit(1)).alias("n")).select(F.col("x").alias("a"), F.col("y").alias("b"), "n")
+
+
+@query("degrees", f"WITH {GEO} SELECT src AS v, count(*) AS degree FROM adj GROUP BY src")
+def _(s, d):
+    e = geo_tree(s, d)
+    return graph.Graph(e, vertices_of(e)).degrees()
+
+
+@query("adjacency_lists", f"WITH {GEO} SELECT src AS v, count(*)::INTEGER AS size, min(dst) AS first, max(dst) AS last FROM adj GROUP BY src")
+def _(s, d):
+    a = graph.adjacency_lists(geo_tree(s, d))
+    return a.select("v", F.size("nbrs").alias("size"), F.get("nbrs", F.lit(0))["u"].alias("first"), F.element_at("nbrs", -1)["u"].alias("last"))
+
+
+@query("reciprocity", f"WITH {GEO} SELECT count(*) AS directed, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM adj b WHERE b.src = a.dst AND b.dst = a.src AND b.w = a.w)) AS unmatched FROM adj a")
+def _(s, d):
+    a = graph.adjacency(geo_tree(s, d))
+    return a.agg(F.count(F.lit(1)).alias("directed")).crossJoin(a.exceptAll(a.select("dst", "src", "w")).agg(F.count(F.lit(1)).alias("unmatched")))
+
+
+@query("induced_subgraph", f"""WITH {GEO}, k AS (SELECT v, row_number() OVER (ORDER BY v) AS new FROM (SELECT src AS v FROM adj GROUP BY src HAVING count(*) > 1))
+SELECT a.new AS src, b.new AS dst, w FROM geo JOIN k a ON a.v = geo.src JOIN k b ON b.v = geo.dst""")
+def _(s, d):
+    e = geo_tree(s, d)
+    v = vertices_of(e)
+    g = graph.Graph(e, v)
+    return g.induced(g.degrees().where("degree > 1").select("v")).edges
+
+
+@query("active_edges", f"WITH {GEO}, k AS (SELECT src AS v FROM adj GROUP BY src HAVING min(w) <= 2) SELECT src, dst, w FROM geo WHERE src IN (FROM k) AND dst IN (FROM k)")
+def _(s, d):
+    e = geo_tree(s, d)
+    return graph.Graph(e, vertices_of(e)).active(graph.adjacency(e).groupBy(F.col("src").alias("v")).agg(F.min("w").alias("w")).where("w <= 2").select("v"))
+
+
+@query("normalized_lengths", f"WITH {GEO} SELECT src, dst, round(w / (SELECT avg(w) FROM geo), 6) AS w FROM geo")
+def _(s, d):
+    return rounded(graph.normalize_lengths(geo_tree(s, d), "mean"))
+
+
+@query("project_3d", f"""WITH {XY}, c AS (SELECT cos(radians(35.0)) AS ca, sin(radians(35.0)) AS sa, cos(radians(22.0)) AS ce, sin(radians(22.0)) AS se)
+SELECT v, round(x * ca + y * sa, 6) + 0.0 AS px, round((x * -sa + y * ca) * ce + z * se, 6) + 0.0 AS py FROM xy, c""")
+def _(s, d):
+    a, b = V.project_3d(F.get("x", F.lit(0)), F.get("x", F.lit(1)), F.get("x", F.lit(2)))
+    return observations(s, d).select("v", r6(a).alias("px"), r6(b).alias("py"))
+
+
+@query("union_minus_edges", f"WITH {XY}, {RING}, o AS (SELECT src, dst FROM ring WHERE dst - src = 1), m AS (SELECT src, dst FROM ring WHERE src % 2 = 0) SELECT 'union' AS what, count(*) AS n FROM (SELECT * FROM o UNION SELECT * FROM m) UNION ALL SELECT 'added', count(*) FROM (SELECT * FROM m EXCEPT SELECT * FROM o) UNION ALL SELECT 'both', count(*) FROM (SELECT * FROM m INTERSECT SELECT * FROM o)")
+def _(s, d):
+    e = ring(s, d)
+    o, m = e.where("dst - src = 1"), e.where("src % 2 = 0")
+    n = lambda df, what: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    return n(o.union(m).distinct(), "union").union(n(m.subtract(o), "added")).union(n(m.intersect(o), "both"))
+
+
+# Catalogues -----------------------------------------------------------------------------------------------------------
+
+
+def _runs(s, d):
+    return load(s, d, "part").select(F.col("p_brand").alias("candidate"), F.col("p_size").alias("seed"), F.lit("ok").alias("status")).distinct()
+
+
+ID = "regexp_replace(regexp_replace(lower('compare__' || p_brand || '__seed_' || lpad(p_size::VARCHAR, 3, '0')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query("layout_catalogue", f"SELECT DISTINCT {ID} AS layout_id, p_brand AS candidate, 'compare' AS stage, p_size::INTEGER AS seed, 'ok' AS status FROM part")
+def _(s, d):
+    return catalogue.from_runs(_runs(s, d))
+
+
+@query("layout_availability", """WITH l AS (SELECT DISTINCT p_brand AS candidate, p_size::INTEGER AS seed FROM part)
+SELECT candidate, seed, CASE WHEN seed % 3 = 0 THEN 'interactive' WHEN seed % 3 = 1 THEN 'artifact-only' ELSE 'summary-only' END AS availability, seed % 3 < 2 AS viewable FROM l""")
+def _(s, d):
+    l = _runs(s, d).select("candidate", F.col("seed").cast("int").alias("seed"), F.when(F.col("seed") % 3 == 0, "c").alias("coords_path"), F.when(F.col("seed") % 3 == 1, "h").alias("html_path"))
+    return catalogue.availability(l).select("candidate", "seed", "availability", "viewable")
+
+
+@query("manifest_merge", """WITH l AS (SELECT DISTINCT p_brand AS candidate, p_size::INTEGER AS seed FROM part)
+SELECT candidate, seed, CASE WHEN seed % 2 = 0 THEN 'own' WHEN seed < 25 THEN 'plain' END AS html_path FROM l""")
+def _(s, d):
+    l = _runs(s, d).select("candidate", F.col("seed").cast("int").alias("seed"))
+    return catalogue.attach_manifest(l.withColumn("html_path", F.when(F.col("seed") % 2 == 0, "own").otherwise("")), l.where("seed < 25").withColumn("html_path", F.lit("plain")))
+
+
+@query("name_suggestions", "SELECT p_name AS name, levenshtein(p_name, 'part one')::INTEGER AS distance FROM (SELECT DISTINCT p_name FROM part) ORDER BY distance, name LIMIT 5")
+def _(s, d):
+    return catalogue.suggest(load(s, d, "part").select(F.col("p_name").alias("name")).distinct(), "part one")
+
+
+@query("union_fill", "SELECT n_nationkey::BIGINT AS id, n_name AS name, NULL::BIGINT AS region FROM nation UNION ALL SELECT r_regionkey::BIGINT, NULL, r_regionkey::BIGINT FROM region")
+def _(s, d):
+    return catalogue.bind_fill(load(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name")), load(s, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_regionkey").cast("bigint").alias("region")))
+
+
+@query("candidate_grid", """SELECT 'mesh.search.final' || f || '.nbrs' || n || '.rep' || r AS candidate, f AS final, n AS nbrs, r AS rep FROM (VALUES (96), (128)) a(f), (VALUES (16), (20)) b(n), (VALUES (1), (2)) c(r)""")
+def _(s, d):
+    t = lambda c, *x: s.createDataFrame([(v,) for v in x], f"{c} int")
+    return compare.expand_search_table({"final": t("final", 96, 128), "nbrs": t("nbrs", 16, 20), "rep": t("rep", 1, 2)}, "mesh")
+
+
+# Traversal ------------------------------------------------------------------------------------------------------------
+
+
+def _same_cluster(s, d):
+    c = observations(s, d)
+    e = ring(s, d).join(c.select(F.col("v").alias("src"), F.col("cluster").alias("a")), "src").join(c.select(F.col("v").alias("dst"), F.col("cluster").alias("b")), "dst")
+    return e.where("a = b").select("src", "dst")
+
+
+@query("components", f"""WITH RECURSIVE {XY}, {RING}, e AS (SELECT src, dst FROM ring JOIN xy a ON a.v = src JOIN xy b ON b.v = dst WHERE a.cluster = b.cluster), a AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+t AS (SELECT v, v AS r FROM xy UNION SELECT t.v, a.dst FROM t JOIN a ON a.src = t.r), m AS (SELECT v, min(r) AS root FROM t GROUP BY v)
+SELECT v, dense_rank() OVER (ORDER BY root)::INTEGER AS component FROM m""")
+def _(s, d):
+    return components.numbered(observations(s, d).select("v"), _same_cluster(s, d))
+
+
+@query("largest_component", f"""WITH RECURSIVE {XY}, {RING}, e AS (SELECT src, dst FROM ring JOIN xy a ON a.v = src JOIN xy b ON b.v = dst WHERE a.cluster = b.cluster), a AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+t AS (SELECT v, v AS r FROM xy UNION SELECT t.v, a.dst FROM t JOIN a ON a.src = t.r), m AS (SELECT v, min(r) AS root FROM t GROUP BY v),
+b AS (SELECT root FROM m GROUP BY root ORDER BY count(*) DESC, root LIMIT 1) SELECT v FROM m JOIN b USING (root)""")
+def _(s, d):
+    return components.largest(observations(s, d).select("v"), _same_cluster(s, d))
+
+
+HOPS = "WITH RECURSIVE " + GEO + ", h AS (SELECT 1::BIGINT AS v, 0 AS d UNION SELECT a.dst, h.d + 1 FROM h JOIN adj a ON a.src = h.v WHERE h.d < 8)"
+
+
+@query("bfs_hops", HOPS + " SELECT v, min(d) AS d FROM h GROUP BY v")
+def _(s, d):
+    return paths.hops(geo_tree(s, d), single(s, 1)).select("v", "d")
+
+
+DIST = "WITH RECURSIVE " + GEO + ", h AS (SELECT 100::BIGINT AS s, 100::BIGINT AS v, 0.0::DOUBLE AS d, 0 AS k UNION ALL SELECT 10::BIGINT, 10::BIGINT, 0.0::DOUBLE, 0 UNION SELECT h.s, a.dst, h.d + a.w, h.k + 1 FROM h JOIN adj a ON a.src = h.v WHERE h.k < 7), sp AS (SELECT s, v, min(d) AS d FROM h GROUP BY s, v)"
+
+
+@query("weighted_distances", DIST + " SELECT s, v, d FROM sp")
+def _(s, d):
+    return paths.distances(geo_tree(s, d), single(s, 100, 10))
+
+
+@query("tree_parents", DIST + " SELECT sp.s, sp.v, min(a.src) AS parent FROM sp JOIN adj a ON a.dst = sp.v JOIN sp q ON q.s = sp.s AND q.v = a.src AND abs(q.d + a.w - sp.d) < 1e-8 GROUP BY ALL")
+def _(s, d):
+    e = geo_tree(s, d)
+    return paths.tree(e, paths.distances(e, single(s, 100, 10)))
+
+
+GRID_CTE = """g AS (SELECT i * 7 + j + 1 AS v, i, j FROM range(6) a(i), range(7) b(j))"""
+
+
+def _mesh(s):
+    return generators.mesh(s, 6, 7).withColumn("w", F.lit(1.0))
+
+
+@query("path_counts", f"""WITH {GRID_CTE}, f AS (SELECT v, i, j, list_product(list_transform(range(1, i + j + 1), lambda k: k::DOUBLE)) AS a, list_product(list_transform(range(1, i + 1), lambda k: k::DOUBLE)) AS b, list_product(list_transform(range(1, j + 1), lambda k: k::DOUBLE)) AS c FROM g)
+SELECT 1::BIGINT AS s, v, round(coalesce(a, 1) / (coalesce(b, 1) * coalesce(c, 1)), 6) AS paths FROM f""")
+def _(s, d):
+    e = _mesh(s)
+    return paths.path_counts(e, paths.distances(e, single(s, 1))).select("s", "v", r6("paths").alias("paths"))
+
+
+@query("tie_average", f"""WITH {GRID_CTE}, e AS (SELECT a.v AS u, b.v AS v, a.i, a.j, b.i AS bi, b.j AS bj FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j) WHERE b.i <= 2 AND b.j <= 3)
+SELECT 1::BIGINT AS i, 18::BIGINT AS j, u, v, round(CAST(factorial((i + j)::INTEGER) AS DOUBLE) / factorial(i::INTEGER) / factorial(j::INTEGER) * factorial((5 - bi - bj)::INTEGER) / factorial((2 - bi)::INTEGER) / factorial((3 - bj)::INTEGER) / 10, 6) AS coeff FROM e""")
+def _(s, d):
+    e = _mesh(s)
+    p = s.createDataFrame([(1, 18)], "i bigint, j bigint")
+    return rounded(paths.tie_average(e, paths.distances(e, single(s, 1, 18)), p))
+
+
+@query("path_edges", DIST + """, p AS (SELECT 100::BIGINT AS i, v AS j, v AS at, 0 AS k FROM sp WHERE s = 100 UNION ALL
+SELECT p.i, p.j, a.src, p.k + 1 FROM p JOIN adj a ON a.dst = p.at JOIN sp x ON x.s = 100 AND x.v = p.at JOIN sp q ON q.s = 100 AND q.v = a.src AND abs(q.d + a.w - x.d) < 1e-8 WHERE p.at <> 100)
+SELECT a.i, a.j, least(a.at, b.at) AS u, greatest(a.at, b.at) AS v, 1.0::DOUBLE AS coeff FROM p a JOIN p b ON a.j = b.j AND b.k = a.k + 1""")
+def _(s, d):
+    e = geo_tree(s, d)
+    t = paths.tree(e, paths.distances(e, single(s, 100)))
+    j = vertices_of(e).where("v <> 100").select(F.lit(100).cast("bigint").alias("i"), F.col("v").alias("j"))
+    return paths.path_edges(t, j)
+
+
+@query("all_pairs_mesh", f"WITH {GRID_CTE} SELECT a.v AS i, b.v AS j, (abs(a.i - b.i) + abs(a.j - b.j))::DOUBLE AS d FROM g a JOIN g b ON a.v < b.v")
+def _(s, d):
+    return paths.all_pairs(_mesh(s), s.range(1, 43).withColumnRenamed("id", "v"), weighted=False)
+
+
+@query("diameter", f"WITH {GRID_CTE} SELECT max(abs(a.i - b.i) + abs(a.j - b.j))::DOUBLE AS diameter FROM g a, g b")
+def _(s, d):
+    return paths.diameter(paths.hops(_mesh(s), single(s, *range(1, 43))))
+
+
+@query("spanning_tree", f"WITH {XY} SELECT v AS src, v + 1 AS dst, 1.0::DOUBLE AS w FROM xy WHERE v < (SELECT max(v) FROM xy)")
+def _(s, d):
+    e = ring(s, d).withColumn("w", (F.col("dst") - F.col("src")).cast("double"))
+    return knn.minimum_spanning_tree(e, observations(s, d).select("v")).select("src", "dst", "w")
+
+
+@query("pack_components", f"""WITH {XY}, c AS (SELECT v, x, y, (CASE WHEN v % 5 < 2 THEN 1 ELSE 2 END) AS k FROM xy), m AS (SELECT k, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM c GROUP BY k),
+q AS (SELECT c.v, k, n, x - mx AS x, y - my AS y FROM c JOIN m USING (k)), r AS (SELECT k, n, max(sqrt(x * x + y * y)) AS r FROM q GROUP BY k, n),
+s AS (SELECT k, CASE WHEN lag(r) OVER (ORDER BY n DESC, k) IS NULL THEN 0 ELSE lag(r) OVER (ORDER BY n DESC, k) + r + 1.5 * (SELECT median(r) FROM r) END AS sh FROM r)
+SELECT v, round(x + sh, 6) + 0.0 AS px, round(y, 6) + 0.0 AS py FROM q JOIN s USING (k)""")
+def _(s, d):
+    c = plane(s, d)
+    x = graph.pack_components(c, c.select("v", F.when(F.col("v") % 5 < 2, 1).otherwise(2).alias("component")))
+    return x.select("v", r6(F.get("x", F.lit(0))).alias("px"), r6(F.get("x", F.lit(1))).alias("py"))
+
+
+# Neighbours, pivots, constraints --------------------------------------------------------------------------------------
+
+
+@query("knn_linf", f"WITH {KNN5} SELECT v, u, round(d, 6) AS d, rank::INTEGER AS rank FROM nn")
+def _(s, d):
+    return rounded(knn.knn(observations(s, d), 5))
+
+
+@query("knn_graph", f"WITH {KNN5}, {EDGES5} SELECT src, dst, round(w, 6) AS w FROM e")
+def _(s, d):
+    return rounded(knn.knn_graph(knn.knn(observations(s, d), 5)))
+
+
+@query("overlap_graph", f"""WITH {KNN5}, s AS (SELECT v, u, d FROM nn UNION ALL SELECT v, v, 0.0 FROM obs)
+SELECT a.v AS src, b.v AS dst, count(*) AS isize, round(min(a.d + b.d), 6) AS w FROM s a JOIN s b ON a.u = b.u AND a.v < b.v GROUP BY ALL""")
+def _(s, d):
+    return rounded(knn.overlap_graph(knn.knn(observations(s, d), 5)))
+
+
+@query("quantile_prune", f"""WITH {XY}, {RING}, e AS (SELECT src, dst, (dst - src + src % 3)::DOUBLE AS w FROM ring), c AS (SELECT quantile_cont(w, 0.5) AS q FROM e)
+SELECT count(*) AS long_left FROM (SELECT 1) WHERE false UNION ALL SELECT count(*) FROM e, c WHERE w < q""")
+def _(s, d):
+    e = ring(s, d).withColumn("w", (F.col("dst") - F.col("src") + F.col("src") % 3).cast("double"))
+    cut = e.agg(F.percentile("w", F.lit(0.5))).first()[0]
+    left = knn.prune_quantile(e, observations(s, d).select("v"), 0.5)
+    return left.where(F.col("w") < cut).agg(F.count(F.lit(1)).alias("long_left")).union(s.range(1).select(F.lit(0).cast("bigint")))
+
+
+ORACLE_SQL["quantile_prune"] = f"""WITH {XY}, {RING}, e AS (SELECT src, dst, (dst - src + src % 3)::DOUBLE AS w FROM ring), c AS (SELECT quantile_cont(w, 0.5) AS q FROM e)
+SELECT count(*) AS long_left FROM e, c WHERE w < q UNION ALL SELECT 0"""
+
+PIV = "piv AS (SELECT * FROM (VALUES (1, 1::BIGINT), (2, 101::BIGINT), (3, 201::BIGINT), (4, 301::BIGINT), (5, 401::BIGINT)) t(k, piv))"
+PDIST = f"{PIV}, pdist AS (SELECT k, piv, o.v, list_max(list_transform(list_zip(o.x, p.x), lambda z: abs(z[1] - z[2]))) AS d FROM piv JOIN obs p ON p.v = piv, obs o), reg AS (SELECT v, arg_min(piv, d * 1000000 + k) AS owner FROM pdist GROUP BY v)"
+PIVOTS = [1, 101, 201, 301, 401]
+
+
+def _pivot_dist(s, d):
+    return pivots.observation_distances(observations(s, d), pivots.pivot_table(s, PIVOTS), "linf")
+
+
+@query("pivot_distances", f"WITH {OBS}, {PDIST} SELECT k, piv AS \"pivot\", v, round(d, 6) AS d FROM pdist")
+def _(s, d):
+    return rounded(_pivot_dist(s, d))
+
+
+@query("pivot_regions", f"WITH {OBS}, {PDIST} SELECT v, owner FROM reg")
+def _(s, d):
+    return pivots.regions(_pivot_dist(s, d))
+
+
+HALF = "half AS (SELECT p.piv, p.v, p.d, (SELECT count(*) FROM pdist m JOIN reg r ON r.v = m.v AND r.owner = m.piv WHERE m.piv = p.piv AND m.d <= p.d / 2) AS s FROM pdist p)"
+
+
+@query("half_counts", f"WITH {OBS}, {PDIST}, {HALF} SELECT piv AS \"pivot\", v, round(d, 6) AS d, s FROM half")
+def _(s, d):
+    p = _pivot_dist(s, d)
+    return rounded(pivots.half_counts(p, pivots.regions(p)))
+
+
+CONS = f"""WITH {KNN5}, {EDGES5}, {PDIST}, {HALF},
+p AS (SELECT least(piv, v) AS i, greatest(piv, v) AS j, d AS target, CASE WHEN v < piv THEN s ELSE 0 END AS ci, CASE WHEN v < piv THEN 0 ELSE s END AS cj FROM half WHERE v <> piv),
+a AS (SELECT src AS i, dst AS j, w AS target, 1 AS ci, 1 AS cj FROM e UNION ALL SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE src = i AND dst = j)),
+con AS (SELECT i, j, min(target) AS target, sum(ci)::DOUBLE AS count_i, sum(cj)::DOUBLE AS count_j FROM a GROUP BY i, j)"""
+
+
+@query("sparse_constraints", CONS + " SELECT i, j, round(target, 6) AS target, count_i, count_j FROM con")
+def sparse_constraints(s, d):
+    prep = pivots.sparse_preparation(observations(s, d), PIVOTS, 5, "linf")
+    return rounded(prep["constraints"])
+
+
+FLAGSHIP = sparse_constraints
+
+
+@query("uniform_constraints", f"""WITH {OBS}, {PDIST} SELECT least(piv, v) AS i, greatest(piv, v) AS j, round(min(d), 6) AS target, 1.0::DOUBLE AS count_i, 1.0::DOUBLE AS count_j FROM pdist WHERE v <> piv GROUP BY ALL""")
+def _(s, d):
+    return rounded(pivots.landmark_constraints(_pivot_dist(s, d), uniform=True))
+
+
+@query("landmark_constraints", f"""WITH {OBS}, {PDIST}, {HALF}, loc AS (SELECT owner AS i, v AS j, d FROM pdist JOIN reg USING (v) WHERE piv = owner AND v <> owner),
+p AS (SELECT least(piv, v) AS i, greatest(piv, v) AS j, d AS target, CASE WHEN v < piv THEN s ELSE 0 END AS ci, CASE WHEN v < piv THEN 0 ELSE s END AS cj, false AS l FROM half WHERE v <> piv UNION ALL SELECT least(i, j), greatest(i, j), d, 1, 1, true FROM loc)
+SELECT i, j, round(min(target), 6) AS target, CASE WHEN bool_or(l) THEN 1.0::DOUBLE ELSE sum(ci)::DOUBLE END AS count_i, CASE WHEN bool_or(l) THEN 1.0::DOUBLE ELSE sum(cj)::DOUBLE END AS count_j FROM p GROUP BY i, j""")
+def _(s, d):
+    p = _pivot_dist(s, d)
+    local = p.join(pivots.regions(p), "v").where("pivot = owner and v <> owner").select(F.col("owner").alias("i"), F.col("v").alias("j"), "d")
+    return rounded(pivots.landmark_constraints(p, local))
+
+
+@query("farthest_pivots", f"""WITH {OBS}, d1 AS (SELECT o.v, sqrt(list_sum(list_transform(list_zip(o.x, p.x), lambda z: (z[1] - z[2]) ** 2))) AS d FROM obs o, obs p WHERE p.v = 1),
+p2 AS (SELECT v FROM d1 ORDER BY round(d, 9) DESC, v LIMIT 1), d2 AS (SELECT o.v, least(d1.d, sqrt(list_sum(list_transform(list_zip(o.x, p.x), lambda z: (z[1] - z[2]) ** 2)))) AS d FROM obs o JOIN d1 USING (v), obs p WHERE p.v = (SELECT v FROM p2)),
+p3 AS (SELECT v FROM d2 ORDER BY round(d, 9) DESC, v LIMIT 1) SELECT 1 AS k, 1::BIGINT AS "pivot" UNION ALL SELECT 2, v FROM p2 UNION ALL SELECT 3, v FROM p3""")
+def _(s, d):
+    return pivots.pivot_table(s, pivots.select_pivots(observations(s, d), 3))
+
+
+@query("landmark_pairs", f"""WITH {GRID_CTE}, dd AS (SELECT a.v AS s, b.v AS v, abs(a.i - b.i) + abs(a.j - b.j) AS d FROM g a, g b),
+n AS (SELECT s, v FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, v) AS r FROM dd WHERE s <> v) WHERE r <= 3),
+m AS (SELECT s, arg_max(v, d * 1000 - v) AS v FROM dd WHERE s <> v GROUP BY s) SELECT DISTINCT least(s, v) AS i, greatest(s, v) AS j FROM (SELECT * FROM n UNION ALL SELECT * FROM m)""")
+def _(s, d):
+    h = paths.hops(_mesh(s), single(s, *range(1, 43)))
+    return pivots.landmark_pairs(h, pivots.farthest_landmarks(h, 1), 3)
+
+
+@query("estimate_preparation", "SELECT 'all_pairs' AS mode, n, n * (n - 1) // 2 AS pairs, 8 * n * n AS bytes, round(8.0 * n * n / 1073741824, 6)::DOUBLE AS gib FROM (SELECT count(*) AS n FROM embeddings)")
+def _(s, d):
+    e = estimate_preparation(load(s, d, "embeddings").count())
+    return s.createDataFrame([(e["mode"], e["n"], e["pairs"], e["bytes"], round(e["gib"], 6))], "mode string, n bigint, pairs bigint, bytes bigint, gib double")
+
+
+@query("hierarchy_sizes")
+def _(s, d):
+    m = hierarchy.misf(_mesh(s), s.range(1, 43).withColumnRenamed("id", "v"), 6)
+    return hierarchy.sizes(m)
+
+
+@query("hierarchy_depth_bound", "SELECT true AS nested, true AS apart, true AS maximal")
+def _(s, d):
+    e, v = _mesh(s), s.range(1, 43).withColumnRenamed("id", "v")
+    m = hierarchy.misf(e, v, 6).persist()
+    h = paths.hops(e, single(s, *range(1, 43)))
+    up = m.select((F.col("level") - 1).alias("level"), "v").where("level >= 0")
+    nested = up.join(m, ["level", "v"], "left_anti").isEmpty()
+    top = m.agg(F.max("level")).first()[0]
+    a, b = m.select("level", F.col("v").alias("s")), m
+    near = a.join(h, "s").join(b, ["level", "v"]).where("s <> v and level > 0").where(F.col("d") <= F.pow(F.lit(2.0), F.col("level") - 1))
+    one = m.where("level = 1").select(F.col("v").alias("s"))
+    lone = m.where("level = 0").select("v").join(h.join(one, "s").where("d <= 1").select("v"), "v", "left_anti")
+    return s.createDataFrame([(nested, near.where(F.col("level") < top).isEmpty(), lone.isEmpty())], "nested boolean, apart boolean, maximal boolean")
+
+
+# Objectives, scores ---------------------------------------------------------------------------------------------------
+
+PAIRS = "pr AS (SELECT a.v AS i, b.v AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS o, abs(a.z - b.z) + 0.5 AS d FROM xy a JOIN xy b ON b.v - a.v IN (2, 3, 5, 7, 11, 17, 31))"
+
+
+def _pairs(s, d):
+    z = observations(s, d).select("v", F.get("x", F.lit(2)).alias("z"))
+    a = z.withColumn("j", F.explode(F.array(*((F.col("v") + k) for k in (2, 3, 5, 7, 11, 17, 31)))))
+    return a.alias("a").join(z.alias("b"), F.col("a.j") == F.col("b.v")).select(F.col("a.v").alias("i"), "j", (F.abs(F.col("a.z") - F.col("b.z")) + 0.5).alias("d"))
+
+
+@query("stress", f"WITH {XY}, {PAIRS}, s AS (SELECT sum((o - d) ** 2) AS raw, sum(o * d) AS od, sum(o * o) AS oo, sum(d * d) AS dd FROM pr) SELECT round(raw, 6) AS raw, round(dd - od * od / oo, 6) AS profiled, round(od / oo, 6) AS scale, round(sqrt(raw / dd), 6) AS normalized, round(sqrt((dd - od * od / oo) / dd), 6) AS stress1 FROM s")
+def _(s, d):
+    return rounded(objectives.stress(_pairs(s, d), plane(s, d)))
+
+
+@query("sampled_stress", f"WITH {XY}, {PAIRS} SELECT round(sqrt((sum(o * o) - sum(o * d) ** 2 / sum(d * d)) / sum(o * o)), 6) AS sampled_stress FROM pr")
+def _(s, d):
+    p = _pairs(s, d)
+    return rounded(quality.sampled_stress(p.select("i", "j"), p, plane(s, d)))
+
+
+@query("fit_summary", f"WITH {XY}, {PAIRS}, s AS (SELECT sum((o - d) ** 2) AS raw, sum(o * d) AS od, sum(o * o) AS oo, sum(d * d) AS dd FROM pr) SELECT round(raw, 6) AS raw_stress, round(sqrt((dd - od * od / oo) / dd), 6) AS target_normalized_rmse, round(sqrt(raw / oo), 6) AS stress1_identity, round(sqrt((oo - od * od / dd) / oo), 6) AS stress1_profiled FROM s")
+def _(s, d):
+    return rounded(mds.fit_summary(_pairs(s, d), plane(s, d)))
+
+
+@query("proxy_stress", CONS + f", {XY} SELECT round(sum((count_i + count_j) / (2 * target * target) * (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - target) ** 2), 4) AS proxy, round(sqrt(sum((count_i + count_j) / (2 * target * target) * (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - target) ** 2) / sum((count_i + count_j) / 2)), 6) AS normalized_rmse FROM con JOIN xy a ON a.v = i JOIN xy b ON b.v = j")
+def _(s, d):
+    prep = pivots.sparse_preparation(observations(s, d), PIVOTS, 5, "linf")
+    return objectives.proxy_stress(prep["constraints"], plane(s, d)).select(F.round("proxy", 4).alias("proxy"), r6("normalized_rmse").alias("normalized_rmse"))
+
+
+@query("weight_range", CONS + " SELECT round(min(w), 6) AS w_min, round(max(w), 6) AS w_max FROM (SELECT unnest([count_i / target ** 2, count_j / target ** 2]) AS w FROM con) WHERE w > 0")
+def _(s, d):
+    return rounded(objectives.weight_range(pivots.sparse_preparation(observations(s, d), PIVOTS, 5, "linf")["constraints"]))
+
+
+@query("update_residual", f"""WITH {XY}, {RING}, c AS (SELECT src AS i, dst AS j, 1.0 + src % 3 AS t FROM ring), q AS (SELECT i, j, t, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS o FROM c JOIN xy a ON a.v = i JOIN xy b ON b.v = j),
+u AS (SELECT i AS v, 1 / t ** 2 AS w, (o - t) * dx / o AS gx, (o - t) * dy / o AS gy FROM q UNION ALL SELECT j, 2 / t ** 2, -(o - t) * dx / o, -(o - t) * dy / o FROM q)
+SELECT round(max(r), 6) AS residual FROM (SELECT sqrt((sum(w * gx) / sum(w)) ** 2 + (sum(w * gy) / sum(w)) ** 2) AS r FROM u GROUP BY v)""")
+def _(s, d):
+    c = ring(s, d).select(F.col("src").alias("i"), F.col("dst").alias("j"), (1.0 + F.col("src") % 3).alias("target"), F.lit(1.0).alias("count_i"), F.lit(2.0).alias("count_j"))
+    return rounded(objectives.update_residual(c, plane(s, d)))
+
+
+@query("centred_motion", f"WITH {XY}, m AS (SELECT y - x AS a, x - y AS b FROM xy) SELECT round(sqrt((sum(a * a) - sum(a) ** 2 / count(*) + sum(b * b) - sum(b) ** 2 / count(*)) / count(*)), 6) AS motion FROM m")
+def _(s, d):
+    c = plane(s, d)
+    return rounded(objectives.centred_motion(c, c.select("v", F.reverse("x").alias("x"))))
+
+
+RL = f"WITH {XY}, {RING}, l AS (SELECT src, dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS len, (dst - src)::DOUBLE AS w, a.x - b.x AS dx, a.y - b.y AS dy FROM ring JOIN xy a ON a.v = src JOIN xy b ON b.v = dst)"
+
+
+def _ring_w(s, d):
+    return ring(s, d).withColumn("w", (F.col("dst") - F.col("src")).cast("double"))
+
+
+@query("edge_stats", RL + " SELECT round(median(len), 6) AS median_edge_length, round(stddev_samp(len) / avg(len), 6) AS edge_length_cv FROM l")
+def _(s, d):
+    return rounded(quality.edge_stats(ring(s, d), plane(s, d)))
+
+
+@query("edge_energy", RL + ", f AS (SELECT sum(len * w) / sum(w * w) AS s FROM l) SELECT round(0.5 * sum((len - s * w) ** 2), 6) AS energy, round(any_value(s), 6) AS scale FROM l, f")
+def _(s, d):
+    return rounded(objectives.edge_energy(_ring_w(s, d), plane(s, d)))
+
+
+@query("edge_gradient", RL + """, u AS (SELECT src AS v, (len - w) / len * dx AS gx, (len - w) / len * dy AS gy FROM l WHERE len > 0 UNION ALL SELECT dst, -(len - w) / len * dx, -(len - w) / len * dy FROM l WHERE len > 0)
+SELECT v, 0 AS axis, round(sum(gx), 6) + 0.0 AS g FROM u GROUP BY v UNION ALL SELECT v, 1, round(sum(gy), 6) + 0.0 FROM u GROUP BY v""")
+def _(s, d):
+    return rounded(objectives.edge_gradient(_ring_w(s, d), plane(s, d)))
+
+
+@query("power_stiffness", RL + ", m AS (SELECT median(w) AS m FROM l), k AS (SELECT src, dst, w, sqrt(m / w) AS k FROM l, m) SELECT src, dst, w, round(k / (SELECT avg(k) FROM k), 6) AS k FROM k")
+def _(s, d):
+    return rounded(objectives.length_stiffness(_ring_w(s, d), "power", -1.0, "sqrt"))
+
+
+@query("density_stiffness")
+def _(s, d):
+    e = graph.edge_lengths(ring(s, d), plane(s, d)).select("src", "dst", F.col("len").alias("w"))
+    return rounded(objectives.length_stiffness(e, "density"))
+
+
+@query("geodesic_energy", f"""WITH {XY}, p AS (SELECT v AS i, v + 2 AS j FROM xy WHERE v + 2 <= (SELECT max(v) FROM xy)),
+h AS (SELECT i, j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + 1e-16) + sqrt((b.x - c.x) ** 2 + (b.y - c.y) ** 2 + 1e-16) AS h FROM p JOIN xy a ON a.v = i JOIN xy b ON b.v = i + 1 JOIN xy c ON c.v = j), s AS (SELECT sum(h / 2) / sum(1.0::DOUBLE) AS s FROM h)
+SELECT round(0.5 * sum(0.25 * (h - s * 2) ** 2), 6) AS energy, round(any_value(s), 6) AS scale, count(*) AS pairs FROM h, s""")
+def _(s, d):
+    n = load(s, d, "embeddings").count()
+    p = s.range(1, n - 1).select(F.col("id").alias("i"), (F.col("id") + 2).alias("j"), F.lit(2.0).alias("g"))
+    e = p.select("i", "j", F.explode(F.array(F.struct(F.col("i").alias("u"), (F.col("i") + 1).alias("v")), F.struct((F.col("i") + 1).alias("u"), F.col("j").alias("v")))).alias("q"), F.lit(1.0).alias("coeff")).select("i", "j", "q.u", "q.v", "coeff")
+    return rounded(objectives.geodesic_energy(p, e, plane(s, d)))
+
+
+@query("path_stress_zero", "SELECT 0.0::DOUBLE AS energy, 3.0::DOUBLE AS scale")
+def _(s, d):
+    e = generators.path(s, 12).withColumn("w", F.lit(1.0))
+    c = s.range(1, 13).select(F.col("id").alias("v"), F.array((3.0 * F.col("id")).cast("double"), F.lit(0.0)).alias("x"))
+    return objectives.edge_energy(e, c).select(F.abs(F.round("energy", 9)).alias("energy"), "scale")
+
+
+@query("repulsion_cache", f"WITH {XY}, {PAIRS}, q AS (SELECT quantile_cont(d, 0.6) AS lo, quantile_cont(d, 0.9) AS hi FROM pr) SELECT i, j, round(d, 6) AS g, round(0.2 * least(d, hi), 6) AS target FROM pr, q WHERE d >= lo")
+def _(s, d):
+    return rounded(objectives.repulsion_cache(_pairs(s, d).select("i", "j", F.col("d").alias("g"), F.lit(5).alias("hop"))))
+
+
+@query("repulsive_state", f"WITH {XY}, {PAIRS} SELECT round(0.1 * sum(-0.5 * ln(o * o + 0.000001)), 6) AS energy, round(min(o), 6) AS closest FROM pr")
+def _(s, d):
+    return rounded(objectives.repulsive_state(_pairs(s, d), plane(s, d), 0.1))
+
+
+@query("edge_repulsive_state", RL + f", {PAIRS}, a AS (SELECT sum(0.5 * (len / w - 1) ** 2) AS e FROM l), b AS (SELECT 0.1 * sum(-0.5 * ln(o * o + 0.000001)) AS r FROM pr) SELECT round(e, 6) AS edge_energy, round(r, 6) AS repulsion_energy, round(e + r, 6) AS energy FROM a, b")
+def _(s, d):
+    return rounded(objectives.edge_repulsive_state(_ring_w(s, d), _pairs(s, d), plane(s, d)))
+
+
+STARS = RL + """, ad AS (SELECT src AS c, dst AS n, w, -dx AS ex, -dy AS ey FROM l UNION ALL SELECT dst, src, w, dx, dy FROM l),
+st AS (SELECT a.c AS center, a.n AS neighbor_1, b.n AS neighbor_2, a.w AS w_1, b.w AS w_2, least(1.0, greatest(-1.0, (a.ex * b.ex + a.ey * b.ey) / (sqrt(a.ex ** 2 + a.ey ** 2) * sqrt(b.ex ** 2 + b.ey ** 2)))) AS cos_angle, least(a.w, b.w) / greatest(a.w, b.w) AS reliability FROM ad a JOIN ad b ON a.c = b.c AND a.n < b.n)"""
+
+
+@query("star_pairs", STARS + " SELECT center, neighbor_1, neighbor_2, w_1, w_2, round(cos_angle, 6) + 0.0 AS cos_angle, round(reliability, 6) AS reliability, round(reliability * (1 - cos_angle) / 2, 6) + 0.0 AS angle_weight FROM st")
+def _(s, d):
+    return rounded(objectives.star_pairs(_ring_w(s, d), plane(s, d)))
+
+
+@query("gram_energy", STARS + ", r AS (SELECT reliability * (1 - cos_angle) / 2 AS k, (a.x - c.x) * (b.x - c.x) + (a.y - c.y) * (b.y - c.y) - w_1 * w_2 * cos_angle AS r FROM st JOIN xy c ON c.v = center JOIN xy a ON a.v = neighbor_1 JOIN xy b ON b.v = neighbor_2) SELECT round(0.5 * sum(k * r * r), 4) AS energy, count(*) AS stars FROM r")
+def _(s, d):
+    p = plane(s, d)
+    return objectives.gram_energy(objectives.star_pairs(_ring_w(s, d), p), p).select(F.round("energy", 4).alias("energy"), "stars")
+
+
+@query("smoothness", RL + ", ad AS (SELECT src AS v, dst AS n FROM l UNION ALL SELECT dst, src FROM l), m AS (SELECT ad.v, avg(x) AS mx, avg(y) AS my FROM ad JOIN xy ON xy.v = n GROUP BY ad.v) SELECT round(0.5 * sum((x - mx) ** 2 + (y - my) ** 2), 6) AS energy FROM xy JOIN m USING (v)")
+def _(s, d):
+    return rounded(objectives.smoothness(_ring_w(s, d), plane(s, d)))
+
+
+@query("bending", f"WITH {XY} SELECT round(0.5 * sum((a.x - 2 * b.x + c.x) ** 2 + (a.y - 2 * b.y + c.y) ** 2), 6) AS energy FROM xy a JOIN xy b ON b.v = a.v + 1 JOIN xy c ON c.v = a.v + 2")
+def _(s, d):
+    n = load(s, d, "embeddings").count()
+    return rounded(objectives.bending(s.range(1, n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") + 2).alias("c")), plane(s, d)))
+
+
+@query("anchor_energy", f"WITH {XY} SELECT round(0.5 * sum((x - y) ** 2 + (y - x) ** 2), 6) AS energy FROM xy")
+def _(s, d):
+    c = plane(s, d)
+    return rounded(objectives.anchor(c, c.select("v", F.reverse("x").alias("x"))))
+
+
+CROSS = """, s AS (SELECT src, dst, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM {r} JOIN xy a ON a.v = src JOIN xy b ON b.v = dst),
+o AS (SELECT (p.bx - p.ax) * (q.ay - p.ay) - (p.by - p.ay) * (q.ax - p.ax) AS o1, (p.bx - p.ax) * (q.by - p.ay) - (p.by - p.ay) * (q.bx - p.ax) AS o2, (q.bx - q.ax) * (p.ay - q.ay) - (q.by - q.ay) * (p.ax - q.ax) AS o3, (q.bx - q.ax) * (p.by - q.ay) - (q.by - q.ay) * (p.bx - q.ax) AS o4
+FROM s p JOIN s q ON (p.src, p.dst) < (q.src, q.dst) AND p.src <> q.src AND p.src <> q.dst AND p.dst <> q.src AND p.dst <> q.dst)
+SELECT count(*) AS edge_crossings FROM o WHERE abs(o1) > 1e-12 AND abs(o2) > 1e-12 AND abs(o3) > 1e-12 AND abs(o4) > 1e-12 AND (o1 > 0) <> (o2 > 0) AND (o3 > 0) <> (o4 > 0)"""
+
+
+@query("edge_crossings", f"WITH {XY}, {RING}" + CROSS.format(r="ring"))
+def _(s, d):
+    return quality.crossings(ring(s, d), plane(s, d))
+
+
+@query("cluster_separation", f"""WITH {XY}, m AS (SELECT cluster, avg(x) AS mx, avg(y) AS my FROM xy GROUP BY cluster), w AS (SELECT avg(d) AS w FROM (SELECT cluster, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS d FROM xy JOIN m USING (cluster) GROUP BY cluster)),
+b AS (SELECT avg(sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2)) AS b FROM m a JOIN m b ON a.cluster < b.cluster) SELECT round(b / w, 6) AS cluster_separation FROM w, b""")
+def _(s, d):
+    o = observations(s, d)
+    return rounded(quality.cluster_separation(plane(s, d), o.select("v", "cluster")))
+
+
+@query("nonedge_separation", RL + f", {PAIRS} SELECT round((SELECT min(o) FROM pr WHERE NOT EXISTS (SELECT 1 FROM ring WHERE src = i AND dst = j)) / median(len), 6) AS sampled_nonedge_sep_ratio FROM l")
+def _(s, d):
+    return rounded(quality.nonedge_separation(_pairs(s, d), ring(s, d), plane(s, d)))
+
+
+@query("score_layout", RL + f""", {PAIRS}, {RING.replace('ring AS', 'ring2 AS')}, ss AS (SELECT sqrt((sum(o * o) - sum(o * d) ** 2 / sum(d * d)) / sum(o * o)) AS s FROM pr)
+SELECT (SELECT count(*) FROM xy)::INTEGER AS n_vertices, count(*)::INTEGER AS n_edges, 2 AS dim, round((SELECT s FROM ss), 6) AS sampled_stress, round(median(len), 6) AS median_edge_length, round(stddev_samp(len) / avg(len), 6) AS edge_length_cv,
+round((SELECT min(o) FROM pr WHERE NOT EXISTS (SELECT 1 FROM ring2 WHERE src = i AND dst = j)) / median(len), 6) AS sampled_nonedge_sep_ratio, NULL::BIGINT AS edge_crossings, NULL::DOUBLE AS cluster_separation FROM l""")
+def _(s, d):
+    p = _pairs(s, d)
+    return rounded(quality.score_layout(observations(s, d).select("v"), ring(s, d), plane(s, d), p, p.select("i", "j"), count_crossings=False))
+
+
+RES = "round(sqrt(sum((o - s * t) ** 2) / sum((s * t) ** 2)), 6) AS {p}_stress, round(sqrt(sum((o - s * t) ** 2) / count(*)), 6) AS {p}_rmse, round(avg(abs(o - s * t)), 6) AS {p}_mae, round(avg(abs((o - s * t) / (s * t))), 6) AS {p}_mre, round(avg((o - s * t) / (s * t)), 6) + 0.0 AS {p}_bias, round(avg(CASE WHEN (o - s * t) / (s * t) < -0.05 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS {p}_shortcut_fraction"
+
+
+@query("residual_stats", f"WITH {XY}, {PAIRS}, x AS (SELECT o, d AS t, sum(o * d) OVER () / sum(d * d) OVER () AS s FROM pr) SELECT {RES.format(p='chord')} FROM x")
+def _(s, d):
+    return rounded(quality.residual_stats(objectives.observed(_pairs(s, d), plane(s, d)).select("o", F.col("d").alias("t")), "chord"))
+
+
+@query("distance_bands", f"WITH {XY}, {PAIRS}, q AS (SELECT quantile_cont(d, 1 / 3) AS a, quantile_cont(d, 2 / 3) AS b FROM pr) SELECT CASE WHEN d <= a THEN 'short' WHEN d <= b THEN 'mid' ELSE 'long' END AS band, count(*) AS n FROM pr, q GROUP BY ALL")
+def _(s, d):
+    return quality.bands(_pairs(s, d).select("i", "j", F.col("d").alias("g"))).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("score_gmds")
+def _(s, d):
+    n = load(s, d, "embeddings").count()
+    e = generators.path(s, n).withColumn("w", F.lit(1.0))
+    p = s.range(1, n - 2).select(F.col("id").alias("i"), F.explode(F.array(F.col("id") + 1, F.col("id") + 2, F.col("id") + 3)).alias("j")).withColumn("g", (F.col("j") - F.col("i")).cast("double"))
+    q = p.select("i", "j", F.explode(F.sequence("i", F.col("j") - 1)).alias("u")).select("i", "j", "u", (F.col("u") + 1).alias("v"), F.lit(1.0).alias("coeff"))
+    return rounded(quality.score_gmds(e, p, q, plane(s, d)))
+
+
+@query("cross_products", f"WITH {XY} SELECT r, c, round(sum(p * q) - sum(p) * sum(q) / count(*), 6) + 0.0 AS s FROM (SELECT v, 0 AS r, x AS p FROM xy UNION ALL SELECT v, 1, y FROM xy) a JOIN (SELECT v, 0 AS c, y AS q FROM xy UNION ALL SELECT v, 1, x FROM xy) b USING (v) GROUP BY r, c")
+def _(s, d):
+    c = plane(s, d)
+    return rounded(quality.cross_products(c, c.select("v", F.reverse("x").alias("x"))))
+
+
+@query("procrustes", f"""WITH {XY}, m AS (SELECT v, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y, z - avg(z) OVER () AS z FROM xy),
+k AS (SELECT sum(x * x + y * y) AS tt, sum(y * y + z * z) AS ss, sum(y * x) AS a, sum(y * y) AS b, sum(z * x) AS c, sum(z * y) AS dd, count(*) AS n FROM m),
+g AS (SELECT *, greatest(sqrt((a + dd) ** 2 + (b - c) ** 2), sqrt((a - dd) ** 2 + (b + c) ** 2)) AS best FROM k)
+SELECT round(sqrt((tt - best * best / ss) / n), 6) AS rmse, round(sqrt((tt - best * best / ss) / tt), 6) AS relative_rmse, round(best / ss, 6) AS scale FROM g""")
+def _(s, d):
+    return rounded(quality.score_coordinates(plane(s, d), observations(s, d).select("v", F.slice("x", 2, 2).alias("x"))))
+
+
+@query("axis_concentration", RL + " SELECT round(avg(greatest(abs(dx), abs(dy)) / len), 6) AS axis_concentration FROM l WHERE len > 0")
+def _(s, d):
+    return rounded(quality.axis_concentration(ring(s, d), plane(s, d)))
+
+
+@query("local_angle_deviation", f"""WITH {XY}, {RING}, ad AS (SELECT src AS c, dst AS n FROM ring UNION ALL SELECT dst, src FROM ring), w AS (SELECT a.c, a.n AS a, b.n AS b FROM ad a JOIN ad b ON a.c = b.c AND a.n < b.n),
+t AS (SELECT a.x - c.x AS ax, a.y - c.y AS ay, a.z - c.z AS az, b.x - c.x AS bx, b.y - c.y AS b_y, b.z - c.z AS bz FROM w JOIN xy c ON c.v = w.c JOIN xy a ON a.v = w.a JOIN xy b ON b.v = w.b),
+u AS (SELECT acos(least(1.0, greatest(-1.0, (ax * bx + ay * b_y) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + b_y * b_y))))) AS p, acos(least(1.0, greatest(-1.0, (ay * b_y + az * bz) / (sqrt(ay * ay + az * az) * sqrt(b_y * b_y + bz * bz))))) AS q FROM t)
+SELECT round(avg(abs(p - q)) / pi(), 6) AS local_angle_deviation FROM u""")
+def _(s, d):
+    return rounded(quality.local_angle_deviation(quality.wedges(ring(s, d)), plane(s, d), observations(s, d).select("v", F.slice("x", 2, 2).alias("x"))))
+
+
+SYM = " UNION ALL ".join(f"SELECT v, {p} AS p, {q} AS q, {k} AS k FROM n" for k, (p, q) in enumerate([("x", "-y"), ("-x", "y"), ("-x", "-y"), ("y", "x"), ("y", "-x"), ("-y", "x"), ("-y", "-x")]))
+
+
+@query("symmetry", f"WITH {XY}, c AS (SELECT v, x - avg(x) OVER () AS x, y - avg(y) OVER () AS y FROM xy), n AS (SELECT v, x / max(sqrt(x * x + y * y)) OVER () AS x, y / max(sqrt(x * x + y * y)) OVER () AS y FROM c), t AS ({SYM}), m AS (SELECT k, t.v, min(sqrt((p - n.x) ** 2 + (q - n.y) ** 2)) AS d FROM t, n GROUP BY k, t.v), a AS (SELECT k, avg(d) AS d FROM m GROUP BY k) SELECT round(greatest(0.0, 1 - min(d) / 2), 6) AS global_symmetry FROM a")
+def _(s, d):
+    return rounded(quality.symmetry(plane(s, d)))
+
+
+@query("surface_distance", f"WITH {XY} SELECT v AS id, round(sqrt(greatest(0, greatest(-x, x - 1)) ** 2 + greatest(0, greatest(-y, y - 1)) ** 2 + z * z), 6) AS d FROM xy")
+def _(s, d):
+    square = [[[0.0, 0, 0], [1, 0, 0], [1, 1, 0]], [[0.0, 0, 0], [1, 1, 0], [0, 1, 0]]]
+    return rounded(quality.surface_distance(observations(s, d).select(F.col("v").alias("id"), F.slice("x", 1, 3).alias("x")), square))
+
+
+@query("score_surface", "SELECT 2.0::DOUBLE AS rms, 0.0::DOUBLE AS standard_error, 1.0::DOUBLE AS area_reference, 1.0::DOUBLE AS area_candidate")
+def _(s, d):
+    v, f = [[0, 0, 0], [1, 0, 0], [1, 1, 0], [0, 1, 0]], [[1, 2, 3], [1, 3, 4]]
+    return rounded(quality.score_surface(s, (v, f), ([[a, b, 2] for a, b, _ in v], f), 200))
+
+
+@query("rank01", """WITH a AS (SELECT p_brand, avg(p_size::DOUBLE) AS m FROM part GROUP BY p_brand), r AS (SELECT p_brand, m, rank() OVER (ORDER BY round(m, 6)) + (count(*) OVER (PARTITION BY round(m, 6)) - 1) / 2.0 AS r, count(*) OVER () AS n FROM a)
+SELECT p_brand, round((r - 1) / (n - 1), 6)::DOUBLE AS score FROM r""")
+def _(s, d):
+    a = load(s, d, "part").groupBy("p_brand").agg(F.round(F.avg("p_size"), 6).alias("m"))
+    return a.select("p_brand", r6(quality.rank01("m")).alias("score"))
+
+
+RUNS = "runs AS (SELECT p_brand AS candidate, p_partkey::INTEGER AS seed, CASE WHEN p_size % 9 = 0 THEN 'error' ELSE 'ok' END AS status, p_size::DOUBLE AS s, (p_partkey % 17)::DOUBLE AS e FROM part)"
+SUMMARY = f"""{RUNS}, sm AS (SELECT candidate, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status <> 'ok') AS n_fail, avg(s) FILTER (status = 'ok') AS sm, CASE WHEN count(*) FILTER (status = 'ok') < 2 THEN 0 ELSE stddev_samp(s) FILTER (status = 'ok') END AS sd, avg(e) FILTER (status = 'ok') AS em FROM runs GROUP BY candidate)"""
+
+
+def _scored(s, d):
+    p = load(s, d, "part").select(F.col("p_brand").alias("candidate"), F.col("p_partkey").cast("int").alias("seed"), F.when(F.col("p_size") % 9 == 0, "error").otherwise("ok").alias("status"), F.col("p_size").cast("double").alias("sampled_stress"), (F.col("p_partkey") % 17).cast("double").alias("edge_length_cv"))
+    return p.withColumns({c: F.lit(None).cast("double") for c in compare.SCORES if c not in ("sampled_stress", "edge_length_cv")})
+
+
+@query("candidate_summary", f"WITH {SUMMARY} SELECT candidate, n_ok, n_fail, round(sm, 6) AS sampled_stress_mean, round(sd, 6) AS sampled_stress_sd FROM sm")
+def _(s, d):
+    return rounded(compare.summarise(_scored(s, d)).select("candidate", "n_ok", "n_fail", "sampled_stress_mean", "sampled_stress_sd"))
+
+
+@query("candidate_ranking", f"""WITH {SUMMARY}, r AS (SELECT candidate, sm, CASE WHEN sm IS NULL THEN 1.0 ELSE (rank() OVER (PARTITION BY sm IS NULL ORDER BY sm) + (count(*) OVER (PARTITION BY sm) - 1) / 2.0 - 1) / (count(sm) OVER () - 1) END AS a,
+CASE WHEN em IS NULL THEN 1.0 ELSE (rank() OVER (PARTITION BY em IS NULL ORDER BY em) + (count(*) OVER (PARTITION BY em) - 1) / 2.0 - 1) / (count(em) OVER () - 1) END AS b FROM sm),
+c AS (SELECT candidate, sm, (0.35 * a + 0.20 * b) / 0.55 AS score FROM r) SELECT candidate, round(score, 6)::DOUBLE AS composite_score, row_number() OVER (ORDER BY round(score, 9), sm, candidate)::INTEGER AS rank FROM c""")
+def _(s, d):
+    return rounded(compare.rank(compare.summarise(_scored(s, d))).select("candidate", "composite_score", "rank"))
+
+
+@query("compare_layouts")
+def _(s, d):
+    e, v = _mesh(s), s.range(1, 43).withColumnRenamed("id", "v")
+    dist = paths.hops(e, single(s, *range(1, 43))).where("s < v").select(F.col("s").alias("i"), F.col("v").alias("j"), F.col("d").cast("double").alias("d"))
+    c = {"mesh": {"preset": "mesh", "rounds": 8, "final": 60}, "tree": {"preset": "tree", "rounds": 8, "final": 60}, "bad": {"preset": "none such"}}
+    return rounded(compare.compare(e, v, c, [1, 2], dist, quality.sample_pairs(v, 200)).select("candidate", "n_ok", "n_fail", "composite_score", "rank"))
+
+
+# Schedules and optimisers ---------------------------------------------------------------------------------------------
+
+
+@query("sgd_rates_zheng", "SELECT e AS epoch, round(CASE WHEN e < 20 THEN 4.0 * pow(0.2 / 4.0, e / 19.0) ELSE 0.2 / (1 + (e - 19) / 20.0) END, 6) AS rate FROM range(25) t(e)")
+def _(s, d):
+    return rounded(schedules.sgd_rates(s, 25, "zheng", w_min=0.25, w_max=0.5, eps=0.1, horizon=20))
+
+
+@query("sgd_rates_hybrid", "SELECT e AS epoch, round(CASE WHEN e < 12 THEN pow(10.0, -e / 12.0) ELSE 0.1 / (1 + (e - 12) / 17.0 * 9) END, 6) AS rate FROM range(30) t(e)")
+def _(s, d):
+    return rounded(schedules.sgd_rates(s, 30, "hybrid"))
+
+
+@query("sgd_rates_exponential", "SELECT e AS epoch, round(pow(0.01, e / 29.0), 6) AS rate FROM range(30) t(e)")
+def _(s, d):
+    return rounded(schedules.sgd_rates(s, 30, "exponential"))
+
+
+@query("round_schedule", "SELECT l AS level, ceil(round(120 * pow(20 / 120.0, l / 6.0), 9))::BIGINT AS rounds FROM range(7) t(l)")
+def _(s, d):
+    return schedules.round_schedule(s, 6, 120, 20)
+
+
+@query("weight_schedule", "SELECT k AS step, round(0.5 * pow(8.0, k / 9.0), 6) AS weight FROM range(10) t(k)")
+def _(s, d):
+    return rounded(schedules.weight_schedule(s, 10, 0.5, 4.0, "geometric"))
+
+
+@query("normalise_targets", f"WITH {XY}, {PAIRS} SELECT i, j, round(d / sqrt((SELECT avg(d * d) FROM pr)), 6) AS d FROM pr")
+def _(s, d):
+    return rounded(mds.normalise_targets(_pairs(s, d)))
+
+
+@query("smacof_step", f"""WITH {GRID_CTE}, p AS (SELECT a.v AS i, b.v AS j, a.i * 1.0 - b.i AS dx, (a.j * a.j) * 0.1 - (b.j * b.j) * 0.1 AS dy, abs(a.i - b.i) + abs(a.j - b.j) AS d FROM g a JOIN g b ON a.v <> b.v), q AS (SELECT i, CASE WHEN dx * dx + dy * dy > 0 THEN d / sqrt((dx * dx + dy * dy)::DOUBLE) ELSE 0 END AS f, dx, dy FROM p)
+SELECT i AS v, round(sum(f * dx) / 42, 6)::DOUBLE + 0.0 AS x0, round(sum(f * dy) / 42, 6)::DOUBLE + 0.0 AS x1 FROM q GROUP BY i""")
+def _(s, d):
+    g = s.range(42).select((F.col("id") + 1).alias("v"), F.floor(F.col("id") / 7).alias("i"), (F.col("id") % 7).alias("j"))
+    c = g.select("v", F.array(F.col("i").cast("double"), (F.col("j") * F.col("j") * 0.1).cast("double")).alias("x"))
+    p = g.alias("a").join(g.alias("b"), F.col("a.v") < F.col("b.v")).select(F.col("a.v").alias("i"), F.col("b.v").alias("j"), (F.abs(F.col("a.i") - F.col("b.i")) + F.abs(F.col("a.j") - F.col("b.j"))).cast("double").alias("d"))
+    return mds.smacof_step(p, c).select("v", r6(F.get("x", F.lit(0))).alias("x0"), r6(F.get("x", F.lit(1))).alias("x1"))
+
+
+@query("double_centring", f"""WITH {GRID_CTE}, p AS (SELECT a.v AS r, b.v AS c, ((a.i - b.i) ** 2 + (a.j - b.j) ** 2)::DOUBLE AS s FROM g a, g b) SELECT r, c, round(-0.5 * (s - avg(s) OVER (PARTITION BY r) - avg(s) OVER (PARTITION BY c) + avg(s) OVER ()), 6) + 0.0 AS b FROM p""")
+def _(s, d):
+    v = s.range(1, 43).withColumnRenamed("id", "v")
+    return rounded(mds.double_centred(_grid_distances(s), v))
+
+
+def _grid_distances(s):
+    g = s.range(42).select((F.col("id") + 1).alias("v"), F.floor(F.col("id") / 7).alias("i"), (F.col("id") % 7).alias("j"))
+    return g.alias("a").join(g.alias("b"), F.col("a.v") < F.col("b.v")).select(F.col("a.v").alias("i"), F.col("b.v").alias("j"), F.sqrt(F.pow(F.col("a.i") - F.col("b.i"), 2) + F.pow(F.col("a.j") - F.col("b.j"), 2)).alias("d"))
+
+
+@query("classical_mds", f"WITH {GRID_CTE} SELECT a.v AS i, b.v AS j, round(sqrt((a.i - b.i) ** 2 + (a.j - b.j) ** 2), 6) AS o FROM g a JOIN g b ON a.v < b.v")
+def _(s, d):
+    p = _grid_distances(s)
+    x, _ = mds.classical(p, s.range(1, 43).withColumnRenamed("id", "v"))
+    return rounded(objectives.observed(p, x).select("i", "j", "o"))
+
+
+@query("covariance", f"WITH {XY}, l AS (SELECT v, 0 AS k, x AS p FROM xy UNION ALL SELECT v, 1, y FROM xy UNION ALL SELECT v, 2, z FROM xy) SELECT a.k AS r, b.k AS c, round(covar_samp(a.p, b.p), 6) + 0.0 AS s FROM l a JOIN l b USING (v) GROUP BY a.k, b.k")
+def _(s, d):
+    return rounded(mds.covariance(plane(s, d, 3)))
+
+
+@query("pca_variance", f"WITH {XY} SELECT round(var_samp(x) + var_samp(y) + var_samp(z), 6) AS total FROM xy")
+def _(s, d):
+    _, val = mds.pca(plane(s, d, 3), 1.0)
+    return rounded(s.createDataFrame([(float(sum(val)),)], "total double"))
+
+
+@query("metric_mds_sgd", "SELECT true AS better_than_start, 42 AS placed")
+def _(s, d):
+    p = _grid_distances(s)
+    x = mds.sgd(p, control=mds.SgdControl(epochs=15))
+    return objectives.stress(p, x.select("v", "x")).select((F.col("stress1") < 0.2).alias("better_than_start"), F.lit(x.count()).cast("int").alias("placed"))
+
+
+@query("sparse_mds_sgd")
+def _(s, d):
+    prep = pivots.sparse_preparation(observations(s, d), PIVOTS, 5, "linf")
+    x = mds.sgd(prep["constraints"], control=mds.SgdControl(epochs=8))
+    return rounded(objectives.proxy_stress(prep["constraints"], x.select("v", "x")))
+
+
+@query("grip_layout", "SELECT run, 42::BIGINT AS placed, true AS good FROM (VALUES (0), (1), (2)) t(run)")
+def _(s, d):
+    e, v = _mesh(s), s.range(1, 43).withColumnRenamed("id", "v")
+    x = layout.grip(e, v, [{"rounds": 15, "final": 80}, {"metric": "edge_length", "preset": "mesh", "rounds": 15, "final": 80}, {"dim": 3, "placement": "least_squares", "rounds": 15, "final": 80}])
+    p = _grid_distances(s)
+    a, b = (x.select("run", F.col("v").alias(c), F.col("x").alias(f"x{c}")) for c in ("i", "j"))
+    o = p.join(a, "i").join(b, ["run", "j"]).withColumn("o", V.euclid("xi", "xj")).groupBy("run").agg(F.corr("o", "d").alias("c"))
+    return x.groupBy("run").agg(F.count(F.lit(1)).alias("placed")).join(o, "run").select("run", "placed", (F.col("c") > 0.8).alias("good"))
+
+
+@query("kk_round", "SELECT 42::BIGINT AS n, true AS moved")
+def _(s, d):
+    p = _grid_distances(s)
+    nbrs = p.select(F.col("i").alias("s"), F.col("j").alias("v"), "d").union(p.select("j", "i", "d")).where("d < 2.5")
+    st = s.range(42).select((F.col("id") + 1).alias("v"), F.array((F.col("id") % 7 * 20.0).cast("double"), F.floor(F.col("id") / 7).cast("double") * 50.0).alias("x"), F.lit(5.0).alias("heat"), F.array(F.lit(0.0), F.lit(0.0)).alias("old"), F.lit(0.0).alias("old_cos"))
+    n = layout.kk_round(nbrs, st)
+    return n.join(st.select("v", F.col("x").alias("y")), "v").agg(F.count(F.lit(1)).alias("n"), (F.max(V.euclid("x", "y")) > 0).alias("moved"))
+
+
+# Generators -----------------------------------------------------------------------------------------------------------
+
+
+def _gen(name, sql, make):
+    query(f"gen_{name}", sql)(lambda s, d: make(s))
+
+
+_gen("path", "SELECT v AS src, v + 1 AS dst FROM range(1, 50) t(v)", lambda s: generators.path(s, 50))
+_gen("cycle", "SELECT least(v, v % 50 + 1) AS src, greatest(v, v % 50 + 1) AS dst FROM range(1, 51) t(v)", lambda s: generators.cycle(s, 50))
+_gen("mesh", "SELECT i * 30 + j + 1 AS src, i * 30 + j + 2 AS dst FROM range(20) a(i), range(29) b(j) UNION ALL SELECT i * 30 + j + 1, (i + 1) * 30 + j + 1 FROM range(19) a(i), range(30) b(j)", lambda s: generators.mesh(s, 20, 30))
+_gen("mesh_diagonal", "SELECT count(*) AS n, 20 * 29 + 19 * 30 + 19 * 29 AS want FROM range(20 * 29 + 19 * 30 + 19 * 29)", lambda s: generators.mesh(s, 20, 30, True).agg(F.count(F.lit(1)).alias("n"), F.lit(20 * 29 + 19 * 30 + 19 * 29).alias("want")))
+_gen("cylinder", "SELECT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT i * 12 + j + 1 AS a, i * 12 + (j + 1) % 12 + 1 AS b FROM range(9) a(i), range(12) b(j) UNION ALL SELECT i * 12 + j + 1, (i + 1) * 12 + j + 1 FROM range(8) a(i), range(12) b(j))", lambda s: generators.cylinder(s, 9, 12))
+_gen("torus", "SELECT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT i * 12 + j + 1 AS a, i * 12 + (j + 1) % 12 + 1 AS b FROM range(9) a(i), range(12) b(j) UNION ALL SELECT i * 12 + j + 1, ((i + 1) % 9) * 12 + j + 1 FROM range(9) a(i), range(12) b(j))", lambda s: generators.torus(s, 9, 12))
+_gen("sphere", "SELECT (10 * (2 * 8 - 3))::BIGINT AS n, 2 + 6 * 10 AS last", lambda s: generators.sphere(s, 8, 10).agg(F.count(F.lit(1)).alias("n"), F.max("dst").cast("int").alias("last")))
+_gen("kary_tree", "SELECT (v - 2) // 3 + 1 AS src, v AS dst FROM range(2, 122) t(v)", lambda s: generators.kary_tree(s, 3, 4))
+_gen("kary_tree_weighted", "SELECT (v - 2) // 2 + 1 AS src, v AS dst, round(pow(0.5, floor(log2(v)) - 1) * CASE WHEN (v - 2) % 2 = 0 THEN 0.9 ELSE 1.1 END, 6) AS w FROM range(2, 64) t(v)", lambda s: rounded(generators.kary_tree_weighted(s, 2, 5, decay=0.5, spread=0.2)))
+_gen("cube_surface", """WITH c AS (SELECT x * 25 + y * 5 + z + 1 AS v, x, y, z FROM range(5) a(x), range(5) b(y), range(5) c(z) WHERE x IN (0, 4) OR y IN (0, 4) OR z IN (0, 4))
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y AND b.z = a.z) OR (b.x = a.x AND b.y = a.y + 1 AND b.z = a.z) OR (b.x = a.x AND b.y = a.y AND b.z = a.z + 1)""", lambda s: generators.cube_surface(s, 5))
+_gen("carpet", """WITH c AS (SELECT x * 27 + y + 1 AS v, x, y FROM range(27) a(x), range(27) b(y) WHERE NOT (x % 3 = 1 AND y % 3 = 1) AND NOT (x // 3 % 3 = 1 AND y // 3 % 3 = 1) AND NOT (x // 9 = 1 AND y // 9 = 1))
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s: generators.recursive_mask_graph(s, "carpet", 3))
+_gen("vicsek", """WITH c AS (SELECT x * 9 + y + 1 AS v, x, y FROM range(9) a(x), range(9) b(y) WHERE (x % 3 = 1 OR y % 3 = 1) AND (x // 3 = 1 OR y // 3 = 1))
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s: generators.recursive_mask_graph(s, "vicsek", 2))
+_gen("menger_cells", "SELECT m AS mask, n::BIGINT AS cells FROM (VALUES ('menger', 400), ('periodic_tunnels', 576), ('asymmetric_cavities', 625), ('channel_network', 676)) t(m, n)", lambda s: _count_cells(s))
+_gen("sierpinski", "SELECT dims, vertices::BIGINT AS vertices, edges::BIGINT AS edges FROM (VALUES (2, 123, 243), (3, 130, 384)) t(dims, vertices, edges)", lambda s: _count_simplex(s))
+_gen("occupied_mesh", """WITH g AS (SELECT i * 16 + j + 1 AS v, i, j FROM range(12) a(i), range(16) b(j) WHERE NOT (i % 4 < 2 AND j % 4 < 2 AND i >= 4 AND j >= 4))
+SELECT a.v AS src, b.v AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j)""", lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_periodic_holes()))
+_gen("mesh_surface", """WITH g AS (SELECT i * 10 + j + 1 AS v, 2 * j / 9.0 - 1 AS u, 2 * i / 7.0 - 1 AS t, i, j FROM range(8) a(i), range(10) b(j)), c AS (SELECT *, 0.5 * (u * u - t * t) AS z FROM g),
+e AS (SELECT a.v AS src, b.v AS dst, sqrt((a.u - b.u) ** 2 + (a.t - b.t) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.mesh_surface(s, 8, 10, "saddle").edges))
+_gen("torus_surface", """WITH g AS (SELECT i * 12 + j + 1 AS v, i, j, (2 + 0.7 * cos(2 * pi() * i / 8)) * cos(2 * pi() * j / 12) AS x, (2 + 0.7 * cos(2 * pi() * i / 8)) * sin(2 * pi() * j / 12) AS y, 0.7 * sin(2 * pi() * i / 8) AS z FROM range(8) a(i), range(12) b(j)),
+e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM g a JOIN g b ON (b.i = a.i AND b.j = (a.j + 1) % 12) OR (b.i = (a.i + 1) % 8 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT avg(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.torus_surface(s, 8, 12, by="mean").edges))
+_gen("cylinder_surface", "SELECT 96::BIGINT AS n, round(max(r), 6) AS widest FROM (SELECT 1 + 0.2 * (1 - (1 - 2 * i / 7.0) ** 2) AS r FROM range(8) t(i))", lambda s: rounded(generators.cylinder_surface(s, 8, 12, mode="barrel").coords.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.get("x", F.lit(0)) ** 2 + F.get("x", F.lit(1)) ** 2)).alias("widest"))))
+_gen("sphere_surface", "SELECT 62::BIGINT AS n, 1.0::DOUBLE AS radius", lambda s: rounded(generators.sphere_surface(s, 8, 10).coords.agg(F.count(F.lit(1)).alias("n"), F.max(V.norm("x")).alias("radius"))))
+_gen("irregular", None, lambda s: rounded(generators.irregular(s, "sphere", 120, 6).edges))
+_gen("triangulated", None, lambda s: rounded(generators.triangulated(s, "annulus", 14).edges))
+_gen("sampled_rectangle", None, lambda s: rounded(generators.sampled_rectangle(s, 150, 5).edges))
+
+
+def _count_cells(s):
+    out = None
+    for m in ("menger", "periodic_tunnels", "asymmetric_cavities", "channel_network"):
+        c = generators.recursive_cells(s, m, 2)[0].agg(F.lit(m).alias("mask"), F.count(F.lit(1)).alias("cells"))
+        out = c if out is None else out.union(c)
+    return out
+
+
+def _count_simplex(s):
+    out = None
+    for dims, levels in ((2, 4), (3, 3)):
+        b = generators.sierpinski(s, levels, dims)
+        c = b.coords.agg(F.lit(dims).alias("dims"), F.count(F.lit(1)).alias("vertices")).crossJoin(b.edges.agg(F.count(F.lit(1)).alias("edges")))
+        out = c if out is None else out.union(c)
+    return out
