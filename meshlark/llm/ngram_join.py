@@ -4,11 +4,15 @@ A document is the set of its distinct word n-grams (as 64-bit hashes). Two sets
 num/den differ in at most k = (a + b)(den - num)/(den + num) features. Sizes are cut into bands; a set is put into its own band's
 instance and, if it can pair with the next band's sizes, into that one too. An instance parts the feature domain into n1 first-level
 parts, each into n2 second-level parts, and signs the set's content of every choice of n2 - k2 second-level parts of each
-first-level part: with at most k differences some choice is free of them on both sides, so linked sets share a signature. ``spare``
-more first-level parts than needed let nearly all sets leave out choices that hold fewer than ``WEAK`` features, which would make
-strangers meet; a set with more weak parts than that signs them too, and as two such sets both do, no link is lost.
-
-Signatures meet in hash buckets (numpy, one shuffle of packed 64-bit words). Sets that meet form clusters. Clusters of bounded size
+first-level part: with at most k differences some choice is free of them on both sides, so linked sets share a signature. With ``spare``
+more first-level parts than needed they share one in spare + 1 parts at least. Of these, ``need`` are kept to tell linked sets from
+strangers that meet once by chance; the others let nearly all sets leave out choices that hold fewer than ``WEAK`` features. A set with
+more weak parts than that signs them too; if both sets of a pair do they share all, otherwise the one that does not has few weak parts, so
+no link is lost.
+
+Signatures meet in hash buckets (numpy, one shuffle of packed 48-bit words). Groups of up to ``MEET_GROUP`` sets that share one count for each of
+their pairs; of a larger group only its members are listed. A pair can share ``need`` signatures only if what it shares in small groups and the lesser of
+its sets' memberships in large ones come to that many: such pairs, and such sets of large groups, form clusters. Clusters of bounded size
 are joined exactly by one matrix product each. A larger one is taken relative to its consensus (features of more than half of its sets): what a
 set adds to it and lacks of it tells its difference to any other set exactly, so its sets are paired through shared added features, smaller
 groups of which are pairs to check and larger ones clusters of the next round, at most half as large. Sets that share no added feature can only be
@@ -32,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.llm.common import materialize
-from meshlark.llm.components import components
+from meshlark.operators.components import components
 
-WEAK, CACHE_WORDS, BATCH_DOCS = 2, 500_000, 4096
+WEAK, NEED, MEET_GROUP, CACHE_WORDS, BATCH_DOCS = 1, 10, 6, 500_000, 4096
 CLUSTER_SETS, CLUSTER_FEATURES, PAIR_GROUP = 256, 1_500_000, 16
 M1, M2, M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -92,20 +96,22 @@ class PartEnum:
         i = self.band(size)
         return [i, i + 1] if self.den * size >= self.num * self.bands[i + 1][0] else [i]
 
-    def plan(self, i: int) -> tuple[int, int]:
-        """First-level parts and how many of them are spare."""
+    def plan(self, i: int) -> tuple[int, int, int]:
+        """First-level parts, how many of them may be weak in a set that leaves weak choices out, and the signatures that linked sets share at least."""
         k = 2 * self.bands[i][1] * (self.den - self.num) // (self.den + self.num)
         n1 = k // (self.k2 + 1) + 1
-        spare = -(-n1 // 10) if n1 > 1 else 0
-        return n1 + spare, spare
+        need, weak = min(NEED, 1 + n1 // 5), 0 if n1 < 4 else 3 + -(-n1 // 10)
+        return n1 + need - 1 + weak, weak, need
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        out = []
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures, and for each the number of them that linked sets share at least."""
+        out, needs = [], []
         for i in self.instances(len(s)):
-            n1, spare = self.plan(i)
+            n1, weak, need = self.plan(i)
             h = _mix(s + np.uint64((i + 1) * int(M3) % 2**64))
             if n1 == 1:  # no difference is allowed: the set itself
                 out.append(_mix(np.array([h.sum(dtype=np.uint64)], dtype=np.uint64) + np.uint64(i)))
+                needs.append(np.ones(1, dtype=np.uint64))
                 continue
             part = (h % np.uint64(n1 * self.n2)).astype(np.int64)
             sums, counts = np.zeros(n1 * self.n2, dtype=np.uint64), np.bincount(part, minlength=n1 * self.n2)
@@ -117,22 +123,20 @@ class PartEnum:
                 sigs.append(_mix(_mix(sums[:, keep].sum(axis=1, dtype=np.uint64) + place) + np.uint64(c)))
                 held.append(counts[:, keep].sum(axis=1))
             sigs, held = np.array(sigs), np.array(held)
-            if ((held < WEAK).any(axis=0)).sum() <= spare:
-                out.append(sigs[held >= WEAK])
-            else:
-                out.append(sigs.ravel())
-        return np.concatenate(out)
+            out.append(sigs[held >= WEAK] if (held < WEAK).any(axis=0).sum() <= weak else sigs.ravel())
+            needs.append(np.full(len(out[-1]), need, dtype=np.uint64))
+        return np.concatenate(out), np.concatenate(needs)
 
 
 def _signed(n: int, num: int, den: int, buckets: int):
-    """Per batch: doc rows and exact copies within it (bucket -1), and for each bucket the packed signatures of the distinct sets,
-    those that meet within the batch as edges, so that a hot signature leaves one word per batch."""
+    """Per batch: doc rows (bucket -1), exact copies (-2), and for each bucket the packed signatures of the distinct sets. Where more than
+    MEET_GROUP sets meet within the batch they are listed (-3), and MEET_GROUP + 1 words of one of them say so to the other batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum = PartEnum(num, den)
 
         def emit(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-            sizes, sigs, owners, own_ids, copies, first = [], [], [], [], [], {}
+            sizes, sigs, needs, owners, own_ids, copies, first = [], [], [], [], [], [], {}
             for doc_id, text in zip(ids, texts, strict=True):
                 s = shingles(text, n)
                 sizes.append(len(s))
@@ -142,29 +146,32 @@ def _signed(n: int, num: int, den: int, buckets: int):
                 if (seen := first.setdefault(key, doc_id)) is not doc_id:
                     copies.append((doc_id, seen))
                     continue
-                x = enum.signatures(s)
+                x, need = enum.signatures(s)
+                needs.append(need)
                 owners.append(np.full(len(x), len(own_ids), dtype=np.int64))
                 own_ids.append(doc_id)
                 sigs.append(x)
             rows = [(-1, _bytes([-1 if i is None else i for i in ids]), _bytes(sizes), _bytes([int(i is None) for i in ids])), (-2, _bytes([a for a, _ in copies]), _bytes([b for _, b in copies]), b"")]
             if sigs:
-                sig, owner, own = np.concatenate(sigs), np.concatenate(owners), np.array(own_ids, dtype="<i8")
+                sig, owner, need, own = np.concatenate(sigs), np.concatenate(owners), np.concatenate(needs), np.array(own_ids, dtype="<i8")
                 order = np.lexsort((own[owner], sig))
-                sig, owner = sig[order], owner[order]
-                head = np.concatenate([[True], sig[1:] != sig[:-1]])
-                lead = owner[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))]
-                pairs = np.unique(np.stack([own[owner[~head]], own[lead[~head]]]), axis=1) if (~head).any() else np.zeros((2, 0), "<i8")
-                rows.append((-3, pairs[0].astype("<i8").tobytes(), pairs[1].astype("<i8").tobytes(), b""))
-                sig, owner = sig[head], owner[head]
+                sig, owner, need = sig[order], owner[order], need[order]
+                start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                size = np.diff(np.append(start, len(sig)))
+                many = np.repeat(size > MEET_GROUP, size)
+                rows.append((-3, own[owner[many]].tobytes(), _name(sig[many], buckets).tobytes(), need[many].astype("<i8").tobytes()))
+                hot = start[size > MEET_GROUP]
+                sig, owner, need = (np.concatenate([v[~many], np.repeat(v[hot], MEET_GROUP + 1)]) for v in (sig, owner, need))
                 bucket = (sig % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                sig, owner, bucket = (sig // np.uint64(buckets))[order] & np.uint64((1 << 40) - 1), owner[order], bucket[order]
+                sig, owner, need, bucket = (sig // np.uint64(buckets))[order] & np.uint64((1 << 32) - 1), owner[order], need[order], bucket[order]
                 ends = np.searchsorted(bucket, np.arange(buckets + 1))
                 for b in range(buckets):
                     lo, hi = ends[b], ends[b + 1]
                     if lo < hi:
                         used, local = np.unique(owner[lo:hi], return_inverse=True)
-                        rows.append((b, ((sig[lo:hi] << np.uint64(24)) | local.astype(np.uint64)).astype("<u8").tobytes(), own[used].tobytes(), b""))
+                        words = (sig[lo:hi] << np.uint64(16)) | (need[lo:hi] << np.uint64(12)) | local.astype(np.uint64)
+                        rows.append((b, words.astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes(), own[used].tobytes(), b""))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "x", "y", "z"])
 
         ids, texts, size = [], [], 0
@@ -182,45 +189,78 @@ def _signed(n: int, num: int, den: int, buckets: int):
     return run
 
 
+def _name(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """What a bucket keeps of a signature, as a number of its own."""
+    b = np.uint64(buckets)
+    return (((sig // b) & np.uint64((1 << 32) - 1)) * b + sig % b).astype("<i8")
+
+
 def _bytes(x: list) -> bytes:
     return np.array(x, dtype="<i8").tobytes()
 
 
-MEET = "kind int, a bigint, b bigint"
+MEET = "kind int, a bigint, b bigint, n int, need int"
+
+
+def _meet(buckets: int):
+    return lambda table: _meet_bucket(table, buckets)
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Rows of one bucket -> (kind, a, b): 0 a document and its size, 1 a copy and its original, 2 two that share a signature, 3 a size without doc_id."""
-    kind, a, b = [], [], []
+def _meet_bucket(table: pa.Table, buckets: int) -> pa.Table:
+    """Rows of one bucket -> (kind, a, b): 0 a document and its size, 1 a copy and its original, 2 a document and a signature that many have, 3 a size without doc_id,
+    4 two that share n signatures of this bucket and are linked only if they share ``need`` in all."""
+    kind, a, b, n, least = [], [], [], [], []
 
-    def add(k, x, y) -> None:
+    def add(k, x, y, *more) -> None:
         kind.append(np.full(len(x), k, dtype=np.int32) if np.isscalar(k) else k)
         a.append(x)
         b.append(y)
+        n.append(np.zeros(len(x), np.int32) if len(more) == 0 else more[0])
+        least.append(np.zeros(len(x), np.int32) if len(more) == 0 else more[1])
 
     ints = lambda v: np.frombuffer(v, dtype="<i8")
-    words, owners = [], []
+    words, owners, needs, bucket_of = [], [], [], np.uint64(0)
     for bucket, x, y, z in zip(*(table.column(i).to_pylist() for i in range(4)), strict=True):
         if bucket == -1:
             add(np.where(ints(z) == 1, 3, 0).astype(np.int32), ints(x), ints(y))
+        elif bucket == -3:
+            add(2, ints(x), ints(y), np.ones(len(x) // 8, np.int32), ints(z).astype(np.int32))
         elif bucket < 0:
             add(-1 - bucket, ints(x), ints(y))
         else:
-            w = np.frombuffer(x, dtype="<u8")
-            words.append(w >> np.uint64(24))
-            owners.append(ints(y)[(w & np.uint64((1 << 24) - 1)).astype(np.int64)])
+            bucket_of = np.uint64(bucket)
+            w = np.zeros((len(x) // 6, 8), dtype="u1")
+            w[:, :6] = np.frombuffer(x, dtype="u1").reshape(-1, 6)
+            w = w.view("<u8").ravel()
+            words.append(w >> np.uint64(16))
+            needs.append((w >> np.uint64(12)) & np.uint64(15))
+            owners.append(ints(y)[(w & np.uint64(4095)).astype(np.int64)])
     if words:
-        sig, own = np.concatenate(words), np.concatenate(owners)
+        sig, own, need = np.concatenate(words), np.concatenate(owners), np.concatenate(needs)
         order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
-        head = np.concatenate([[True], sig[1:] != sig[:-1]])
-        lead = own[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))]
-        met = ~head & (own != lead)
-        if met.any():
-            pairs = np.unique(np.stack([own[met], lead[met]]), axis=1)
-            add(2, pairs[0], pairs[1])
+        sig, own, need = sig[order], own[order], need[order]
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(start, len(sig)))
+        many = np.repeat(size > MEET_GROUP, size)
+        if many.any():
+            once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]) & many
+            add(2, own[once], (sig[once] * np.uint64(buckets) + bucket_of).astype(np.int64), np.ones(int(once.sum()), np.int32), need[once].astype(np.int32))
+        left, right, req = [], [], []
+        for m in range(2, MEET_GROUP + 1):
+            at = start[size == m]
+            for i, j in combinations(range(m), 2):
+                apart = own[at + i] != own[at + j]
+                left.append(own[at + i][apart])
+                right.append(own[at + j][apart])
+                req.append(need[at][apart])
+        left, right, req = np.concatenate(left), np.concatenate(right), np.concatenate(req).astype(np.int32)
+        if len(left):
+            order = np.lexsort((right, left))
+            left, right, req = left[order], right[order], req[order]
+            first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+            add(4, right[first], left[first], np.diff(np.append(first, len(left))).astype(np.int32), np.minimum.reduceat(req, first))
     cat = lambda v, t: np.concatenate(v).astype(t) if v else np.empty(0, t)
-    return pa.table({"kind": cat(kind, np.int32), "a": cat(a, np.int64), "b": cat(b, np.int64)})
+    return pa.table({"kind": cat(kind, np.int32), "a": cat(a, np.int64), "b": cat(b, np.int64), "n": cat(n, np.int32), "need": cat(least, np.int32)})
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -352,10 +392,17 @@ def links(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tu
     d = documents.select("doc_id", "text")
     met = d.mapInArrow(_signed(n, num, den, buckets), "bucket int, x binary, y binary, z binary")
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("x"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    met = materialize(met.groupBy(spread.alias("b")).applyInArrow(_meet, MEET), "met")
+    met = materialize(met.groupBy(spread.alias("b")).applyInArrow(_meet(buckets), MEET), "met")
     rows = met.where("kind in (0, 3)").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"))
     copies = met.where("kind = 1").select("a", "b")
-    cl = components(met.where("kind = 2").select("a", "b"))
+    many = met.where("kind = 2").groupBy("a", "b").agg(F.min("need").alias("need"))  # (document, signature), once
+    large = many.groupBy("a").agg(F.count(F.lit(1)).alias("large"), F.min("need").alias("need"))
+    often = met.where("kind = 4").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    la, lb = large.select("a", F.col("large").alias("large_a")), large.select(F.col("a").alias("b"), F.col("large").alias("large_b"))
+    often = often.join(la, "a", "left").join(lb, "b", "left").where(F.col("n") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))) >= F.col("need")).select("a", "b")
+    listed = many.select("a", "b").join(large.where("large >= need").select("a"), "a", "left_semi")
+    stars = listed.join(listed.groupBy("b").agg(F.min("a").alias("low")), "b").where("a <> low").select("a", F.col("low").alias("b")).distinct()
+    cl = components(often.union(stars))
     cl = materialize(cl.select(F.col("id").alias("doc_id"), F.col("component").alias("cl")), "clusters")
     sized = rows.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).join(cl, "doc_id")
     big = sized.groupBy("cl").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("features")).where((F.col("sets") > CLUSTER_SETS) | (F.col("features") > CLUSTER_FEATURES)).select("cl", F.lit(True).alias("big"))
