@@ -1,46 +1,25 @@
-"""Shared helpers of the training-data operators: tables, shared folders, small numeric kernels."""
+"""Shared helpers of the training-data operators: tables and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meshlark.plans.shared import materialize, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the driver and all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset the session must be a local one (tests); a temporary folder of this machine then
-    serves, because the executors are threads of this process.
-    """
-    if (found := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="meshlark-"))
-    return found.rstrip("/")
+__all__ = ["cleanup", "materialize", "shared_dir", "shared_path", "table"]
 
 
-_LOCAL: dict[str, str] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/meshlark/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    df.write.parquet(path := shared_path(spark, what))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cleanup(spark: SparkSession) -> None:
     """Delete what this application's operators wrote to the shared folder (results read from there go too)."""
-    path = f"{shared_dir(spark)}/meshlark/{spark.sparkContext.applicationId}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/meshlark/{spark.sparkContext.applicationId}")
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

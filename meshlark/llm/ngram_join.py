@@ -97,8 +97,10 @@ class PartEnum:
         return [i, i + 1] if self.den * size >= self.num * self.bands[i + 1][0] else [i]
 
     def plan(self, i: int) -> tuple[int, int, int]:
-        """First-level parts, how many of them may be weak in a set that leaves weak choices out, and the signatures that linked sets share at least."""
+        """First-level parts (0: no difference is allowed), how many of them may be weak in a set that leaves weak choices out, and the signatures that linked sets share at least."""
         k = 2 * self.bands[i][1] * (self.den - self.num) // (self.den + self.num)
+        if k == 0:
+            return 0, 0, 1
         n1 = k // (self.k2 + 1) + 1
         need, weak = min(NEED, 1 + n1 // 5), 0 if n1 < 4 else 3 + -(-n1 // 10)
         return n1 + need - 1 + weak, weak, need
@@ -109,7 +111,7 @@ class PartEnum:
         for i in self.instances(len(s)):
             n1, weak, need = self.plan(i)
             h = _mix(s + np.uint64((i + 1) * int(M3) % 2**64))
-            if n1 == 1:  # no difference is allowed: the set itself
+            if n1 == 0:  # the set itself
                 out.append(_mix(np.array([h.sum(dtype=np.uint64)], dtype=np.uint64) + np.uint64(i)))
                 needs.append(np.ones(1, dtype=np.uint64))
                 continue
