@@ -42,7 +42,7 @@ def expand_search_table(grid: dict[str, DataFrame], prefix: str) -> DataFrame:
 
 def run_candidates(edges: DataFrame, vertices: DataFrame, candidates: dict[str, dict], seeds: list[int]) -> DataFrame:
     """candidate, seed, status, error_message, coords (array of (v, x)): one kernel per row, errors become rows."""
-    from meshlark.operators.layout import MAX_KERNEL_VERTICES, GripParams, grip_graph
+    from meshlark.operators.layout import MAX_KERNEL_VERTICES, LayoutParams, layout_graph
 
     if vertices.count() > MAX_KERNEL_VERTICES:
         raise ValueError("too many vertices for layout kernels")
@@ -58,7 +58,7 @@ def run_candidates(edges: DataFrame, vertices: DataFrame, candidates: dict[str,
         ids = pdf.loc[pdf["kind"] == 1, "src"].sort_values().to_numpy()
         e = pdf.loc[pdf["kind"] == 0].sort_values(["src", "dst"])
         try:
-            x = grip_graph(ids, e[["src", "dst"]].to_numpy(), e["w"].to_numpy(), GripParams.of(**(candidates[c] | {"seed": s})))
+            x = layout_graph(ids, e[["src", "dst"]].to_numpy(), e["w"].to_numpy(), LayoutParams.of(**(candidates[c] | {"seed": s})))
             return pd.DataFrame({"candidate": c, "seed": s, "status": "ok", "error_message": None, "v": ids, "x": list(x)})
         except Exception as error:  # one failing candidate is a row, not the end of the comparison
             return pd.DataFrame({"candidate": [c], "seed": [s], "status": ["error"], "error_message": [str(error)], "v": [None], "x": [None]})

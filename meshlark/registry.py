@@ -816,10 +816,10 @@ def _(s, d):
     return rounded(objectives.proxy_stress(prep["constraints"], x.select("v", "x")))
 
 
-@query("grip_layout", "SELECT run, 42::BIGINT AS placed, true AS good FROM (VALUES (0), (1), (2)) t(run)")
+@query("multiscale_layout", "SELECT run, 42::BIGINT AS placed, true AS good FROM (VALUES (0), (1), (2)) t(run)")
 def _(s, d):
     e, v = _mesh(s), s.range(1, 43).withColumnRenamed("id", "v")
-    x = layout.grip(e, v, [{"rounds": 15, "final": 80}, {"metric": "edge_length", "preset": "mesh", "rounds": 15, "final": 80}, {"dim": 3, "placement": "least_squares", "rounds": 15, "final": 80}])
+    x = layout.multiscale(e, v, [{"rounds": 15, "final": 80}, {"metric": "edge_length", "preset": "mesh", "rounds": 15, "final": 80}, {"dim": 3, "placement": "least_squares", "rounds": 15, "final": 80}])
     p = _grid_distances(s)
     a, b = (x.select("run", F.col("v").alias(c), F.col("x").alias(f"x{c}")) for c in ("i", "j"))
     o = p.join(a, "i").join(b, ["run", "j"]).withColumn("o", V.euclid("xi", "xj")).groupBy("run").agg(F.corr("o", "d").alias("c"))

@@ -156,18 +156,18 @@ def test_small_hierarchy_has_one_level(spark):
     assert {r.level for r in m.collect()} == {0}
 
 
-def test_grip_repeats_and_improves():
+def test_layout_repeats_and_improves():
     ids = np.arange(20)
     e = np.array([(k, k + 1) for k in range(19)])
-    p = layout.GripParams.of(rounds=10, final=60, num_init=6)
-    a, b = (layout.grip_graph(ids, e, np.ones(19), p) for _ in range(2))
+    p = layout.LayoutParams.of(rounds=10, final=60, num_init=6)
+    a, b = (layout.layout_graph(ids, e, np.ones(19), p) for _ in range(2))
     assert (a == b).all() and np.isfinite(a).all()
     i, j = np.triu_indices(20, 1)
     assert np.corrcoef(np.linalg.norm(a[i] - a[j], axis=1), j - i)[0, 1] > 0.8
-    two = layout.grip_graph(np.arange(8), np.array([(0, 1), (1, 2), (3, 4), (5, 6)]), np.ones(4), p)
+    two = layout.layout_graph(np.arange(8), np.array([(0, 1), (1, 2), (3, 4), (5, 6)]), np.ones(4), p)
     assert two.shape == (8, 2) and np.isfinite(two).all()
     with pytest.raises(ValueError):
-        layout.GripParams.of(preset="nope")
+        layout.LayoutParams.of(preset="nope")
 
 
 def test_search_grid_and_ranking(spark):
