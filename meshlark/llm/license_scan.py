@@ -47,7 +47,7 @@ def _let(x: Column, f) -> Column:
 
 def lowered() -> Column:
     """Lower case as far as words of ASCII letters can tell: the Kelvin sign, which would become a plain k, is set aside."""
-    return F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("\u212a"), F.lit("\u0138"))))
+    return F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
 
 
 def words(text: Column) -> Column:
