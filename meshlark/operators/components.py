@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from meshlark.plans.shared import materialize
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, tidy: bool = False) -> DataFrame:
     """id, component (the smallest id it reaches) for every id of ``edges`` (a bigint, b bigint); ids without edges are absent.
 
-    State is an edge table that shrinks to stars; chains halve each round. Each round's result goes to the shared folder.
+    State is an edge table that shrinks to stars; chains halve each round. Each round's result goes to the shared folder; ``tidy`` has old shuffle files deleted meanwhile.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "edges")
+    e = materialize(e, "edges", tidy)
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "edges")
+        e = materialize(small, "edges", tidy)
         centres_below = e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi")
         if centres_below.isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import warnings
@@ -22,11 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    spark = df.sparkSession
+def materialize(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage. ``tidy``: see ``release``."""
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/meshlark/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if tidy:
+        release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more; it finds them when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def guard_all_pairs(n: int, most: int = MAX_ALL_PAIRS_VERTICES) -> None:
