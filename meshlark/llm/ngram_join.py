@@ -344,14 +344,14 @@ def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
         p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         x = sets.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(p, ["cl", "salt"])
         x = x.select("cl", "id", F.size("s").alias("n"), F.array_except("s", "p").alias("add"), F.array_except("p", "s").alias("lack"), (F.size("p") == 0).alias("bare"))
-        x = materialize(x, "residuals")
+        x = materialize(x, "residuals", True)
         differ = lambda l, r: sum((F.size(F.array_except(f"{u}.{c}", f"{v}.{c}")) for c in ("add", "lack") for u, v in ((l, r), (r, l))), F.lit(0))
         holds = lambda l, r: (den - num) * (F.col(f"{l}.n") + F.col(f"{r}.n")) >= (den + num) * differ(l, r)  # noqa: E731  the same as num * union <= den * overlap
         # The set next to the consensus is the cluster's centre; what links with it needs no further pair with another such.
         centre = x.where("not bare").groupBy("cl").agg(F.min_by(F.struct("id", "n", "add", "lack"), F.struct(F.size("add") + F.size("lack"), "id")).alias("r"))
         r = centre.select("cl", "r.*").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         near = x.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).alias("l").join(r.alias("r"), ["cl", "salt"]).where(holds("l", "r")).select("cl", F.col("l.id").alias("id"), F.col("r.id").alias("c"))
-        near = materialize(near, "near")
+        near = materialize(near, "near", True)
         links = near.select(F.col("id").alias("a"), F.col("c").alias("b"))
         far = x.join(near.select("cl", "id", F.lit(True).alias("linked")), ["cl", "id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
         # Pairs through shared added features; without a consensus the rarest ones suffice (prefix filter).
@@ -362,7 +362,7 @@ def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
         # Features that no other set has come first in the order; they take places of the prefix.
         room = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den) - F.lit(1e-9)).cast("int") + 1 - (F.col("n") - F.size("fs"))
         rare = rare.select("cl", "id", F.explode(F.slice("fs", 1, F.greatest(room, F.lit(0)))).alias("x")).select("cl", "x.f", "id")
-        e = materialize(e.where("not bare").select("cl", "f", "id").union(rare), "added")
+        e = materialize(e.where("not bare").select("cl", "f", "id").union(rare), "added", True)
         g = e.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("id").alias("low"), F.max("id").alias("high")).where("c > 1")
         g = g.groupBy("cl", "who", "low", "high", "c").agg(F.min("f").alias("f"))  # the same group through several features
         small = e.join(g.where(F.col("c") <= PAIR_GROUP).select("cl", "f"), ["cl", "f"])
@@ -378,11 +378,11 @@ def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
         pairs = pairs.union(more).distinct()
         l, r = (x.select("cl", F.col("id").alias(i), F.struct("n", "add", "lack").alias(s)) for i, s in (("i", "l"), ("j", "r")))
         found = pairs.join(l, ["cl", "i"]).join(r, ["cl", "j"]).where(holds("l", "r")).select(F.col("i").alias("a"), F.col("j").alias("b"))
-        links = materialize(links.union(found), "links")
+        links = materialize(links.union(found), "links", True)
         out = links if out is None else out.union(links)
         # Larger groups are the next round's clusters.
         big = g.where(F.col("c") > PAIR_GROUP).select("cl", "f", F.xxhash64("cl", "f", F.lit(round_)).alias("next"))
-        sets = materialize(e.join(big, ["cl", "f"]).select("cl", "id", "next").distinct().join(sets, ["cl", "id"]).select(F.col("next").alias("cl"), "id", "s"), "sets")
+        sets = materialize(e.join(big, ["cl", "f"]).select("cl", "id", "next").distinct().join(sets, ["cl", "id"]).select(F.col("next").alias("cl"), "id", "s"), "sets", True)
         round_ += 1
     return out
 
@@ -394,27 +394,27 @@ def links(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tu
     d = documents.select("doc_id", "text")
     met = d.mapInArrow(_signed(n, num, den, buckets), "bucket int, x binary, y binary, z binary")
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("x"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    met = materialize(met.groupBy(spread.alias("b")).applyInArrow(_meet(buckets), MEET), "met")
+    met = materialize(met.groupBy(spread.alias("b")).applyInArrow(_meet(buckets), MEET), "met", True)
     rows = met.where("kind in (0, 3)").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"))
     copies = met.where("kind = 1").select("a", "b")
-    many = met.where("kind = 2").groupBy("a", "b").agg(F.min("need").alias("need"))  # (document, signature), once
+    many = materialize(met.where("kind = 2").groupBy("a", "b").agg(F.min("need").alias("need")), "many", True)  # (document, signature), once
     large = many.groupBy("a").agg(F.count(F.lit(1)).alias("large"), F.min("need").alias("need"))
     often = met.where("kind = 4").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
     la, lb = large.select("a", F.col("large").alias("large_a")), large.select(F.col("a").alias("b"), F.col("large").alias("large_b"))
     often = often.join(la, "a", "left").join(lb, "b", "left").where(F.col("n") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))) >= F.col("need")).select("a", "b")
     listed = many.select("a", "b").join(large.where("large >= need").select("a"), "a", "left_semi")
     stars = listed.join(listed.groupBy("b").agg(F.min("a").alias("low")), "b").where("a <> low").select("a", F.col("low").alias("b")).distinct()
-    cl = components(often.union(stars))
-    cl = materialize(cl.select(F.col("id").alias("doc_id"), F.col("component").alias("cl")), "clusters")
+    cl = components(often.union(stars), tidy=True)
+    cl = materialize(cl.select(F.col("id").alias("doc_id"), F.col("component").alias("cl")), "clusters", True)
     sized = rows.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).join(cl, "doc_id")
     big = sized.groupBy("cl").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("features")).where((F.col("sets") > CLUSTER_SETS) | (F.col("features") > CLUSTER_FEATURES)).select("cl", F.lit(True).alias("big"))
     cl = cl.join(big, "cl", "left").select("doc_id", "cl", F.coalesce("big", F.lit(False)).alias("big"))
-    members = materialize(d.join(cl, "doc_id"), "members")  # read twice, and only documents that met another
+    members = materialize(d.join(cl, "doc_id"), "members", True)  # read twice, and only documents that met another
     small = members.where("not big").select("cl", "doc_id", "text").groupBy("cl").applyInArrow(_cluster_links(n, num, den), "a bigint, b bigint")
-    edges = copies.union(materialize(small.where("a <> b"), "links"))
+    edges = copies.union(materialize(small.where("a <> b"), "links", True))
     if not big.isEmpty():
         sets = members.where("big").select("cl", "doc_id", "text").mapInArrow(_as_sets(n), "cl bigint, id bigint, s array<bigint>")
-        found = _large_links(materialize(sets.where(F.size("s") > 0), "sets"), num, den)
+        found = _large_links(materialize(sets.where(F.size("s") > 0), "sets", True), num, den)
         edges = edges.union(found)
     return rows, edges
 
@@ -422,7 +422,7 @@ def links(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tu
 def near_duplicates(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows, edges = links(documents, n, num, den)
-    c = components(edges).withColumnRenamed("id", "doc_id")
+    c = components(edges, tidy=True).withColumnRenamed("id", "doc_id")
     return rows.join(c, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -434,7 +434,7 @@ def deduplicate(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     from pyspark.sql import Window
 
     _, edges = links(documents, n, num, den)
-    drop = components(edges).where("id <> component").select(F.col("id").alias("doc_id"))
+    drop = components(edges, tidy=True).where("id <> component").select(F.col("id").alias("doc_id"))
     left = documents.join(drop, "doc_id", "left_anti").select(*documents.columns)
     again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_again"))
     left = left.join(again, "doc_id", "left").select(*documents.columns, "_again")
