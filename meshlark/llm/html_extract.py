@@ -1,9 +1,13 @@
 """Main text of HTML pages by consensus host paths.
 
 First pass: each page's containers are scored by their clean text, and the page votes for the generalised tag-class path
-(ids dropped, digits taken out) of the deepest container with most of it. Spark counts the votes by host and path and picks
-each host's winner. Second pass: pages are read again and the blocks below their host's winning path are taken; a page that
-has no such container falls back to its own best one.
+(ids dropped, digits taken out) of the deepest container with nearly all of it (``SHARE``) and with the page's h1 headings; an article or
+main element around it is taken instead. Spark counts the votes by host and path and picks each host's winner. Second pass: pages are read
+again and the blocks below their host's winning path are taken where they hold nearly all of the page's clean text and its h1 headings;
+other pages fall back to their own best container, or to all their clean text if no container has nearly all.
+
+An element whose class, id or role holds a mark of boilerplate is dropped unless it has most of the page's text (nearly all of it, where the mark
+is a whole name and not a part of one; so too for forms). Other elements of dropped kinds and hidden ones always go.
 
 Defined results: a null html is empty and has empty text; a null url votes with host ''; pages cut off in the middle of a tag
 or element are read as far as they go. Ties in votes go to more text, then to the smaller path. An empty table gives no rows.
@@ -39,7 +43,7 @@ TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)")
-SHARE, BROADCAST_HOSTS = 0.75, 20_000
+SHARE, MOST, BROADCAST_HOSTS = 0.95, 0.5, 20_000
 
 
 @dataclass
@@ -47,24 +51,44 @@ class Page:
     paths: list[str] = field(default_factory=list)  # of containers
     parents: list[int] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)  # container, text
+    heads: set[int] = field(default_factory=set)  # containers of h1 headings
 
     def best(self) -> tuple[int, int]:
-        """The deepest container with most of the clean text, and its length; -1 if there is none."""
-        size = [0] * len(self.paths)
+        """The deepest container with nearly all of the clean text and the headings, or the article or main around it, and its length; -1 if there is none."""
+        size, heads = [0] * len(self.paths), [0] * len(self.paths)
         for at, text in self.blocks:
             while at >= 0:
                 size[at] += len(text)
                 at = self.parents[at]
-        total, best = max(size, default=0), -1
+        for at in self.heads:
+            while at >= 0:
+                heads[at] += 1
+                at = self.parents[at]
+        total, best = sum(len(t) for _, t in self.blocks), -1
         for k, n in enumerate(size):  # a container comes after those around it
-            if total and n >= SHARE * total:
+            if total and n >= SHARE * total and heads[k] == len(self.heads):
                 best = k
+        up = best
+        while up >= 0:
+            if self.paths[up].rsplit("/", 1)[-1].split(".")[0] in ("article", "main"):
+                best = up
+            up = self.parents[up]
         return best, size[best] if best >= 0 else 0
 
-    def under(self, wanted: set[int]) -> str:
+    def _inside(self, wanted: set[int]) -> dict[int, bool]:
         inside: dict[int, bool] = {-1: False}
         for k, up in enumerate(self.parents):
             inside[k] = k in wanted or inside[up]
+        return inside
+
+    def holds(self, wanted: set[int]) -> bool:
+        """Whether the containers have nearly all of the clean text, and the headings."""
+        inside = self._inside(wanted)
+        n = sum(len(text) for at, text in self.blocks if inside[at])
+        return n > 0 and n >= SHARE * sum(len(t) for _, t in self.blocks) and all(inside[at] for at in self.heads)
+
+    def under(self, wanted: set[int]) -> str:
+        inside = self._inside(wanted)
         return "\n".join(text for at, text in self.blocks if inside[at])
 
 
@@ -72,37 +96,41 @@ def _attrs(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(text)} if text.strip() else {}
 
 
-def _is_boilerplate(tag: str, a: dict[str, str]) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in KEEP_TAGS or not a:
-        return False
+def _boilerplate(tag: str, a: dict[str, str]) -> float | None:
+    """The share of the page's text from which the element is no boilerplate: 0 for any, None for no share."""
+    if tag in DROPPED and tag != "form":
+        return None
+    if tag in KEEP_TAGS or not a and tag != "form":
+        return 0
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    words = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower()))
-    if tag == "article":
-        return bool(words & {"comment", "comments", "reply"})
-    return bool(words & MARKS)
+        return None
+    names = set(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower().split())
+    marks = {"comment", "comments", "reply"} if tag == "article" else MARKS
+    if tag == "form" or names & marks:
+        return SHARE
+    return MOST if {w for x in names for w in re.split(r"[^a-z0-9]+", x)} & marks else 0
 
 
 def parse(html: str) -> Page:
     page = Page()
-    stack: list[tuple[str, int, bool]] = [("", -1, False)]  # tag, container, dropped
-    buffer: list[str] = []
+    stack: list[tuple[str, int, bool, int]] = [("", -1, False, -1)]  # tag, container, dropped, doubt
+    stream: list[tuple[int, int, str | None]] = []  # doubt, container, text or the end of a block
+    doubts: list[tuple[int, float]] = []  # elements that may be boilerplate: the one around, least share
+    of: list[int] = []  # doubt of each container
+    heads: set[int] = set()  # places in stream
     at, n = 0, len(html)
 
-    def flush() -> None:
-        if buffer:
-            text = " ".join(entities.unescape("".join(buffer)).split())
-            if text:
-                page.blocks.append((stack[-1][1], text))
-            buffer.clear()
+    def flush(doubt: int) -> None:
+        if stream and (stream[-1][2] is not None or stream[-1][0] not in (-1, doubt)):
+            if any(x[0] == "h1" for x in stack):
+                heads.add(len(stream))
+            stream.append((doubt, stack[-1][1], None))
 
     def close(k: int) -> None:
         """Pops the stack down to k elements."""
         while len(stack) > k:
             if stack[-1][0] in BLOCK:
-                flush()
+                flush(-1)
             stack.pop()
 
     while at < n:
@@ -110,13 +138,13 @@ def parse(html: str) -> Page:
         if start < 0:
             start = n
         if start > at and not stack[-1][2]:
-            buffer.append(html[at:start])
+            stream.append((stack[-1][3], -1, html[at:start]))
         if start == n:
             break
         m = TAG.match(html, start) or LOOSE.match(html, start)
         if not m:
             if not stack[-1][2]:
-                buffer.append("<")
+                stream.append((stack[-1][3], -1, "<"))
             at = start + 1
             continue
         at = m.end()
@@ -125,7 +153,7 @@ def parse(html: str) -> Page:
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCK and not stack[-1][2]:
-                flush()
+                flush(stack[-1][3])
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     close(k)
@@ -136,9 +164,9 @@ def parse(html: str) -> Page:
             at = end.end() if end else at if m[3].rstrip().endswith("/") else n
             continue
         if tag == "br" and not stack[-1][2]:
-            buffer.append(" ")
+            stream.append((stack[-1][3], -1, " "))
         if tag in BLOCK and not stack[-1][2]:
-            flush()
+            flush(stack[-1][3])
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
@@ -155,20 +183,56 @@ def parse(html: str) -> Page:
                     break
         if tag in VOID:
             continue
-        _, container, dropped = stack[-1]
+        _, container, dropped, doubt = stack[-1]
         a = _attrs(m[3])
-        if not dropped and _is_boilerplate(tag, a):
-            dropped = True
+        if not dropped and (least := _boilerplate(tag, a)) != 0:
+            if least is None:
+                dropped = True
+            else:
+                doubts.append((doubt, least))
+                doubt = len(doubts) - 1
         if tag in CONTAINER and not dropped:
             name = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in a.get("class", "").lower().split()} - {""})])
             page.paths.append(f"{page.paths[container]}/{name}" if container >= 0 else name)
             page.parents.append(container)
+            of.append(doubt)
             container = len(page.paths) - 1
-        stack.append((tag, container, dropped))
-    flush()
+        stack.append((tag, container, dropped, doubt))
+    flush(-1)
+    _settle(page, stream, doubts, of, heads)
     return page
 
 
+def _settle(page: Page, stream: list[tuple[int, int, str | None]], doubts: list[tuple[int, float]], of: list[int], heads: set[int]) -> None:
+    """Decides on the doubtful elements by their share of the text, and makes the blocks of the others."""
+    kept = [True] * (len(doubts) + 1)  # the last for -1
+    if doubts:
+        size, total = [0] * len(doubts), 0
+        for doubt, _, text in stream:
+            if text is not None:
+                total += (k := len("".join(text.split())))
+                while doubt >= 0:
+                    size[doubt] += k
+                    doubt = doubts[doubt][0]
+        for k, (up, least) in enumerate(doubts):
+            kept[k] = kept[up] and size[k] > 0 and (size[k] > MOST * total if least == MOST else size[k] >= least * total)
+    buffer: list[str] = []
+    for k, (doubt, container, text) in enumerate(stream):
+        if not kept[doubt]:
+            continue
+        if text is not None:
+            buffer.append(text)
+        elif buffer:
+            whole = " ".join(entities.unescape("".join(buffer)).split())
+            buffer.clear()
+            while container >= 0 and not kept[of[container]]:
+                container = page.parents[container]
+            if whole:
+                page.blocks.append((container, whole))
+                if k in heads:
+                    page.heads.add(container)
+
+
 def host(url: str | None) -> str:
     return m[1].lower() if url and (m := HOST.match(url)) else ""
 
@@ -198,8 +262,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html, path in zip(b.column(2), b.column(3), strict=True):
             page, want = parse(html.as_py() or ""), path.as_py()
             wanted = {k for k, p in enumerate(page.paths) if p == want}
-            text = page.under(wanted) if wanted else ""
-            if not text:
+            if wanted and page.holds(wanted):
+                text = page.under(wanted)
+            else:
                 best, _ = page.best()
                 text = page.under({best}) if best >= 0 else "\n".join(t for _, t in page.blocks)
             texts.append(text)

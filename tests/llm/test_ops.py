@@ -140,6 +140,23 @@ def test_main_text(spark):
     assert by[7].startswith("x x") and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_whole_article_is_kept(spark):
+    lead, body, short = "lead words " * 20, "body words " * 80, "few words " * 3
+    parts = f"<html><body><article><h1>Title</h1><div class=lead>{lead}</div><div class=body><p>{body}</p></div></article></body></html>"
+    hot = [(k, f"http://hot.com/{k}", f"<html><body><div>{body}</div></body></html>") for k in range(3)]
+    mixed = (9, "http://hot.com/9", f"<html><body><div>{short}</div><article><h1>Other</h1><p>{body}</p></article></body></html>")
+    marked = [f'<html><body><div class="{c}"><p>{body}</p><div class="sidebar">side</div></div><div class="share">share</div><div class="x-widget">{short}</div></body></html>' for c in ("has-sidebar", "widget")]
+    form = f"<html><body><form id=all><p>{body}</p><form><p>mail</form></form></body></html>"
+    bare = f"<p>{lead}</p><div>{body}</div>"
+    cells = f"<html><body><div class=post><h1>Title</h1><div><p>{body}</p></div></div></body></html>"
+    rows = [(20, "http://a.com/1", parts), (21, "http://b.com/1", marked[0]), (22, "http://c.com/1", marked[1]), (23, "http://d.com", form), (24, "http://e.com", bare), (25, "http://f.com", cells), *hot, mixed]
+    got = {r.page_id: r.text for r in html_extract.op4_html(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    lead, body, short = lead.strip(), body.strip(), short.strip()
+    assert got[20] == f"Title\n{lead}\n{body}" and got[24] == f"{lead}\n{body}" and got[25] == f"Title\n{body}"
+    assert got[0] == body and f"Other\n{body}" in got[9]
+    assert got[21] == got[22] == body and got[23].startswith(body)
+
+
 # Top-k -----------------------------------------------------------------------------------------------------------------
 
 
