@@ -1,9 +1,11 @@
 """License scans: fixed phrases by their places, and license templates by an exact set-similarity join; DataFrame operations only.
 
-A text block is a line. A template is found in a block that holds at least ``CONTAINMENT`` of its distinct words. The join
+A text block is a line, or for each template any run of words, across lines, that is ``SLACK`` longer than the template (notices are
+wrapped). A template is found in a block that holds at least ``CONTAINMENT`` of its distinct words. The join
 is exact: words of all templates are ranked by how many documents have them (rarest first, counted over the whole corpus), and a block
 meets a template only if (length) it has enough template words, (prefix) one of the template's rarest words, and (position) enough words left
-after the first common one on both sides; what remains is counted. Templates are a fixed list, so each row meets them within itself, without a shuffle.
+after the first common one on both sides; what remains is counted. Runs of words are counted only for templates that the whole text could hold by
+the same filters, from each word of the template on (a run that starts with another word has no more of them). Templates are a fixed list, so each row meets them within itself, without a shuffle.
 
 Defined results: a null or empty text has no words, no places (null first and last), empty labels and score 0. An empty
 table gives no rows; repeated rows are scanned alike; other columns are ignored.
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-CONTAINMENT = 0.9
+CONTAINMENT, SLACK = 0.9, 0.25
 
 # Base phrases and their labels, then notices that licenses ask for and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -86,7 +88,24 @@ def _found(text: Column, rank: dict[str, int], containment: float) -> Column:
         return (F.size(r) >= t["need"]) & F.arrays_overlap(r, t["prefix"]) & (1 + F.least(left_t, left_r) >= t["need"]) & (F.size(F.array_intersect(t["own"], r)) >= t["need"])
 
     share = lambda r, t: F.size(F.array_intersect(t["own"], r)).cast("double") / F.size(t["own"])
-    return F.flatten(F.transform(blocks, lambda r: F.transform(F.filter(templates, lambda t: meets(r, t)), lambda t: F.struct(t["label"].alias("label"), share(r, t).alias("share")))))
+    lines = F.flatten(F.transform(blocks, lambda r: F.transform(F.filter(templates, lambda t: meets(r, t)), lambda t: F.struct(t["label"].alias("label"), share(r, t).alias("share")))))
+    return F.concat(lines, _let(words(text), lambda w: _in_runs(w, rank, containment)))
+
+
+def _in_runs(w: Column, rank: dict[str, int], containment: float) -> Column:
+    """Array of (label, share) of the templates met by runs of the words, across lines."""
+    items = []
+    for label, t in TEMPLATES:
+        own = sorted(set(t.split()), key=rank.__getitem__)
+        need = math.ceil(round(containment * len(own), 9))
+        items.append((label, own, need, own[: len(own) - need + 1], math.ceil((1 + SLACK) * len(t.split()))))
+    templates = F.array(*(F.struct(F.lit(a).alias("label"), F.array(*map(F.lit, own)).alias("own"), F.lit(need).alias("need"), F.array(*map(F.lit, prefix)).alias("prefix"), F.lit(n).alias("n")) for a, own, need, prefix, n in items))
+    could = lambda r, t: F.arrays_overlap(r, t["prefix"]) & (F.size(F.array_intersect(t["own"], r)) >= t["need"])
+    starts = lambda t: F.filter(F.sequence(F.lit(1), F.size(w)), lambda k: F.array_contains(t["own"], F.get(w, k - 1)))
+    most = lambda t: F.array_max(F.transform(starts(t), lambda k: F.size(F.array_intersect(t["own"], F.slice(w, k, t["n"])))))
+    met = _let(F.array_intersect(F.array(*(F.lit(x) for x in rank)), w), lambda r: F.filter(templates, lambda t: could(r, t)))
+    runs = F.transform(met, lambda t: F.struct(t["label"].alias("label"), t["own"].alias("own"), t["need"].alias("need"), most(t).alias("most")))
+    return F.transform(F.filter(runs, lambda t: t["most"] >= t["need"]), lambda t: F.struct(t["label"].alias("label"), (t["most"].cast("double") / F.size(t["own"])).alias("share")))
 
 
 def scan(documents: DataFrame, containment: float = CONTAINMENT) -> DataFrame:

@@ -245,6 +245,36 @@ def test_license_scan_equals_brute_sql(spark, tmp_path):
     assert license_scan.op8_license(spark, df.limit(0)).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(6)
+    texts = []
+    for _, t in license_scan.TEMPLATES:
+        w = t.split()
+        texts += ["\n".join(" * " + " ".join(w[k : k + width]) for k in range(0, len(w), width)) for width in (2, 4, 7)]
+        texts += ["\n".join(rng.sample(w, len(w))), "\n".join(" filler ".join(w[k : k + 3]) for k in range(0, len(w), 3)), "before\n\n" + "\n".join(w[:-3]) + "\nafter"]
+    vocabulary = license_scan.template_words()
+    texts += ["\n".join(" ".join(rng.choices(vocabulary[:25], k=4)) for _ in range(60)) for _ in range(40)]
+
+    def met(t):
+        words = lambda x: re.findall("[a-z0-9]+", x)
+        best = {}
+        for label, template in license_scan.TEMPLATES:
+            own, n, w = set(template.split()), -(-5 * len(template.split()) // 4), words(t)
+            blocks = [words(x) for x in t.split("\n")] + [w[k : k + n] for k in range(len(w))]
+            most = max(len(own & set(b)) for b in blocks)
+            if 10 * most >= 9 * len(own):
+                best[label] = max(best.get(label, 0), most / len(own))
+        return best
+
+    got = {r.doc_id: r for r in license_scan.op8_license(spark, docs(spark, list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        want, base = met(t), set(got[k].base_labels.split(",")) - {""}
+        assert set(got[k].labels.split(",")) - {""} == base | set(want), t
+        assert abs(got[k].score - max([1.0 if base else 0.0, *want.values()])) < 1e-12
+    for k, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in got[6 * k].labels.split(",") and label in got[6 * k + 2].labels.split(",")
+
+
 # Secrets ---------------------------------------------------------------------------------------------------------------
 
 
