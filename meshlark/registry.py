@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshlark.functions import vectors as V
 from meshlark.operators import catalogue, compare, components, generators, graph, hierarchy, knn, layout, mds, objectives, paths, pivots, quality, schedules
-from meshlark.plans.shared import estimate_preparation
+from meshlark.plans.shared import estimate_preparation, materialize
 from meshlark.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -835,6 +835,163 @@ def _(s, d):
     return n.join(st.select("v", F.col("x").alias("y")), "v").agg(F.count(F.lit(1)).alias("n"), (F.max(V.euclid("x", "y")) > 0).alias("moved"))
 
 
+# The same operators on graphs of the tables ---------------------------------------------------------------------------
+# co-purchases of parts (one hop each), the geo tree down to suppliers (all pairs are bounded by MAX_ALL_PAIRS_VERTICES), and the connected kNN graph of the embeddings.
+
+COPART = "pp AS (SELECT DISTINCT l_orderkey AS o, l_partkey::BIGINT AS v FROM lineitem), ca AS (SELECT DISTINCT a.v AS a, b.v AS b FROM pp a JOIN pp b ON a.o = b.o AND a.v <> b.v)"
+DEEP = 8  # levels of the twins, more than any co-purchase graph of the test tables has
+
+
+def _levels(name: str, source: str) -> str:
+    """Shortest-path counts from a part, level by level: {name}(v, d, n)."""
+    out = [f"{name}0 AS (SELECT {source} AS v, 1.0::DOUBLE AS n)"]
+    for k in range(1, DEEP):
+        seen = " AND ".join(f"ca.b NOT IN (SELECT v FROM {name}{m})" for m in range(k))
+        out.append(f"{name}{k} AS (SELECT ca.b AS v, sum(n) AS n FROM {name}{k - 1} p JOIN ca ON ca.a = p.v WHERE {seen} GROUP BY ca.b)")
+    return ", ".join(out) + f", {name} AS (" + " UNION ALL ".join(f"SELECT v, {k} AS d, n FROM {name}{k}" for k in range(DEEP)) + ")"
+
+
+LAST_PART = "(SELECT max(b) FROM ca)"
+
+
+def copart(s: SparkSession, d: str) -> DataFrame:
+    return QUERIES["canonical_copurchase"](s, d).select("src", "dst", F.lit(1.0).alias("w"))
+
+
+@query("path_counts_copart", f"WITH {COPART}, {_levels('l', '1::BIGINT')} SELECT 1::BIGINT AS s, v, n AS paths FROM l")
+def _(s, d):
+    e = copart(s, d)
+    return paths.path_counts(e, paths.distances(e, single(s, 1))).select("s", "v", r6("paths").alias("paths"))
+
+
+@query("tie_average_copart", f"""WITH {COPART}, {_levels('l', '1::BIGINT')}, {_levels('m', LAST_PART)}, g AS (SELECT d, n FROM l WHERE v = {LAST_PART})
+SELECT 1::BIGINT AS i, {LAST_PART} AS j, least(a, b) AS u, greatest(a, b) AS v, round(l.n * m.n / g.n, 6) AS coeff FROM ca JOIN l ON l.v = a JOIN m ON m.v = b, g WHERE l.d + 1 + m.d = g.d""")
+def _(s, d):
+    e = copart(s, d)
+    last = e.agg(F.max("dst")).first()[0]
+    return rounded(paths.tie_average(e, paths.distances(e, single(s, 1, last)), s.createDataFrame([(1, last)], "i bigint, j bigint")))
+
+
+TREE = f"""{GEO}, core AS (SELECT * FROM geo WHERE dst < 10000000), gv AS (SELECT 1::BIGINT AS v UNION ALL SELECT dst FROM core),
+up AS (SELECT v, v AS a, 0.0::DOUBLE AS d FROM gv UNION ALL SELECT up.v, core.src, up.d + core.w FROM up JOIN core ON core.dst = up.a),
+ap AS (SELECT a.v AS s, b.v AS v, min(a.d + b.d) AS d FROM up a JOIN up b USING (a) GROUP BY ALL)"""
+
+
+def geo_core(s: SparkSession, d: str) -> DataFrame:
+    return geo_tree(s, d).where("dst < 10000000")
+
+
+def _geo_pairs(s, d):
+    e = geo_core(s, d)
+    return paths.all_pairs(e, vertices_of(e))
+
+
+def _geo_rows(s, d):
+    p = _geo_pairs(s, d)
+    v = vertices_of(geo_core(s, d))
+    return p.select(F.col("i").alias("s"), F.col("j").alias("v"), "d").union(p.select("j", "i", "d")).union(v.select("v", "v", F.lit(0.0)))
+
+
+@query("all_pairs_geo", f"WITH RECURSIVE {TREE} SELECT s AS i, v AS j, d FROM ap WHERE s < v")
+def _(s, d):
+    return _geo_pairs(s, d)
+
+
+@query("diameter_geo", f"WITH RECURSIVE {TREE} SELECT max(d) AS diameter FROM ap")
+def _(s, d):
+    return paths.diameter(_geo_pairs(s, d))
+
+
+@query("landmark_pairs_geo", f"""WITH RECURSIVE {TREE}, n AS (SELECT s, v FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, v) AS r, row_number() OVER (PARTITION BY s ORDER BY d DESC, v) AS f FROM ap WHERE s <> v) WHERE r <= 3 OR f = 1)
+SELECT DISTINCT least(s, v) AS i, greatest(s, v) AS j FROM n""")
+def _(s, d):
+    h = _geo_rows(s, d)
+    return pivots.landmark_pairs(h, pivots.farthest_landmarks(h, 1), 3)
+
+
+@query("double_centring_geo", f"WITH RECURSIVE {TREE}, p AS (SELECT s AS r, v AS c, d * d AS s FROM ap) SELECT r, c, round(-0.5 * (s - avg(s) OVER (PARTITION BY r) - avg(s) OVER (PARTITION BY c) + avg(s) OVER ()), 6) + 0.0 AS b FROM p")
+def _(s, d):
+    return rounded(mds.double_centred(_geo_pairs(s, d), vertices_of(geo_core(s, d))))
+
+
+SUPPLIER_XY = "sx AS (SELECT s_suppkey::BIGINT + 1000000 AS v, s_acctbal::DOUBLE / 1000 AS x, s_nationkey::DOUBLE AS y FROM supplier)"
+
+
+def _supplier_plane(s, d):
+    return load(s, d, "supplier").select((F.col("s_suppkey") + 1000000).cast("bigint").alias("v"), F.array(F.col("s_acctbal").cast("double") / 1000, F.col("s_nationkey").cast("double")).alias("x"))
+
+
+@query("smacof_step_geo", f"""WITH RECURSIVE {TREE}, {SUPPLIER_XY}, q AS (SELECT a.v, a.x - b.x AS dx, a.y - b.y AS dy, ap.d FROM sx a JOIN ap ON ap.s = a.v JOIN sx b ON b.v = ap.v WHERE a.v <> b.v), f AS (SELECT v, dx, dy, CASE WHEN dx * dx + dy * dy > 0 THEN d / sqrt(dx * dx + dy * dy) ELSE 0 END AS f FROM q)
+SELECT v, round(sum(f * dx) / (SELECT count(*) FROM sx), 6) + 0.0 AS x0, round(sum(f * dy) / (SELECT count(*) FROM sx), 6) + 0.0 AS x1 FROM f GROUP BY v""")
+def _(s, d):
+    p = _geo_pairs(s, d).where("i >= 1000000 and j >= 1000000")
+    return mds.smacof_step(p, _supplier_plane(s, d)).select("v", r6(F.get("x", F.lit(0))).alias("x0"), r6(F.get("x", F.lit(1))).alias("x1"))
+
+
+@query("classical_mds_supplier", f"WITH {SUPPLIER_XY} SELECT a.v AS i, b.v AS j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS o FROM sx a JOIN sx b ON a.v < b.v")
+def _(s, d):
+    c = _supplier_plane(s, d)
+    p = c.alias("a").join(c.alias("b"), F.col("a.v") < F.col("b.v")).select(F.col("a.v").alias("i"), F.col("b.v").alias("j"), V.euclid(F.col("a.x"), F.col("b.x")).alias("d"))
+    x, _ = mds.classical(p, c.select("v"))
+    return rounded(objectives.observed(p, x).select("i", "j", "o"))
+
+
+@query("metric_mds_sgd_geo")
+def _(s, d):
+    p = _geo_pairs(s, d)
+    x = mds.sgd(p, control=mds.SgdControl(epochs=15))
+    return objectives.stress(p, x.select("v", "x")).select(r6("stress1").alias("stress1"), F.lit(x.count()).alias("placed"))
+
+
+def knn_embedding(s: SparkSession, d: str) -> DataFrame:
+    return materialize(knn.connected_knn_graph(observations(s, d), 5).select("src", "dst", F.lit(1.0).alias("w")), "knn")
+
+
+@query("hierarchy_sizes_knn")
+def _(s, d):
+    return hierarchy.sizes(hierarchy.misf(knn_embedding(s, d), observations(s, d).select("v"), 6))
+
+
+@query("hierarchy_depth_bound_knn", "SELECT true AS nested, true AS apart, true AS maximal")
+def _(s, d):
+    e, v = knn_embedding(s, d), observations(s, d).select("v")
+    m = materialize(hierarchy.misf(e, v, 6), "misf")
+    nested = m.select((F.col("level") - 1).alias("level"), "v").where("level >= 0").join(m, ["level", "v"], "left_anti").isEmpty()
+    apart = True
+    for level in range(1, m.agg(F.max("level")).first()[0]):
+        one = m.where(F.col("level") == level).select("v")
+        near = hierarchy.within(e, one.select(F.col("v").alias("s")), 2.0 ** (level - 1))
+        apart = apart and near.where("s <> v").join(one, "v", "left_semi").isEmpty()
+    lone = v.join(hierarchy.within(e, m.where("level = 1").select(F.col("v").alias("s")), 1.0), "v", "left_anti")
+    return s.createDataFrame([(nested, apart, lone.isEmpty())], "nested boolean, apart boolean, maximal boolean")
+
+
+@query("kk_round_knn", f"""WITH {KNN5}, {EDGES5}, {XY}, h AS (SELECT src AS s, dst AS v FROM e UNION ALL SELECT dst, src FROM e), st AS (SELECT v, 100 * x AS x, 100 * y AS y FROM xy),
+g AS (SELECT h.s AS v, b.x - a.x AS gx, b.y - a.y AS gy FROM h JOIN st a ON a.v = h.s JOIN st b ON b.v = h.v), f AS (SELECT v, sum(((gx * gx + gy * gy) / {layout.EDGE} ** 2 - 1) * gx) AS px, sum(((gx * gx + gy * gy) / {layout.EDGE} ** 2 - 1) * gy) AS py FROM g GROUP BY v),
+z AS (SELECT *, sqrt(px * px + py * py) AS n FROM f), c AS (SELECT v, px, py, CASE WHEN round(n) <> 0 THEN least(5.0, n) / n ELSE 0 END AS t FROM z)
+SELECT v, round(x + coalesce(px * t, 0), 6) + 0.0 AS x0, round(y + coalesce(py * t, 0), 6) + 0.0 AS x1 FROM st LEFT JOIN c USING (v)""")
+def _(s, d):
+    e = knn.knn_graph(knn.knn(observations(s, d), 5))
+    nbrs = e.select(F.col("src").alias("s"), F.col("dst").alias("v"), F.lit(1.0).alias("d")).union(e.select("dst", "src", F.lit(1.0)))
+    st = plane(s, d).select("v", F.transform("x", lambda c: 100 * c).alias("x"), F.lit(5.0).alias("heat"), F.array(F.lit(0.0), F.lit(0.0)).alias("old"), F.lit(0.0).alias("old_cos"))
+    return layout.kk_round(nbrs, st).select("v", r6(F.get("x", F.lit(0))).alias("x0"), r6(F.get("x", F.lit(1))).alias("x1"))
+
+
+@query("multiscale_layout_knn", "SELECT run, (SELECT count(*) FROM embeddings) AS placed, true AS finite FROM (VALUES (0), (1)) t(run)")
+def _(s, d):
+    x = layout.multiscale(knn_embedding(s, d), observations(s, d).select("v"), [{"rounds": 15, "final": 80}, {"dim": 3, "placement": "least_squares", "rounds": 15, "final": 80}])
+    return x.groupBy("run").agg(F.count(F.lit(1)).alias("placed"), F.bool_and(V.norm("x") < float("inf")).alias("finite"))
+
+
+@query("compare_layouts_knn")
+def _(s, d):
+    e, v = knn_embedding(s, d), observations(s, d).select("v")
+    pairs = materialize(quality.sample_pairs(v, 200), "sampled")
+    dist = paths.hops(e, pairs.select(F.col("i").alias("s")).distinct()).select(F.col("s").alias("i"), F.col("v").alias("j"), F.col("d").cast("double").alias("d"))
+    c = {"mesh": {"preset": "mesh", "rounds": 8, "final": 60}, "tree": {"preset": "tree", "rounds": 8, "final": 60}}
+    return rounded(compare.compare(e, v, c, [1, 2], dist, pairs).select("candidate", "n_ok", "n_fail", "composite_score", "rank"))
+
+
 # Generators -----------------------------------------------------------------------------------------------------------
 
 
