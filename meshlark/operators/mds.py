@@ -200,8 +200,9 @@ def double_centred(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return full.join(m, "r").join(m.select(F.col("r").alias("c"), F.col("m").alias("mc")), "c").crossJoin(F.broadcast(g)).select("r", "c", (-0.5 * (F.col("s") - F.col("m") - F.col("mc") + F.col("g"))).alias("b"))  # one row
 
 
-def classical(pairs: DataFrame, vertices: DataFrame, dim: int = 2, iterations: int = 60, seed: int = 1, driver_limit: int = 3000) -> tuple[DataFrame, list[float]]:
-    """Classical MDS: coordinates and the eigenvalues. Up to ``driver_limit`` vertices the centred matrix goes to one kernel; beyond, block power iteration on the table."""
+def classical(pairs: DataFrame, vertices: DataFrame, dim: int = 2, iterations: int = 1000, seed: int = 1, driver_limit: int = 3000) -> tuple[DataFrame, list[float]]:
+    """Classical MDS: coordinates and the eigenvalues. Up to ``driver_limit`` vertices the centred matrix goes to one kernel; beyond, block power iteration
+    on the table until the coordinates settle: Ritz values keep their signs, the matrix is shifted by the most negative one, and eigenvalues below 0 give coordinates 0, as in the kernel."""
     spark, n = vertices.sparkSession, vertices.count()
     b = double_centred(pairs, vertices)
     if n <= driver_limit:
@@ -215,16 +216,45 @@ def classical(pairs: DataFrame, vertices: DataFrame, dim: int = 2, iterations: i
         x[:, : len(val)] = vec * np.sqrt(np.maximum(val, 0))
         return spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "v bigint, x array<double>"), val.tolist()
     b = materialize(b, "centred")
-    y = vertices.select("v", F.array(*((F.pmod(F.xxhash64("v", F.lit(seed + k)), F.lit(1 << 30)) / float(1 << 30) - 0.5) for k in range(dim))).alias("x"))
+    k = min(n, dim + 4)
+    y = vertices.select("v", F.array(*((F.pmod(F.xxhash64("v", F.lit(seed + c)), F.lit(1 << 30)) / float(1 << 30) - 0.5) for c in range(k))).alias("x"))
+
+    def mixed(df: DataFrame, names: tuple[str, ...], by: np.ndarray) -> DataFrame:
+        """The columns of the arrays side by side, times a matrix."""
+        x = F.concat(*names)
+        return df.select("v", F.transform(F.array(*(F.array(*map(F.lit, c.tolist())) for c in by.T)), lambda c: V.dot(x, c)).alias("x"))
+
+    def gram(df: DataFrame, names: tuple[str, ...], width: int) -> np.ndarray:
+        x = F.concat(*names)
+        g = df.select(x.alias("x")).agg(*(F.sum(F.get("x", F.lit(a)) * F.get("x", F.lit(c))).alias(f"g{a}_{c}") for a in range(width) for c in range(a, width))).first()
+        m = np.zeros((width, width))
+        m[np.triu_indices(width)] = g
+        return m + np.triu(m, 1).T
+
+    def orthonormal(g: np.ndarray) -> np.ndarray:
+        """What makes columns with these inner products orthonormal; dependent ones go."""
+        val, vec = np.linalg.eigh(g)
+        keep = val > 1e-12 * max(val[-1], 0.0)
+        return vec[:, keep] / np.sqrt(val[keep])
+
+    y = materialize(mixed(y, ("x",), orthonormal(gram(y, ("x",), k))), "power")
     for _ in range(iterations):
         z = b.join(y.select(F.col("v").alias("c"), "x"), "c").select("r", "b", F.posexplode("x").alias("k", "q")).groupBy("r", "k").agg(F.sum(F.col("b") * F.col("q")).alias("q"))
-        z = materialize(z.groupBy(F.col("r").alias("v")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda s: s["q"]).alias("x")), "power")
-        g = z.agg(*(F.sum(F.get("x", F.lit(a)) * F.get("x", F.lit(c))).alias(f"g{a}_{c}") for a in range(dim) for c in range(dim))).first()
-        l = np.linalg.cholesky(np.array(g).reshape(dim, dim) + 1e-300 * np.eye(dim))
-        inv = np.linalg.inv(l).T  # z * inv has orthonormal columns
-        y = z.select("v", F.array(*(sum((F.get("x", F.lit(a)) * float(inv[a, c]) for a in range(dim)), F.lit(0.0)) for c in range(dim))).alias("x"))
-    scale = np.sqrt(np.abs(np.diag(l)))
-    return y.select("v", F.array(*(F.get("x", F.lit(k)) * float(scale[k]) for k in range(dim))).alias("x")), [float(s * s) for s in scale]
+        z = z.groupBy(F.col("r").alias("v")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda s: s["q"]).alias("z"))
+        both = materialize(y.join(z, "v"), "power")
+        k = len(both.first().x)
+        m = gram(both, ("x", "z"), 2 * k)
+        val, vec = np.linalg.eigh((m[:k, k:] + m[k:, :k]) / 2)
+        val, vec = val[::-1], vec[:, ::-1]
+        left = np.sqrt(np.maximum(0.0, np.einsum("ac,ab,bc->c", vec, m[k:, k:], vec) - val**2))[:dim]
+        if (left <= 1e-6 * np.abs(val).max()).all():
+            val, vec = val[:dim], vec[:, :dim]
+            by = np.zeros((k, dim))
+            by[:, : len(val)] = vec * np.sqrt(np.maximum(val, 0))
+            return mixed(both, ("x",), by), val.tolist()
+        shift = np.vstack([max(0.0, -val[-1]) * np.eye(k), np.eye(k)])
+        y = materialize(mixed(both, ("x", "z"), shift @ orthonormal(shift.T @ m @ shift)), "power")
+    raise RuntimeError("classical MDS did not settle")
 
 
 def retained_dimension(variances: list[float], share: float, width: int) -> int:

@@ -195,3 +195,19 @@ def test_readers_and_catalogue(spark, tmp_path):
             catalogue.resolve(names, wrong)
     with pytest.raises(ValueError):
         catalogue.validate(spark.createDataFrame([("x",), ("x",)], "layout_id string"))
+
+
+def test_classical_mds_by_power_iteration_equals_the_kernel(spark):
+    v = spark.range(1, 21).withColumnRenamed("id", "v")
+    rows = [(i, j, float(min(j - i, 20 - j + i))) for i in range(1, 21) for j in range(i + 1, 21)]
+    cycle = spark.createDataFrame(rows, "i bigint, j bigint, d double")
+    small, large = (mds.classical(cycle, v, driver_limit=n) for n in (3000, 5))
+    assert np.allclose(small[1], large[1], rtol=1e-5)
+    a, b = ({(r.i, r.j): r.o for r in objectives.observed(cycle, x).collect()} for x, _ in (small, large))
+    assert all(abs(a[k] - b[k]) < 1e-3 for k in a)
+    two = spark.createDataFrame([(i, j, 1.0 if (i + j) % 2 else 2.0) for i, j, _ in rows], "i bigint, j bigint, d double")
+    x, val = mds.classical(two, v, driver_limit=5)  # the eigenvalue of greatest magnitude is -13, the greatest is 2
+    assert np.allclose(val, [2, 2], atol=1e-4)
+    line = spark.createDataFrame([(i, j, float(j - i)) for i, j, _ in rows], "i bigint, j bigint, d double")
+    x, val = mds.classical(line, v, driver_limit=5)
+    assert abs(val[0] - 665) < 1e-3 and all(abs(r.o - r.d) < 1e-4 for r in objectives.observed(line, x).collect())
