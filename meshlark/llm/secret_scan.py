@@ -1,8 +1,10 @@
 """Secret scans: three fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 ``train`` fits two first-order Markov chains over characters to labelled samples (token, is_random) and a threshold on
-the mean log-likelihood ratio, half-way between the two classes' inner quantiles. Tokens of ``MIN_TOKEN`` or more characters
-that hold a letter and a digit and score above it add spans of kind ``model``; they never replace the patterns' spans.
+the mean log-likelihood ratio, half-way between the two classes' inner quantiles; so too for each length from ``SHORT`` to below ``MIN_TOKEN``,
+over samples cut to that length. Tokens without a digit have to reach the low quantile of random letters instead, as words are nearer to those.
+Tokens of ``SHORT`` or more characters that hold a letter and score above the threshold of their length add spans of kind ``model``; they never
+replace the patterns' spans, and what such spans leave of a token is scored for itself.
 
 Defined results: null and empty texts have no spans; a span is the whole match, in code points, end exclusive.
 An empty table gives no rows. Repeated rows are scanned alike. ``redact`` keeps all columns and rows.
@@ -28,8 +30,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
 MASK = "[SECRET]"
 
-MIN_TOKEN = 20
-TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
+SHORT, MIN_TOKEN = 12, 20
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORT},}}")
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_RANDOM = 1000, 20_000, 20_000
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -51,6 +53,8 @@ class MarkovRatio:
 
     table: tuple[tuple[float, ...], ...]
     threshold: float
+    short: tuple[float, ...] = ()  # thresholds of lengths from SHORT to below MIN_TOKEN
+    letters: tuple[float, ...] = ()  # of tokens without a digit, from SHORT to MIN_TOKEN and above
 
     def score(self, token: str) -> float:
         at, total, table = 0, 0.0, self.table
@@ -61,7 +65,13 @@ class MarkovRatio:
         return total / max(1, len(token))
 
     def is_secret(self, token: str) -> bool:
-        return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and self.score(token) > self.threshold
+        if len(token) < SHORT or not any(c.isalpha() for c in token):
+            return False
+        if any(c.isdigit() for c in token):
+            least = self.threshold if len(token) >= MIN_TOKEN else self.short[len(token) - SHORT]
+        else:
+            least = self.letters[min(len(token), MIN_TOKEN) - SHORT]
+        return self.score(token) > least
 
 
 def _chain(tokens: list[str]) -> list[list[float]]:
@@ -83,7 +93,15 @@ def train(samples: list[tuple[str, bool]]) -> MarkovRatio:
     model = MarkovRatio(tuple(tuple(a - b for a, b in zip(x, y, strict=True)) for x, y in zip(rand, word, strict=True)), 0.0)
     low = sorted(model.score(t) for t, r in held if r and len(t) >= MIN_TOKEN) or [1.0]
     high = sorted(model.score(t) for t, r in held if not r and len(t) >= MIN_TOKEN // 2) or [0.0]
-    return MarkovRatio(model.table, (low[len(low) // 100] + high[-1 - len(high) // 1000]) / 2)
+    half = (low[len(low) // 100] + high[-1 - len(high) // 1000]) / 2
+    short, letters, only = [], [], [re.sub("[^A-Za-z]", "", t) for t, r in held if r]
+    for n in range(SHORT, MIN_TOKEN + 1):
+        x = sorted(model.score(t[:n]) for t, r in held if r and len(t) >= n) or [1.0]
+        y = sorted(model.score(t[:n]) for t, r in held if not r and len(t) >= n) or [0.0]
+        z = sorted(model.score(t[:n]) for t in only if len(t) >= n) or [1.0]
+        short.append((x[len(x) // 100] + y[-1 - len(y) // 1000]) / 2)
+        letters.append(max(z[len(z) // 20], half if n == MIN_TOKEN else short[-1]))
+    return MarkovRatio(model.table, half, tuple(short[:-1]), tuple(letters))
 
 
 def random_samples(n: int, seed: int = 17) -> list[tuple[str, bool]]:
@@ -126,11 +144,14 @@ def spans(text: str | None, model: MarkovRatio | None) -> list[tuple[int, int, s
     longest = max(map(len, text.split()), default=0)
     if longest >= 32:
         out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
-    if model and longest >= MIN_TOKEN:
+    if model and longest >= SHORT:
         taken = sorted((a, b) for a, _, b, _ in out)
         for m in TOKEN.finditer(text):
-            if model.is_secret(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((m.start(), 3, m.end(), m.start()))
+            at = m.start()
+            for a, b in [*((a, b) for a, b in taken if a < m.end() and m.start() < b), (m.end(), m.end())]:
+                if a - at >= SHORT and model.is_secret(text[at:a]):
+                    out.append((at, 3, a, at))
+                at = max(at, b)
     return sorted(out)
 
 
