@@ -8,8 +8,9 @@ and grown until its first token equals the left side's and its last token the ri
 pairs of tokens: when both ends agree all adjacent pairs are ones that an encoding holds, so the joined ids are exactly
 the ids of the whole.
 
-Texts with white space other than blank, tab, line feed and carriage return, or with added tokens' marks, go to the
-library whole, as the cutting rule is proven only for those four. Defined results: null text is empty; an empty text has no ids.
+The cutting rule is proven only for blank, tab, line feed and carriage return. Texts with other white space, or with added tokens' marks, are
+cut at the added tokens and then by the library's own pre-tokenizer, and their long pre-tokens are encoded by halves too; those without a
+run that could be longer than ``leaf`` bytes go to the library whole, which is what their leaves would do. Defined results: null text is empty; an empty text has no ids.
 """
 
 from __future__ import annotations
@@ -61,6 +62,11 @@ class TreeEncoder:
         special = {int(i): t.content for i, t in self.whole.get_added_tokens_decoder().items()}
         self.stand = {b: c for c, b in of.items()}
         self.bytes = [special[i].encode() if i in special else bytes(of[c] for c in self.whole.id_to_token(i)) for i in range(n)]
+        added = self.whole.get_added_tokens_decoder().values()
+        self.added = {t.content: self.whole.token_to_id(t.content) for t in added}
+        self.cut = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else re.compile("((?!))")
+        self.plain = self.whole.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added)
+        self.run = re.compile(rf"\S{{{leaf // 4 + 1},}}|\s{{{leaf // 4 + 1},}}")  # characters have 4 bytes at most
         self.cache: dict[str, tuple[list[int], str, bytes]] = {}
 
     def _entry(self, ids: list[int]) -> tuple[list[int], str, bytes]:
@@ -103,18 +109,29 @@ class TreeEncoder:
             ids += self.long_pretoken(bytes(_FROM_STAND[c] for c in token)) if len(token) > self.leaf else [t.id for t in self.whole.model.tokenize(token)]
         return ids
 
+    def rare(self, text: str) -> list[int]:
+        """A text that PIECES may not cut."""
+        if not self.plain or not self.run.search(text):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        ids: list[int] = []
+        for part in self.cut.split(text):
+            if part:
+                ids += [self.added[part]] if part in self.added else self.long_piece(part)
+        return ids
+
     def entries(self, texts: list[str]) -> list[list[tuple[list[int], str, bytes]]]:
         """The (ids, decimal ids, decoded bytes) of the pieces of each text."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache = {}
         cache, split = self.cache, [None if OTHER_SPACE.search(t) else PIECES.findall(t) for t in texts]
         new = [p for p in {p for pieces in split if pieces for p in pieces} if p not in cache]
-        short = [p for p in new if len(p) <= LONG_PIECE]
+        short = [p for p in new if 4 * len(p) <= self.leaf or len(p.encode()) <= self.leaf]
         for p, e in zip(short, self.whole.encode_batch(short, add_special_tokens=False), strict=True):
             cache[p] = self._entry(e.ids)
-        long = {p: self._entry(self.long_piece(p)) for p in new if len(p) > LONG_PIECE}  # not kept: they may be large
+        long = {p: self._entry(self.long_piece(p)) for p in new if p not in cache}
+        cache.update((p, e) for p, e in long.items() if len(p) <= LONG_PIECE)  # others may be large
         get = lambda p: cache.get(p) or long[p]
-        return [[self._entry(self.whole.encode(t, add_special_tokens=False).ids)] if pieces is None else list(map(get if long else cache.__getitem__, pieces)) for t, pieces in zip(texts, split, strict=True)]
+        return [[self._entry(self.rare(t))] if pieces is None else list(map(get if long else cache.__getitem__, pieces)) for t, pieces in zip(texts, split, strict=True)]
 
     def encode(self, text: str) -> list[int]:
         return [i for ids, _, _ in self.entries([text])[0] for i in ids]

@@ -70,3 +70,19 @@ def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, size=20000).astype(np.uint64)
     keys = np.unique(keys)
     assert sorted(token_store.MinimalPerfectHash.build(keys).slots(keys)) == list(range(len(keys)))
+
+
+def test_rare_spaces_and_pieces_over_a_leaf_take_the_tree(monkeypatch):
+    enc, lib = bpe.TreeEncoder(bpe.tokenizer_path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    seen = []
+    monkeypatch.setattr(enc, "long_pretoken", lambda data, f=enc.long_pretoken: seen.append(len(data)) or f(data))
+    run = "thean" * 400
+    for t in (f"a\u00a0b {run}\u200b x", f"<|endoftext|> {run}<|startoftext|>b\u00a0{run} <|endoftext|>", f"<|none {run}|>", "x" * 100 + " y", "\u00a0" * 300 + " z", "\u65e5\u672c" * 90 + "\u3000a"):
+        seen.clear()
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert enc.encode(t) == ids, t[:30]
+        assert seen and max(seen) > 64, t[:30]
+    rng = np.random.default_rng(9)
+    for n in rng.integers(1, 600, size=200):
+        t = "".join(rng.choice(["a", "th", "e", " ", "\u00a0", "\u200b", "\n", "<|", "<|endoftext|>", "\u3000", "\x0b", "1", "'s"], size=n, p=[0.2, 0.2, 0.2, 0.05, 0.05, 0.04, 0.04, 0.02, 0.02, 0.03, 0.05, 0.05, 0.05]))
+        assert enc.encode(t) == lib.encode(t, add_special_tokens=False).ids, t
