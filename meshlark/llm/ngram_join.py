@@ -427,18 +427,23 @@ def near_duplicates(documents: DataFrame, n: int = 3, num: int = 90, den: int =
 
 
 def deduplicate(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of documents that are the smallest of their component, one for each doc_id that has a component; all columns as they are.
+    """The row of the smallest doc_id of each component, and all rows without links; all columns as they are.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id (one document) the one with the smallest text stays.
+    Rows are joined by a key of doc_id and text, so rows that repeat a doc_id with other texts are documents of their own. Of rows that
+    repeat both one stays. Rows without doc_id stay.
     """
     from pyspark.sql import Window
 
-    _, edges = links(documents, n, num, den)
-    drop = components(edges, tidy=True).where("id <> component").select(F.col("id").alias("doc_id"))
-    left = documents.join(drop, "doc_id", "left_anti").select(*documents.columns)
-    again = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_again"))
-    left = left.join(again, "doc_id", "left").select(*documents.columns, "_again")
-    once = left.where("_again").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_k = 1")
+    keyed = documents.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.length("text"), "text")))
+    _, edges = links(keyed.select(F.col("_row").alias("doc_id"), "text"), n, num, den)
+    linked = components(edges, tidy=True).select(F.col("id").alias("_row"), "component")
+    members = materialize(keyed.select("_row", "doc_id").join(linked, "_row"), "linked", True)
+    stay = members.groupBy("component").agg(F.min(F.struct("doc_id", "_row")).alias("m")).select("m._row")
+    drop = members.select("_row").distinct().join(stay, "_row", "left_anti")
+    left = keyed.join(drop, "_row", "left_anti").select(*documents.columns, "_row")
+    again = left.where("_row is not null").groupBy("_row").count().where("count > 1").select("_row", F.lit(True).alias("_again"))
+    left = left.join(again, "_row", "left").select(*documents.columns, "_row", "_again")
+    once = left.where("_again").withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy("text"))).where("_k = 1")
     return left.where("_again is null").select(*documents.columns).union(once.select(*documents.columns))
 
 

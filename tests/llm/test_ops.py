@@ -75,6 +75,15 @@ def test_components_equal_brute_force(spark, monkeypatch, n, num, bound):
     assert Counter((r.doc_id, r.n_shingles) for r in got) == sizes
 
 
+def test_repeated_ids_keep_their_documents(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(rng.choices(WORDS, k=80)) for _ in range(3))
+    rows = [(7, a), (7, b), (7, b), (8, b + " x"), (3, a + " y"), (9, c), (9, c + " z"), (None, a), (None, a), (5, ""), (5, None), (-4, "q r s t u v w")]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.deduplicate(docs(spark, rows)).collect())
+    c9 = (9, c) if got[9, c] else (9, c + " z")  # either may stay
+    assert got == Counter([(7, b), (3, a + " y"), c9, (None, a), (None, a), (5, ""), (5, None), (-4, "q r s t u v w")])
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.near_duplicates(docs(spark, [(1, "a b c")]).limit(0)).count() == 0
 
