@@ -5,26 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.plans.shared import materialize
+from meshlark.plans.shared import discard, join_counted, materialize
 
 
-def components(edges: DataFrame, rounds: int = 40, tidy: bool = False) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, tidy: bool = True) -> DataFrame:
     """id, component (the smallest id it reaches) for every id of ``edges`` (a bigint, b bigint); ids without edges are absent.
 
-    State is an edge table that shrinks to stars; chains halve each round. Each round's result goes to the shared folder; ``tidy`` has old shuffle files deleted meanwhile.
+    State is an edge table that shrinks to stars; chains halve each round. Each round's result goes to the shared folder, and its predecessor is deleted. A hub's
+    edges are never joined in one task (``join_counted``). ``tidy``: see ``materialize``.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "edges", tidy)
     for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "edges", tidy)
-        centres_below = e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi")
-        if centres_below.isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
+        # Every id once: how many lower neighbours it has, and whether it is a lower neighbour itself. A star has no id with two, or with both.
+        seen = e.select(F.col("u").alias("id"), F.lit(1).alias("low"), F.lit(0).alias("centre")).union(e.select("v", F.lit(0), F.lit(1)))
+        state = seen.groupBy("id").agg(F.sum("low").alias("low"), F.max("centre").alias("centre")).agg(F.sum("low").alias("n"), F.count_if((F.col("low") > 1) | ((F.col("low") == 1) & (F.col("centre") == 1))).alias("open")).first()
+        if not state["open"]:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("count"))
+        large = join_counted(both.where("v > u"), low, ["u"], 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "edges", tidy)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("count"))
+        small = join_counted(large, low, ["u"], 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        e, old = materialize(small, "edges", tidy), e
+        discard(old, large)
     raise RuntimeError("components did not settle")
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import warnings
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_ALL_PAIRS_VERTICES = 5_000
 ADVISORY_BYTES = 512 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+HOT_KEYS = 4096
 _LOCAL: dict[str, str] = {}
+_PATHS: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,19 +28,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage. ``tidy``: see ``release``."""
+    """Write ``df`` to the shared folder and read it again: cuts the lineage. ``tidy``: the plan's shuffle files go as soon as it is written. ``discard`` deletes the table."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/meshlark/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if tidy:
-        release(spark)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if tidy and before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy and before is not None:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nothing refers to any more; it finds them when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for these tables; nothing that is still to run may read them."""
+    for df in tables:
+        if df is not None and (path := _PATHS.get(id(df))) is not None:
+            spark = df.sparkSession
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def join_counted(rows: DataFrame, values: DataFrame, key: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, one row for each key with ``count``, how many of the ``total`` rows have it. Keys with more than a
+    4096th of the rows are fewer than 4096, so they are broadcast; the rest is joined by shuffle. No task gets all rows of a hot key."""
+    most = max(total // HOT_KEYS, 1)
+    hot = values.where(F.col("count") > most).drop("count")
+    names = [*rows.columns, *(c for c in values.columns if c not in key and c != "count")]
+    near = rows.join(F.broadcast(hot), key).select(*names)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(values.where(F.col("count") <= most).drop("count"), key).select(*names)
+    return near.unionByName(rest)
 
 
 def guard_all_pairs(n: int, most: int = MAX_ALL_PAIRS_VERTICES) -> None:
