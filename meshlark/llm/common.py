@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.plans.shared import materialize, shared_dir
+from meshlark.plans.shared import discard, join_counted, materialize, shared_dir
 
-__all__ = ["cleanup", "materialize", "shared_dir", "shared_path", "table"]
+__all__ = ["cleanup", "discard", "join_counted", "materialize", "shared_dir", "shared_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

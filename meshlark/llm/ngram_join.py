@@ -1,27 +1,27 @@
 """N-gram Jaccard join by PartEnum signatures, and the components of its links.
 
-A document is the set of its distinct word n-grams (as 64-bit hashes). Two sets of sizes a and b with Jaccard similarity at least
-num/den differ in at most k = (a + b)(den - num)/(den + num) features. Sizes are cut into bands; a set is put into its own band's
+A document is the set of its distinct word n-grams (as 64-bit hashes); equal sets are one content from the start. Two sets of sizes a and b with
+Jaccard similarity at least num/den differ in at most k = (a + b)(den - num)/(den + num) features. Sizes are cut into bands; a set is put into its own band's
 instance and, if it can pair with the next band's sizes, into that one too. An instance parts the feature domain into n1 first-level
-parts, each into n2 second-level parts, and signs the set's content of every choice of n2 - k2 second-level parts of each
-first-level part: with at most k differences some choice is free of them on both sides, so linked sets share a signature. With ``spare``
-more first-level parts than needed they share one in spare + 1 parts at least. Of these, ``need`` are kept to tell linked sets from
-strangers that meet once by chance; the others let nearly all sets leave out choices that hold fewer than ``WEAK`` features. A set with
-more weak parts than that signs them too; if both sets of a pair do they share all, otherwise the one that does not has few weak parts, so
-no link is lost.
-
-Signatures meet in hash buckets (numpy, one shuffle of packed 48-bit words). Groups of up to ``MEET_GROUP`` sets that share one count for each of
-their pairs; of a larger group only its members are listed. A pair can share ``need`` signatures only if what it shares in small groups and the lesser of
-its sets' memberships in large ones come to that many: such pairs, and such sets of large groups, form clusters. Clusters of bounded size
-are joined exactly by one matrix product each. A larger one is taken relative to its consensus (features of more than half of its sets): what a
-set adds to it and lacks of it tells its difference to any other set exactly, so its sets are paired through shared added features, smaller
-groups of which are pairs to check and larger ones clusters of the next round, at most half as large. Sets that share no added feature can only be
-linked if their counts allow it; classes of equal counts are compared, then their members. No group is ever expanded into all its pairs
-for its size alone.
+parts, each into n2 = 2 second-level parts, and signs the set's content of every choice of n2 - 1 of them. Each difference spoils one signature on either side
+at most, so linked sets share 2 n1 - k of them: ``need``, and ``weak`` ones that may be empty. Sets with more than ``weak`` empty choices sign those too,
+so linked sets share ``need`` signatures of features in any case. One shared signature would do; asking for ``need`` tells linked sets from
+strangers that meet by chance, and costs ``need`` signatures, not a multiple of all.
+
+Signatures meet in hash buckets (numpy, one shuffle of packed 56-bit words). Groups of up to ``MEET_GROUP`` contents count for each of
+their pairs; each member of a larger group counts for itself, and is tied to the group's smallest member. Pairs whose counts, with the lesser of its members'
+counts in large groups, reach ``need`` are candidates, and so are the ties of members whose counts in large groups reach it. Components of candidates are clusters.
+Clusters of bounded size are joined exactly by one matrix product each.
+
+A larger cluster is taken relative to a reference set p (features of most of a few of its sets; any p gives right results): the residual of x is R = x xor p, and
+with w = (den + num)|R| - (den - num)|x| two sets are linked exactly if w(x) + w(y) <= 2 (den + num) |R(x) & R(y)|. So whatever is linked without a shared residual feature
+is linked with the set of the least w, the centre, and sets that are linked with the centre need not be paired with each other. What remains has an end
+far from the centre and shares a residual feature among the first of both sides (prefix filter, rarest first): smaller groups by such a
+feature are pairs to check, larger ones are clusters of the next round, of about half the size at most. No group is expanded into all its pairs.
 
 Defined results: words and text as in ``shingles``; an empty set is linked with nothing, not even another empty set. A doc_id that
 repeats is one document with several texts: it is linked by any of them, and each row has its own n_shingles. A null doc_id
-is linked with nothing and has a null component_id. An empty table gives no rows. Other columns are ignored.
+is linked with nothing and has a null component_id. Very long texts are sets like others. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +32,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import materialize
+from meshlark.llm.common import discard, join_counted, materialize
 from meshlark.operators.components import components
 
-WEAK, NEED, MEET_GROUP, CACHE_WORDS, BATCH_DOCS = 1, 10, 6, 500_000, 4096
-CLUSTER_SETS, CLUSTER_FEATURES, PAIR_GROUP = 256, 1_500_000, 16
+MEET_GROUP, CACHE_WORDS, BATCH_DOCS, BATCH_CHARS = 6, 200_000, 2048, 6 << 20
+CLUSTER_SETS, CLUSTER_FEATURES, PAIR_GROUP, SALT_SETS, REFERENCE_SETS = 1024, 1_500_000, 16, 1024, 64
 M1, M2, M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
+SIG, INST, OWN = np.uint64((1 << 38) - 1), np.uint64(12), np.uint64(2047)  # a word: 38 bits of signature, 6 of instance, 1 if many share it, 11 of its owner in the batch
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,16 +71,21 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     out = np.full(len(h) - width + 1, width, dtype=np.uint64)
     for j in range(width):
         out = _mix((out * M3) ^ h[j : len(h) - width + 1 + j])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+def content_key(s: np.ndarray) -> int:
+    """Names a set of features, as a signed 64-bit number."""
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
 class PartEnum:
     """Signatures for Jaccard similarity num/den."""
 
-    def __init__(self, num: int, den: int, growth: float = 1.25):
+    def __init__(self, num: int, den: int, growth: float = 1.6):
         self.num, self.den = num, den
         self.growth = max(growth, den / num)
-        self.k2, self.n2 = (1, 3) if 100 * num >= 85 * den else (1, 4)
         self.bands: list[tuple[int, int]] = []
 
     def band(self, size: int) -> int:
@@ -97,92 +103,104 @@ class PartEnum:
         return [i, i + 1] if self.den * size >= self.num * self.bands[i + 1][0] else [i]
 
     def plan(self, i: int) -> tuple[int, int, int]:
-        """First-level parts (0: no difference is allowed), how many of them may be weak in a set that leaves weak choices out, and the signatures that linked sets share at least."""
+        """Second-level parts in all (0: no difference is allowed), how many of them may be empty in a set that leaves empty choices out, and the signatures that linked sets share at least."""
         k = 2 * self.bands[i][1] * (self.den - self.num) // (self.den + self.num)
         if k == 0:
             return 0, 0, 1
-        n1 = k // (self.k2 + 1) + 1
-        need, weak = min(NEED, 1 + n1 // 5), 0 if n1 < 4 else 3 + -(-n1 // 10)
-        return n1 + need - 1 + weak, weak, need
-
-    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures, and for each the number of them that linked sets share at least."""
-        out, needs = [], []
-        for i in self.instances(len(s)):
-            n1, weak, need = self.plan(i)
-            h = _mix(s + np.uint64((i + 1) * int(M3) % 2**64))
-            if n1 == 0:  # the set itself
-                out.append(_mix(np.array([h.sum(dtype=np.uint64)], dtype=np.uint64) + np.uint64(i)))
-                needs.append(np.ones(1, dtype=np.uint64))
-                continue
-            part = (h % np.uint64(n1 * self.n2)).astype(np.int64)
-            sums, counts = np.zeros(n1 * self.n2, dtype=np.uint64), np.bincount(part, minlength=n1 * self.n2)
-            np.add.at(sums, part, _mix(h ^ M2))
-            sums, counts = sums.reshape(n1, self.n2), counts.reshape(n1, self.n2)
-            place = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(i) * np.uint64(1 << 32)
-            sigs, held = [], []
-            for c, keep in enumerate(combinations(range(self.n2), self.n2 - self.k2)):
-                sigs.append(_mix(_mix(sums[:, keep].sum(axis=1, dtype=np.uint64) + place) + np.uint64(c)))
-                held.append(counts[:, keep].sum(axis=1))
-            sigs, held = np.array(sigs), np.array(held)
-            out.append(sigs[held >= WEAK] if (held < WEAK).any(axis=0).sum() <= weak else sigs.ravel())
-            needs.append(np.full(len(out[-1]), need, dtype=np.uint64))
-        return np.concatenate(out), np.concatenate(needs)
+        need, weak = 2 + k // 6, 0 if k < 6 else 3 + k // 10
+        n1 = -(-(k + need + weak) // 2)
+        return 2 * n1, weak, 2 * n1 - k - weak
+
+    def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, place of its set, instance) of many sets at once."""
+        by: dict[int, list[int]] = {}
+        for k, s in enumerate(sets):
+            for i in self.instances(len(s)):
+                by.setdefault(i, []).append(k)
+        out, owner, inst = [], [], []
+        for i, at in sorted(by.items()):
+            parts, weak, _ = self.plan(i)
+            sizes = np.array([len(sets[k]) for k in at])
+            h = _mix(np.concatenate([sets[k] for k in at]) + np.uint64((i + 1) * int(M3) % 2**64))
+            own = np.repeat(np.arange(len(at)), sizes)
+            width = max(parts, 1)  # 0: the set itself
+            where = own * width + (h % np.uint64(width)).astype(np.int64)
+            sums = np.zeros(len(at) * width, dtype=np.uint64)
+            np.add.at(sums, where, _mix(h ^ M2))
+            held = (np.bincount(where, minlength=len(sums)) > 0).reshape(len(at), width)
+            held[(~held).sum(axis=1) > weak] = True
+            place = np.arange(width, dtype=np.uint64) + np.uint64((i + 1) << 32)
+            sigs = _mix(sums.reshape(len(at), width) + place[None, :])
+            out.append(sigs[held])
+            owner.append(np.repeat(np.array(at), held.sum(axis=1)))
+            inst.append(np.full(len(out[-1]), i, dtype=np.uint64))
+        return np.concatenate(out), np.concatenate(owner), np.concatenate(inst)
+
+
+ints = lambda v: np.frombuffer(v, dtype="<i8")
+_bytes = lambda x: np.array(x, dtype="<i8").tobytes()
 
 
 def _signed(n: int, num: int, den: int, buckets: int):
-    """Per batch: doc rows (bucket -1), exact copies (-2), and for each bucket the packed signatures of the distinct sets. Where more than
-    MEET_GROUP sets meet within the batch they are listed (-3), and MEET_GROUP + 1 words of one of them say so to the other batches."""
+    """Per batch: rows of documents (bucket -1: doc_id, content, hash of the text, size, null or not), ties of contents that many of the batch share a signature with (-2), and for each
+    bucket the packed signatures of the contents. A signature that many of the batch have is sent once, marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum = PartEnum(num, den)
 
         def emit(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
-            sizes, sigs, needs, owners, own_ids, copies, first = [], [], [], [], [], [], {}
+            rows, sets, seen = [], [], {}
             for doc_id, text in zip(ids, texts, strict=True):
                 s = shingles(text, n)
-                sizes.append(len(s))
-                if doc_id is None or not len(s):
-                    continue
-                key = xxhash.xxh3_128_digest(s.tobytes())
-                if (seen := first.setdefault(key, doc_id)) is not doc_id:
-                    copies.append((doc_id, seen))
-                    continue
-                x, need = enum.signatures(s)
-                needs.append(need)
-                owners.append(np.full(len(x), len(own_ids), dtype=np.int64))
-                own_ids.append(doc_id)
-                sigs.append(x)
-            rows = [(-1, _bytes([-1 if i is None else i for i in ids]), _bytes(sizes), _bytes([int(i is None) for i in ids])), (-2, _bytes([a for a, _ in copies]), _bytes([b for _, b in copies]), b"")]
-            if sigs:
-                sig, owner, need, own = np.concatenate(sigs), np.concatenate(owners), np.concatenate(needs), np.array(own_ids, dtype="<i8")
-                order = np.lexsort((own[owner], sig))
-                sig, owner, need = sig[order], owner[order], need[order]
+                key = content_key(s) if len(s) else 0
+                th = int(np.int64(np.uint64(xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), seed=42))))
+                rows.append((0 if doc_id is None else doc_id, key, th, len(s), int(doc_id is None)))
+                if doc_id is not None and len(s) and key not in seen:
+                    seen[key] = len(sets)
+                    sets.append(s)
+            out = [(-1, np.array(rows, dtype="<i8").tobytes(), b"")]
+            if sets:
+                keys = np.array(list(seen), dtype="<i8")
+                sig, owner, inst = enum.sign(sets)
+                del sets
+                order = np.argsort(sig)
+                sig, owner, inst = sig[order], owner[order], inst[order]
                 start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
                 size = np.diff(np.append(start, len(sig)))
-                many = np.repeat(size > MEET_GROUP, size)
-                rows.append((-3, own[owner[many]].tobytes(), _name(sig[many], buckets).tobytes(), need[many].astype("<i8").tobytes()))
-                hot = start[size > MEET_GROUP]
-                sig, owner, need = (np.concatenate([v[~many], np.repeat(v[hot], MEET_GROUP + 1)]) for v in (sig, owner, need))
-                bucket = (sig % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                sig, owner, need, bucket = (sig // np.uint64(buckets))[order] & np.uint64((1 << 32) - 1), owner[order], need[order], bucket[order]
-                ends = np.searchsorted(bucket, np.arange(buckets + 1))
+                hot = np.zeros(len(sig), dtype=np.uint64)
+                if (size > MEET_GROUP).any():
+                    many = np.repeat(size > MEET_GROUP, size)
+                    low = np.minimum.reduceat(keys[owner], start)
+                    ties = np.stack([keys[owner[many]], np.repeat(low, size)[many], inst[many].astype("<i8")], axis=1)
+                    ties, count = np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0, return_counts=True)
+                    out.append((-2, np.concatenate([ties, count[:, None]], axis=1).astype("<i8").tobytes(), b""))
+                    hot[many] = 1
+                    keep = ~many | (keys[owner] == np.repeat(low, size))
+                    sig, owner, inst, hot = sig[keep], owner[keep], inst[keep], hot[keep]
+                words = ((sig & SIG) << np.uint64(18)) | (inst << INST) | (hot << np.uint64(11)) | owner.astype(np.uint64)
+                words = words.astype("<u8").view("u1").reshape(-1, 8)[:, :7]
+                ends = np.searchsorted(((sig >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24), np.arange(buckets + 1))
+                name = keys.tobytes()
                 for b in range(buckets):
-                    lo, hi = ends[b], ends[b + 1]
-                    if lo < hi:
-                        used, local = np.unique(owner[lo:hi], return_inverse=True)
-                        words = (sig[lo:hi] << np.uint64(16)) | (need[lo:hi] << np.uint64(12)) | local.astype(np.uint64)
-                        rows.append((b, words.astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes(), own[used].tobytes(), b""))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "x", "y", "z"])
+                    if ends[b] < ends[b + 1]:
+                        part = owner[ends[b] : ends[b + 1]]
+                        if 4 * len(part) > len(keys):
+                            out.append((b, words[ends[b] : ends[b + 1]].tobytes(), name))
+                        else:  # only the owners that are there
+                            used, local = np.unique(part, return_inverse=True)
+                            w = words[ends[b] : ends[b + 1]].copy()
+                            w[:, 0] = local & 255
+                            w[:, 1] = (w[:, 1] & 0xF8) | (local >> 8)
+                            out.append((b, w.tobytes(), keys[used].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "x", "y"])
 
         ids, texts, size = [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t)
-                size += len(t or "")
-                if len(ids) >= BATCH_DOCS or size > 32 << 20:
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                ids.append(i.as_py())
+                texts.append(t.as_py())
+                size += len(texts[-1] or "")
+                if len(ids) >= BATCH_DOCS or size > BATCH_CHARS:
                     yield from emit(ids, texts)
                     ids, texts, size = [], [], 0
         if ids:
@@ -191,83 +209,84 @@ def _signed(n: int, num: int, den: int, buckets: int):
     return run
 
 
-def _name(sig: np.ndarray, buckets: int) -> np.ndarray:
-    """What a bucket keeps of a signature, as a number of its own."""
-    b = np.uint64(buckets)
-    return (((sig // b) & np.uint64((1 << 32) - 1)) * b + sig % b).astype("<i8")
-
-
-def _bytes(x: list) -> bytes:
-    return np.array(x, dtype="<i8").tobytes()
-
-
-MEET = "kind int, a bigint, b bigint, n int, need int"
-
-
-def _meet(buckets: int):
-    return lambda table: _meet_bucket(table, buckets)
-
-
-def _meet_bucket(table: pa.Table, buckets: int) -> pa.Table:
-    """Rows of one bucket -> (kind, a, b): 0 a document and its size, 1 a copy and its original, 2 a document and a signature that many have, 3 a size without doc_id,
-    4 two that share n signatures of this bucket and are linked only if they share ``need`` in all."""
-    kind, a, b, n, least = [], [], [], [], []
-
-    def add(k, x, y, *more) -> None:
-        kind.append(np.full(len(x), k, dtype=np.int32) if np.isscalar(k) else k)
-        a.append(x)
-        b.append(y)
-        n.append(np.zeros(len(x), np.int32) if len(more) == 0 else more[0])
-        least.append(np.zeros(len(x), np.int32) if len(more) == 0 else more[1])
-
-    ints = lambda v: np.frombuffer(v, dtype="<i8")
-    words, owners, needs, bucket_of = [], [], [], np.uint64(0)
-    for bucket, x, y, z in zip(*(table.column(i).to_pylist() for i in range(4)), strict=True):
-        if bucket == -1:
-            add(np.where(ints(z) == 1, 3, 0).astype(np.int32), ints(x), ints(y))
-        elif bucket == -3:
-            add(2, ints(x), ints(y), np.ones(len(x) // 8, np.int32), ints(z).astype(np.int32))
-        elif bucket < 0:
-            add(-1 - bucket, ints(x), ints(y))
-        else:
-            bucket_of = np.uint64(bucket)
-            w = np.zeros((len(x) // 6, 8), dtype="u1")
-            w[:, :6] = np.frombuffer(x, dtype="u1").reshape(-1, 6)
-            w = w.view("<u8").ravel()
-            words.append(w >> np.uint64(16))
-            needs.append((w >> np.uint64(12)) & np.uint64(15))
-            owners.append(ints(y)[(w & np.uint64(4095)).astype(np.int64)])
-    if words:
-        sig, own, need = np.concatenate(words), np.concatenate(owners), np.concatenate(needs)
-        order = np.lexsort((own, sig))
-        sig, own, need = sig[order], own[order], need[order]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(start, len(sig)))
-        many = np.repeat(size > MEET_GROUP, size)
-        if many.any():
-            once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]) & many
-            add(2, own[once], (sig[once] * np.uint64(buckets) + bucket_of).astype(np.int64), np.ones(int(once.sum()), np.int32), need[once].astype(np.int32))
-        left, right, req = [], [], []
-        for m in range(2, MEET_GROUP + 1):
-            at = start[size == m]
-            for i, j in combinations(range(m), 2):
-                apart = own[at + i] != own[at + j]
-                left.append(own[at + i][apart])
-                right.append(own[at + j][apart])
-                req.append(need[at][apart])
-        left, right, req = np.concatenate(left), np.concatenate(right), np.concatenate(req).astype(np.int32)
-        if len(left):
-            order = np.lexsort((right, left))
-            left, right, req = left[order], right[order], req[order]
-            first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
-            add(4, right[first], left[first], np.diff(np.append(first, len(left))).astype(np.int32), np.minimum.reduceat(req, first))
-    cat = lambda v, t: np.concatenate(v).astype(t) if v else np.empty(0, t)
-    return pa.table({"kind": cat(kind, np.int32), "a": cat(a, np.int64), "b": cat(b, np.int64), "n": cat(n, np.int32), "need": cat(least, np.int32)})
+MEET = "kind int, a bigint, b bigint, n int, need int, th bigint"
+
+
+def _meet(num: int, den: int):
+    """Rows of one bucket -> (kind, a, b, n, need, th): 0 a document, its content, size and hash of its text; 3 the size of a row without doc_id; 2 a content tied to another n times; 4 two contents that
+    share n signatures. They are linked only if they share ``need``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+
+        def add(kind, a, b, n, need, th=None) -> None:
+            fill = lambda v: np.full(len(a), v, dtype=np.int32) if np.isscalar(v) else v.astype(np.int32)
+            out.append((fill(kind), a, b, fill(n), fill(need), np.zeros(len(a), np.int64) if th is None else th))
+
+        enum = PartEnum(num, den)
+        enum.band(2**40)
+        needs = np.array([enum.plan(i)[2] for i in range(min(64, len(enum.bands)))], dtype=np.int64)
+        words, owners = [], []
+        for bucket, x, y in zip(*(table.column(i) for i in range(3)), strict=True):
+            x, y = x.as_py(), y.as_py()
+            if bucket.as_py() == -1:
+                r = ints(x).reshape(-1, 5)
+                add(np.where(r[:, 4] == 1, 3, 0), r[:, 0], r[:, 1], r[:, 3], 0, r[:, 2])
+            elif bucket.as_py() == -2:
+                r = ints(x).reshape(-1, 4)
+                add(2, r[:, 0], r[:, 1], r[:, 3], needs[r[:, 2]])
+            else:
+                w = np.zeros((len(x) // 7, 8), dtype="u1")
+                w[:, :7] = np.frombuffer(x, dtype="u1").reshape(-1, 7)
+                w = w.view("<u8").ravel()
+                words.append(w >> np.uint64(11))
+                owners.append(ints(y)[(w & OWN).astype(np.int64)])
+        if words:
+            word, own = np.concatenate(words), np.concatenate(owners)
+            words, owners = [], []
+            order = np.argsort(word >> np.uint64(1))
+            word, own = word[order], own[order]
+            sig, hot = word >> np.uint64(1), (word & np.uint64(1)).astype(bool)
+            same = sig[1:] == sig[:-1]
+            met = hot.copy()
+            met[1:] |= same
+            met[:-1] |= same
+            sig, own, hot = sig[met], own[met], hot[met]
+            order = np.lexsort((~hot, own, sig))
+            sig, own, hot = sig[order], own[order], hot[order]
+            if len(sig):
+                once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])  # a marked word stays before others of its owner
+                sig, own, hot = sig[once], own[once], hot[once]
+                start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+                size = np.diff(np.append(start, len(sig)))
+                need = needs[(sig & np.uint64(63)).astype(np.int64)]
+                large = (size > MEET_GROUP) | np.logical_or.reduceat(hot, start)
+                many = np.repeat(large, size)
+                if many.any():
+                    low = np.repeat(own[start], size)[many]
+                    ties, count = np.unique(np.stack([own[many], low, need[many]], axis=1), axis=0, return_counts=True)
+                    add(2, ties[:, 0], ties[:, 1], count, ties[:, 2])
+                left, right, req = [], [], []
+                for m in range(2, MEET_GROUP + 1):
+                    at = start[(size == m) & ~large]
+                    for i, j in combinations(range(m), 2):
+                        left.append(own[at + i])
+                        right.append(own[at + j])
+                        req.append(need[at])
+                pairs, count = np.unique(np.stack([np.concatenate(right), np.concatenate(left), np.concatenate(req)], axis=1), axis=0, return_counts=True)
+                add(4, pairs[:, 0], pairs[:, 1], count, pairs[:, 2])
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.empty(0)] * 6
+        return pa.table({f.split()[0]: pa.array(c, pa.int32() if f.endswith(" int") else pa.int64()) for f, c in zip(MEET.split(", "), cols, strict=True)})
+
+    return run
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """The place of the first set of each set's component; overlaps are counted exactly, some columns at a time."""
     m, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    if m == 2:
+        inter = int(np.intersect1d(*sets, assume_unique=True).size)
+        return np.array([0, int(not (inter and den * inter >= num * (int(sizes.sum()) - inter)))])
     rows = np.repeat(np.arange(m), sizes)
     _, cols, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = df[cols] > 1
@@ -275,48 +294,45 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     _, cols = np.unique(cols, return_inverse=True)
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
-    inter, width = np.zeros((m, m), dtype=np.float64), 8192
-    for lo in range(0, int(cols.max(initial=-1)) + 1, width):
+    top = int(cols.max(initial=-1)) + 1
+    inter, width = np.zeros((m, m), dtype=np.float32), max(1, min(4096, top))
+    for lo in range(0, top, width):
         a, b = np.searchsorted(cols, [lo, lo + width])
         x = np.zeros((m, width), dtype=np.float32)
         x[rows[a:b], cols[a:b] - lo] = 1
-        inter += x @ x.T
-    inter = np.rint(inter).astype(np.int64)
-    np.fill_diagonal(inter, sizes)
-    union = sizes[:, None] + sizes[None, :] - inter
-    link = (den * inter >= num * union) & (inter > 0)
+        inter += x @ x.T  # counts below 2**24 are exact
     root = np.full(m, -1)
     for k in range(m):
         if root[k] < 0:
             root[k], todo = k, [k]
             while todo:
-                new = np.flatnonzero(link[todo.pop()] & (root < 0))
+                at = todo.pop()
+                i = np.rint(inter[at]).astype(np.int64)
+                new = np.flatnonzero((den * i >= num * (sizes[at] + sizes - i)) & (i > 0) & (root < 0))
                 root[new] = k
                 todo += new.tolist()
     return root
 
 
 def _cluster_links(n: int, num: int, den: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids, seen, sets, keep = table.column("doc_id").to_numpy(), {}, [], []
-        a, b = [], []
-        for i, t in zip(ids, table.column("text"), strict=True):
-            s = shingles(t.as_py(), n)
-            if not len(s):
-                continue
-            key = s.tobytes()
-            if key in seen:
-                a.append(i)
-                b.append(seen[key])
-            else:
-                seen[key] = i
-                sets.append(s)
-                keep.append(i)
-        if sets:
-            root = linked(sets, num, den)
-            a += keep
-            b += [keep[r] for r in root]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    """Rows (cl, content, text) sorted by cl -> links that connect the linked contents of each cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                keys, root = list(sets), linked(list(sets.values()), num, den)
+                found = [(keys[k], keys[r]) for k, r in enumerate(root) if r != k]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        at, sets = None, {}
+        for b in batches:
+            for cl, content, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if cl != at:
+                    yield from close(sets)
+                    at, sets = cl, {}
+                if content not in sets:
+                    sets[content] = shingles(text.as_py(), n)
+        yield from close(sets)
 
     return run
 
@@ -326,125 +342,133 @@ def _as_sets(n: int):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 p = b.slice(at, 256)
-                sets = [shingles(t.as_py(), n).view(np.int64) for t in p.column(2)]
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(sets, pa.list_(pa.int64()))], ["cl", "id", "s"])
+                sets = [shingles(t.as_py(), n).view(np.int64) for t in p.column(3)]
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), p.column(2), pa.array(sets, pa.list_(pa.int64()))], ["cl", "m", "id", "g", "s"])
 
     return run
 
 
-def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all linked sets of each cluster of ``sets`` (cl, id, s): rounds of consensus, pairs and smaller clusters."""
-    out, round_ = None, 0
-    salts = 16
+def _reference(table: pa.Table) -> pa.Table:
+    """Features that more than half of the given sets have."""
+    f, c = np.unique(table.column("s").combine_chunks().flatten().to_numpy(), return_counts=True)
+    return pa.table({"cl": table.column("cl")[:1], "m": table.column("m")[:1], "p": pa.array([f[2 * c > table.num_rows]], pa.list_(pa.int64()))})
+
+
+def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Links (a, b) that connect all linked sets of each cluster of ``sets`` (cl, m: its sets, id, g: sets of one g are connected already, s)."""
+    up, down, out, round_ = den + num, den - num, None, 0
+    salt = F.pmod(F.xxhash64("id"), F.floor(F.col("m") / SALT_SETS) + 1)
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("m") / SALT_SETS)))).drop("m")
+    xor = lambda a, b: F.concat(F.array_except(a, b), F.array_except(b, a))
     while not sets.isEmpty():
-        size = sets.groupBy("cl").agg(F.count(F.lit(1)).alias("m"))
-        f = sets.select("cl", "id", F.explode("s").alias("f"))
-        p = f.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("c")).join(size, "cl").where("2 * c > m").groupBy("cl").agg(F.collect_list("f").alias("p"))  # at most twice a set's size
-        p = size.select("cl").join(p, "cl", "left").select("cl", F.coalesce("p", F.array().cast("array<bigint>")).alias("p"))
-        p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        x = sets.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(p, ["cl", "salt"])
-        x = x.select("cl", "id", F.size("s").alias("n"), F.array_except("s", "p").alias("add"), F.array_except("p", "s").alias("lack"), (F.size("p") == 0).alias("bare"))
-        x = materialize(x, "residuals", True)
-        differ = lambda l, r: sum((F.size(F.array_except(f"{u}.{c}", f"{v}.{c}")) for c in ("add", "lack") for u, v in ((l, r), (r, l))), F.lit(0))
-        holds = lambda l, r: (den - num) * (F.col(f"{l}.n") + F.col(f"{r}.n")) >= (den + num) * differ(l, r)  # noqa: E731  the same as num * union <= den * overlap
-        # The set next to the consensus is the cluster's centre; what links with it needs no further pair with another such.
-        centre = x.where("not bare").groupBy("cl").agg(F.min_by(F.struct("id", "n", "add", "lack"), F.struct(F.size("add") + F.size("lack"), "id")).alias("r"))
-        r = centre.select("cl", "r.*").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        near = x.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).alias("l").join(r.alias("r"), ["cl", "salt"]).where(holds("l", "r")).select("cl", F.col("l.id").alias("id"), F.col("r.id").alias("c"))
-        near = materialize(near, "near", True)
-        links = near.select(F.col("id").alias("a"), F.col("c").alias("b"))
-        far = x.join(near.select("cl", "id", F.lit(True).alias("linked")), ["cl", "id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-        # Pairs through shared added features; without a consensus the rarest ones suffice (prefix filter).
-        e = x.select("cl", "id", "bare", "n", F.explode("add").alias("f"))
-        df = e.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        e = e.join(df, ["cl", "f"])
-        rare = e.where("bare").groupBy("cl", "id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "f"))).alias("fs"))
-        # Features that no other set has come first in the order; they take places of the prefix.
-        room = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den) - F.lit(1e-9)).cast("int") + 1 - (F.col("n") - F.size("fs"))
-        rare = rare.select("cl", "id", F.explode(F.slice("fs", 1, F.greatest(room, F.lit(0)))).alias("x")).select("cl", "x.f", "id")
-        e = materialize(e.where("not bare").select("cl", "f", "id").union(rare), "added", True)
-        g = e.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("id").alias("low"), F.max("id").alias("high")).where("c > 1")
-        g = g.groupBy("cl", "who", "low", "high", "c").agg(F.min("f").alias("f"))  # the same group through several features
-        small = e.join(g.where(F.col("c") <= PAIR_GROUP).select("cl", "f"), ["cl", "f"])
-        pairs = small.alias("l").join(small.alias("r"), ["cl", "f"]).where("l.id < r.id").select("cl", F.col("l.id").alias("i"), F.col("r.id").alias("j"))
-        # Pairs that share no added feature: classes of equal counts first.
-        k = far.where("not bare").select("cl", "id", F.size("add").alias("u"), F.size("lack").alias("v"), "n", "linked")
-        c = k.groupBy("cl", "u", "v", "n", "linked").agg(F.count(F.lit(1)).alias("members"))
-        may = (den - num) * (F.col("l.n") + F.col("r.n")) >= (den + num) * (F.col("l.u") + F.col("r.u") + F.abs(F.col("l.v") - F.col("r.v")))
-        both = c.alias("l").join(c.alias("r"), "cl").where(may & ~F.col("l.linked")).select("cl", *(F.col(f"{s}.{q}").alias(f"{s}{q}") for s in "lr" for q in ("u", "v", "n", "linked")))
-        lk = k.select("cl", F.col("id").alias("i"), *(F.col(q).alias(f"l{q}") for q in ("u", "v", "n", "linked")))
-        rk = k.select("cl", F.col("id").alias("j"), *(F.col(q).alias(f"r{q}") for q in ("u", "v", "n", "linked")))
-        more = both.join(lk, ["cl", *(f"l{q}" for q in ("u", "v", "n", "linked"))]).join(rk, ["cl", *(f"r{q}" for q in ("u", "v", "n", "linked"))]).where("i <> j").select("cl", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-        pairs = pairs.union(more).distinct()
-        l, r = (x.select("cl", F.col("id").alias(i), F.struct("n", "add", "lack").alias(s)) for i, s in (("i", "l"), ("j", "r")))
-        found = pairs.join(l, ["cl", "i"]).join(r, ["cl", "j"]).where(holds("l", "r")).select(F.col("i").alias("a"), F.col("j").alias("b"))
-        links = materialize(links.union(found), "links", True)
+        first = Window.partitionBy("cl").orderBy(F.xxhash64("id", F.lit(round_)))
+        p = sets.withColumn("k", F.row_number().over(first)).where(F.col("k") <= REFERENCE_SETS).select("cl", "m", "s").groupBy("cl").applyInArrow(_reference, "cl bigint, m bigint, p array<bigint>")
+        x = sets.withColumn("salt", salt).join(spread(p), ["cl", "salt"]).select("cl", "m", "id", "g", "salt", F.size("s").alias("n"), xor(F.col("s"), F.col("p")).alias("r"))
+        x = materialize(x.withColumn("w", F.lit(up) * F.size("r") - F.lit(down) * F.col("n").cast("bigint")), "residuals", True)
+        c = x.groupBy("cl", "m").agg(F.min_by(F.struct("id", "g", "w", "n", "r"), F.struct("w", "id")).alias("c"))
+        y = x.join(spread(c), ["cl", "salt"]).withColumn("near", F.lit(up) * F.size(xor(F.col("r"), F.col("c.r"))) <= F.lit(down) * (F.col("n") + F.col("c.n")).cast("bigint"))
+        y = materialize(y.select("cl", "m", "id", "salt", "n", "w", "r", "near", F.when(F.col("near"), F.col("c.g")).otherwise(F.col("g")).alias("g"), F.col("c.id").alias("c"), F.col("c.w").alias("wc")), "near", True)
+        discard(x)
+        links = y.where("near and id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
+        far = y.where("not near").groupBy("cl", "m").agg(F.min("w").alias("wf"))
+        z = y.join(spread(far), ["cl", "salt"])
+        # Features of far sets that another set has; the rarest come first, and those that no other set has before all.
+        e = materialize(z.select("cl", "m", "id", "g", "near", F.size("r").alias("d"), F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("near"), F.col("wf")).otherwise(F.col("wc"))) / (2 * up))).cast("int").alias("o"), F.explode("r").alias("f")), "residual-features", True)
+        df = e.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("count"), F.count_if(~F.col("near")).alias("far")).where("count > 1 and far > 0").select("cl", "f", "count", F.col("count").alias("df"))
+        known = join_counted(e, df, ["cl", "f"], e.count())
+        fs = known.groupBy("cl", "id", "g", "near", "o").agg(F.sort_array(F.collect_list(F.struct("df", "f"))).alias("fs"))
+        e2 = materialize(fs.select("cl", "id", "g", "near", F.explode(F.slice("fs", 1, F.greatest(F.size("fs") - F.col("o") + 1, F.lit(0)))).alias("x")).select("cl", "id", "g", "near", "x.f"), "prefixes", True)
+        discard(e)
+        group = e2.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("count"), F.count_if(~F.col("near")).alias("far"), F.min("g").alias("g0"), F.max("g").alias("g1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("id").alias("low"), F.max("id").alias("high"))
+        group = group.where("count > 1 and far > 0 and g0 <> g1").groupBy("cl", "who", "low", "high", "count").agg(F.min("f").alias("f"))  # the same group through several features
+        small = e2.join(group.where(F.col("count") <= PAIR_GROUP).select("cl", "f"), ["cl", "f"])
+        pairs = small.alias("l").join(small.alias("r"), ["cl", "f"]).where("l.id < r.id and l.g <> r.g and not (l.near and r.near)").select("cl", F.col("l.id").alias("i"), F.col("r.id").alias("j")).distinct()
+        l, r = (y.select("cl", F.col("id").alias(i), F.struct("n", "r").alias(s)) for i, s in (("i", "l"), ("j", "r")))
+        found = pairs.join(l, ["cl", "i"]).join(r, ["cl", "j"]).where(F.lit(up) * F.size(xor(F.col("l.r"), F.col("r.r"))) <= F.lit(down) * (F.col("l.n") + F.col("r.n")).cast("bigint"))
+        links = materialize(links.union(found.select(F.col("i").alias("a"), F.col("j").alias("b"))), "links", True)
         out = links if out is None else out.union(links)
         # Larger groups are the next round's clusters.
-        big = g.where(F.col("c") > PAIR_GROUP).select("cl", "f", F.xxhash64("cl", "f", F.lit(round_)).alias("next"))
-        sets = materialize(e.join(big, ["cl", "f"]).select("cl", "id", "next").distinct().join(sets, ["cl", "id"]).select(F.col("next").alias("cl"), "id", "s"), "sets", True)
+        big = group.where(F.col("count") > PAIR_GROUP).select("cl", "f", "count", F.col("count").alias("size"), F.xxhash64("cl", "f", F.lit(round_)).alias("next"))
+        to = join_counted(e2, big, ["cl", "f"], e2.count()).select("cl", "id", "g", "size", "next")
+        sets, old = materialize(to.join(sets.select("cl", "id", "s"), ["cl", "id"]).select(F.col("next").alias("cl"), F.col("size").alias("m"), "id", "g", "s"), "sets", True), sets
+        discard(old, y, e2)
         round_ += 1
     return out
 
 
 def links(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles) of every row, and edges (a, b) whose components are those of all links."""
+    """(doc_id, n_shingles, content) of every row, and edges (a, b) of contents whose components are those of all links. Rows without doc_id or words have a null content."""
     spark = documents.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = documents.select("doc_id", "text")
-    met = d.mapInArrow(_signed(n, num, den, buckets), "bucket int, x binary, y binary, z binary")
+    met = documents.select("doc_id", "text").mapInArrow(_signed(n, num, den, buckets), "bucket int, x binary, y binary")
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("x"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket"))
-    met = materialize(met.groupBy(spread.alias("b")).applyInArrow(_meet(buckets), MEET), "met", True)
-    rows = met.where("kind in (0, 3)").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"))
-    copies = met.where("kind = 1").select("a", "b")
-    many = materialize(met.where("kind = 2").groupBy("a", "b").agg(F.min("need").alias("need")), "many", True)  # (document, signature), once
-    large = many.groupBy("a").agg(F.count(F.lit(1)).alias("large"), F.min("need").alias("need"))
+    met = materialize(met.groupBy(spread.alias("b")).applyInArrow(_meet(num, den), MEET), "met", True)
+    rows = met.where("kind in (0, 3)").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when((F.col("kind") == 0) & (F.col("n") > 0), F.col("b")).alias("content"), "th")
+    ties = materialize(met.where("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")), "ties", True)
+    large = ties.groupBy("a").agg(F.sum("n").alias("large"), F.min("need").alias("need"))
     often = met.where("kind = 4").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
     la, lb = large.select("a", F.col("large").alias("large_a")), large.select(F.col("a").alias("b"), F.col("large").alias("large_b"))
     often = often.join(la, "a", "left").join(lb, "b", "left").where(F.col("n") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))) >= F.col("need")).select("a", "b")
-    listed = many.select("a", "b").join(large.where("large >= need").select("a"), "a", "left_semi")
-    stars = listed.join(listed.groupBy("b").agg(F.min("a").alias("low")), "b").where("a <> low").select("a", F.col("low").alias("b")).distinct()
-    cl = components(often.union(stars), tidy=True)
-    cl = materialize(cl.select(F.col("id").alias("doc_id"), F.col("component").alias("cl")), "clusters", True)
-    sized = rows.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")).join(cl, "doc_id")
-    big = sized.groupBy("cl").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("features")).where((F.col("sets") > CLUSTER_SETS) | (F.col("features") > CLUSTER_FEATURES)).select("cl", F.lit(True).alias("big"))
-    cl = cl.join(big, "cl", "left").select("doc_id", "cl", F.coalesce("big", F.lit(False)).alias("big"))
-    members = materialize(d.join(cl, "doc_id"), "members", True)  # read twice, and only documents that met another
-    small = members.where("not big").select("cl", "doc_id", "text").groupBy("cl").applyInArrow(_cluster_links(n, num, den), "a bigint, b bigint")
-    edges = copies.union(materialize(small.where("a <> b"), "links", True))
-    if not big.isEmpty():
-        sets = members.where("big").select("cl", "doc_id", "text").mapInArrow(_as_sets(n), "cl bigint, id bigint, s array<bigint>")
-        found = _large_links(materialize(sets.where(F.size("s") > 0), "sets", True), num, den)
-        edges = edges.union(found)
+    stars = ties.where("a <> b").join(large.where("large >= need").select("a"), "a", "left_semi").select("a", "b")
+    candidates = materialize(often.union(stars), "candidates", True)
+    cl = materialize(components(candidates).select(F.col("id").alias("content"), F.col("component").alias("cl")), "clusters", True)
+    discard(candidates, ties)
+    text_of = rows.where("content is not null").groupBy("content").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("n"))
+    members = materialize(cl.join(text_of, "content").select("cl", "content", "n", "at.doc_id", "at.th"), "members", True)
+    discard(cl)
+    size = members.groupBy("cl").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("features"))
+    size = size.select("cl", "count", F.col("count").alias("m"), ((F.col("count") > CLUSTER_SETS) | (F.col("features") > CLUSTER_FEATURES)).alias("big"))
+    sized = join_counted(members, size, ["cl"], members.count())
+    t = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    found = materialize(sized.join(t, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("cl", "m", "big", "content", "text"), "texts", True)
+    discard(members)
+    small = found.where("not big").select("cl", "content", "text").repartition("cl").sortWithinPartitions("cl")
+    edges = materialize(small.mapInArrow(_cluster_links(n, num, den), "a bigint, b bigint"), "links", True)
+    if not (big := found.where("big")).isEmpty():
+        sets = materialize(big.select("cl", "m", "content", "text").mapInArrow(_as_sets(n), "cl bigint, m bigint, id bigint, g bigint, s array<bigint>"), "sets", True)
+        edges = edges.union(_large_links(sets, num, den))
+    discard(found)
     return rows, edges
 
 
 def near_duplicates(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows, edges = links(documents, n, num, den)
-    c = components(edges, tidy=True).withColumnRenamed("id", "doc_id")
-    return rows.join(c, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    known = rows.where("content is not null")
+    # A doc_id that repeats ties its contents together.
+    again = known.groupBy("doc_id").agg(F.min("content").alias("b"), F.max("content").alias("c")).where("b <> c").select("doc_id", "b")
+    again = known.join(again, "doc_id").where("content <> b").select(F.col("content").alias("a"), "b")
+    group = components(edges.union(again)).withColumnRenamed("id", "content")
+    least = known.groupBy("content").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("count"))
+    least = materialize(least.join(group, "content", "left").withColumn("component", F.coalesce("component", "content")), "contents", True)
+    first = least.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("count"))
+    of = join_counted(least.select("content", "component", F.col("count").alias("rows")), first, ["component"], least.count()).select("content", F.col("rows").alias("count"), "component_id")
+    # A doc_id whose rows have no words but once is in the component of its other texts.
+    named = join_counted(known, of, ["content"], known.count()).select("doc_id", "n_shingles", "component_id")
+    bare = rows.where("content is null").join(named.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
+    return named.union(bare.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id")))
 
 
 def deduplicate(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The row of the smallest doc_id of each component, and all rows without links; all columns as they are.
+    """The row of the smallest doc_id of each component, and all rows without links; all columns as they are, whatever their names.
 
     Rows are joined by a key of doc_id and text, so rows that repeat a doc_id with other texts are documents of their own. Of rows that
-    repeat both one stays. Rows without doc_id stay.
+    repeat both one stays. Rows without doc_id or words stay.
     """
-    from pyspark.sql import Window
-
-    keyed = documents.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.length("text"), "text")))
-    _, edges = links(keyed.select(F.col("_row").alias("doc_id"), "text"), n, num, den)
-    linked = components(edges, tidy=True).select(F.col("id").alias("_row"), "component")
-    members = materialize(keyed.select("_row", "doc_id").join(linked, "_row"), "linked", True)
-    stay = members.groupBy("component").agg(F.min(F.struct("doc_id", "_row")).alias("m")).select("m._row")
-    drop = members.select("_row").distinct().join(stay, "_row", "left_anti")
-    left = keyed.join(drop, "_row", "left_anti").select(*documents.columns, "_row")
-    again = left.where("_row is not null").groupBy("_row").count().where("count > 1").select("_row", F.lit(True).alias("_again"))
-    left = left.join(again, "_row", "left").select(*documents.columns, "_row", "_again")
-    once = left.where("_again").withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy("text"))).where("_k = 1")
-    return left.where("_again is null").select(*documents.columns).union(once.select(*documents.columns))
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.length("text"), "text"))
+    rows, edges = links(documents.select(key.alias("doc_id"), "text"), n, num, den)
+    group = components(edges).withColumnRenamed("id", "content")
+    ids = documents.select(key.alias("key"), "doc_id").where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    known = rows.where("content is not null").select(F.col("doc_id").alias("key"), "content").distinct().join(ids, "key").join(group, "content", "left")
+    known = materialize(known.select("key", "copies", F.coalesce("component", "content").alias("component"), F.struct("doc_id", "key").alias("at")), "linked", True)
+    # Only the least doc_id of a component stays, once.
+    first = known.groupBy("component").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("count"))
+    drop = join_counted(known, first, ["component"], known.count()).select("key", "copies", (F.col("at") != F.col("first")).alias("drop")).where("drop or copies > 1")
+    drop = materialize(drop, "verdicts", True)
+    discard(known)
+    judged = documents.select(key.alias("key"), F.struct(*documents.columns).alias("row")).join(drop, "key", "left")
+    once = judged.where("copies > 1 and not drop").groupBy("key").agg(F.first("row").alias("row"))
+    return judged.where("drop is null").select("row.*").union(once.select("row.*"))
 
 
 def op1_jaccard(spark: SparkSession, documents: DataFrame) -> DataFrame:

@@ -62,9 +62,11 @@ def near_rows(seed=4):
 
 
 @pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
-@pytest.mark.parametrize("bound", [256, 4])
+@pytest.mark.parametrize("bound", [1024, 4])
 def test_components_equal_brute_force(spark, monkeypatch, n, num, bound):
-    monkeypatch.setattr(ngram_join, "CLUSTER_SETS", bound)  # 4: nearly all clusters take the distributed way
+    monkeypatch.setattr(ngram_join, "CLUSTER_SETS", bound)  # 4: nearly all clusters take the distributed way, in several rounds
+    monkeypatch.setattr(ngram_join, "PAIR_GROUP", 16 if bound > 4 else 3)
+    monkeypatch.setattr(ngram_join, "SALT_SETS", 1024 if bound > 4 else 10)
     rows = near_rows()
     got = ngram_join.near_duplicates(docs(spark, rows), n, num, 100).collect()
     want = brute_components(rows, n, num, 100)
@@ -101,8 +103,9 @@ def test_linked_sets_share_signatures():
                 if 100 * inter < num * (len(a) + len(b) - inter):
                     break
                 k += 1
-                (x, need), (y, _) = e.signatures(a), e.signatures(b)
-                assert len(np.intersect1d(x, y)) >= min(need)
+                sig, own, inst = e.sign([a, b])
+                both = np.intersect1d(sig[own == 0], sig[own == 1])
+                assert len(both) >= min(e.plan(int(i))[2] for i in set(inst[np.isin(sig, both)]))
 
 
 # Packing ---------------------------------------------------------------------------------------------------------------
