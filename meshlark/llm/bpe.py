@@ -1,16 +1,18 @@
-"""Byte-level BPE encoding and decoding by tree concatenation, and a word-cached encoder for word BPE.
+"""Byte-level BPE encoding and decoding by tree concatenation.
 
-``TreeEncoder`` gives the ids of the tokenizers library for a byte-level BPE. A text is cut before runs of white
-space, where its pre-tokenizer always cuts; the pieces are encoded once each and kept in a bounded cache. A long piece that
-has no such cut is encoded by halves: its pre-tokens over ``leaf`` bytes are split in two again and again, the leaves
-are encoded together in one batch (which the library runs in parallel), and at each join a window of tokens is re-encoded
-and grown until its first token equals the left side's and its last token the right side's. BPE is fixed by adjacent
-pairs of tokens: when both ends agree all adjacent pairs are ones that an encoding holds, so the joined ids are exactly
-the ids of the whole.
+``TreeEncoder`` gives the ids of the tokenizers library for a byte-level BPE. A text is cut into halves, wherever they fall, until the leaves have ``LEAF_CHARS`` characters at
+most; the leaves of many texts are encoded in one batch, and joined from the leaves up: at each join a window of pieces is encoded anew and grown until its
+first piece is the left side's and its last piece the right side's. Pieces begin at runs of white space, where the library's pre-tokenizer always cuts; they are
+encoded once each and kept in a bounded cache. A piece of over ``leaf`` bytes goes the same way one level lower: its pre-tokens are split into halves of bytes
+again and again, and at each join a window of tokens is re-encoded and grown until its first token equals the left side's and its last token the right
+side's. BPE is fixed by adjacent pairs of tokens: when both ends agree all adjacent pairs are ones that an encoding holds, so the joined ids are exactly the ids of the whole.
 
 The cutting rule is proven only for blank, tab, line feed and carriage return. Texts with other white space, or with added tokens' marks, are
 cut at the added tokens and then by the library's own pre-tokenizer, and their long pre-tokens are encoded by halves too; those without a
-run that could be longer than ``leaf`` bytes go to the library whole, which is what their leaves would do. Defined results: null text is empty; an empty text has no ids.
+run that could be longer than ``leaf`` bytes go to the library whole, which is what their leaves would do.
+
+Defined results: null text is empty; an empty text has no ids; very long texts are only more leaves; repeated rows are encoded each and give equal rows; a null doc_id stays null. An empty table
+gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|")
 PIECES = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-CACHE_ENTRIES, LEAF_BYTES, LONG_PIECE = 400_000, 64, 200
+CACHE_ENTRIES, LEAF_BYTES, LEAF_CHARS, LONG_PIECE = 700_000, 64, 2048, 200
 
 
 def tokenizer_path(name: str) -> str:
@@ -62,15 +65,15 @@ class TreeEncoder:
         special = {int(i): t.content for i, t in self.whole.get_added_tokens_decoder().items()}
         self.stand = {b: c for c, b in of.items()}
         self.bytes = [special[i].encode() if i in special else bytes(of[c] for c in self.whole.id_to_token(i)) for i in range(n)]
+        self.decimal, self.sizes = [str(i) for i in range(n)], np.array([len(b) for b in self.bytes])
         added = self.whole.get_added_tokens_decoder().values()
         self.added = {t.content: self.whole.token_to_id(t.content) for t in added}
         self.cut = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else re.compile("((?!))")
         self.plain = self.whole.normalizer is None and not any(t.lstrip or t.rstrip or t.single_word for t in added)
         self.run = re.compile(rf"\S{{{leaf // 4 + 1},}}|\s{{{leaf // 4 + 1},}}")  # characters have 4 bytes at most
-        self.cache: dict[str, tuple[list[int], str, bytes]] = {}
-
-    def _entry(self, ids: list[int]) -> tuple[list[int], str, bytes]:
-        return ids, ",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids])
+        self.cache: dict[str, str] = {}  # piece -> its decimal ids, joined by commas
+        self.odd: set[str] = set()  # pieces that their ids do not give back
+        self.joins = self.token_joins = 0
 
     def _raw(self, parts: list[bytes]) -> list[list[int]]:
         """Encodes byte strings as one pre-token each; they may break characters."""
@@ -82,6 +85,7 @@ class TreeEncoder:
     def _join(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right:
             return left + right
+        self.token_joins += 1
         w = 2
         while True:
             a, b = min(w, len(left)), min(w, len(right))
@@ -119,22 +123,84 @@ class TreeEncoder:
                 ids += [self.added[part]] if part in self.added else self.long_piece(part)
         return ids
 
-    def entries(self, texts: list[str]) -> list[list[tuple[list[int], str, bytes]]]:
-        """The (ids, decimal ids, decoded bytes) of the pieces of each text."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache = {}
-        cache, split = self.cache, [None if OTHER_SPACE.search(t) else PIECES.findall(t) for t in texts]
-        new = [p for p in {p for pieces in split if pieces for p in pieces} if p not in cache]
+    def _batch(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece. Those that begin with white space and end with none are strung together, as the library cuts there; token lengths tell them apart."""
+        space = " \t\n\r"
+        plain = [p[0] in space and p[-1] not in space for p in pieces]
+        own = iter([e.ids for e in self.whole.encode_batch_fast([p for p, x in zip(pieces, plain, strict=True) if not x], add_special_tokens=False)])
+        strung = [p for p, x in zip(pieces, plain, strict=True) if x]
+        found: list[list[int]] = []
+        for at in range(0, len(strung), 1000):
+            part = strung[at : at + 1000]
+            ids = self.whole.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids
+            ends, want = np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in part])
+            cut = np.searchsorted(ends, want)
+            if not np.array_equal(ends[cut], want):
+                raise RuntimeError("a token crosses two pieces")
+            cut = (cut + 1).tolist()
+            found += [ids[i:j] for i, j in zip([0, *cut], cut, strict=False)]
+        strung_ids = iter(found)
+        return [next(strung_ids) if x else next(own) for x in plain]
+
+    def _learn(self, pieces: set[str]) -> dict[str, str]:
+        """Encodes pieces into the cache; those that are too large for it are returned."""
+        new = [p for p in pieces if p not in self.cache]
         short = [p for p in new if 4 * len(p) <= self.leaf or len(p.encode()) <= self.leaf]
-        for p, e in zip(short, self.whole.encode_batch(short, add_special_tokens=False), strict=True):
-            cache[p] = self._entry(e.ids)
-        long = {p: self._entry(self.long_piece(p)) for p in new if p not in cache}
-        cache.update((p, e) for p, e in long.items() if len(p) <= LONG_PIECE)  # others may be large
-        get = lambda p: cache.get(p) or long[p]
-        return [[self._entry(self.rare(t))] if pieces is None else list(map(get if long else cache.__getitem__, pieces)) for t, pieces in zip(texts, split, strict=True)]
+        ids = self._batch(short)
+        if len(short) < len(new):
+            long = [*(set(new) - set(short))]
+            short += long
+            ids += [self.long_piece(p) for p in long]
+        decimal, byte = self.decimal.__getitem__, self.bytes.__getitem__
+        text = [",".join(map(decimal, x)) for x in ids]
+        self.odd.update(p for p, x in zip(short, ids, strict=True) if b"".join(map(byte, x)) != p.encode())
+        large = {p: x for p, x in zip(short, text, strict=True) if len(p) > LONG_PIECE}
+        self.cache.update(zip(short, text, strict=True))
+        for p in large:
+            del self.cache[p]
+        return large
+
+    def _meet(self, left: list[str], right: list[str]) -> list[str]:
+        """The pieces of two texts' concatenation; the window's pieces replace those at the join."""
+        w = 1
+        while True:
+            a, b = min(w, len(left)), min(w, len(right))
+            mid = PIECES.findall("".join(left[-a:] + right[:b]))
+            if (a == len(left) or mid[0] == left[-a] and len(mid) > 1) and (b == len(right) or mid[-1] == right[b - 1] and len(mid) > 1):
+                self.joins += 1
+                self.fresh.update(mid)
+                return left[:-a] + mid + right[b:]
+            w *= 2
+
+    def tree(self, leaves: list[list[str]]) -> list[str]:
+        """The pieces of a text from those of its leaves."""
+        while len(leaves) > 1:
+            leaves = [self._meet(leaves[i], leaves[i + 1]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        return leaves[0] if leaves else []
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """For each text its decimal ids, joined by commas, and the bytes that they decode to."""
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache, self.odd = {}, set()
+        split = [None if OTHER_SPACE.search(t) else [PIECES.findall(leaf) for leaf in halves(t)] for t in texts]
+        large = self._learn({p for leaves in split if leaves for leaf in leaves for p in leaf})
+        self.fresh: set[str] = set()
+        pieces = [leaves and self.tree(leaves) for leaves in split]
+        large |= self._learn(self.fresh)
+        get, out = (lambda p: self.cache[p] if p in self.cache else large[p]) if large else self.cache.__getitem__, []
+        for t, own in zip(texts, pieces, strict=True):
+            if own is None:
+                ids = self.rare(t)
+                out.append((",".join(map(str, ids)), b"".join([self.bytes[i] for i in ids])))
+            else:
+                ids = ",".join(map(get, own))
+                same = not self.odd or self.odd.isdisjoint(own)
+                out.append((ids, t.encode() if same else b"".join([self.bytes[int(i)] for i in ids.split(",")])))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.entries([text])[0] for i in ids]
+        ids = self.encode_texts([text])[0][0]
+        return [int(i) for i in ids.split(",")] if ids else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
@@ -143,6 +209,14 @@ class TreeEncoder:
 _FROM_STAND = byte_table()
 
 
+def halves(text: str, most: int = LEAF_CHARS) -> list[str]:
+    """The leaves of a text: halves of halves, in order."""
+    n = 1
+    while n * most < len(text):
+        n *= 2
+    return [text[len(text) * k // n : len(text) * (k + 1) // n] for k in range(n)] if text else []
+
+
 def _is_text(p: bytes) -> bool:
     try:
         p.decode()
@@ -175,10 +249,10 @@ def _digests(path: str):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 n, ids, decoded = [], [], []
-                for entries in enc.entries([t or "" for t in part.column(1).to_pylist()]):
-                    n.append(sum([len(e[0]) for e in entries]))
-                    ids.append(hashlib.sha256(",".join([e[1] for e in entries if e[0]]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([e[2] for e in entries])).hexdigest())
+                for x, back in enc.encode_texts([t or "" for t in part.column(1).to_pylist()]):
+                    n.append(x.count(",") + 1 if x else 0)
+                    ids.append(hashlib.sha256(x.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(back).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests
@@ -190,7 +264,7 @@ def _encode_column(path: str):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [[i for e in entries for i in e[0]] for entries in enc.entries([t or "" for t in part.column(1).to_pylist()])]
+                ids = [[int(i) for i in x.split(",")] if x else [] for x, _ in enc.encode_texts([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return encode

@@ -34,6 +34,28 @@ def test_tree_encoder_equals_the_library():
         assert enc.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_texts_are_joined_from_their_halves(monkeypatch):
+    monkeypatch.setattr(bpe, "LEAF_CHARS", 5)
+    monkeypatch.setattr(bpe.halves, "__defaults__", (5,))
+    enc, lib = bpe.TreeEncoder(bpe.tokenizer_path("byte_bpe_50k.json"), leaf=8), library("byte_bpe_50k.json")
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(["a", "th", "e", " ", "  ", "\n", "\t", "'s", "1", "\u00e9", ", "], size=n)) for n in rng.integers(1, 400, size=200)]
+    for t, (ids, back) in zip(texts, enc.encode_texts(texts), strict=True):
+        assert ids == ",".join(map(str, lib.encode(t, add_special_tokens=False).ids)), t
+        assert back.decode() == t
+    assert enc.joins > 2000 and enc.token_joins > 100
+
+
+def test_the_tables_texts_take_the_tree():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    enc, lib = bpe.TreeEncoder(bpe.tokenizer_path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    got = enc.encode_texts(texts)
+    assert [x for x, _ in got] == [",".join(map(str, e.ids)) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert enc.joins == sum(len(bpe.halves(t)) - 1 for t in texts if not bpe.OTHER_SPACE.search(t) and len(t) > bpe.LEAF_CHARS) > 50
+
+
 def test_op10_against_the_library(spark, docs):
     lib = library("byte_bpe_50k.json")
     got = {r.doc_id: r for r in bpe.op10_bpe(spark, docs).collect()}
