@@ -1,36 +1,61 @@
-"""Connected components of an edge table by alternating large-star and small-star steps, each one aggregate and one join."""
+"""Connected components of an edge table by contraction: each level joins what its partitions hold, and goes on with the edges between their roots."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.plans.shared import discard, join_counted, materialize
+from meshlark.plans.shared import discard, materialize
+
+TASK_EDGES = 500_000
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every id of a partition's edges and the smallest id that it reaches there."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:  # places are in the order of ids, so the smallest place is the smallest id
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while not np.array_equal(jump := new[new], new):
+            new = jump
+        if np.array_equal(new, root):
+            break
+        root = new
+    yield from pa.Table.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "root"]).to_batches(max_chunksize=50_000)
 
 
-def components(edges: DataFrame, rounds: int = 40, tidy: bool = True) -> DataFrame:
+def components(edges: DataFrame, tidy: bool = True) -> DataFrame:
     """id, component (the smallest id it reaches) for every id of ``edges`` (a bigint, b bigint); ids without edges are absent.
 
-    State is an edge table that shrinks to stars; chains halve each round. Each round's result goes to the shared folder, and its predecessor is deleted. A hub's
-    edges are never joined in one task (``join_counted``). ``tidy``: see ``materialize``.
+    A level gives each task up to about ``TASK_EDGES`` edges and finds the roots of their ids there. An id has one root a task at most, so no key is hot; an id's smallest root
+    stands for it, and its other roots are tied to that one by the next level's edges. Levels end when no edge is left; the maps of ids to roots are then joined from the last to the first.
     """
-    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "edges", tidy)
-    for _ in range(rounds):
-        # Every id once: how many lower neighbours it has, and whether it is a lower neighbour itself. A star has no id with two, or with both.
-        seen = e.select(F.col("u").alias("id"), F.lit(1).alias("low"), F.lit(0).alias("centre")).union(e.select("v", F.lit(0), F.lit(1)))
-        state = seen.groupBy("id").agg(F.sum("low").alias("low"), F.max("centre").alias("centre")).agg(F.sum("low").alias("n"), F.count_if((F.col("low") > 1) | ((F.col("low") == 1) & (F.col("centre") == 1))).alias("open")).first()
-        if not state["open"]:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("count"))
-        large = join_counted(both.where("v > u"), low, ["u"], 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "edges", tidy)
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("count"))
-        small = join_counted(large, low, ["u"], 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e, old = materialize(small, "edges", tidy), e
-        discard(old, large)
-    raise RuntimeError("components did not settle")
+    e = materialize(edges.where("a <> b").select("a", "b"), "edges", tidy)
+    maps: list[DataFrame] = []
+    while (n := e.count()) or not maps:
+        roots = e.coalesce(-(-n // TASK_EDGES) or 1).mapInArrow(_roots, "id bigint, root bigint").groupBy("id").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots"))
+        maps.append(level := materialize(roots, "roots", tidy))
+        e, old = materialize(level.select(F.explode("roots").alias("a"), F.col("root").alias("b")).where("a <> b"), "edges", tidy), e
+        discard(old)
+    discard(e)
+    out = maps[-1].select("id", "root")
+    for level in maps[-2::-1]:
+        up = out.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        out = materialize(level.select("id", "root").join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots", tidy)
+    discard(*maps[:-1])
+    return out.withColumnRenamed("root", "component")
 
 
 def numbered(vertices: DataFrame, edges: DataFrame) -> DataFrame:
