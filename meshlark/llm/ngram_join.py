@@ -9,15 +9,17 @@ so linked sets share ``need`` signatures of features in any case. One shared sig
 strangers that meet by chance, and costs ``need`` signatures, not a multiple of all.
 
 Signatures meet in hash buckets (numpy, one shuffle of packed 56-bit words). Groups of up to ``MEET_GROUP`` contents count for each of
-their pairs; each member of a larger group counts for itself, and is tied to the group's smallest member. Pairs whose counts, with the lesser of its members'
-counts in large groups, reach ``need`` are candidates, and so are the ties of members whose counts in large groups reach it. Components of candidates are clusters.
-Clusters of bounded size are joined exactly by one matrix product each.
+their pairs; each member of a larger group counts for itself, and is tied to the group's smallest member, or to the signature itself where very many have it. Pairs whose counts, with the lesser of its members'
+counts in large groups, reach ``need`` are candidates. So are the ties of members whose counts in large groups reach it, but for the weakest ones of each, which make up less than
+half of ``need``: what two linked sets share is more than both can leave out. Components of candidates are clusters, and those of bounded size are joined exactly by one matrix product each.
 
-A larger cluster is taken relative to a reference set p (features of most of a few of its sets; any p gives right results): the residual of x is R = x xor p, and
+Passages that many documents share can chain strangers into a large cluster, so its sets are first parted anew: linked sets share one of the first features of both, the
+rarest in the cluster coming first (prefix filter), and components by such features are clusters again. One that is still large is taken relative to a
+reference set p (features of most of a few of its sets; any p gives right results): the residual of x is R = x xor p, and
 with w = (den + num)|R| - (den - num)|x| two sets are linked exactly if w(x) + w(y) <= 2 (den + num) |R(x) & R(y)|. So whatever is linked without a shared residual feature
 is linked with the set of the least w, the centre, and sets that are linked with the centre need not be paired with each other. What remains has an end
-far from the centre and shares a residual feature among the first of both sides (prefix filter, rarest first): smaller groups by such a
-feature are pairs to check, larger ones are clusters of the next round, of about half the size at most. No group is expanded into all its pairs.
+far from the centre and shares a residual feature among the first of both sides: smaller groups by such a
+feature are pairs to check, others clusters of about half the size at most. No group is expanded into all its pairs.
 
 Defined results: words and text as in ``shingles``; an empty set is linked with nothing, not even another empty set. A doc_id that
 repeats is one document with several texts: it is linked by any of them, and each row has its own n_shingles. A null doc_id
@@ -32,14 +34,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.llm.common import discard, join_counted, materialize
 from meshlark.operators.components import components
 
-MEET_GROUP, CACHE_WORDS, BATCH_DOCS, BATCH_CHARS = 6, 200_000, 2048, 6 << 20
-CLUSTER_SETS, CLUSTER_FEATURES, PAIR_GROUP, SALT_SETS, REFERENCE_SETS = 1024, 1_500_000, 16, 1024, 64
+MEET_GROUP, HOT_GROUP, CACHE_WORDS, BATCH_DOCS, BATCH_CHARS = 6, 64, 200_000, 2048, 6 << 20
+CLUSTER_SETS, CLUSTER_FEATURES, PAIR_GROUP, SALT_SETS, REFERENCE_SETS = 2048, 1_500_000, 16, 1024, 64
 M1, M2, M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 SIG, INST, OWN = np.uint64((1 << 38) - 1), np.uint64(12), np.uint64(2047)  # a word: 38 bits of signature, 6 of instance, 1 if many share it, 11 of its owner in the batch
 
@@ -83,7 +85,7 @@ def content_key(s: np.ndarray) -> int:
 class PartEnum:
     """Signatures for Jaccard similarity num/den."""
 
-    def __init__(self, num: int, den: int, growth: float = 1.6):
+    def __init__(self, num: int, den: int, growth: float = 1.25):
         self.num, self.den = num, den
         self.growth = max(growth, den / num)
         self.bands: list[tuple[int, int]] = []
@@ -107,7 +109,7 @@ class PartEnum:
         k = 2 * self.bands[i][1] * (self.den - self.num) // (self.den + self.num)
         if k == 0:
             return 0, 0, 1
-        need, weak = 2 + k // 6, 0 if k < 6 else 3 + k // 10
+        need, weak = 2 + k // 6, 0 if k < 6 else 3 + k // 12
         n1 = -(-(k + need + weak) // 2)
         return 2 * n1, weak, 2 * n1 - k - weak
 
@@ -141,9 +143,14 @@ ints = lambda v: np.frombuffer(v, dtype="<i8")
 _bytes = lambda x: np.array(x, dtype="<i8").tobytes()
 
 
+def _node(bucket: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """A signature that very many share, as a vertex of the graph of candidates."""
+    return _mix((bucket.astype(np.uint64) << np.uint64(38)) | sig).view(np.int64)
+
+
 def _signed(n: int, num: int, den: int, buckets: int):
-    """Per batch: rows of documents (bucket -1: doc_id, content, hash of the text, size, null or not), ties of contents that many of the batch share a signature with (-2), and for each
-    bucket the packed signatures of the contents. A signature that many of the batch have is sent once, marked."""
+    """Per batch: rows of documents (bucket -1: doc_id, content, hash of the text, size, null or not), ties of contents to a signature that over HOT_GROUP of the batch have (-2), and for each
+    bucket the packed signatures of the contents; such a signature is sent once, marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum = PartEnum(num, den)
@@ -167,19 +174,17 @@ def _signed(n: int, num: int, den: int, buckets: int):
                 sig, owner, inst = sig[order], owner[order], inst[order]
                 start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
                 size = np.diff(np.append(start, len(sig)))
-                hot = np.zeros(len(sig), dtype=np.uint64)
-                if (size > MEET_GROUP).any():
-                    many = np.repeat(size > MEET_GROUP, size)
-                    low = np.minimum.reduceat(keys[owner], start)
-                    ties = np.stack([keys[owner[many]], np.repeat(low, size)[many], inst[many].astype("<i8")], axis=1)
-                    ties, count = np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0, return_counts=True)
-                    out.append((-2, np.concatenate([ties, count[:, None]], axis=1).astype("<i8").tobytes(), b""))
+                hot, bucket = np.zeros(len(sig), dtype=np.uint64), ((sig >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
+                if (size > HOT_GROUP).any():
+                    many = np.repeat(size > HOT_GROUP, size)
+                    out.append((-2, np.stack([keys[owner[many]], _node(bucket[many], sig[many] & SIG), inst[many].astype("<i8")], axis=1).astype("<i8").tobytes(), b""))
                     hot[many] = 1
-                    keep = ~many | (keys[owner] == np.repeat(low, size))
-                    sig, owner, inst, hot = sig[keep], owner[keep], inst[keep], hot[keep]
+                    keep = ~many
+                    keep[start[size > HOT_GROUP]] = True
+                    sig, owner, inst, hot, bucket = sig[keep], owner[keep], inst[keep], hot[keep], bucket[keep]
                 words = ((sig & SIG) << np.uint64(18)) | (inst << INST) | (hot << np.uint64(11)) | owner.astype(np.uint64)
                 words = words.astype("<u8").view("u1").reshape(-1, 8)[:, :7]
-                ends = np.searchsorted(((sig >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24), np.arange(buckets + 1))
+                ends = np.searchsorted(bucket, np.arange(buckets + 1))
                 name = keys.tobytes()
                 for b in range(buckets):
                     if ends[b] < ends[b + 1]:
@@ -228,14 +233,15 @@ def _meet(num: int, den: int):
         needs = np.array([enum.plan(i)[2] for i in range(min(64, len(enum.bands)))], dtype=np.int64)
         words, owners = [], []
         for bucket, x, y in zip(*(table.column(i) for i in range(3)), strict=True):
-            x, y = x.as_py(), y.as_py()
-            if bucket.as_py() == -1:
+            x, y, bucket = x.as_py(), y.as_py(), bucket.as_py()
+            if bucket == -1:
                 r = ints(x).reshape(-1, 5)
                 add(np.where(r[:, 4] == 1, 3, 0), r[:, 0], r[:, 1], r[:, 3], 0, r[:, 2])
-            elif bucket.as_py() == -2:
-                r = ints(x).reshape(-1, 4)
-                add(2, r[:, 0], r[:, 1], r[:, 3], needs[r[:, 2]])
+            elif bucket == -2:
+                r = ints(x).reshape(-1, 3)
+                add(2, r[:, 0], r[:, 1], 1, needs[r[:, 2]])
             else:
+                here = np.uint64(bucket)
                 w = np.zeros((len(x) // 7, 8), dtype="u1")
                 w[:, :7] = np.frombuffer(x, dtype="u1").reshape(-1, 7)
                 w = w.view("<u8").ravel()
@@ -260,10 +266,11 @@ def _meet(num: int, den: int):
                 start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
                 size = np.diff(np.append(start, len(sig)))
                 need = needs[(sig & np.uint64(63)).astype(np.int64)]
-                large = (size > MEET_GROUP) | np.logical_or.reduceat(hot, start)
-                many = np.repeat(large, size)
+                marked = np.logical_or.reduceat(hot, start)
+                large = (size > MEET_GROUP) | marked
+                many = np.repeat(large, size) & ~hot  # who sent a marked word is tied already
                 if many.any():
-                    low = np.repeat(own[start], size)[many]
+                    low = np.repeat(np.where(marked, _node(np.full(len(start), here), sig[start] >> np.uint64(6)), own[start]), size)[many]
                     ties, count = np.unique(np.stack([own[many], low, need[many]], axis=1), axis=0, return_counts=True)
                     add(2, ties[:, 0], ties[:, 1], count, ties[:, 2])
                 left, right, req = [], [], []
@@ -314,8 +321,8 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return root
 
 
-def _cluster_links(n: int, num: int, den: int):
-    """Rows (cl, content, text) sorted by cl -> links that connect the linked contents of each cluster."""
+def _cluster_links(read, num: int, den: int):
+    """Rows (cl, content, what ``read`` makes a set of) sorted by cl -> links that connect the linked contents of each cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -331,12 +338,21 @@ def _cluster_links(n: int, num: int, den: int):
                     yield from close(sets)
                     at, sets = cl, {}
                 if content not in sets:
-                    sets[content] = shingles(text.as_py(), n)
+                    sets[content] = read(text)
         yield from close(sets)
 
     return run
 
 
+def _exact(clusters: DataFrame, read, num: int, den: int) -> DataFrame:
+    """Links of clusters of bounded size: ``clusters`` (cl, content, text or set)."""
+    return clusters.repartition("cl").sortWithinPartitions("cl").mapInArrow(_cluster_links(read, num, den), "a bigint, b bigint")
+
+
+def _as_set(x) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _as_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -354,6 +370,30 @@ def _reference(table: pa.Table) -> pa.Table:
     return pa.table({"cl": table.column("cl")[:1], "m": table.column("m")[:1], "p": pa.array([f[2 * c > table.num_rows]], pa.list_(pa.int64()))})
 
 
+def _bounded() -> Column:
+    return (F.col("m") <= CLUSTER_SETS) & (F.col("features") <= CLUSTER_FEATURES)
+
+
+def _parted(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The same sets in the components by their first features (cl, m, features, id, g, s)."""
+    total = sets.agg(F.sum(F.size("s")).alias("n")).first()["n"] or 0
+    e = sets.select("cl", "id", F.size("s").alias("n"), F.explode("s").alias("f"))
+    df = e.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("count")).where("count > 1").select("cl", "f", "count", F.col("count").alias("df"))
+    fs = join_counted(e, df, ["cl", "f"], total).groupBy("cl", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "f"))).alias("fs"))
+    # Features that no other set has take the first places of the prefix.
+    room = F.size("fs") - F.ceil(F.lit(num) * F.col("n") / den - 1e-9).cast("int") + 1
+    first = materialize(fs.select("cl", "id", F.explode(F.slice("fs", 1, F.greatest(room, F.lit(0)))).alias("x")).select("cl", "id", "x.f"), "prefixes", True)
+    low = first.groupBy("cl", "f").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("count")).where("count > 1")
+    ties = join_counted(first, low, ["cl", "f"], total).where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+    parts = components(ties)
+    discard(first)
+    new = materialize(sets.select("id", "g", "s").join(parts, "id").select(F.col("component").alias("cl"), "id", "g", "s"), "sets", True)
+    size = new.groupBy("cl").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("s")).alias("features")).withColumn("count", F.col("m"))
+    out = materialize(join_counted(new, size, ["cl"], total), "sets", True)
+    discard(new)
+    return out
+
+
 def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame | None:
     """Links (a, b) that connect all linked sets of each cluster of ``sets`` (cl, m: its sets, id, g: sets of one g are connected already, s)."""
     up, down, out, round_ = den + num, den - num, None, 0
@@ -373,26 +413,27 @@ def _large_links(sets: DataFrame, num: int, den: int) -> DataFrame | None:
         far = y.where("not near").groupBy("cl", "m").agg(F.min("w").alias("wf"))
         z = y.join(spread(far), ["cl", "salt"])
         # Features of far sets that another set has; the rarest come first, and those that no other set has before all.
-        e = materialize(z.select("cl", "m", "id", "g", "near", F.size("r").alias("d"), F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("near"), F.col("wf")).otherwise(F.col("wc"))) / (2 * up))).cast("int").alias("o"), F.explode("r").alias("f")), "residual-features", True)
+        e = materialize(z.select("cl", "id", "g", "near", "n", F.greatest(F.lit(1), F.ceil((F.col("w") + F.when(F.col("near"), F.col("wf")).otherwise(F.col("wc"))) / (2 * up))).cast("int").alias("o"), F.explode("r").alias("f")), "residual-features", True)
         df = e.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("count"), F.count_if(~F.col("near")).alias("far")).where("count > 1 and far > 0").select("cl", "f", "count", F.col("count").alias("df"))
         known = join_counted(e, df, ["cl", "f"], e.count())
-        fs = known.groupBy("cl", "id", "g", "near", "o").agg(F.sort_array(F.collect_list(F.struct("df", "f"))).alias("fs"))
-        e2 = materialize(fs.select("cl", "id", "g", "near", F.explode(F.slice("fs", 1, F.greatest(F.size("fs") - F.col("o") + 1, F.lit(0)))).alias("x")).select("cl", "id", "g", "near", "x.f"), "prefixes", True)
+        fs = known.groupBy("cl", "id", "g", "near", "n", "o").agg(F.sort_array(F.collect_list(F.struct("df", "f"))).alias("fs"))
+        e2 = materialize(fs.select("cl", "id", "g", "near", "n", F.explode(F.slice("fs", 1, F.greatest(F.size("fs") - F.col("o") + 1, F.lit(0)))).alias("x")).select("cl", "id", "g", "near", "n", "x.f"), "prefixes", True)
         discard(e)
-        group = e2.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("count"), F.count_if(~F.col("near")).alias("far"), F.min("g").alias("g0"), F.max("g").alias("g1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("id").alias("low"), F.max("id").alias("high"))
-        group = group.where("count > 1 and far > 0 and g0 <> g1").groupBy("cl", "who", "low", "high", "count").agg(F.min("f").alias("f"))  # the same group through several features
+        group = e2.groupBy("cl", "f").agg(F.count(F.lit(1)).alias("count"), F.count_if(~F.col("near")).alias("far"), F.min("g").alias("g0"), F.max("g").alias("g1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("features"))
+        group = group.where("count > 1 and far > 0 and g0 <> g1").groupBy("cl", "who", "low", "high", "count", "features").agg(F.min("f").alias("f"))  # the same group through several features
         small = e2.join(group.where(F.col("count") <= PAIR_GROUP).select("cl", "f"), ["cl", "f"])
         pairs = small.alias("l").join(small.alias("r"), ["cl", "f"]).where("l.id < r.id and l.g <> r.g and not (l.near and r.near)").select("cl", F.col("l.id").alias("i"), F.col("r.id").alias("j")).distinct()
         l, r = (y.select("cl", F.col("id").alias(i), F.struct("n", "r").alias(s)) for i, s in (("i", "l"), ("j", "r")))
         found = pairs.join(l, ["cl", "i"]).join(r, ["cl", "j"]).where(F.lit(up) * F.size(xor(F.col("l.r"), F.col("r.r"))) <= F.lit(down) * (F.col("l.n") + F.col("r.n")).cast("bigint"))
-        links = materialize(links.union(found.select(F.col("i").alias("a"), F.col("j").alias("b"))), "links", True)
+        links = links.union(found.select(F.col("i").alias("a"), F.col("j").alias("b")))
+        # Larger groups are clusters again.
+        big = group.where(F.col("count") > PAIR_GROUP).select("cl", "f", "count", F.col("count").alias("size"), "features", F.xxhash64("cl", "f", F.lit(round_)).alias("next"))
+        to = join_counted(e2, big, ["cl", "f"], e2.count()).select("cl", "id", "g", "size", "features", "next")
+        new = materialize(to.join(sets.select("cl", "id", "s"), ["cl", "id"]).select(F.col("next").alias("cl"), F.col("size").alias("m"), "features", "id", "g", "s"), "sets", True)
+        links = materialize(links.union(_exact(new.where(_bounded()).select("cl", "id", "s"), _as_set, num, den)), "links", True)
         out = links if out is None else out.union(links)
-        # Larger groups are the next round's clusters.
-        big = group.where(F.col("count") > PAIR_GROUP).select("cl", "f", "count", F.col("count").alias("size"), F.xxhash64("cl", "f", F.lit(round_)).alias("next"))
-        to = join_counted(e2, big, ["cl", "f"], e2.count()).select("cl", "id", "g", "size", "next")
-        sets, old = materialize(to.join(sets.select("cl", "id", "s"), ["cl", "id"]).select(F.col("next").alias("cl"), F.col("size").alias("m"), "id", "g", "s"), "sets", True), sets
-        discard(old, y, e2)
-        round_ += 1
+        discard(sets, y, e2)
+        sets, round_ = new.where(~_bounded()), round_ + 1
     return out
 
 
@@ -409,7 +450,10 @@ def links(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tu
     often = met.where("kind = 4").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
     la, lb = large.select("a", F.col("large").alias("large_a")), large.select(F.col("a").alias("b"), F.col("large").alias("large_b"))
     often = often.join(la, "a", "left").join(lb, "b", "left").where(F.col("n") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))) >= F.col("need")).select("a", "b")
-    stars = ties.where("a <> b").join(large.where("large >= need").select("a"), "a", "left_semi").select("a", "b")
+    # Of each member's ties the weakest are left out, less than half of ``need`` in all.
+    up = Window.partitionBy("a").orderBy("n", F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy("a")
+    stars = ties.select("a", "b", F.sum("n").over(up).alias("sum"), F.sum("n").over(every).alias("large"), F.min("need").over(every).alias("need")).where("large >= need and 2 * sum > need - 1 and a <> b").select("a", "b")
     candidates = materialize(often.union(stars), "candidates", True)
     cl = materialize(components(candidates).select(F.col("id").alias("content"), F.col("component").alias("cl")), "clusters", True)
     discard(candidates, ties)
@@ -422,11 +466,15 @@ def links(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tu
     t = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     found = materialize(sized.join(t, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("cl", "m", "big", "content", "text"), "texts", True)
     discard(members)
-    small = found.where("not big").select("cl", "content", "text").repartition("cl").sortWithinPartitions("cl")
-    edges = materialize(small.mapInArrow(_cluster_links(n, num, den), "a bigint, b bigint"), "links", True)
+    edges = _exact(found.where("not big").select("cl", "content", "text"), lambda t: shingles(t.as_py(), n), num, den)
     if not (big := found.where("big")).isEmpty():
         sets = materialize(big.select("cl", "m", "content", "text").mapInArrow(_as_sets(n), "cl bigint, m bigint, id bigint, g bigint, s array<bigint>"), "sets", True)
-        edges = edges.union(_large_links(sets, num, den))
+        parts = _parted(sets, num, den)
+        discard(sets)
+        edges = edges.union(_exact(parts.where(_bounded()).select("cl", "id", "s"), _as_set, num, den))
+        if (more := _large_links(parts.where(~_bounded()).drop("features"), num, den)) is not None:
+            edges = edges.union(more)
+    edges = materialize(edges, "links", True)
     discard(found)
     return rows, edges
 

@@ -67,6 +67,8 @@ def test_components_equal_brute_force(spark, monkeypatch, n, num, bound):
     monkeypatch.setattr(ngram_join, "CLUSTER_SETS", bound)  # 4: nearly all clusters take the distributed way, in several rounds
     monkeypatch.setattr(ngram_join, "PAIR_GROUP", 16 if bound > 4 else 3)
     monkeypatch.setattr(ngram_join, "SALT_SETS", 1024 if bound > 4 else 10)
+    monkeypatch.setattr(ngram_join, "HOT_GROUP", 64 if bound > 4 else 5)
+    monkeypatch.setattr(ngram_join, "MEET_GROUP", 6 if bound > 4 else 3)
     rows = near_rows()
     got = ngram_join.near_duplicates(docs(spark, rows), n, num, 100).collect()
     want = brute_components(rows, n, num, 100)
