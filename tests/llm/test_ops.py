@@ -189,6 +189,42 @@ def test_top_k_with_ties_and_bad_rows(spark):
     assert mtree.op5_topk(spark, df.limit(0)).count() == 0
 
 
+def brute_top(rows, k=20, every=20):
+    """rows: (vec_id, integers)"""
+    want = Counter()
+    for i, v in rows:
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i and len(w) == len(v))[:k]
+            want.update((i, r, j, -s) for r, (s, j) in enumerate(best, 1))
+    return want
+
+
+@pytest.mark.parametrize("big", [False, True])
+def test_top_k_over_many_trees_and_pages(spark, monkeypatch, big):
+    monkeypatch.setattr(mtree, "TREE_BYTES", 8 * 6 * 150)
+    monkeypatch.setattr(mtree, "MEET_BLOCKS", 2)
+    rng = random.Random(4)
+    centres = [[rng.randint(-30, 30) for _ in range(6)] for _ in range(9)]
+    rows = [(k, [c + rng.randint(-2, 2) for c in rng.choice(centres)]) for k in range(1500)] + [(1500 + k, centres[0]) for k in range(400)]
+    if big:  # products beyond 2**53, and queries far longer than what they meet
+        rows = [(i, [c * (3 * 10**7 if i % 40 == 0 else 10**7 + 1) + i % 7 for c in v]) for i, v in rows]
+    df = spark.createDataFrame([(i, [float(c) / 64 for c in v], "x") for i, v in rows], "vec_id bigint, embedding array<double>, score string")
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in mtree.op5_topk(spark, df).collect())
+    assert got == brute_top(rows)
+    trees = mtree.build_trees(df).toPandas()
+    assert len(trees) > 10 and len({len(r) for r in trees["radii"]}) > 1
+
+
+def test_far_queries_against_a_small_tree():
+    rng = np.random.default_rng(3)
+    rows, queries = rng.integers(-1000, 1000, size=(500, 4)), np.full((3, 4), 10**15) + rng.integers(0, 9, size=(3, 4))
+    tree = mtree.MTree.build(np.arange(500), rows)
+    for q, (s, i) in zip(queries, tree.top(np.array([-1, -2, -3]), queries, 20), strict=True):
+        want = sorted((-sum(int(a) * int(b) for a, b in zip(q, r, strict=True)), j) for j, r in enumerate(rows))[:20]
+        assert [(int(-a), int(b)) for a, b in zip(s, i, strict=True)] == want
+    assert len(tree.radii) > 8 and tree.scored < 1500
+
+
 # WARC ------------------------------------------------------------------------------------------------------------------
 
 
