@@ -238,11 +238,63 @@ def test_arc_to_warc_round_trip(spark):
         again = i != first
         want[(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if again else "response", first if again else None)] += 1
     assert Counter(tuple(r) for r in got) == want
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert warc.op6_warc(spark, empty).count() == 0
+
+
+ARC1 = (
+    b"filedesc://IA-001102.arc 0.0.0.0 19960923142103 text/plain 76\n1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    b"http://www.dryswamp.edu:80/index.html 127.10.100.2 19961104142103 text/html 50\nHTTP/1.0 200 Document follows\r\nX-Y: z\r\n\r\n<b>Hi</b>\n"
+    b"http://a.com/with blank page.html 10.0.0.1 19961104142104 text/html 9\nno header\n"
+    b"this line is no header\n\nhttp://bad.com 10.0.0.1 19961104 text/html -\n"
+    b"dns:www.dryswamp.edu 127.10.100.2 19961104142105 text/dns 12\n20 A 1.2.3.4\n"
+    b"http://cut.com 10.0.0.1 19961104142106 text/html 5000\ncut off"
+)
+ARC2 = (
+    b"filedesc://x.arc 0.0.0.0 20010101000000 text/plain 200 - - 0 x.arc 110\n2 0 Crawler\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n\n"
+    b"http://b.com/ 10.0.0.1 20010102030405 text/html 404 abc - 110 x.arc 40\nHTTP/1.1 404 Not Found\nA: b\n\n<b>Hi</b>..\n"
+    b"http://c.com/q 1 10.0.0.1 20010102030405 text/html - abc - 300 x.arc 3\nabc\n"
+)
+
+
+def test_hand_written_arcs():
+    got = list(warc.parse_arc(ARC1))
+    assert [(r.url, r.date, r.status) for r in got[1:]] == [("http://www.dryswamp.edu:80/index.html", "19961104142103", None), ("http://a.com/with blank page.html", "19961104142104", None), ("dns:www.dryswamp.edu", "19961104142105", None)]
+    assert got[1].parts() == (b"HTTP/1.0 200 Document follows\r\nX-Y: z\r\n\r\n", b"<b>Hi</b>") and got[1].http_header("x-y") == "z" and got[2].parts() == (b"", b"no header")
+    two = list(warc.parse_arc(ARC2))
+    assert [(r.url, r.status, r.parts()[1]) for r in two[1:]] == [("http://b.com/", 404, b"<b>Hi</b>.."), ("http://c.com/q 1", None, b"abc")]
+    kinds = []
+    for k, r in enumerate(got):
+        ((head, block),) = warc.parse_warc(warc.to_warc(r, warc.record_id("p", k)))
+        kinds.append(head["warc-type"])
+        if k == 1:
+            assert head["warc-date"] == "1996-11-04T14:21:03Z" and head["warc-payload-digest"] == "sha1:" + warc.base32_sha1(b"<b>Hi</b>") and block == r.block and head["content-type"] == "application/http; msgtype=response"
+        if k == 3:
+            assert head["content-type"] == "text/dns" and head["warc-payload-digest"] == "sha1:" + warc.base32_sha1(b"20 A 1.2.3.4")
+    assert kinds == ["warcinfo", "response", "resource", "resource"]
+    assert list(warc.parse_arc(b"")) == [] and list(warc.parse_arc(b"\n\nnothing here")) == []
     for version in (1, 2):
-        r = list(warc.parse_arc(warc.build_arc([("http://x", b"abc\n"), ("http://y", b"")], version)))
-        assert [(x.url, x.payload, x.status) for x in r] == [("http://x", b"abc\n", None if version == 1 else 200), ("http://y", b"", None if version == 1 else 200)]
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(warc.build_arc([("http://x", b"abc")], 1)[:-3]))
+        r = list(warc.parse_arc(b"".join(warc.build_arc([("http://x", b"abc\n"), ("http://y", b"")], version))))[1:]
+        assert [(x.url, x.block, x.status) for x in r] == [("http://x", b"abc\n", None if version == 1 else 200), ("http://y", b"", None if version == 1 else 200)]
+
+
+def test_archives_in_storage(spark):
+    long = "x\u00e9\r\n\r\n" * 30000
+    pages = spark.createDataFrame([(k, f"http://h/{k}", long if k == 7 else f"page {k % 40}") for k in range(120)], "page_id bigint, url string, html string").repartition(2)
+    warc.write_arc(pages, arcs := warc.shared_path(spark, "a"), archive_bytes=4000)
+    warc.convert(spark, arcs, out := warc.shared_path(spark, "w"), min_revisit=7)
+    files = [bytes(r.content) for r in warc._files(spark, out).collect()]
+    assert len(files) > 4 and all(f.endswith(warc.EMPTY_MEMBER) for f in files)
+    heads = [h for f in files for m in warc.members(f) for h, _ in warc.parse_warc(m)]  # each member is whole records
+    assert len({h["warc-record-id"] for h in heads}) == len(heads) == 120 + len(files) and sum(h["warc-type"] == "warcinfo" for h in heads) == len(files)
+    ids = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    rows = {r.page_id: r for r in warc.read_warc(spark, out).collect()}
+    for k in range(120):
+        text = long if k == 7 else f"page {k % 40}"
+        first = k if k == 7 else next(j for j in range(120) if j % 40 == k % 40 and j != 7)
+        again = first != k and len(text) >= 7
+        assert (rows[k].record_type, rows[k].refers_to, rows[k].payload_bytes) == ("revisit" if again else "response", first if again else None, len(text.encode()))
+    assert all(h["warc-refers-to"] in ids for h in heads if h["warc-type"] == "revisit")
 
 
 # Quality ---------------------------------------------------------------------------------------------------------------
