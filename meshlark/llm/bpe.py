@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshlark.llm.common import enter, holds
+
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|")
 PIECES = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 CACHE_ENTRIES, LEAF_BYTES, LEAF_CHARS, LONG_PIECE = 700_000, 64, 2048, 200
@@ -233,6 +235,7 @@ def _boundary(data: bytes, at: int) -> int:
 
 
 _ENCODERS: dict[str, TreeEncoder] = {}
+holds("bpe", _ENCODERS.clear)
 
 
 def encoder(path: str) -> TreeEncoder:
@@ -244,6 +247,7 @@ def encoder(path: str) -> TreeEncoder:
 
 def _digests(path: str):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         enc = encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -260,6 +264,7 @@ def _digests(path: str):
 
 def _encode_column(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         enc = encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):

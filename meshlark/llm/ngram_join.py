@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import discard, join_counted, materialize
+from meshlark.llm.common import discard, enter, holds, join_counted, materialize, trim
 from meshlark.operators.components import components
 
 MEET_GROUP, HOT_GROUP, CACHE_WORDS, BATCH_DOCS, BATCH_CHARS = 6, 64, 200_000, 2048, 6 << 20
@@ -59,6 +59,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+holds("ngrams", _WORDS.clear)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -153,6 +154,7 @@ def _signed(n: int, num: int, den: int, buckets: int):
     bucket the packed signatures of the contents; such a signature is sent once, marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngrams")
         enum = PartEnum(num, den)
 
         def emit(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
@@ -210,6 +212,8 @@ def _signed(n: int, num: int, den: int, buckets: int):
                     ids, texts, size = [], [], 0
         if ids:
             yield from emit(ids, texts)
+        _WORDS.clear()
+        trim()
 
     return run
 
@@ -340,6 +344,8 @@ def _cluster_links(read, num: int, den: int):
                 if content not in sets:
                     sets[content] = read(text)
         yield from close(sets)
+        _WORDS.clear()
+        trim()
 
     return run
 

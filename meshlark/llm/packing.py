@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.llm.bpe import tokenizer_path
+from meshlark.llm.common import enter
 from meshlark.llm.token_store import END_ID, word_encoder
 
 CAPACITIES, BLOCK_DOCS = (512, 1024, 2048, 4096, 8192), 20_000
@@ -61,6 +62,7 @@ def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, cost=
 
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("words")
         enc = word_encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshlark.llm.common import enter
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -194,6 +196,7 @@ def redact(documents: DataFrame, model: MarkovRatio) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("secrets")
         for b in batches:
             texts = [mask(t.as_py(), model) for t in b.column(at)]
             cols = [pa.array(texts, b.column(at).type) if k == at else b.column(k) for k in range(b.num_columns)]

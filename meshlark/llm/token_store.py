@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.bpe import CACHE_ENTRIES, LONG_PIECE, byte_table, load, tokenizer_path
-from meshlark.llm.common import materialize, shared_path
+from meshlark.llm.bpe import LONG_PIECE, byte_table, load, tokenizer_path
+from meshlark.llm.common import enter, holds, materialize, shared_path
 
-MAGIC, END_ID, SHARD_IDS = b"MLTOKEN1", 1, 4_000_000
+MAGIC, END_ID, SHARD_IDS, CACHE_WORDS = b"MLTOKEN1", 1, 4_000_000, 150_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 # Fixed value: the pre-token pattern of the word BPE vocabulary.
@@ -148,19 +148,28 @@ class WordEncoder:
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def encode_batch(self, texts: list[str], end: int | None = END_ID) -> list[bytes]:
-        for kept in (self.words, self.words.pieces):
-            if len(kept) > CACHE_ENTRIES:
-                kept.clear()
+        self.words.age()
         tail, words = b"" if end is None else self.raw([end]), self.words.__getitem__
         return [(self.raw(self.whole.encode(t, add_special_tokens=False).ids) if "<|" in t or SEPARATORS.search(t) else b"".join(map(words, t.split()))) + tail for t in texts]
 
 
 class _Words(dict):
     def __init__(self, of: WordEncoder):
-        self.of, self.model, self.pieces = of, of.whole.model, {}
+        self.of, self.model, self.pieces, self.old = of, of.whole.model, {}, {}
         self.stand = {b: c for c, b in byte_table().items()}
 
+    def age(self) -> None:
+        """A full cache is kept as the old one; what is asked for again moves over."""
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+
     def __missing__(self, w: str) -> bytes:
+        if (x := self.old.get(w)) is not None:
+            self[w] = x
+            return x
         if BEYOND_LATIN.search(w):
             x = self.of.raw(self.of.whole.encode(w, add_special_tokens=False).ids)
         else:
@@ -177,6 +186,7 @@ class _Words(dict):
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+holds("words", _ENCODERS.clear)
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -187,6 +197,7 @@ def word_encoder(path: str) -> WordEncoder:
 
 def _shards(path: str, shard_ids: int):
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("words")
         enc, part = word_encoder(path), TaskContext.get().partitionId()
         keys, ids, size, seq = [], [], 0, 0
 
