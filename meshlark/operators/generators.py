@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -100,34 +101,133 @@ def cells_edges(cells: DataFrame, side: int, dims: int) -> DataFrame:
     return _edges(cells, t).join(cells.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-# Which digits of a level's cell are kept.
+@dataclass(frozen=True)
+class Mask:
+    """The kept cells of a base^dims block."""
+
+    base: int
+    dims: int
+    kept: frozenset
+
+    def __len__(self) -> int:
+        return len(self.kept)
+
+
+def _whole(name: str, value: int, least: int, most: int | None = None) -> None:
+    if int(value) != value or value < least or (most is not None and value > most):
+        raise ValueError(f"{name} must be a whole number from {least}" + (f" to {most}" if most is not None else ""))
+
+
+def _where(base: int, dims: int, keep) -> Mask:
+    return Mask(base, dims, frozenset(c for c in itertools.product(range(base), repeat=dims) if keep(*c)))
+
+
+def _without(base: int, *boxes: tuple[tuple[int, int], ...]) -> Mask:
+    """All cells but those of boxes, each given by (first, size) an axis."""
+    inside = lambda c, box: all(at <= x < at + n for x, (at, n) in zip(c, box, strict=True))
+    return _where(base, len(boxes[0]), lambda *c: not any(inside(c, b) for b in boxes))
+
+
+def mask_cross(k: int = 5, arm_width: int = 1) -> Mask:
+    """Rows and columns through the middle."""
+    _whole("k", k, 3)
+    _whole("arm_width", arm_width, 1, k)
+    if k % 2 == 0:
+        raise ValueError("k must be odd")
+    arm = range(at := (k - arm_width) // 2, at + arm_width)
+    return _where(k, 2, lambda r, c: r in arm or c in arm)
+
+
+def mask_border(k: int = 5, thickness: int = 1) -> Mask:
+    _whole("k", k, 3)
+    _whole("thickness", thickness, 1, k)
+    return _where(k, 2, lambda r, c: min(r, c, k - 1 - r, k - 1 - c) < thickness)
+
+
+def mask_corner(k: int = 5, width: int = 2, corner: str = "top_left") -> Mask:
+    """One square block in a corner."""
+    _whole("k", k, 2)
+    _whole("width", width, 1, k)
+    row, _, col = corner.partition("_")
+    if row not in ("top", "bottom") or col not in ("left", "right"):
+        raise ValueError(f"unknown corner {corner!r}")
+    return _where(k, 2, lambda r, c: (r if row == "top" else k - 1 - r) < width and (c if col == "left" else k - 1 - c) < width)
+
+
+def mask_asymmetric_holes(k: int = 5, hole_size: int = 1) -> Mask:
+    """Holes near the two upper corners, and one at the lower side near the middle."""
+    _whole("k", k, 5)
+    _whole("hole_size", hole_size, 1, max(1, (k - 3) // 2))
+    if k % 2 == 0:
+        raise ValueError("k must be odd")
+    far = k - hole_size - 1
+    middle = max(1, min(far, (k - 1) // 2 - hole_size // 2))
+    return _without(k, *(((r, hole_size), (c, hole_size)) for r, c in ((1, 1), (1, far), (far, middle))))
+
+
+def mask_carpet() -> Mask:
+    return _where(3, 2, lambda r, c: (r, c) != (1, 1))
+
+
+def mask_menger() -> Mask:
+    return _where(3, 3, lambda *c: c.count(1) < 2)
+
+
+def mask_periodic_tunnels(side: int = 5, tunnel_width: int = 1, tunnel_period: int = 2, tunnel_offset: int = 2) -> Mask:
+    """Bands along each axis; a cell in two bands or more is in a tunnel. The offset counts from 1."""
+    _whole("side", side, 3)
+    _whole("tunnel_width", tunnel_width, 1, side - 1)
+    _whole("tunnel_period", tunnel_period, 1)
+    _whole("tunnel_offset", tunnel_offset, 1, side - tunnel_width)
+    band = {at + d for at in range(tunnel_offset - 1, side - tunnel_width, tunnel_period) for d in range(tunnel_width)}
+    return _where(side, 3, lambda *c: sum(x in band for x in c) < 2)
+
+
+def mask_asymmetric_cavities(side: int = 5, cavity_size: int = 2, pocket_size: int | None = None) -> Mask:
+    """A large and a small cube cut out of opposite parts of the inside."""
+    pocket_size = max(1, cavity_size - 1) if pocket_size is None else pocket_size
+    _whole("side", side, 5)
+    _whole("cavity_size", cavity_size, 1, side - 2)
+    _whole("pocket_size", pocket_size, 1, side - 2)
+    a, b = max(1, side - cavity_size - 1), max(1, side - pocket_size - 1)
+    return _without(side, ((1, cavity_size), (a, cavity_size), (1, cavity_size)), ((b, pocket_size), (1, pocket_size), (b, pocket_size)))
+
+
+def mask_channel_network(side: int = 5, channel_width: int = 1, branch_offset: int = 2) -> Mask:
+    """Three channels through the middle, and two branches beside it. The offset counts from 1."""
+    _whole("side", side, 5)
+    _whole("channel_width", channel_width, 1, side - 1)
+    _whole("branch_offset", branch_offset, 2, side - channel_width)
+    thin, full = ((side - channel_width) // 2, channel_width), (0, side)
+    branch, high = (branch_offset - 1, channel_width), (side - channel_width - 1, channel_width)
+    return _without(side, (thin, full, thin), (full, thin, thin), (thin, thin, full), (branch, full, thin), (thin, high, full))
+
+
 MASKS = {
-    "carpet": (3, 2, [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]),
-    "vicsek": (3, 2, [(0, 1), (1, 0), (1, 1), (1, 2), (2, 1)]),
-    "border": (3, 2, [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]),
-    "cross": (3, 2, [(0, 1), (1, 0), (1, 1), (1, 2), (2, 1)]),
-    "corner": (3, 2, [(0, 0), (0, 2), (1, 1), (2, 0), (2, 2)]),
-    "asymmetric_holes": (4, 2, [(r, c) for r in range(4) for c in range(4) if (r, c) not in ((1, 1), (2, 3))]),
-    "menger": (3, 3, [(a, b, c) for a in range(3) for b in range(3) for c in range(3) if (a == 1) + (b == 1) + (c == 1) < 2]),
-    "periodic_tunnels": (3, 3, [(a, b, c) for a in range(3) for b in range(3) for c in range(3) if not (a == 1 and b == 1)]),
-    "asymmetric_cavities": (3, 3, [(a, b, c) for a in range(3) for b in range(3) for c in range(3) if (a, b, c) not in ((1, 1, 1), (0, 1, 2))]),
-    "channel_network": (3, 3, [(a, b, c) for a in range(3) for b in range(3) for c in range(3) if (a == 1) + (b == 1) + (c == 1) != 3]),
-}
-
-
-def recursive_cells(spark: SparkSession, mask: str | tuple, levels: int) -> tuple[DataFrame, int, int]:
+    "carpet": mask_carpet, "vicsek": lambda: mask_cross(3, 1), "border": mask_border, "cross": mask_cross, "corner": mask_corner, "asymmetric_holes": mask_asymmetric_holes,
+    "menger": mask_menger, "periodic_tunnels": mask_periodic_tunnels, "asymmetric_cavities": mask_asymmetric_cavities, "channel_network": mask_channel_network,
+}
+
+
+def mask_cells(spark: SparkSession, masks: dict[str, Mask]) -> DataFrame:
+    """mask, c0, c1, c2 (-1 in two dimensions) of each kept cell; one level of each mask."""
+    rows = [(name, *c, *([-1] * (3 - m.dims))) for name, m in masks.items() for c in sorted(m.kept)]
+    return spark.createDataFrame(rows, "mask string, c0 int, c1 int, c2 int")
+
+
+def recursive_cells(spark: SparkSession, mask: str | Mask, levels: int) -> tuple[DataFrame, int, int]:
     """Cells all of whose base-b digit tuples are kept."""
-    base, dims, kept = MASKS[mask] if isinstance(mask, str) else mask
-    side = base**levels
-    c = _cells(spark, side, dims)
-    code = lambda level: sum((F.floor(F.col(f"c{k}") / base**level) % base * base ** (dims - 1 - k) for k in range(dims)), F.lit(0))
-    keep = [sum(d * base ** (dims - 1 - k) for k, d in enumerate(t)) for t in kept]
+    m = MASKS[mask]() if isinstance(mask, str) else mask
+    side = m.base**levels
+    c = _cells(spark, side, m.dims)
+    place = lambda digits: sum(d * m.base ** (m.dims - 1 - k) for k, d in enumerate(digits))
+    keep = sorted(map(place, m.kept))
     for level in range(levels):
-        c = c.where(code(level).isin(keep))
-    return c, side, dims
+        c = c.where(place([F.floor(F.col(f"c{k}") / m.base**level) % m.base for k in range(m.dims)]).isin(keep))
+    return c, side, m.dims
 
 
-def recursive_mask_graph(spark: SparkSession, mask: str | tuple, levels: int) -> DataFrame:
+def recursive_mask_graph(spark: SparkSession, mask: str | Mask, levels: int) -> DataFrame:
     """src, dst over lattice ids."""
     c, side, dims = recursive_cells(spark, mask, levels)
     return cells_edges(c, side, dims)
@@ -140,47 +240,104 @@ def occupied_mesh(spark: SparkSession, h: int, w: int, keep: Column) -> DataFram
     return mesh(spark, h, w).join(k.select(F.col("v").alias("src")), "src", "left_semi").join(k.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def keep_periodic_holes(period: int = 4, hole: int = 2) -> Column:
-    return ~((F.col("i") % period < hole) & (F.col("j") % period < hole) & (F.col("i") >= period) & (F.col("j") >= period))
+def _block(x: Column, first: int | Column, period: int, size: int, n: int) -> Column:
+    """x is in a run of ``size`` places that begins at ``first`` (from 0) or a multiple of ``period`` after it, and that ends within n places."""
+    start = x - F.pmod(x - first, F.lit(period)) if size <= period else F.lit(None)
+    if size <= period:
+        return (x >= first) & (x - start < size) & (start + size <= n)
+    last = first + F.floor((F.lit(n - size) - first) / period) * period  # runs overlap: one long run
+    return (x >= first) & (x < last + size) & (last >= first)
 
 
-def keep_staggered_windows(period: int = 4) -> Column:
-    return ~((F.col("i") % period == period // 2) & ((F.col("j") + (F.floor(F.col("i") / period) % 2) * (period // 2)) % period < period // 2))
+def keep_periodic_holes(h: int, w: int, hole_period: int = 4, hole_height: int = 1, hole_width: int | None = None, row_offset: int = 2, col_offset: int = 2) -> Column:
+    """Predicates over i and j, from 0; offsets count from 1."""
+    hole_width = hole_height if hole_width is None else hole_width
+    return ~(_block(F.col("i"), row_offset - 1, hole_period, hole_height, h) & _block(F.col("j"), col_offset - 1, hole_period, hole_width, w))
 
 
-def keep_slit_channels(period: int = 5, gap: int = 2) -> Column:
-    return ~((F.col("i") % period == period - 1) & (F.col("j") % (2 * gap) >= gap))
+def keep_staggered_windows(h: int, w: int, window_height: int = 1, window_width: int = 2, row_period: int = 4, col_period: int = 5, row_offset: int = 2, col_offset: int = 2) -> Column:
+    """Bands of windows; those of every other band are half a period to the right."""
+    if window_height > row_period:
+        raise ValueError("bands of windows may not overlap")
+    odd = F.floor((F.col("i") - (row_offset - 1)) / row_period) % 2 == 1
+    rows = _block(F.col("i"), row_offset - 1, row_period, window_height, h)
+    cols = F.when(odd, _block(F.col("j"), col_offset - 1 + col_period // 2, col_period, window_width, w)).otherwise(_block(F.col("j"), col_offset - 1, col_period, window_width, w))
+    return ~(rows & cols)
 
 
-def keep_asymmetric_notches(h: int, w: int) -> Column:
-    return ~(((F.col("i") < h // 4) & (F.col("j") > w // 2)) | ((F.col("i") > 3 * h // 4) & (F.col("j") < w // 5)))
+def keep_slit_channels(h: int, w: int, orientation: str = "vertical", slit_period: int = 5, slit_width: int = 1, bridge_spacing: int = 4, bridge_size: int = 1, offset: int = 2) -> Column:
+    """Slits along one axis, with bridges at its start and every ``bridge_spacing`` places."""
+    if orientation not in ("vertical", "horizontal"):
+        raise ValueError(f"unknown orientation {orientation!r}")
+    along, across, n = ("i", "j", w) if orientation == "vertical" else ("j", "i", h)
+    return ~(_block(F.col(across), offset - 1, slit_period, slit_width, n) & (F.col(along) % bridge_spacing >= bridge_size))
 
 
-def _replicate(spark: SparkSession, corners: list[tuple[float, ...]], levels: int, kept: list[int] | None) -> DataFrame:
-    """Simplex cells by half-scale copies: cell, corner coordinates (rounded to 12 digits, so that copies meet)."""
+def keep_asymmetric_notches(h: int, w: int, notch_depth: int = 3, notch_width: int = 2) -> Column:
+    """Cuts from above at a third of the width, from the right at half the height (one wider), and from below at two thirds (one less deep)."""
+    box = lambda r0, r1, c0, c1: F.col("i").between(r0 - 1, r1 - 1) & F.col("j").between(c0 - 1, c1 - 1)  # noqa: E731  places from 1
+    deep = lambda depth, n: min(max(1, depth), max(1, n - 2))
+    left, wide = max(2, w // 3), deep(notch_width, w)
+    top = box(1, deep(notch_depth, h), left, min(w - 1, left + wide - 1))
+    tall = deep(notch_width + 1, h)
+    high = max(2, h // 2 - tall // 2)
+    right = box(high, min(h - 1, high + tall - 1), w - deep(notch_depth, w) + 1, w)
+    end, wide = min(w - 2, max(2, 2 * w // 3)), min(max(1, notch_width), max(1, w - 3))
+    bottom = box(h - deep(notch_depth - 1, h) + 1, h, max(2, end - wide + 1), end)
+    return ~(top | right | bottom)
+
+
+# The slots of simplex masks; each is the copy at that corner, and the triangle's centre the one between the sides' middles.
+TRIANGLE, TETRAHEDRON = ("left", "right", "top", "center"), ("base_left", "base_right", "base_back", "apex")
+
+
+def mask_triangle(missing: str | None = None) -> tuple[str, ...]:
+    """Without ``missing`` the classic gasket (no centre), else the bridge: all slots but that corner."""
+    if missing is None:
+        return TRIANGLE[:3]
+    if missing not in TRIANGLE[:3]:
+        raise ValueError(f"unknown corner {missing!r}")
+    return tuple(s for s in TRIANGLE if s != missing)
+
+
+def mask_tetrahedron(omit: str | None = None) -> tuple[str, ...]:
+    if omit is not None and omit not in TETRAHEDRON:
+        raise ValueError(f"unknown corner {omit!r}")
+    return tuple(s for s in TETRAHEDRON if s != omit)
+
+
+def _replicate(spark: SparkSession, corners: list[tuple[float, ...]], levels: int, kept: list[int]) -> DataFrame:
+    """Simplex cells by half-scale copies: cell, corner coordinates (rounded to 12 digits, so that copies meet). Copy k is at corner k; the one after the last is turned, between the sides' middles."""
     d = spark.createDataFrame([(0, [list(map(float, c)) for c in corners])], "cell bigint, p array<array<double>>")
-    kept = list(range(len(corners))) if kept is None else kept
+    n = len(corners)
 
     def half(k: int) -> Column:
-        return F.transform("p", lambda q: F.zip_with(q, F.get("p", F.lit(k)), lambda a, b: (a + b) / 2))
+        middle = lambda a, b: F.zip_with(a, b, lambda x, y: (x + y) / 2)
+        return F.array(*(middle(F.get("p", F.lit(q)), F.get("p", F.lit(k if k < n else (q + 1) % n))) for q in range(n)))
 
     for _ in range(levels):
-        d = d.select(F.explode(F.array(*(F.struct((F.col("cell") * len(corners) + k).alias("cell"), half(k).alias("p")) for k in kept))).alias("x")).select("x.*")
+        d = d.select(F.explode(F.array(*(F.struct((F.col("cell") * (n + 1) + k).alias("cell"), half(k).alias("p")) for k in kept))).alias("x")).select("x.*")
     return d.select("cell", F.transform("p", lambda q: F.transform(q, lambda a: F.bround(a, 12) + F.lit(0.0))).alias("p"))
 
 
-def sierpinski(spark: SparkSession, levels: int, dims: int = 2, kept: list[int] | None = None) -> Bundle:
-    """Triangle (2) or tetrahedron (3): vertices are distinct corners in coordinate order, edges the sides of the cells."""
+def simplex_mask_graph(spark: SparkSession, levels: int, slots: tuple[str, ...] | None = None, dims: int = 2) -> Bundle:
+    """Triangle (2) or tetrahedron (3), classic or by the slots kept at each level: vertices are distinct corners in coordinate order, edges the sides of the cells."""
     from pyspark.sql import Window
 
     corners = [(0.0, 0.0), (1.0, 0.0), (0.5, math.sqrt(3) / 2)] if dims == 2 else [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.5, math.sqrt(3) / 2, 0.0), (0.5, math.sqrt(3) / 6, math.sqrt(2 / 3))]
-    d = _replicate(spark, corners, levels, kept)
+    names = TRIANGLE if dims == 2 else TETRAHEDRON
+    slots = slots or (mask_triangle() if dims == 2 else mask_tetrahedron())
+    d = _replicate(spark, corners, levels, [names.index(x) for x in slots])
     sides = [(a, b) for a in range(dims + 1) for b in range(a + 1, dims + 1)]
     e = d.select(F.explode(F.array(*(F.struct(F.get("p", F.lit(a)).alias("a"), F.get("p", F.lit(b)).alias("b")) for a, b in sides))).alias("s")).select("s.*")
     v = e.select(F.explode(F.array("a", "b")).alias("x")).distinct().select("x", F.row_number().over(Window.orderBy("x")).cast("bigint").alias("v"))
     e = e.join(v.select(F.col("x").alias("a"), F.col("v").alias("s")), "a").join(v.select(F.col("x").alias("b"), F.col("v").alias("t")), "b").select(F.least("s", "t").alias("src"), F.greatest("s", "t").alias("dst")).distinct()
     coords = v.select("v", "x")
-    return Bundle(lengths_from_coords(e, coords, "none"), coords, f"sierpinski-{dims}", {"levels": levels})
+    return Bundle(lengths_from_coords(e, coords, "none"), coords, f"sierpinski-{dims}", {"levels": levels, "slots": slots})
+
+
+def sierpinski(spark: SparkSession, levels: int, dims: int = 2) -> Bundle:
+    return simplex_mask_graph(spark, levels, None, dims)
 
 
 def _bundle(edges: DataFrame, coords: DataFrame, family: str, by: str, **attrs) -> Bundle:
@@ -237,7 +394,7 @@ def lattice_coords(cells: DataFrame, side: int, dims: int, mode: str = "plain",
     return cells.select("v", F.array(*(q.cast("double") for q in p)).alias("x"))
 
 
-def recursive_mask_surface(spark: SparkSession, mask: str | tuple, levels: int, mode: str = "plain", by: str = "median", **kw) -> Bundle:
+def recursive_mask_surface(spark: SparkSession, mask: str | Mask, levels: int, mode: str = "plain", by: str = "median", **kw) -> Bundle:
     c, side, dims = recursive_cells(spark, mask, levels)
     return _bundle(cells_edges(c, side, dims), lattice_coords(c, side, dims, mode, **kw), str(mask), by, levels=levels)
 

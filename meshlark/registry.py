@@ -1002,10 +1002,13 @@ def _gen(name, sql, make):
 _gen("path", "SELECT v AS src, v + 1 AS dst FROM range(1, 50) t(v)", lambda s: generators.path(s, 50))
 _gen("cycle", "SELECT least(v, v % 50 + 1) AS src, greatest(v, v % 50 + 1) AS dst FROM range(1, 51) t(v)", lambda s: generators.cycle(s, 50))
 _gen("mesh", "SELECT i * 30 + j + 1 AS src, i * 30 + j + 2 AS dst FROM range(20) a(i), range(29) b(j) UNION ALL SELECT i * 30 + j + 1, (i + 1) * 30 + j + 1 FROM range(19) a(i), range(30) b(j)", lambda s: generators.mesh(s, 20, 30))
-_gen("mesh_diagonal", "SELECT count(*) AS n, 20 * 29 + 19 * 30 + 19 * 29 AS want FROM range(20 * 29 + 19 * 30 + 19 * 29)", lambda s: generators.mesh(s, 20, 30, True).agg(F.count(F.lit(1)).alias("n"), F.lit(20 * 29 + 19 * 30 + 19 * 29).alias("want")))
+_gen("mesh_diagonal", """WITH g AS (SELECT i * 30 + j + 1 AS v, i, j FROM range(20) a(i), range(30) b(j))
+SELECT a.v AS src, b.v AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j IN (a.j, a.j + 1))""", lambda s: generators.mesh(s, 20, 30, True))
 _gen("cylinder", "SELECT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT i * 12 + j + 1 AS a, i * 12 + (j + 1) % 12 + 1 AS b FROM range(9) a(i), range(12) b(j) UNION ALL SELECT i * 12 + j + 1, (i + 1) * 12 + j + 1 FROM range(8) a(i), range(12) b(j))", lambda s: generators.cylinder(s, 9, 12))
 _gen("torus", "SELECT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT i * 12 + j + 1 AS a, i * 12 + (j + 1) % 12 + 1 AS b FROM range(9) a(i), range(12) b(j) UNION ALL SELECT i * 12 + j + 1, ((i + 1) % 9) * 12 + j + 1 FROM range(9) a(i), range(12) b(j))", lambda s: generators.torus(s, 9, 12))
-_gen("sphere", "SELECT (10 * (2 * 8 - 3))::BIGINT AS n, 2 + 6 * 10 AS last", lambda s: generators.sphere(s, 8, 10).agg(F.count(F.lit(1)).alias("n"), F.max("dst").cast("int").alias("last")))
+_gen("sphere", """WITH g AS (SELECT i * 10 + j + 2 AS v, i, j FROM range(6) a(i), range(10) b(j))
+SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = (a.j + 1) % 10) OR (b.i = a.i + 1 AND b.j = a.j)
+UNION ALL SELECT 1, v FROM g WHERE i = 0 UNION ALL SELECT v, 62 FROM g WHERE i = 5""", lambda s: generators.sphere(s, 8, 10))
 _gen("kary_tree", "SELECT (v - 2) // 3 + 1 AS src, v AS dst FROM range(2, 122) t(v)", lambda s: generators.kary_tree(s, 3, 4))
 _gen("kary_tree_weighted", "SELECT (v - 2) // 2 + 1 AS src, v AS dst, round(pow(0.5, floor(log2(v)) - 1) * CASE WHEN (v - 2) % 2 = 0 THEN 0.9 ELSE 1.1 END, 6) AS w FROM range(2, 64) t(v)", lambda s: rounded(generators.kary_tree_weighted(s, 2, 5, decay=0.5, spread=0.2)))
 _gen("cube_surface", """WITH c AS (SELECT x * 25 + y * 5 + z + 1 AS v, x, y, z FROM range(5) a(x), range(5) b(y), range(5) c(z) WHERE x IN (0, 4) OR y IN (0, 4) OR z IN (0, 4))
@@ -1014,33 +1017,51 @@ _gen("carpet", """WITH c AS (SELECT x * 27 + y + 1 AS v, x, y FROM range(27) a(x
 SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s: generators.recursive_mask_graph(s, "carpet", 3))
 _gen("vicsek", """WITH c AS (SELECT x * 9 + y + 1 AS v, x, y FROM range(9) a(x), range(9) b(y) WHERE (x % 3 = 1 OR y % 3 = 1) AND (x // 3 = 1 OR y // 3 = 1))
 SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s: generators.recursive_mask_graph(s, "vicsek", 2))
-_gen("menger_cells", "SELECT m AS mask, n::BIGINT AS cells FROM (VALUES ('menger', 400), ('periodic_tunnels', 576), ('asymmetric_cavities', 625), ('channel_network', 676)) t(m, n)", lambda s: _count_cells(s))
-_gen("sierpinski", "SELECT dims, vertices::BIGINT AS vertices, edges::BIGINT AS edges FROM (VALUES (2, 123, 243), (3, 130, 384)) t(dims, vertices, edges)", lambda s: _count_simplex(s))
-_gen("occupied_mesh", """WITH g AS (SELECT i * 16 + j + 1 AS v, i, j FROM range(12) a(i), range(16) b(j) WHERE NOT (i % 4 < 2 AND j % 4 < 2 AND i >= 4 AND j >= 4))
-SELECT a.v AS src, b.v AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j)""", lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_periodic_holes()))
+_gen("mask_cells", """WITH q AS (SELECT x, y FROM range(7) a(x), range(7) b(y)), c AS (SELECT x, y, z FROM range(5) a(x), range(5) b(y), range(5) c(z))
+SELECT m AS mask, x::INTEGER AS c0, y::INTEGER AS c1, -1::INTEGER AS c2 FROM q, (VALUES ('cross_5', 5), ('cross_7_3', 7), ('border_5', 5), ('border_7_2', 7), ('corner_top_left', 5), ('corner_bottom_right', 5), ('corner_top_right_6_4', 6), ('holes_5', 5), ('holes_7_2', 7)) t(m, k)
+WHERE x < k AND y < k AND CASE m WHEN 'cross_5' THEN x = 2 OR y = 2 WHEN 'cross_7_3' THEN x IN (2, 3, 4) OR y IN (2, 3, 4) WHEN 'border_5' THEN x IN (0, 4) OR y IN (0, 4) WHEN 'border_7_2' THEN NOT (x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4)
+ WHEN 'corner_top_left' THEN x < 2 AND y < 2 WHEN 'corner_bottom_right' THEN x > 2 AND y > 2 WHEN 'corner_top_right_6_4' THEN x < 4 AND y > 1 WHEN 'holes_5' THEN (x, y) NOT IN ((1, 1), (1, 3), (3, 2))
+ ELSE NOT (x IN (1, 2) AND y IN (1, 2, 4, 5)) AND NOT (x IN (4, 5) AND y IN (2, 3)) END
+UNION ALL SELECT m, x::INTEGER, y::INTEGER, z::INTEGER FROM c, (VALUES ('menger', 3), ('tunnels_5', 5), ('cavities_5', 5), ('channels_5', 5)) t(m, k)
+WHERE x < k AND y < k AND z < k AND CASE m WHEN 'menger' THEN (x = 1)::INT + (y = 1)::INT + (z = 1)::INT < 2 WHEN 'tunnels_5' THEN (x IN (1, 3))::INT + (y IN (1, 3))::INT + (z IN (1, 3))::INT < 2
+ WHEN 'cavities_5' THEN NOT (x IN (1, 2) AND y IN (2, 3) AND z IN (1, 2)) AND NOT (x = 3 AND y = 1 AND z = 3) ELSE NOT ((x = 2 AND z = 2) OR (y = 2 AND z = 2) OR (x = 2 AND y = 2) OR (x = 1 AND z = 2) OR (x = 2 AND y = 3)) END""",
+     lambda s: generators.mask_cells(s, {"cross_5": generators.mask_cross(), "cross_7_3": generators.mask_cross(7, 3), "border_5": generators.mask_border(), "border_7_2": generators.mask_border(7, 2), "corner_top_left": generators.mask_corner(), "corner_bottom_right": generators.mask_corner(corner="bottom_right"),
+                                         "corner_top_right_6_4": generators.mask_corner(6, 4, "top_right"), "holes_5": generators.mask_asymmetric_holes(), "holes_7_2": generators.mask_asymmetric_holes(7, 2), "menger": generators.mask_menger(), "tunnels_5": generators.mask_periodic_tunnels(),
+                                         "cavities_5": generators.mask_asymmetric_cavities(), "channels_5": generators.mask_channel_network()}))
+_gen("menger", """WITH c AS (SELECT x * 81 + y * 9 + z + 1 AS v, x, y, z FROM range(9) a(x), range(9) b(y), range(9) c(z) WHERE (x % 3 = 1)::INT + (y % 3 = 1)::INT + (z % 3 = 1)::INT < 2 AND (x // 3 = 1)::INT + (y // 3 = 1)::INT + (z // 3 = 1)::INT < 2)
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y AND b.z = a.z) OR (b.x = a.x AND b.y = a.y + 1 AND b.z = a.z) OR (b.x = a.x AND b.y = a.y AND b.z = a.z + 1)""", lambda s: generators.recursive_mask_graph(s, "menger", 2))
+_gen("corner_mask", """WITH c AS (SELECT x * 25 + y + 1 AS v, x, y FROM range(25) a(x), range(25) b(y) WHERE x % 5 < 3 AND y % 5 < 3 AND x // 5 < 3 AND y // 5 < 3)
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s: generators.recursive_mask_graph(s, generators.mask_corner(5, 3), 2))
+# Points of the triangle are (i, j) steps along two sides; a cell is there if i and j have no bit in common. Vertices are in coordinate order.
+_gen("sierpinski_triangle", """WITH c AS (SELECT i, j FROM range(16) a(i), range(16) b(j) WHERE i + j < 16 AND (i & j) = 0), p AS (SELECT i, j FROM c UNION SELECT i + 1, j FROM c UNION SELECT i, j + 1 FROM c),
+v AS (SELECT i, j, row_number() OVER (ORDER BY 2 * i + j, j) AS v FROM p), e AS (SELECT i AS i, j AS j, i + 1 AS k, j AS l FROM c UNION ALL SELECT i, j, i, j + 1 FROM c UNION ALL SELECT i + 1, j, i, j + 1 FROM c)
+SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, 0.0625::DOUBLE AS w FROM e JOIN v a ON a.i = e.i AND a.j = e.j JOIN v b ON b.i = e.k AND b.j = e.l""", lambda s: rounded(generators.sierpinski(s, 4).edges))
+_gen("sierpinski_tetrahedron", """WITH c AS (SELECT i, j, k FROM range(8) a(i), range(8) b(j), range(8) c(k) WHERE i + j + k < 8 AND (i & j) = 0 AND (i & k) = 0 AND (j & k) = 0),
+q AS (SELECT i, j, k, n FROM c, range(4) t(n)), p AS (SELECT DISTINCT i + (n = 1)::INT AS i, j + (n = 2)::INT AS j, k + (n = 3)::INT AS k FROM q), v AS (SELECT i, j, k, row_number() OVER (ORDER BY 2 * i + j + k, 3 * j + k, k) AS v FROM p),
+m AS (SELECT c.i AS ci, c.j AS cj, c.k AS ck, n, v.v FROM c, range(4) t(n) JOIN v ON v.i = c.i + (n = 1)::INT AND v.j = c.j + (n = 2)::INT AND v.k = c.k + (n = 3)::INT)
+SELECT DISTINCT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, 0.125::DOUBLE AS w FROM m a JOIN m b ON a.ci = b.ci AND a.cj = b.cj AND a.ck = b.ck AND a.n < b.n""", lambda s: rounded(generators.sierpinski(s, 3, 3).edges))
+# The bridge without its top: after one level three triangles on the base, the middle one upside down.
+_gen("triangle_bridge", """SELECT src, dst, 0.5::DOUBLE AS w FROM (VALUES (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (3, 5), (4, 5)) t(src, dst)""", lambda s: rounded(generators.simplex_mask_graph(s, 1, generators.mask_triangle("top")).edges))
+_gen("tetrahedron_corner", """WITH c AS (SELECT i, j, 0 AS k FROM range(4) a(i), range(4) b(j) WHERE i + j < 4 AND (i & j) = 0),
+q AS (SELECT i, j, k, n FROM c, range(4) t(n)), p AS (SELECT DISTINCT i + (n = 1)::INT AS i, j + (n = 2)::INT AS j, k + (n = 3)::INT AS k FROM q), v AS (SELECT i, j, k, row_number() OVER (ORDER BY 2 * i + j + k, 3 * j + k, k) AS v FROM p),
+m AS (SELECT c.i AS ci, c.j AS cj, n, v.v FROM c, range(4) t(n) JOIN v ON v.i = c.i + (n = 1)::INT AND v.j = c.j + (n = 2)::INT AND v.k = (n = 3)::INT)
+SELECT DISTINCT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, 0.25::DOUBLE AS w FROM m a JOIN m b ON a.ci = b.ci AND a.cj = b.cj AND a.n < b.n""", lambda s: rounded(generators.simplex_mask_graph(s, 2, generators.mask_tetrahedron("apex"), 3).edges))
+GRID = "g AS (SELECT i * 16 + j + 1 AS v, i, j FROM range(12) a(i), range(16) b(j) WHERE {})"
+OCCUPIED = " SELECT a.v AS src, b.v AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j)"
+_gen("periodic_holes", "WITH " + GRID.format("NOT (i IN (1, 5, 9) AND j IN (1, 5, 9, 13))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_periodic_holes(12, 16)))
+_gen("staggered_windows", "WITH " + GRID.format("NOT (i IN (1, 9) AND j IN (1, 2, 6, 7, 11, 12)) AND NOT (i = 5 AND j IN (3, 4, 8, 9, 13, 14))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_staggered_windows(12, 16)))
+_gen("slit_channels", "WITH " + GRID.format("NOT (j IN (1, 6, 11) AND i NOT IN (0, 4, 8))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_slit_channels(12, 16)))
+_gen("slit_channels_across", "WITH " + GRID.format("NOT (i IN (2, 3, 6, 7, 10, 11) AND j NOT IN (0, 1, 6, 7, 12, 13))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_slit_channels(12, 16, "horizontal", 4, 2, 6, 2, 3)))
+_gen("asymmetric_notches", "WITH " + GRID.format("NOT (i < 3 AND j IN (4, 5)) AND NOT (i IN (4, 5, 6) AND j > 12) AND NOT (i > 9 AND j IN (8, 9))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_asymmetric_notches(12, 16)))
 _gen("mesh_surface", """WITH g AS (SELECT i * 10 + j + 1 AS v, 2 * j / 9.0 - 1 AS u, 2 * i / 7.0 - 1 AS t, i, j FROM range(8) a(i), range(10) b(j)), c AS (SELECT *, 0.5 * (u * u - t * t) AS z FROM g),
 e AS (SELECT a.v AS src, b.v AS dst, sqrt((a.u - b.u) ** 2 + (a.t - b.t) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.mesh_surface(s, 8, 10, "saddle").edges))
 _gen("torus_surface", """WITH g AS (SELECT i * 12 + j + 1 AS v, i, j, (2 + 0.7 * cos(2 * pi() * i / 8)) * cos(2 * pi() * j / 12) AS x, (2 + 0.7 * cos(2 * pi() * i / 8)) * sin(2 * pi() * j / 12) AS y, 0.7 * sin(2 * pi() * i / 8) AS z FROM range(8) a(i), range(12) b(j)),
 e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM g a JOIN g b ON (b.i = a.i AND b.j = (a.j + 1) % 12) OR (b.i = (a.i + 1) % 8 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT avg(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.torus_surface(s, 8, 12, by="mean").edges))
-_gen("cylinder_surface", "SELECT 96::BIGINT AS n, round(max(r), 6) AS widest FROM (SELECT 1 + 0.2 * (1 - (1 - 2 * i / 7.0) ** 2) AS r FROM range(8) t(i))", lambda s: rounded(generators.cylinder_surface(s, 8, 12, mode="barrel").coords.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.get("x", F.lit(0)) ** 2 + F.get("x", F.lit(1)) ** 2)).alias("widest"))))
-_gen("sphere_surface", "SELECT 62::BIGINT AS n, 1.0::DOUBLE AS radius", lambda s: rounded(generators.sphere_surface(s, 8, 10).coords.agg(F.count(F.lit(1)).alias("n"), F.max(V.norm("x")).alias("radius"))))
+_gen("cylinder_surface", """WITH g AS (SELECT i * 12 + j + 1 AS v, i, j, 1 - 2 * i / 7.0 AS s, 1 + 0.2 * (1 - (1 - 2 * i / 7.0) ** 2) AS r, 2 * pi() * j / 12 AS t FROM range(8) a(i), range(12) b(j)), c AS (SELECT v, i, j, r * cos(t) AS x, r * sin(t) AS y, s AS z FROM g),
+e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = (a.j + 1) % 12) OR (b.i = a.i + 1 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.cylinder_surface(s, 8, 12, mode="barrel").edges))
+_gen("sphere_surface", """WITH g AS (SELECT i * 10 + j + 2 AS v, i, j, pi() / 2 - pi() * (i + 1) / 7 AS lat, 2 * pi() * j / 10 AS t FROM range(6) a(i), range(10) b(j)),
+c AS (SELECT v, i, j, cos(lat) * cos(t) AS x, cos(lat) * sin(t) AS y, sin(lat) AS z FROM g UNION ALL SELECT 1, -1, NULL, 0, 0, 1 UNION ALL SELECT 62, 6, NULL, 0, 0, -1),
+e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = (a.j + 1) % 10) OR (b.i = a.i + 1 AND (b.j = a.j OR a.j IS NULL OR b.j IS NULL))) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.sphere_surface(s, 8, 10).edges))
 _gen("irregular", None, lambda s: rounded(generators.irregular(s, "sphere", 120, 6).edges))
 _gen("triangulated", None, lambda s: rounded(generators.triangulated(s, "annulus", 14).edges))
 _gen("sampled_rectangle", None, lambda s: rounded(generators.sampled_rectangle(s, 150, 5).edges))
-
-
-def _count_cells(s):
-    out = None
-    for m in ("menger", "periodic_tunnels", "asymmetric_cavities", "channel_network"):
-        c = generators.recursive_cells(s, m, 2)[0].agg(F.lit(m).alias("mask"), F.count(F.lit(1)).alias("cells"))
-        out = c if out is None else out.union(c)
-    return out
-
-
-def _count_simplex(s):
-    out = None
-    for dims, levels in ((2, 4), (3, 3)):
-        b = generators.sierpinski(s, levels, dims)
-        c = b.coords.agg(F.lit(dims).alias("dims"), F.count(F.lit(1)).alias("vertices")).crossJoin(b.edges.agg(F.count(F.lit(1)).alias("edges")))
-        out = c if out is None else out.union(c)
-    return out
