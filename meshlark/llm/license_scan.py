@@ -5,7 +5,7 @@ wrapped). A template is found in a block that holds at least ``CONTAINMENT`` of
 is exact: words of all templates are ranked by how many documents have them (rarest first, counted over the whole corpus), and a block
 meets a template only if (length) it has enough template words, (prefix) one of the template's rarest words, and (position) enough words left
 after the first common one on both sides; what remains is counted. Runs of words are counted only for templates that the whole text could hold by
-the same filters, from each word of the template on (a run that starts with another word has no more of them). Templates are a fixed list, so each row meets them within itself, without a shuffle.
+the same filters (candidates come from an inverted map of prefix words), from each word of the template on (a run that starts with another word has no more of them). Templates are a fixed list, so each row meets them within itself, without a shuffle.
 
 Defined results: a null or empty text has no words, no places (null first and last), empty labels and score 0. An empty
 table gives no rows; repeated rows are scanned alike; other columns are ignored.
@@ -68,6 +68,21 @@ def ranks(documents: DataFrame) -> dict[str, int]:
     return {w: k for k, w in enumerate(sorted(template_words(), key=lambda w: (count.get(w, 0), w)))}
 
 
+def _inverted(prefixes: list[list], key=lambda x: x) -> Column:
+    """Prefix token -> places of the templates that have it in their prefix."""
+    of: dict = {}
+    for k, prefix in enumerate(prefixes):
+        for x in prefix:
+            of.setdefault(key(x), []).append(k)
+    return F.create_map(*(c for x, ks in of.items() for c in (F.lit(x), F.array(*map(F.lit, ks)))))
+
+
+def _candidates(tokens: Column, inverted: Column, templates: Column) -> Column:
+    """The templates that share a prefix token with the tokens; no other template is looked at."""
+    places = F.flatten(F.transform(tokens, lambda x: F.coalesce(F.element_at(inverted, x), F.array().cast("array<int>"))))
+    return F.transform(F.array_distinct(places), lambda k: F.get(templates, k))
+
+
 def _found(text: Column, rank: dict[str, int], containment: float) -> Column:
     """Array of (label, share) of the templates met by the text's blocks."""
     items = []
@@ -76,7 +91,7 @@ def _found(text: Column, rank: dict[str, int], containment: float) -> Column:
         need = math.ceil(round(containment * len(own), 9))
         items.append((label, own, need, own[: len(own) - need + 1]))
     templates = F.array(*(F.struct(F.lit(a).alias("label"), F.array(*map(F.lit, own)).alias("own"), F.lit(need).alias("need"), F.array(*map(F.lit, prefix)).alias("prefix")) for a, own, need, prefix in items))
-    least = min(i[2] for i in items)
+    inverted, least = _inverted([i[3] for i in items]), min(i[2] for i in items)
     vocabulary, place = F.array(*(F.lit(w) for w in rank)), F.create_map(*(F.lit(x) for kv in rank.items() for x in kv))
     block = lambda line: F.sort_array(F.transform(F.array_intersect(vocabulary, words(line)), lambda w: F.element_at(place, w)))
     blocks = F.filter(F.transform(F.split(text, "\n"), block), lambda r: F.size(r) >= least)
@@ -85,10 +100,10 @@ def _found(text: Column, rank: dict[str, int], containment: float) -> Column:
         first = lambda: F.get(F.array_intersect(t["prefix"], r), F.lit(0))  # noqa: E731  the rarest common word
         left_t = F.size(t["own"]) - F.array_position(t["own"], first())
         left_r = F.size(r) - F.array_position(r, first())
-        return (F.size(r) >= t["need"]) & F.arrays_overlap(r, t["prefix"]) & (1 + F.least(left_t, left_r) >= t["need"]) & (F.size(F.array_intersect(t["own"], r)) >= t["need"])
+        return (F.size(r) >= t["need"]) & (1 + F.least(left_t, left_r) >= t["need"]) & (F.size(F.array_intersect(t["own"], r)) >= t["need"])
 
     share = lambda r, t: F.size(F.array_intersect(t["own"], r)).cast("double") / F.size(t["own"])
-    lines = F.flatten(F.transform(blocks, lambda r: F.transform(F.filter(templates, lambda t: meets(r, t)), lambda t: F.struct(t["label"].alias("label"), share(r, t).alias("share")))))
+    lines = F.flatten(F.transform(blocks, lambda r: F.transform(F.filter(_candidates(r, inverted, templates), lambda t: meets(r, t)), lambda t: F.struct(t["label"].alias("label"), share(r, t).alias("share")))))
     return F.concat(lines, _let(words(text), lambda w: _in_runs(w, rank, containment)))
 
 
@@ -100,10 +115,11 @@ def _in_runs(w: Column, rank: dict[str, int], containment: float) -> Column:
         need = math.ceil(round(containment * len(own), 9))
         items.append((label, own, need, own[: len(own) - need + 1], math.ceil((1 + SLACK) * len(t.split()))))
     templates = F.array(*(F.struct(F.lit(a).alias("label"), F.array(*map(F.lit, own)).alias("own"), F.lit(need).alias("need"), F.array(*map(F.lit, prefix)).alias("prefix"), F.lit(n).alias("n")) for a, own, need, prefix, n in items))
-    could = lambda r, t: F.arrays_overlap(r, t["prefix"]) & (F.size(F.array_intersect(t["own"], r)) >= t["need"])
+    inverted = _inverted([i[3] for i in items])
+    could = lambda r, t: F.size(F.array_intersect(t["own"], r)) >= t["need"]
     starts = lambda t: F.filter(F.sequence(F.lit(1), F.size(w)), lambda k: F.array_contains(t["own"], F.get(w, k - 1)))
     most = lambda t: F.array_max(F.transform(starts(t), lambda k: F.size(F.array_intersect(t["own"], F.slice(w, k, t["n"])))))
-    met = _let(F.array_intersect(F.array(*(F.lit(x) for x in rank)), w), lambda r: F.filter(templates, lambda t: could(r, t)))
+    met = _let(F.array_intersect(F.array(*(F.lit(x) for x in rank)), w), lambda r: F.filter(_candidates(r, inverted, templates), lambda t: could(r, t)))
     runs = F.transform(met, lambda t: F.struct(t["label"].alias("label"), t["own"].alias("own"), t["need"].alias("need"), most(t).alias("most")))
     return F.transform(F.filter(runs, lambda t: t["most"] >= t["need"]), lambda t: F.struct(t["label"].alias("label"), (t["most"].cast("double") / F.size(t["own"])).alias("share")))
 
