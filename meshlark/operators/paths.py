@@ -6,34 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.operators.graph import adjacency
-from meshlark.plans.shared import guard_all_pairs, materialize
+from meshlark.plans.shared import Rounds, discard, guard_all_pairs, materialize
 
 
 def hops(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """s, v, d: breadth-first hop counts from each of ``sources`` (s); unreachable vertices are absent."""
     e = materialize(adjacency(edges).select("src", "dst").distinct(), "adjacency")
-    seen = frontier = materialize(sources.select("s", F.col("s").alias("v"), F.lit(0).alias("d")), "frontier")
-    d = 0
+    seen, d = Rounds(sources.select("s", F.col("s").alias("v"), F.lit(0).alias("d")), "hops"), 0
     while limit is None or d < limit:
         d += 1
-        step = frontier.join(e, frontier.v == e.src).select("s", F.col("dst").alias("v")).distinct().join(seen.select("s", "v"), ["s", "v"], "left_anti")
-        frontier = materialize(step.withColumn("d", F.lit(d)), "frontier")
-        if frontier.isEmpty():
+        step = seen.last.select("s", F.col("v").alias("src")).join(e, "src").select("s", F.col("dst").alias("v")).distinct().join(seen.all().select("s", "v"), ["s", "v"], "left_anti")
+        if seen.add(step.withColumn("d", F.lit(d))).isEmpty():
             break
-        seen = seen.union(frontier)
-    return seen
+    return seen.all()
 
 
 def distances(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
     """s, v, d: least path lengths (rounds of relaxation over vertices whose distance has just improved)."""
     e = materialize(adjacency(edges).groupBy("src", "dst").agg(F.min("w").alias("w")), "adjacency")
-    best = frontier = materialize(sources.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d")), "best")
+    best = materialize(sources.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("better")), "best")
     for _ in range(rounds):
-        step = frontier.join(e, frontier.v == e.src).groupBy("s", F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
-        merged = materialize(best.join(step, ["s", "v"], "full").select("s", "v", F.least("d", "new").alias("d"), (F.col("d").isNull() | (F.col("new") < F.col("d"))).alias("better")), "best")
-        best, frontier = merged.select("s", "v", "d"), merged.where("better").select("s", "v", "d")
-        if frontier.isEmpty():
-            return best
+        frontier = best.where("better").select("s", F.col("v").alias("src"), "d")
+        step = frontier.join(e, "src").groupBy("s", F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
+        merged = best.drop("better").join(step, ["s", "v"], "full").select("s", "v", F.least("d", "new").alias("d"), (F.col("d").isNull() | (F.col("new") < F.col("d"))).alias("better"))
+        best, old = materialize(merged.withColumn("better", F.coalesce("better", F.lit(False))), "best"), best
+        discard(old)
+        if best.where("better").isEmpty():
+            discard(e)
+            return best.select("s", "v", "d")
     raise RuntimeError("distances did not settle")
 
 
@@ -64,47 +64,55 @@ def tree(edges: DataFrame, dist: DataFrame) -> DataFrame:
 
 def path_edges(parents: DataFrame, pairs: DataFrame, rounds: int = 100_000) -> DataFrame:
     """i, j, u, v, coeff for the tree path of each pair (i, j), from j back to its root i."""
-    at = materialize(pairs.select("i", "j", F.col("j").alias("at")), "walk")
-    out = None
+    up = parents.select(F.col("s").alias("i"), F.col("v").alias("at"), "parent")
+    walk = Rounds(pairs.select("i", "j", F.col("j").alias("at")).join(up, ["i", "at"]).select("i", "j", "at", "parent"), "walk")
     for _ in range(rounds):
-        step = materialize(at.join(parents.select(F.col("s").alias("i"), F.col("v").alias("at"), "parent"), ["i", "at"]), "walk")
-        if step.isEmpty():
-            return out if out is not None else step.select("i", "j", F.col("at").alias("u"), F.col("at").alias("v"), F.lit(1.0).alias("coeff"))
-        piece = step.select("i", "j", F.least("at", "parent").alias("u"), F.greatest("at", "parent").alias("v"), F.lit(1.0).alias("coeff"))
-        out = piece if out is None else out.union(piece)
-        at = step.select("i", "j", F.col("parent").alias("at"))
+        if walk.last.isEmpty():
+            return walk.all().select("i", "j", F.least("at", "parent").alias("u"), F.greatest("at", "parent").alias("v"), F.lit(1.0).alias("coeff"))
+        walk.add(walk.last.select("i", "j", F.col("parent").alias("at")).join(up, ["i", "at"]).select("i", "j", "at", "parent"))
     raise RuntimeError("a path has a cycle")
 
 
 def path_counts(edges: DataFrame, dist: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """s, v, paths: the number of shortest paths from s to v (double: exact up to 2**53), in waves along the predecessor graph."""
+    """s, v, log_paths, paths: the number of shortest paths from s to v, in waves along the predecessor graph. Counts are kept as logarithms, whose sums are shifted by the
+    largest, so they do not overflow; ``paths`` is their exponential (infinite beyond 1e308, exact to about 15 digits)."""
     p = materialize(predecessors(edges, dist).select("s", "v", "u"), "dag")
-    need = p.groupBy("s", "v").agg(F.count(F.lit(1)).alias("need"))
-    done = materialize(dist.where("s = v").select("s", "v", F.lit(1.0).alias("paths")), "counts")
-    wave, got = done, None
+    need = materialize(p.groupBy("s", "v").agg(F.count(F.lit(1)).alias("need")), "need")
+    done = Rounds(dist.where("s = v").select("s", "v", F.lit(0.0).alias("log_paths")), "counts")
+    got = None  # what has arrived at vertices that still wait
     for _ in range(rounds):
-        arrive = p.join(wave.select("s", F.col("v").alias("u"), "paths"), ["s", "u"]).groupBy("s", "v").agg(F.sum("paths").alias("paths"), F.count(F.lit(1)).alias("n"))
-        got = materialize(arrive if got is None else got.union(arrive).groupBy("s", "v").agg(F.sum("paths").alias("paths"), F.sum("n").alias("n")), "arrived")
-        ready = got.join(need.where("need > 0"), ["s", "v"]).where("n = need").select("s", "v", "paths")
-        wave = materialize(ready, "wave")
+        arrive = p.join(done.last.select("s", F.col("v").alias("u"), F.col("log_paths").alias("l")), ["s", "u"]).select("s", "v", "l")
+        got, old = materialize(arrive if got is None else got.union(arrive), "arrived"), got
+        discard(old)
+        full = got.groupBy("s", "v").agg(F.count(F.lit(1)).alias("n"), F.max("l").alias("m")).join(need, ["s", "v"]).where("n = need")
+        wave = done.add(log_sum_exp(got, full, ["s", "v"]).select("s", "v", "log_paths"))
         if wave.isEmpty():
-            return done
-        got = materialize(got.join(wave.select("s", "v"), ["s", "v"], "left_anti"), "arrived")
-        done = done.union(wave)
+            discard(p, need, got)
+            return done.all().withColumn("paths", F.exp("log_paths"))
+        got, old = materialize(got.join(wave.select("s", "v"), ["s", "v"], "left_anti"), "arrived"), got
+        discard(old)
     raise RuntimeError("path counts did not settle")
 
 
+def log_sum_exp(rows: DataFrame, tops: DataFrame, key: list[str]) -> DataFrame:
+    """log_paths = log of the sum of exp(l) a key, each l less the key's largest (m in ``tops``)."""
+    x = rows.join(tops.select(*key, "m"), key).groupBy(*key, "m").agg(F.sum(F.exp(F.col("l") - F.col("m"))).alias("sum"))
+    return x.select(*key, (F.col("m") + F.log("sum")).alias("log_paths"))
+
+
 def tie_average(edges: DataFrame, dist: DataFrame, pairs: DataFrame, tol: float = 1.49e-8) -> DataFrame:
-    """i, j, u, v, coeff: the share of the shortest paths of pair (i, j) that use edge (u, v); ``dist`` has both ends as sources."""
+    """i, j, u, v, coeff: the share of the shortest paths of pair (i, j) that use edge (u, v); ``dist`` has both ends as sources. Only edges of i's predecessor graph that are
+    also on a way from j are formed."""
     counts = materialize(path_counts(edges, dist), "counts")
     x = dist.join(counts, ["s", "v"])
-    total = pairs.join(x.select(F.col("s").alias("i"), F.col("v").alias("j"), F.col("d").alias("g"), F.col("paths").alias("all")), ["i", "j"])
-    e = adjacency(edges).groupBy("src", "dst").agg(F.min("w").alias("w"))
-    left = x.select(F.col("s").alias("i"), F.col("v").alias("src"), F.col("d").alias("di"), F.col("paths").alias("pi"))
-    right = x.select(F.col("s").alias("j"), F.col("v").alias("dst"), F.col("d").alias("dj"), F.col("paths").alias("pj"))
-    on = F.abs(F.col("di") + F.col("w") + F.col("dj") - F.col("g")) <= tol * F.greatest(F.lit(1.0), F.col("g"))
-    r = total.join(left, "i").join(e, "src").join(right, ["j", "dst"]).where(on)
-    return r.groupBy("i", "j", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum(F.col("pi") * F.col("pj") / F.col("all")).alias("coeff"))
+    total = pairs.join(x.select(F.col("s").alias("i"), F.col("v").alias("j"), F.col("d").alias("g"), F.col("log_paths").alias("all")), ["i", "j"])
+    both = lambda c, d, l: x.select(F.col("s").alias(c), "v", F.col("d").alias(d), F.col("log_paths").alias(l))
+    # Vertices on some shortest path of the pair: their distances to both ends add up.
+    on = total.join(both("i", "di", "li"), "i").join(both("j", "dj", "lj"), ["j", "v"]).where(F.abs(F.col("di") + F.col("dj") - F.col("g")) <= tol * F.greatest(F.lit(1.0), F.col("g")))
+    on = materialize(on.select("i", "j", "v", "di", "li", "lj", "all"), "on-paths")
+    dag = predecessors(edges, dist).select(F.col("s").alias("i"), "u", "v")
+    r = dag.join(on.select("i", "j", "v", "lj", "all"), ["i", "v"]).join(on.select("i", "j", F.col("v").alias("u"), "li"), ["i", "j", "u"])
+    return r.groupBy("i", "j", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.sum(F.exp(F.col("li") + F.col("lj") - F.col("all"))).alias("coeff")).withColumnsRenamed({"a": "u", "b": "v"})
 
 
 def diameter(dist: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meshlark.functions import vectors as V
 from meshlark.operators.graph import canonical
 from meshlark.operators.paths import distances, hops
-from meshlark.plans.shared import materialize
+from meshlark.plans.shared import Rounds, discard, materialize
 
 METRICS = {"euclid": V.euclid, "linf": V.linf}
 
@@ -151,24 +151,18 @@ def landmark_pairs(dist: DataFrame, landmarks: DataFrame, local: int) -> DataFra
 
 
 def farthest_landmarks(dist: DataFrame, count: int) -> DataFrame:
-    """s, v: greedy farthest landmarks for each source, over the distance rows of all vertices (one group per source)."""
-
-    def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, index = np.unique(np.concatenate([pdf["s"], pdf["v"]]), return_inverse=True)
-        d = np.full((len(ids), len(ids)), np.inf)
-        d[index[: len(pdf)], index[len(pdf) :]] = pdf["d"]
-        out = []
-        for a, s in enumerate(ids):
-            score, taken = d[a].copy(), np.zeros(len(ids), bool)
-            taken[a] = True
-            for _ in range(count):
-                score_now = np.where(taken | ~np.isfinite(score), -1.0, score)
-                b = int(np.argmax(score_now))
-                if score_now[b] < 0:
-                    break
-                out.append((int(s), int(ids[b])))
-                taken[b] = True
-                score = np.minimum(score, d[b])
-        return pd.DataFrame(out, columns=["s", "v"])
-
-    return dist.withColumn("_", F.lit(1)).groupBy("_").applyInPandas(pick, "s bigint, v bigint")  # callers guard the number of vertices
+    """s, v: greedy farthest landmarks for each source, ties to the smaller id, over the distance rows of all vertices. A round takes each source's row farthest from it
+    and from its landmarks, and lowers the rest by the new landmark's row; no source's rows meet in a driver or one group."""
+    score = dist.where("s <> v").select("s", "v", F.col("d").cast("double").alias("score"))
+    rows = dist.select(F.col("s").alias("landmark"), "v", F.col("d").cast("double").alias("d"))
+    picked = None
+    for k in range(count):
+        pick = score.where("score < double('infinity')").groupBy("s").agg(F.max_by("v", F.struct("score", -F.col("v"))).alias("landmark"))
+        picked = Rounds(pick, "landmarks") if picked is None else picked
+        if k:
+            picked.add(pick)
+        if k + 1 < count:
+            near = score.join(picked.last, "s").where("v <> landmark").join(rows, ["landmark", "v"], "left")
+            score, old = materialize(near.select("s", "v", F.least("score", F.coalesce("d", F.lit(float("inf")))).alias("score")), "landmark-scores"), score
+            discard(old)
+    return picked.all().select("s", F.col("landmark").alias("v"))

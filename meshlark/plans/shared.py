@@ -54,6 +54,25 @@ def discard(*tables: DataFrame | None) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Rounds:
+    """Rows that rounds add to one folder of the shared store: ``all`` reads them in one scan, however many rounds there were."""
+
+    def __init__(self, first: DataFrame, what: str):
+        self.spark, self.schema, self.n = first.sparkSession, first.schema, 0
+        self.path = f"{shared_dir(self.spark)}/meshlark/{self.spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+        self.last = self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write a round's rows and read them again."""
+        rows.select(*self.schema.names).write.parquet(at := f"{self.path}/round={self.n}")
+        self.n += 1
+        self.last = self.spark.read.schema(self.schema).parquet(at)
+        return self.last
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+
 def join_counted(rows: DataFrame, values: DataFrame, key: list[str], total: int) -> DataFrame:
     """Inner join of ``rows`` with ``values``, one row for each key with ``count``, how many of the ``total`` rows have it. Keys with more than a
     4096th of the rows are fewer than 4096, so they are broadcast; the rest is joined by shuffle. No task gets all rows of a hot key."""
