@@ -64,11 +64,15 @@ class ArcRecord(NamedTuple):
         return (self.block[: min(ends)[1]], self.block[min(ends)[1] :]) if ends else (self.block, b"")
 
     def http_header(self, name: str) -> str | None:
-        for line in self.parts()[0].decode("latin-1").splitlines():
-            k, _, v = line.partition(":")
-            if k.lower() == name.lower():
-                return v.strip()
-        return None
+        return http_field(self.parts()[0], name)
+
+
+def http_field(header: bytes, name: str) -> str | None:
+    for line in header.decode("latin-1").splitlines():
+        k, _, v = line.partition(":")
+        if k.lower() == name.lower():
+            return v.strip()
+    return None
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -81,13 +85,18 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The contents of a file's gzip members; what follows the last one is no member and left out."""
-    while data.startswith(b"\x1f\x8b"):
-        z = zlib.decompressobj(31)
-        out = z.decompress(data)
-        yield out
-        data = z.unused_data
+def members(data: bytes, step: int = 1 << 15) -> Iterator[bytes]:
+    """The contents of a file's gzip members; what follows the last one is no member and left out. A member is fed in small steps, so what it leaves over is small."""
+    at = 0
+    while data.startswith(b"\x1f\x8b", at):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            part = data[at : at + step]
+            if not part:
+                raise ValueError("a gzip member is cut off")
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def unpack(data: bytes) -> bytes:
@@ -236,7 +245,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for k, r in enumerate(parse_arc(unpack(content.as_py()))):
                 if not r.url.startswith("filedesc:"):
-                    payload, own = r.parts()[1], r.http_header("X-Page-ID")
+                    header, payload = r.parts()
+                    own = http_field(header, "X-Page-ID")
                     rows.append((path, k, int(own) if own else None, base32_sha1(payload), len(payload)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], [f.split()[0] for f in PLACES.split(", ")])
@@ -273,7 +283,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if (kind := head["warc-type"]) == "warcinfo":
                         continue
                     r = ArcRecord(head["warc-target-uri"], "", "", "", None, block)
-                    payload, digest, own = r.parts()[1], head["warc-payload-digest"].removeprefix("sha1:"), r.http_header("X-Page-ID")
+                    header, payload = r.parts()
+                    digest, own = head["warc-payload-digest"].removeprefix("sha1:"), http_field(header, "X-Page-ID")
                     if kind != "revisit" and base32_sha1(payload) != digest:
                         raise ValueError(f"the payload of {head['warc-record-id']} does not have its digest")
                     number = lambda k: int(head[k]) if k in head else None
