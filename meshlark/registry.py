@@ -1065,3 +1065,6 @@ e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x)
 _gen("irregular", None, lambda s: rounded(generators.irregular(s, "sphere", 120, 6).edges))
 _gen("triangulated", None, lambda s: rounded(generators.triangulated(s, "annulus", 14).edges))
 _gen("sampled_rectangle", None, lambda s: rounded(generators.sampled_rectangle(s, 150, 5).edges))
+
+
+from meshlark import registry_fits  # noqa: E402, F401  adds its queries to the tables above
