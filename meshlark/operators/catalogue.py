@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.operators.graph import clean_name
@@ -93,3 +93,43 @@ def align_embedding(vertices: DataFrame, embedding: DataFrame, key: str, id_colu
     xyz = [c for c in embedding.columns if c != id_column]
     e = embedding.select(F.col(id_column).cast("string").alias("_id"), *xyz)
     return vertices.select("v", F.col(key).cast("string").alias("_id")).join(e, "_id", "left").select("v", *xyz)
+
+
+GRAPH_CATALOGUE = "id string, name string, family string, n_vertices bigint, n_edges bigint, n_components bigint"
+
+
+def graph_row(spark: SparkSession, id_: str, family: str, edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """One row of a catalogue of graphs; the short name is what follows the last slash of the id."""
+    from meshlark.operators.components import numbered
+
+    n = vertices.agg(F.count(F.lit(1)).alias("n_vertices"))
+    e = edges.agg(F.count(F.lit(1)).alias("n_edges"))
+    c = numbered(vertices, edges).agg(F.max("component").cast("bigint").alias("n_components"))
+    return n.crossJoin(e).crossJoin(c).select(F.lit(id_).alias("id"), F.lit(id_.rpartition("/")[2]).alias("name"), F.lit(family).alias("family"), "n_vertices", "n_edges", "n_components")  # one row each
+
+
+def check_catalogue(catalogue: DataFrame) -> DataFrame:
+    if not catalogue.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        raise ValueError("graph ids repeat or are missing")
+    return catalogue
+
+
+def attach_layouts(catalogue: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Catalogue rows with the coordinates of their (candidate, seed), if ``layouts`` (candidate, seed, v, x) has any: ``n_coords`` rows of them, and the availability that follows."""
+    n = layouts.groupBy("candidate", "seed").agg(F.count(F.lit(1)).alias("n_coords"))
+    j = catalogue.join(n, ["candidate", "seed"], "left")
+    own = F.col("coords_path") if "coords_path" in catalogue.columns else F.lit(None).cast("string")
+    return availability(j.withColumn("n_coords", F.coalesce("n_coords", F.lit(0).cast("bigint"))).withColumn("coords_path", F.coalesce(own, F.when(F.col("n_coords") > 0, F.lit("memory")))))
+
+
+def layout_coordinates(result) -> DataFrame:
+    """The coordinates (v, x) of a table, a fit, or a pair of (coords, rest); finite and of two dimensions at least."""
+    found = result if isinstance(result, DataFrame) else getattr(result, "coords", None)
+    if not isinstance(found, DataFrame) or not {"v", "x"} <= set(found.columns):
+        raise ValueError("no coordinates (v, x) here")
+    bad = found.where(F.col("x").isNull() | (F.size("x") < 2) | F.exists("x", lambda a: a.isNull() | F.isnan(a) | (F.abs(a) == F.lit(float("inf")))))
+    if not bad.isEmpty():
+        raise ValueError("coordinates are finite and have two dimensions at least")
+    if found.groupBy("v").count().where("count > 1").limit(1).count():
+        raise ValueError("a vertex has two rows of coordinates")
+    return found.select("v", "x")

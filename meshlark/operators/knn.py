@@ -33,22 +33,30 @@ def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def knn(obs: DataFrame, k: int, metric: str = "linf", block: int = BLOCK) -> DataFrame:
-    """v, u, d, rank: the k nearest other rows of each row of ``obs`` (v, x), ties to the smaller id."""
-    n = obs.count()
-    if k >= n:
-        raise ValueError("k must be less than the number of observations")
-    blocks = max(1, -(-n // block))
+def _packed(obs: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """b, ids, xs, dim: vectors in about equal blocks; and the number of blocks."""
+    blocks = max(1, -(-obs.count() // block))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _matrix(pdf["x"])
         return pd.DataFrame({"b": [pdf["b"].iloc[0]], "ids": [pdf["v"].to_numpy("<i8").tobytes()], "xs": [x.tobytes()], "dim": [x.shape[1]]})
 
     o = obs.select("v", F.transform("x", lambda a: a.cast("double")).alias("x"), F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b"))
-    p = materialize(o.groupBy("b").applyInPandas(pack, "b int, ids binary, xs binary, dim int"), "blocks")
-    left = p.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = p.select(F.col("b").alias("c"), F.col("ids").alias("ids2"), F.col("xs").alias("xs2"))
-    pairs = left.join(right, "c").repartition(F.col("b"), F.col("c"))
+    return materialize(o.groupBy("b").applyInPandas(pack, "b int, ids binary, xs binary, dim int"), "blocks"), blocks
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
+    """Each block of ``left`` beside each of the ``blocks`` blocks of ``right``; what is dealt are blocks, not rows."""
+    l = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    r = right.select(F.col("b").alias("c"), F.col("ids").alias("ids2"), F.col("xs").alias("xs2"))
+    return l.join(r, "c").repartition(F.col("b"), F.col("c"))
+
+
+def knn(obs: DataFrame, k: int, metric: str = "linf", block: int = BLOCK) -> DataFrame:
+    """v, u, d, rank: the k nearest other rows of each row of ``obs`` (v, x), ties to the smaller id."""
+    if k >= obs.count():
+        raise ValueError("k must be less than the number of observations")
+    p, blocks = _packed(obs, block)
 
     def kernel(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -62,11 +70,36 @@ def knn(obs: DataFrame, k: int, metric: str = "linf", block: int = BLOCK) -> Dat
                 i, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
                 yield pd.DataFrame({"v": ids[i], "u": other[j], "d": d[i, j]})
 
-    found = pairs.mapInPandas(kernel, "v bigint, u bigint, d double")
+    found = _block_pairs(p, p, blocks).mapInPandas(kernel, "v bigint, u bigint, d double")
     w = Window.partitionBy("v").orderBy("d", "u")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("v", "u", "d", "rank")
 
 
+def nearest(source: DataFrame, target: DataFrame, metric: str = "euclid", block: int = BLOCK) -> DataFrame:
+    """v, d: the distance of each row of ``source`` (v, x) to the nearest row of ``target``, in block pairs."""
+    s, _ = _packed(source, block)
+    t, blocks = _packed(target, block)
+
+    def kernel(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                d = pairwise(np.frombuffer(r.xs).reshape(-1, r.dim), np.frombuffer(r.xs2).reshape(-1, r.dim), metric)
+                yield pd.DataFrame({"v": np.frombuffer(r.ids, "<i8"), "d": d.min(axis=1)})
+
+    return _block_pairs(s, t, blocks).mapInPandas(kernel, "v bigint, d double").groupBy("v").agg(F.min("d").alias("d"))
+
+
+def pca_knn_graph(obs: DataFrame, k: int, target: float = 0.95, metric: str = "euclid") -> DataFrame:
+    """Symmetric kNN edges found in the space of the leading principal components, with lengths in the original space."""
+    from meshlark.operators.mds import pca
+
+    e = knn_graph(knn(pca(obs, target)[0], k, metric)).select("src", "dst")
+    a, b = (obs.select(F.col("v").alias(c), F.transform("x", lambda q: q.cast("double")).alias(f"x_{c}")) for c in ("src", "dst"))
+    from meshlark.operators.pivots import METRICS
+
+    return e.join(a, "src").join(b, "dst").select("src", "dst", METRICS[metric]("x_src", "x_dst").alias("w"))
+
+
 def knn_graph(neighbours: DataFrame) -> DataFrame:
     """The symmetric union as canonical edges."""
     e = neighbours.groupBy(F.least("v", "u").alias("src"), F.greatest("v", "u").alias("dst")).agg(F.min("d").alias("w"))

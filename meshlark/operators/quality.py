@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meshlark.functions import vectors as V
 from meshlark.operators.graph import edge_lengths
 from meshlark.operators.objectives import fit_scale, observed
+from meshlark.plans.shared import average_ranks, materialize
 
 
 def edge_stats(edges: DataFrame, coords: DataFrame) -> DataFrame:
@@ -180,19 +181,32 @@ def point_triangle(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
     return np.sqrt(np.minimum(best, flat))
 
 
-def surface_distance(points: DataFrame, mesh: list[list[list[float]]], chunk: int = 256) -> DataFrame:
-    """id, d: the exact distance of each point (id, x) to a mesh (triangles of corner coordinates, sent with the task)."""
+def surface_distance(points: DataFrame, faces: DataFrame, block: int = 512) -> DataFrame:
+    """id, d: the exact distance of each point (id, x) to the nearest triangle of ``faces`` (f, a, b, c: corner coordinates), in pairs of blocks. Within a block pair a
+    triangle's bounding sphere rules it out for points that have a nearer one."""
     import pandas as pd
 
-    tri = np.array(mesh, dtype=float)
+    from meshlark.operators.knn import _block_pairs, _packed
+
+    p, _ = _packed(points.select(F.col("id").alias("v"), "x"), block)
+    t, blocks = _packed(faces.select(F.col("f").alias("v"), F.concat("a", "b", "c").alias("x")), block)
 
     def run(parts):
         for pdf in parts:
-            x = np.array(pdf["x"].tolist(), dtype=float).reshape(-1, 3)
-            d = [point_triangle(x[k : k + chunk], tri) for k in range(0, len(x), chunk)]
-            yield pd.DataFrame({"id": pdf["id"], "d": np.concatenate(d) if d else np.empty(0)})
+            for r in pdf.itertuples(index=False):
+                x, tri = np.frombuffer(r.xs).reshape(-1, 3), np.frombuffer(r.xs2).reshape(-1, 3, 3)
+                centre = tri.mean(axis=1)
+                radius = np.sqrt(((tri - centre[:, None]) ** 2).sum(axis=2)).max(axis=1)
+                gap = np.sqrt(((x[:, None] - centre[None]) ** 2).sum(axis=2))
+                may = gap - radius[None] <= (gap + radius[None]).min(axis=1)[:, None] + 1e-12
+                d = np.array([point_triangle(x[k : k + 1], tri[may[k]])[0] for k in range(len(x))])
+                yield pd.DataFrame({"id": np.frombuffer(r.ids, "<i8"), "d": d})
+
+    return _block_pairs(p, t, blocks).mapInPandas(run, "id bigint, d double").groupBy("id").agg(F.min("d").alias("d"))
 
-    return points.select("id", "x").mapInPandas(run, "id bigint, d double")
+
+def face_table(spark, triangles: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(k, *t) for k, t in enumerate(np.asarray(triangles, float).tolist())], "f bigint, a array<double>, b array<double>, c array<double>")
 
 
 def check_mesh(vertices: np.ndarray, faces: np.ndarray) -> np.ndarray:
@@ -217,7 +231,7 @@ def surface_samples(spark, triangles: np.ndarray, size: int, seed: int = 1) -> D
 def score_surface(spark, a: tuple, b: tuple, size: int = 1000, seed: int = 1) -> DataFrame:
     """rms of both directions' distances, areas, and the standard error of the rms by the delta method."""
     ta, tb = check_mesh(*a), check_mesh(*b)
-    d = surface_distance(surface_samples(spark, ta, size, seed), tb.tolist()).withColumn("side", F.lit(0)).union(surface_distance(surface_samples(spark, tb, size, seed + 1), ta.tolist()).withColumn("side", F.lit(1)))
+    d = surface_distance(surface_samples(spark, ta, size, seed), face_table(spark, tb)).withColumn("side", F.lit(0)).union(surface_distance(surface_samples(spark, tb, size, seed + 1), face_table(spark, ta)).withColumn("side", F.lit(1)))
     m = d.groupBy("side").agg(F.avg(F.col("d") ** 2).alias("m"), (F.coalesce(F.var_samp(F.col("d") ** 2), F.lit(0.0)) / F.count(F.lit(1))).alias("v"))
     area = [float(0.5 * np.linalg.norm(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]), axis=1).sum()) for t in (ta, tb)]
     rms = F.sqrt(F.sum("m") / 2)
@@ -252,24 +266,61 @@ def local_angle_deviation(wedge: DataFrame, reference: DataFrame, coords: DataFr
 
 
 def min_match(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Mean over source rows of the distance to the nearest target row (a kernel over a bounded target)."""
-    return source.alias("s").crossJoin(F.broadcast(target.select(F.col("x").alias("y")))).groupBy("v").agg(F.min(V.euclid("x", "y")).alias("d")).agg(F.avg("d").alias("min_match"))
+    """Mean over source rows of the distance to the nearest target row."""
+    from meshlark.operators.knn import nearest
+
+    return nearest(source, target).agg(F.avg("d").alias("min_match"))
 
 
 def symmetry(coords: DataFrame) -> DataFrame:
-    """max(0, 1 - best / 2) over signed axis permutations other than the identity, coordinates centred and of greatest radius 1."""
+    """max(0, 1 - best / 2) over signed axis permutations other than the identity, coordinates centred and of greatest radius 1. All of them are one search."""
+    from meshlark.operators.knn import nearest
+
+    d = len(coords.first()["x"])
+    c = materialize(normalised(coords), "normalised")
+    turns = [(p, s) for p in itertools.permutations(range(d)) for s in itertools.product((1.0, -1.0), repeat=d) if p != tuple(range(d)) or any(x < 0 for x in s)]
+    n = len(turns)
+    every = F.array(*(F.array(*(x * F.get("x", F.lit(k)) for k, x in zip(p, s, strict=True))) for p, s in turns))
+    t = c.select("v", F.posexplode(every).alias("k", "x")).select((F.col("v") * n + F.col("k")).alias("v"), "x")
+    best = nearest(t, c).groupBy(F.pmod("v", F.lit(n)).alias("k")).agg(F.avg("d").alias("d"))
+    return best.agg(F.greatest(F.lit(0.0), 1 - F.min("d") / 2).alias("global_symmetry"))
+
+
+def normalised(coords: DataFrame) -> DataFrame:
+    """Coordinates centred and divided by the greatest radius (1 if it is 0)."""
     d = len(coords.first()["x"])
     m = coords.agg(*(F.avg(F.get("x", F.lit(k))).alias(f"m{k}") for k in range(d)))
     c = coords.crossJoin(F.broadcast(m)).select("v", F.array(*(F.get("x", F.lit(k)) - F.col(f"m{k}") for k in range(d))).alias("x"))
-    c = c.crossJoin(F.broadcast(c.agg(F.max(V.norm("x")).alias("r")))).select("v", F.transform("x", lambda a: a / F.when(F.col("r") > 0, F.col("r")).otherwise(1.0)).alias("x"))  # one row each
-    best = None
-    for perm in itertools.permutations(range(d)):
-        for sign in itertools.product((1.0, -1.0), repeat=d):
-            if perm == tuple(range(d)) and all(s > 0 for s in sign):
-                continue
-            t = min_match(c.select("v", F.array(*(s * F.get("x", F.lit(p)) for p, s in zip(perm, sign, strict=True))).alias("x")), c)
-            best = t if best is None else best.union(t)
-    return best.agg(F.greatest(F.lit(0.0), 1 - F.min("min_match") / 2).alias("global_symmetry"))
+    return c.crossJoin(F.broadcast(c.agg(F.max(V.norm("x")).alias("r")))).select("v", F.transform("x", lambda a: a / F.when(F.col("r") > 0, F.col("r")).otherwise(1.0)).alias("x"))  # one row each
+
+
+def target_alignment(source: DataFrame, target: DataFrame, reflection: bool = True) -> DataFrame:
+    """rmse after both are centred, brought to radius 1 and the source is turned onto the target."""
+    s, t = materialize(normalised(source), "source"), materialize(normalised(target), "target")
+    f = align(t, s, "rigid", reflection)
+    turn = [[F.lit(float(a)) for a in row] for row in f["rotation"]]
+    d = len(turn)
+    y = F.array(*(sum((F.get("x", F.lit(r)) * turn[r][c] for r in range(d)), F.lit(0.0)) for c in range(d)))
+    j = s.select("v", y.alias("y")).join(t.select("v", F.col("x").alias("t")), "v")
+    return j.agg(F.sqrt(F.avg(V.dot(V.minus("y", "t"), V.minus("y", "t")))).alias("rmse"))
+
+
+def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
+    """pearson, spearman over rows with both finite; null with fewer than two rows or a constant side."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    x = materialize(df.where(finite(a) & finite(b)).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")), "finite")
+    ra, rb = average_ranks(x, "a").withColumnRenamed("rank", "ra"), average_ranks(x, "b").withColumnRenamed("rank", "rb")
+    y = x.join(ra, "a").join(rb, "b")
+    good = (F.count(F.lit(1)) >= 2) & (F.stddev_samp("a") > 0) & (F.stddev_samp("b") > 0)
+    return y.agg(F.when(good, F.corr("a", "b")).alias("pearson"), F.when(good, F.corr("ra", "rb")).alias("spearman"))
+
+
+def classical_score(pairs: DataFrame, coords: DataFrame, floor: float = 1e-8) -> DataFrame:
+    """n_pairs, raw_stress, stress, rmse, mae, mre, pearson, spearman of distances ``o`` against targets (i, j, d)."""
+    x = materialize(observed(pairs, coords).select(F.col("d").alias("t"), "o"), "observed")
+    r = F.col("o") - F.col("t")
+    s = x.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(r * r).alias("raw_stress"), F.when(F.sum(F.col("t") ** 2) > 0, F.sqrt(F.sum(r * r) / F.sum(F.col("t") ** 2))).alias("stress"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"), F.avg(F.abs(r) / F.greatest("t", F.lit(floor))).alias("mre"))
+    return s.crossJoin(correlations(x, "t", "o"))  # one row each
 
 
 def rank01(c: str, higher_better: bool = False, by: Column | None = None) -> Column:

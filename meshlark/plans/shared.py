@@ -7,7 +7,7 @@ import uuid
 import warnings
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ALL_PAIRS_VERTICES = 5_000
@@ -73,6 +73,15 @@ class Rounds:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
+def average_ranks(df: DataFrame, c: str) -> DataFrame:
+    """c, rank: the average rank (from 1, ties share theirs) of each distinct value. Values are sorted in ranges; only the ranges' sizes, one row each, meet."""
+    x = materialize(df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(F.col(c)).withColumn("part", F.spark_partition_id()), "ranges")
+    size = x.groupBy("part").agg(F.sum("n").alias("size"))
+    before = size.alias("a").join(F.broadcast(size.alias("b")), F.col("a.part") > F.col("b.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("before"))  # a row for each range
+    own = F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("upto", own).join(F.broadcast(before), "part").select(c, (F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+
+
 def join_counted(rows: DataFrame, values: DataFrame, key: list[str], total: int) -> DataFrame:
     """Inner join of ``rows`` with ``values``, one row for each key with ``count``, how many of the ``total`` rows have it. Keys with more than a
     4096th of the rows are fewer than 4096, so they are broadcast; the rest is joined by shuffle. No task gets all rows of a hot key."""

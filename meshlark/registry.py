@@ -686,7 +686,7 @@ def _(s, d):
 @query("surface_distance", f"WITH {XY} SELECT v AS id, round(sqrt(greatest(0, greatest(-x, x - 1)) ** 2 + greatest(0, greatest(-y, y - 1)) ** 2 + z * z), 6) AS d FROM xy")
 def _(s, d):
     square = [[[0.0, 0, 0], [1, 0, 0], [1, 1, 0]], [[0.0, 0, 0], [1, 1, 0], [0, 1, 0]]]
-    return rounded(quality.surface_distance(observations(s, d).select(F.col("v").alias("id"), F.slice("x", 1, 3).alias("x")), square))
+    return rounded(quality.surface_distance(observations(s, d).select(F.col("v").alias("id"), F.slice("x", 1, 3).alias("x")), quality.face_table(s, square)))
 
 
 @query("score_surface", "SELECT 2.0::DOUBLE AS rms, 0.0::DOUBLE AS standard_error, 1.0::DOUBLE AS area_reference, 1.0::DOUBLE AS area_candidate")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshlark.operators import fits
-from meshlark.registry import PAIRS, RING, STARS, XY, _pairs, _ring_w, load, plane, query, r6
+from meshlark.operators import catalogue, fits, quality
+from meshlark.registry import GEO, PAIRS, RING, STARS, XY, _pairs, _ring_w, geo_tree, load, observations, plane, query, r6, ring, rounded, vertices_of
+from meshlark.sources import readers
 
 
 def _len(s: str = "s") -> str:
@@ -79,3 +80,55 @@ so AS (SELECT *, kk * (ax * bx + ay * b_y - t) AS f FROM sq)""",
 def _(s, d):
     p = plane(s, d)
     return _coords(fits.kernel_gram_gkk(_ring_w(s, d), p, p, max_iter=1))
+
+
+# Scores, sources and catalogues -----------------------------------------------------------------------------------------
+
+
+RANKED = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)"
+
+
+@query("classical_score", f"""WITH {XY}, {PAIRS}, r AS (SELECT o, d, {RANKED.format("o")} AS ro, {RANKED.format("d")} AS rd FROM pr)
+SELECT count(*) AS n_pairs, round(sum((o - d) ** 2), 6) AS raw_stress, round(sqrt(sum((o - d) ** 2) / sum(d * d)), 6) AS stress, round(sqrt(avg((o - d) ** 2)), 6) AS rmse, round(avg(abs(o - d)), 6) AS mae,
+round(avg(abs(o - d) / d), 6) AS mre, round(corr(d, o), 6) AS pearson, round(corr(rd, ro), 6) AS spearman FROM r""")
+def _(s, d):
+    return rounded(quality.classical_score(_pairs(s, d), plane(s, d)))
+
+
+@query("order_correlation", f"""WITH o AS (SELECT o_totalprice::DOUBLE AS a, o_custkey::DOUBLE AS b FROM orders), r AS (SELECT a, b, {RANKED.format("a")} AS ra, {RANKED.format("b")} AS rb FROM o)
+SELECT round(corr(a, b), 6) + 0.0 AS pearson, round(corr(ra, rb), 6) + 0.0 AS spearman FROM r""")
+def _(s, d):
+    return rounded(quality.correlations(load(s, d, "orders").select(F.col("o_totalprice").cast("double").alias("a"), F.col("o_custkey").cast("double").alias("b")), "a", "b"))
+
+
+#: In the plane the best turn (reflected or not) has a closed form: the sums of products of centred coordinates give its cosine part.
+@query("target_alignment", f"""WITH {XY}, c AS (SELECT x - avg(x) OVER () AS x, y - avg(y) OVER () AS y, z - avg(z) OVER () AS z FROM xy), n AS (SELECT x / max(sqrt(x * x + y * y)) OVER () AS a, y / max(sqrt(x * x + y * y)) OVER () AS b, y / max(sqrt(y * y + z * z)) OVER () AS p, z / max(sqrt(y * y + z * z)) OVER () AS q FROM c),
+s AS (SELECT sum(a * p) AS ap, sum(a * q) AS aq, sum(b * p) AS bp, sum(b * q) AS bq, sum(a * a + b * b + p * p + q * q) AS ss, count(*) AS n FROM n)
+SELECT round(sqrt((ss - 2 * greatest(sqrt((ap + bq) ** 2 + (bp - aq) ** 2), sqrt((ap - bq) ** 2 + (bp + aq) ** 2))) / n), 6) AS rmse FROM s""")
+def _(s, d):
+    x = observations(s, d)
+    return rounded(quality.target_alignment(x.select("v", F.slice("x", 1, 2).alias("x")), x.select("v", F.slice("x", 2, 2).alias("x"))))
+
+
+@query("feature_table", """WITH c AS (SELECT l_suppkey::BIGINT AS s, l_partkey::BIGINT AS f, sum(l_quantity)::DOUBLE AS n FROM lineitem GROUP BY ALL HAVING sum(l_quantity) > 0), h AS (SELECT s, sum(n) AS had FROM c GROUP BY s),
+f AS (SELECT f FROM c GROUP BY f HAVING count(*) >= 0.1 * (SELECT count(*) FROM h)), l AS (SELECT * FROM c WHERE f IN (FROM f)), t AS (SELECT s, sum(n) AS total FROM l GROUP BY s)
+SELECT s AS sample, l.f AS feature, round(n / total, 6) AS p FROM l JOIN t USING (s) JOIN h USING (s) WHERE total >= 20 AND total >= 0.01 * had""")
+def _(s, d):
+    c = load(s, d, "lineitem").select(F.col("l_suppkey").cast("bigint").alias("sample"), F.col("l_partkey").cast("bigint").alias("feature"), F.col("l_quantity").cast("double").alias("n"))
+    return rounded(readers.feature_table(c, 0.1, 20, 0.01))
+
+
+@query("graph_catalogue", f"""WITH RECURSIVE {GEO}, {XY}, {RING}, gv AS (SELECT DISTINCT src AS v FROM adj)
+SELECT 'tables/geo' AS id, 'geo' AS name, 'tree' AS family, (SELECT count(*) FROM gv) AS n_vertices, (SELECT count(*) FROM geo) AS n_edges, (SELECT count(*) FROM gv) - (SELECT count(*) FROM geo) AS n_components
+UNION ALL SELECT 'tables/ring', 'ring', 'circulant', (SELECT count(*) FROM xy), (SELECT count(*) FROM ring), 1""")
+def _(s, d):
+    g = geo_tree(s, d)
+    c = catalogue.graph_row(s, "tables/geo", "tree", g, vertices_of(g)).union(catalogue.graph_row(s, "tables/ring", "circulant", ring(s, d), observations(s, d).select("v")))
+    return catalogue.check_catalogue(c)
+
+
+@query("attached_layouts", """WITH l AS (SELECT DISTINCT p_brand AS candidate, p_size::INTEGER AS seed FROM part), x AS (SELECT p_brand AS candidate, p_size::INTEGER AS seed, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY ALL)
+SELECT candidate, seed, coalesce(x.n, 0) AS n_coords, CASE WHEN x.n > 0 THEN 'interactive' ELSE 'summary-only' END AS availability, x.n IS NOT NULL AS viewable FROM l LEFT JOIN x USING (candidate, seed)""")
+def _(s, d):
+    p = load(s, d, "part").select(F.col("p_brand").alias("candidate"), F.col("p_size").cast("int").alias("seed"), F.col("p_partkey").alias("v"))
+    return catalogue.attach_layouts(p.select("candidate", "seed").distinct(), p.where("seed % 2 = 0")).select("candidate", "seed", "n_coords", "availability", "viewable")
