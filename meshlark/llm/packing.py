@@ -67,7 +67,7 @@ def _lengths(path: str):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 p = b.slice(at, 256)
-                n = [len(x) // enc.item for x in enc.encode_batch([t or "" for t in p.column(1).to_pylist()], END_ID)]
+                n = enc.count_batch([t or "" for t in p.column(1).to_pylist()], END_ID)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(n, pa.int64()), p.column(2)], ["doc_id", "n_tokens", "block"])
 
     return run

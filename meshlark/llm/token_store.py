@@ -18,7 +18,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlark.llm.bpe import LONG_PIECE, load, tokenizer_path
+from meshlark.llm.bpe import LONG_PIECE, byte_table, load, tokenizer_path
 from meshlark.llm.common import enter, holds, materialize, shared_path
 
-MAGIC, END_ID, SHARD_IDS, CACHE_WORDS = b"MLTOKEN1", 1, 4_000_000, 500_000
+MAGIC, END_ID, SHARD_IDS, CACHE_WORDS = b"MLTOKEN1", 1, 4_000_000, 300_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 # Fixed value: the pre-token pattern of the word BPE vocabulary.
@@ -133,11 +132,10 @@ class Shard:
 
 
 class WordEncoder:
-    """Raw ids of a word BPE, whose pre-tokens never cross white space: words are encoded once each and kept in a bounded cache.
+    """Raw ids, or their number, of texts by a word BPE, whose pre-tokens never cross white space: words and pre-tokens are encoded once each and kept in bounded caches.
 
-    New Latin words (to U+024F, where composed and decomposed forms do not differ) of a batch are lower-cased, strung together and encoded at once; the ids that end a pre-token tell
-    them apart, as the vocabulary's own pattern says how many each word has. Other words go to the library one by one. So does a whole text with added tokens' marks or the four separators
-    that only Python counts as white space.
+    Latin words (to U+024F, where composed and decomposed forms do not differ) are lower-cased and cut by the vocabulary's own pattern, others
+    go to the library. So does a whole text with added tokens' marks or the four separators that only Python counts as white space.
     """
 
     def __init__(self, path: str):
@@ -145,44 +143,59 @@ class WordEncoder:
         n = self.whole.get_vocab_size()
         self.item = 2 if n <= 65536 else 4
         self.dtype = "<u2" if self.item == 2 else "<u4"
-        suffix = getattr(self.whole.model, "end_of_word_suffix", None) or "</w>"
-        self.ends = np.array([(self.whole.id_to_token(i) or "").endswith(suffix) for i in range(n)])
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _ids(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, new: list[str]) -> None:
-        for w in [w for w in new if BEYOND_LATIN.search(w)]:
-            self.words[w] = self.raw(self._ids(w))
-        new = [w for w in new if w not in self.words]
-        for at in range(0, len(new), 1000):
-            part = [w.lower() for w in new[at : at + 1000]]
-            counts = np.cumsum([1 if w.isascii() and w.isalpha() else len(PRETOKENS.findall(w)) for w in part])
-            ids = np.array(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) != counts[-1]:
-                raise RuntimeError("the tokenizer does not cut words by its vocabulary's pattern")
-            data, cuts = ids.tobytes(), ((ends[counts - 1] + 1) * self.item).tolist()
-            self.words.update(zip(new[at : at + 1000], [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
+        raw = [i.to_bytes(self.item, "little") for i in range(n)]
+        self.raw = lambda ids: b"".join(map(raw.__getitem__, ids))
+        self.bytes = _Words(self.whole, self.raw, b"".join)
+        self.counts = _Words(self.whole, len, sum)
+
+    def _values(self, texts: list[str], words: _Words, more) -> list:
+        words.age()
+        get, join, whole = words.__getitem__, words.join, self.whole
+        return [(words.value(whole.encode(t, add_special_tokens=False).ids) if "<|" in t or SEPARATORS.search(t) else join(map(get, t.split()))) + more for t in texts]
 
     def encode_batch(self, texts: list[str], end: int | None = END_ID) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:  # a full cache is kept as the old one; what is asked for again moves over
-            self.old, self.words = self.words, {}
-        split = [None if "<|" in t or SEPARATORS.search(t) else t.split() for t in texts]
-        new = set(chain.from_iterable(x for x in split if x)).difference(self.words)
-        again = [w for w in new if w in self.old]
-        self.words.update((w, self.old[w]) for w in again)
-        self._learn(list(new.difference(again)))
-        tail, get = b"" if end is None else self.raw([end]), self.words.__getitem__
-        out = [(self.raw(self._ids(t)) if x is None else b"".join(map(get, x))) + tail for t, x in zip(texts, split, strict=True)]
-        for w in [w for w in new if len(w) > LONG_PIECE]:  # large ones are not kept
-            self.words.pop(w, None)
-        return out
+        return self._values(texts, self.bytes, b"" if end is None else self.raw([end]))
+
+    def count_batch(self, texts: list[str], end: int | None = END_ID) -> list[int]:
+        """How many ids ``encode_batch`` has for each text."""
+        return self._values(texts, self.counts, 0 if end is None else 1)
+
+
+class _Words(dict):
+    """word -> value(ids); ``join`` makes one value of several. A full cache is kept as the old one, from which what is asked for again moves over."""
+
+    def __init__(self, whole, value, join):
+        self.whole, self.value, self.join, self.pieces, self.old = whole, value, join, {}, {}
+        self.tokenize = whole.model.tokenize
+        self.stand = {b: c for c, b in byte_table().items()}
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {}
+
+    def __missing__(self, w: str):
+        if (x := self.old.get(w)) is None:
+            if w.isascii() and w.isprintable():
+                low = w.lower()
+                x = self._piece(low, low) if low.isalpha() else self.join([self._piece(p, p) for p in PRETOKENS.findall(low)])
+            elif BEYOND_LATIN.search(w):
+                x = self.value(self.whole.encode(w, add_special_tokens=False).ids)
+            else:
+                x = self.join([self._piece(p, "".join([self.stand[b] for b in p.encode()])) for p in PRETOKENS.findall(w.lower())])
+        if len(w) <= LONG_PIECE:
+            self[w] = x
+        return x
+
+    def _piece(self, p: str, stand: str):
+        """``stand``: the piece in the stand-ins of its bytes; visible ASCII stands for itself."""
+        if (x := self.pieces.get(p)) is None:
+            x = self.value([t.id for t in self.tokenize(stand)])
+            if len(p) <= LONG_PIECE:
+                self.pieces[p] = x
+        return x
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

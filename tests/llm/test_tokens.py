@@ -80,6 +80,18 @@ def test_op3_against_the_library(spark, docs):
     assert token_store.op3_tokens(spark, df.limit(0)).count() == 0
 
 
+def test_counts_and_ids_whatever_the_cache(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 40)
+    enc, lib = token_store.WordEncoder(bpe.tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    rng = np.random.default_rng(8)
+    texts = [t or "" for t in TEXTS] + [" ".join(rng.choice(["the", "The", "cat's", "a,b", "x1y2", "''s", "don't!", "\u00c9t\u00e9", "\u65e5\u672c", "co-op", "###", "w" * 300, "a\x01b", "\x7f"], size=n)) for n in rng.integers(1, 60, size=80)]
+    for at in range(0, len(texts), 7):
+        part = texts[at : at + 7]
+        want = [[*lib.encode(t, add_special_tokens=False).ids, 1] for t in part]
+        assert enc.encode_batch(part) == [np.array(w, enc.dtype).tobytes() for w in want]
+        assert enc.count_batch(part) == [len(w) for w in want]
+
+
 def test_small_shards_and_lookup(spark, docs):
     token_store.write_tokens(docs, path := shared_path(spark, "t"), bpe.tokenizer_path("word_bpe_49k.json"), shard_ids=50)
     lib = library("word_bpe_49k.json")
