@@ -6,7 +6,7 @@ are told apart; the payload is the body), ``resource`` for others (``dns:`` and
 ``warcinfo`` from each archive's version block. ``write_arc`` leaves a table of pages as such archives, and ``read_warc`` reads WARC archives back by their declared lengths.
 
 Archives are files of one gzip member a record, of up to ``ARCHIVE_BYTES`` and one record; Spark's text writer writes an archive as one row, and an empty gzip member is its row separator.
-Which records are revisits is found from digests, lengths and places alone; only the archives' compressed bytes are joined with it, by path.
+Which records are revisits is found from digests, lengths and places alone; only the archives' compressed bytes are joined with it, by path; where revisits are few enough they are broadcast to the archives instead.
 
 Defined results: a null html is an empty payload; a null url becomes the URI ``unknown:``; rows with equal
 payloads of at least ``min_revisit`` bytes revisit the smallest page_id among them; rows that repeat this
@@ -42,7 +42,7 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, URLs
 END = b"\r\n\r\n"
 ARC_DATE = re.compile(r"\d{4,14}|-")
 
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES, BROADCAST_REVISITS = 16 << 20, 100_000
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 FIELDS = "page_id bigint, uri string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string"
 PLACES = "path string, place bigint, page_id bigint, digest string, n bigint"
@@ -266,10 +266,12 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_revisit: int
     at = F.struct(F.col("page_id").alias("id"), "path", F.col("place").alias("first"))
     first = places.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), at)).alias("known"), F.min(at).alias("any"), F.count(F.lit(1)).alias("count")).where("count > 1")
     first = first.select("digest", "count", F.coalesce("known", "any").alias("r"))
-    again = join_counted(places.where(F.col("n") >= min_revisit), first, ["digest"], places.count()).where(~F.col("page_id").eqNullSafe(F.col("r.id")))
+    again = materialize(join_counted(places.where(F.col("n") >= min_revisit), first, ["digest"], places.count()).where(~F.col("page_id").eqNullSafe(F.col("r.id"))), "revisits", True)
     by_file = again.groupBy("path").agg(F.collect_list(F.struct("place", F.col("r.id").alias("id"), F.col("r.path").alias("path"), F.col("r.first").alias("first"))).alias("again"))
+    if again.count() <= BROADCAST_REVISITS:  # rows of two short paths and three numbers: some 30 MB at most; the archives then stay where they are
+        by_file = F.broadcast(by_file)
     _save(_files(spark, arc_path).join(by_file, "path", "left").mapInArrow(_warcs, "value binary"), warc_path)
-    discard(places)
+    discard(places, again)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -278,7 +278,9 @@ def test_hand_written_arcs():
         assert [(x.url, x.block, x.status) for x in r] == [("http://x", b"abc\n", None if version == 1 else 200), ("http://y", b"", None if version == 1 else 200)]
 
 
-def test_archives_in_storage(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_archives_in_storage(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", few)
     long = "x\u00e9\r\n\r\n" * 30000
     pages = spark.createDataFrame([(k, f"http://h/{k}", long if k == 7 else f"page {k % 40}") for k in range(120)], "page_id bigint, url string, html string").repartition(2)
     warc.write_arc(pages, arcs := warc.shared_path(spark, "a"), archive_bytes=4000)
