@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from meshlark.llm.bpe import LONG_PIECE, byte_table, load, tokenizer_path
 from meshlark.llm.common import enter, holds, materialize, shared_path
 
-MAGIC, END_ID, SHARD_IDS, CACHE_WORDS = b"MLTOKEN1", 1, 4_000_000, 300_000
+MAGIC, END_ID, SHARD_IDS, CACHE_WORDS = b"MLTOKEN1", 1, 4_000_000, 600_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 # Fixed value: the pre-token pattern of the word BPE vocabulary.
@@ -165,7 +165,7 @@ class _Words(dict):
     """word -> value(ids); ``join`` makes one value of several. A full cache is kept as the old one, from which what is asked for again moves over."""
 
     def __init__(self, whole, value, join):
-        self.whole, self.value, self.join, self.pieces, self.old = whole, value, join, {}, {}
+        self.whole, self.value, self.join, self.old = whole, value, join, {}
         self.tokenize = whole.model.tokenize
         self.stand = {b: c for c, b in byte_table().items()}
 
@@ -173,14 +173,12 @@ class _Words(dict):
         if len(self) > CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
 
     def __missing__(self, w: str):
         if (x := self.old.get(w)) is None:
             if w.isascii() and w.isprintable():
                 low = w.lower()
-                x = self._piece(low, low) if low.isalpha() else self.join([self._piece(p, p) for p in PRETOKENS.findall(low)])
+                x = self._piece(low, low) if low.isalpha() else self.join([self._piece(p, p) for p in PRETOKENS.findall(low)])  # a pre-token is a word, too
             elif BEYOND_LATIN.search(w):
                 x = self.value(self.whole.encode(w, add_special_tokens=False).ids)
             else:
@@ -191,10 +189,11 @@ class _Words(dict):
 
     def _piece(self, p: str, stand: str):
         """``stand``: the piece in the stand-ins of its bytes; visible ASCII stands for itself."""
-        if (x := self.pieces.get(p)) is None:
-            x = self.value([t.id for t in self.tokenize(stand)])
+        if (x := self.get(p)) is None:
+            if (x := self.old.get(p)) is None:
+                x = self.value([t.id for t in self.tokenize(stand)])
             if len(p) <= LONG_PIECE:
-                self.pieces[p] = x
+                self[p] = x
         return x
 
 
