@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshlark.operators import catalogue, fits, quality
+from meshlark.operators import catalogue, fits, quality, traces
 from meshlark.registry import GEO, PAIRS, RING, STARS, XY, _pairs, _ring_w, geo_tree, load, observations, plane, query, r6, ring, rounded, vertices_of
 from meshlark.sources import readers
 
@@ -132,3 +132,21 @@ SELECT candidate, seed, coalesce(x.n, 0) AS n_coords, CASE WHEN x.n > 0 THEN 'in
 def _(s, d):
     p = load(s, d, "part").select(F.col("p_brand").alias("candidate"), F.col("p_size").cast("int").alias("seed"), F.col("p_partkey").alias("v"))
     return catalogue.attach_layouts(p.select("candidate", "seed").distinct(), p.where("seed % 2 = 0")).select("candidate", "seed", "n_coords", "availability", "viewable")
+
+
+# A trace of three frames: frame k has the vertices up to (k + 1) / 3 of all, at k + 1 times their places.
+FRAMES = f"{XY}, {RING}, fr AS (SELECT k AS frame, v, (k + 1) * x AS x, (k + 1) * y AS y FROM xy, range(3) t(k) WHERE 3 * v <= (k + 1) * (SELECT max(v) FROM xy))"
+
+
+@query("trace_diagnostics", f"""WITH {FRAMES}, l AS (SELECT a.frame, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS len FROM ring JOIN fr a ON a.v = src JOIN fr b ON b.v = dst AND b.frame = a.frame),
+e AS (SELECT frame, count(*) AS n, stddev_samp(len) / avg(len) AS cv, median(len) AS m FROM l GROUP BY frame), {PAIRS},
+p AS (SELECT a.frame, i, j, d, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS q FROM pr JOIN fr a ON a.v = i JOIN fr b ON b.v = j AND b.frame = a.frame),
+s AS (SELECT frame, sqrt((sum(q * q) - sum(q * d) ** 2 / sum(d * d)) / sum(q * q)) AS stress FROM p GROUP BY frame), c AS (SELECT frame, min(q) AS q FROM p WHERE NOT EXISTS (SELECT 1 FROM ring WHERE src = i AND dst = j) GROUP BY frame)
+SELECT frame::INTEGER AS frame, (SELECT count(*) FROM fr f WHERE f.frame = e.frame)::INTEGER AS active_vertices, n AS active_edges, round(cv, 6) AS edge_length_cv, round(m, 6) AS median_edge_length, round(c.q / m, 6) AS nonedge_sep_ratio, round(stress, 6) AS sampled_stress
+FROM e JOIN s USING (frame) JOIN c USING (frame)""")
+def _(s, d):
+    x = plane(s, d)
+    n = load(s, d, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    f = x.withColumn("frame", F.explode(F.array(*(F.lit(k) for k in range(3))))).where(3 * F.col("v") <= (F.col("frame") + 1) * n)
+    f = f.select("frame", "v", F.transform("x", lambda a: a * (F.col("frame") + 1)).alias("x"))
+    return rounded(traces.diagnostics(f, ring(s, d), "full", _pairs(s, d), _pairs(s, d)))
