@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from meshlark.llm.bpe import LONG_PIECE, byte_table, load, tokenizer_path
 from meshlark.llm.common import enter, holds, materialize, shared_path
 
-MAGIC, END_ID, SHARD_IDS, CACHE_WORDS = b"MLTOKEN1", 1, 4_000_000, 600_000
+MAGIC, END_ID, SHARD_IDS, CACHE_WORDS = b"MLTOKEN1", 1, 4_000_000, 400_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 # Fixed value: the pre-token pattern of the word BPE vocabulary.
@@ -149,15 +149,16 @@ class WordEncoder:
         self.counts = _Words(self.whole, len, sum)
 
     def _values(self, texts: list[str], words: _Words, more) -> list:
-        words.age()
         get, join, whole = words.__getitem__, words.join, self.whole
         return [(words.value(whole.encode(t, add_special_tokens=False).ids) if "<|" in t or SEPARATORS.search(t) else join(map(get, t.split()))) + more for t in texts]
 
     def encode_batch(self, texts: list[str], end: int | None = END_ID) -> list[bytes]:
+        self.bytes = self.bytes.aged()
         return self._values(texts, self.bytes, b"" if end is None else self.raw([end]))
 
     def count_batch(self, texts: list[str], end: int | None = END_ID) -> list[int]:
         """How many ids ``encode_batch`` has for each text."""
+        self.counts = self.counts.aged()
         return self._values(texts, self.counts, 0 if end is None else 1)
 
 
@@ -169,10 +170,13 @@ class _Words(dict):
         self.tokenize = whole.model.tokenize
         self.stand = {b: c for c, b in byte_table().items()}
 
-    def age(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
+    def aged(self) -> _Words:
+        """Itself, or a new one whose old one it is, once it is full."""
+        if len(self) <= CACHE_WORDS:
+            return self
+        new = _Words(self.whole, self.value, self.join)
+        new.old, self.old = self, {}
+        return new
 
     def __missing__(self, w: str):
         if (x := self.old.get(w)) is None:
