@@ -265,12 +265,32 @@ def retained_dimension(variances: list[float], share: float, width: int) -> int:
     return int(np.searchsorted(np.cumsum(v) / v.sum(), share - 1e-15) + 1)
 
 
+def _moments(parts):
+    """(n, mean, centred cross-products) of a partition's vectors, folded batch by batch."""
+    n, mean, m2 = 0, None, None
+    for pdf in parts:
+        if len(pdf):
+            x = np.array(pdf["x"].tolist(), dtype=np.float64)
+            k, own = len(x), x.mean(axis=0)
+            d = x - own
+            if mean is None:
+                n, mean, m2 = k, own, d.T @ d
+            else:
+                gap = own - mean
+                m2 += d.T @ d + np.outer(gap, gap) * (n * k / (n + k))
+                mean = mean + gap * (k / (n + k))
+                n += k
+    if n:
+        r, c = np.indices(m2.shape)
+        yield pd.DataFrame({"r": r.ravel(), "c": c.ravel(), "n": n, "a": mean[r.ravel()], "b": mean[c.ravel()], "s": m2.ravel()})
+
+
 def covariance(obs: DataFrame) -> DataFrame:
-    """r, c, s: the sample covariance of the components, as an aggregate."""
-    x = obs.select("v", F.posexplode("x").alias("r", "p"))
-    j = x.join(x.select("v", F.col("r").alias("c"), F.col("p").alias("q")), "v")
-    n = F.count(F.lit(1))
-    return j.groupBy("r", "c").agg(((F.sum(F.col("p") * F.col("q")) - F.sum("p") * F.sum("q") / n) / (n - 1)).alias("s"))
+    """r, c, s: the sample covariance of the components. A task sends the moments of its rows, p x p numbers, not its rows."""
+    x = obs.select(F.transform("x", lambda q: q.cast("double")).alias("x")).mapInPandas(_moments, "r int, c int, n bigint, a double, b double, s double")
+    n = F.sum("n")
+    between = F.sum(F.col("n") * F.col("a") * F.col("b")) - F.sum(F.col("n") * F.col("a")) * F.sum(F.col("n") * F.col("b")) / n
+    return x.groupBy("r", "c").agg(((F.sum("s") + between) / (n - 1)).alias("s"))
 
 
 def pca(obs: DataFrame, share: float = 0.95) -> tuple[DataFrame, list[float]]:

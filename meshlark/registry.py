@@ -334,17 +334,19 @@ def _(s, d):
     return rounded(knn.overlap_graph(knn.knn(observations(s, d), 5)))
 
 
-@query("quantile_prune", f"""WITH {XY}, {RING}, e AS (SELECT src, dst, (dst - src + src % 3)::DOUBLE AS w FROM ring), c AS (SELECT quantile_cont(w, 0.5) AS q FROM e)
-SELECT count(*) AS long_left FROM (SELECT 1) WHERE false UNION ALL SELECT count(*) FROM e, c WHERE w < q""")
+# The edges to the next vertex are shorter than all others, so they are the spanning tree.
+@query("quantile_prune", f"""WITH {XY}, {RING}, e AS (SELECT src, dst, (dst - src + src % 3)::DOUBLE AS w FROM ring)
+SELECT src, dst, w FROM e WHERE w < (SELECT quantile_cont(w, 0.25) FROM e) OR dst - src = 1""")
 def _(s, d):
     e = ring(s, d).withColumn("w", (F.col("dst") - F.col("src") + F.col("src") % 3).cast("double"))
-    cut = e.agg(F.percentile("w", F.lit(0.5))).first()[0]
-    left = knn.prune_quantile(e, observations(s, d).select("v"), 0.5)
-    return left.where(F.col("w") < cut).agg(F.count(F.lit(1)).alias("long_left")).union(s.range(1).select(F.lit(0).cast("bigint")))
+    return knn.prune_quantile(e, observations(s, d).select("v"), 0.25)
 
 
-ORACLE_SQL["quantile_prune"] = f"""WITH {XY}, {RING}, e AS (SELECT src, dst, (dst - src + src % 3)::DOUBLE AS w FROM ring), c AS (SELECT quantile_cont(w, 0.5) AS q FROM e)
-SELECT count(*) AS long_left FROM e, c WHERE w < q UNION ALL SELECT 0"""
+@query("quantile_prune_far", f"""WITH {XY}, {RING}, e AS (SELECT src, dst, (dst - src + src % 3)::DOUBLE AS w FROM ring) SELECT src, dst, w FROM e WHERE w < (SELECT quantile_cont(w, 0.9) FROM e) OR dst - src = 1""")
+def _(s, d):
+    e = ring(s, d).withColumn("w", (F.col("dst") - F.col("src") + F.col("src") % 3).cast("double"))
+    return knn.prune_quantile(e, observations(s, d).select("v"), 0.9)
+
 
 PIV = "piv AS (SELECT * FROM (VALUES (1, 1::BIGINT), (2, 101::BIGINT), (3, 201::BIGINT), (4, 301::BIGINT), (5, 401::BIGINT)) t(k, piv))"
 PDIST = f"{PIV}, pdist AS (SELECT k, piv, o.v, list_max(list_transform(list_zip(o.x, p.x), lambda z: abs(z[1] - z[2]))) AS d FROM piv JOIN obs p ON p.v = piv, obs o), reg AS (SELECT v, arg_min(piv, d * 1000000 + k) AS owner FROM pdist GROUP BY v)"
@@ -525,7 +527,9 @@ def _(s, d):
     return rounded(objectives.length_stiffness(_ring_w(s, d), "power", -1.0, "sqrt"))
 
 
-@query("density_stiffness")
+@query("density_stiffness", RL + """, g AS (SELECT src, dst, len AS w FROM l), t AS (SELECT count(*) AS n, min(w) AS lo, (max(w) - min(w)) / 511 AS step, 0.9 * least(stddev_samp(w), (quantile_cont(w, 0.75) - quantile_cont(w, 0.25)) / 1.34) * pow(count(*), -0.2) AS h FROM g),
+f AS (SELECT b, sum(exp(-0.5 * ((lo + b * step - w) / h) ** 2)) / any_value(n * h * 2.5066282746310002) AS f FROM range(512) x(b), t, g GROUP BY b), a AS (SELECT src, dst, w, (w - lo) / step AS pos, least(floor((w - lo) / step), 510) AS b FROM g, t),
+k AS (SELECT src, dst, w, p.f + (pos - a.b) * (q.f - p.f) AS k FROM a JOIN f p ON p.b = a.b JOIN f q ON q.b = a.b + 1) SELECT src, dst, round(w, 6) AS w, round(k / (SELECT avg(k) FROM k), 6) AS k FROM k""")
 def _(s, d):
     e = graph.edge_lengths(ring(s, d), plane(s, d)).select("src", "dst", F.col("len").alias("w"))
     return rounded(objectives.length_stiffness(e, "density"))
@@ -639,7 +643,20 @@ def _(s, d):
     return quality.bands(_pairs(s, d).select("i", "j", F.col("d").alias("g"))).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("score_gmds")
+def _family(name: str, rows: str) -> str:
+    """The six residual statistics of rows (t, o) with the profiled scale, as one row."""
+    return f"""{name} AS (SELECT sqrt(sum(r * r) / sum(g * g)) AS {name}_stress, sqrt(avg(r * r)) AS {name}_rmse, avg(abs(r)) AS {name}_mae, avg(abs(r / g)) AS {name}_mre, avg(r / g) AS {name}_bias, avg(CASE WHEN r / g < -0.05 THEN 1.0 ELSE 0.0 END) AS {name}_shortcut_fraction
+FROM (SELECT o - s * t AS r, s * t AS g FROM ({rows}), (SELECT sum(o * t) / sum(t * t) AS s FROM ({rows}))))"""
+
+
+GMDS = ("edge", "path", "short", "mid", "long", "chord")
+
+
+@query("score_gmds", f"""WITH {XY}, st AS (SELECT a.v, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS len FROM xy a JOIN xy b ON b.v = a.v + 1), pp AS (SELECT v AS i, v + k AS j, k::DOUBLE AS g FROM xy, (VALUES (1), (2), (3)) t(k) WHERE v <= (SELECT max(v) FROM xy) - 3),
+ph AS (SELECT i, j, any_value(g) AS t, sum(len) AS o FROM pp JOIN st ON st.v BETWEEN i AND j - 1 GROUP BY i, j), q AS (SELECT quantile_cont(g, 1.0 / 3) AS q1, quantile_cont(g, 2.0 / 3) AS q2 FROM pp),
+ch AS (SELECT g AS t, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS o FROM pp JOIN xy a ON a.v = i JOIN xy b ON b.v = j), {_family("edge", "SELECT 1.0 AS t, len AS o FROM st")}, {_family("path", "SELECT t, o FROM ph")}, {_family("short", "SELECT t, o FROM ph, q WHERE t <= q1")},
+{_family("mid", "SELECT t, o FROM ph, q WHERE t > q1 AND t <= q2")}, {_family("long", "SELECT t, o FROM ph, q WHERE t > q2")}, {_family("chord", "SELECT t, o FROM ch")}
+SELECT {", ".join(f"round({n}_{c}, 6) + 0.0 AS {n}_{c}" for n in GMDS for c in ("stress", "rmse", "mae", "mre", "bias", "shortcut_fraction"))}, (SELECT round(sqrt(avg(o * o)) / sqrt(avg(t * t)), 6) FROM ch) AS spread_score FROM {", ".join(GMDS)}""")
 def _(s, d):
     n = load(s, d, "embeddings").count()
     e = generators.path(s, n).withColumn("w", F.lit(1.0))
@@ -791,14 +808,14 @@ def _(s, d):
     return rounded(objectives.observed(p, x).select("i", "j", "o"))
 
 
-@query("covariance", f"WITH {XY}, l AS (SELECT v, 0 AS k, x AS p FROM xy UNION ALL SELECT v, 1, y FROM xy UNION ALL SELECT v, 2, z FROM xy) SELECT a.k AS r, b.k AS c, round(covar_samp(a.p, b.p), 6) + 0.0 AS s FROM l a JOIN l b USING (v) GROUP BY a.k, b.k")
+@query("covariance", f"WITH {OBS}, l AS (SELECT v, unnest(range(len(x))) AS k, unnest(x) AS p FROM obs) SELECT a.k::INTEGER AS r, b.k::INTEGER AS c, round(covar_samp(a.p, b.p), 6) + 0.0 AS s FROM l a JOIN l b USING (v) GROUP BY a.k, b.k")
 def _(s, d):
-    return rounded(mds.covariance(plane(s, d, 3)))
+    return rounded(mds.covariance(observations(s, d)))
 
 
-@query("pca_variance", f"WITH {XY} SELECT round(var_samp(x) + var_samp(y) + var_samp(z), 6) AS total FROM xy")
+@query("pca_variance", f"WITH {OBS}, l AS (SELECT unnest(range(len(x))) AS k, unnest(x) AS p FROM obs) SELECT round(sum(v), 6) AS total FROM (SELECT var_samp(p) AS v FROM l GROUP BY k)")
 def _(s, d):
-    _, val = mds.pca(plane(s, d, 3), 1.0)
+    _, val = mds.pca(observations(s, d), 1.0)
     return rounded(s.createDataFrame([(float(sum(val)),)], "total double"))
 
 
