@@ -269,16 +269,58 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return r.join(base, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark: SparkSession, folder: str, key: int) -> DataFrame:
-    """ids of each record of one key: every shard answers by its index alone."""
+def _index_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            s = Shard(content.as_py()[:-1])
+            if len(s.keys):
+                rows.append((path, int(s.keys[0]), int(s.keys[-1]), s.at))
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 3), strict=True)], ["path", "low", "high", "index_bytes"])
+
+
+class TokenIndex:
+    """Keyed access to a folder of shards. A manifest (path, least and greatest key, bytes of the index) is made once and kept beside the folder; a key reads the index of the
+    shards whose range it is in, which it keeps, and then the bytes of its own ids alone."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.shards = spark, {}
+        path = f"{folder.rstrip('/')}-manifest"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content")
+            files.mapInArrow(_index_sizes, "path string, low bigint, high bigint, index_bytes bigint").write.parquet(path)
+        self.manifest = spark.read.schema("path string, low bigint, high bigint, index_bytes bigint").parquet(path)
+
+    def _read(self, path: str, at: int, n: int) -> bytes:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(p)
+        try:
+            stream.seek(at)
+            return bytes(stream.readNBytes(n))
+        finally:
+            stream.close()
+
+    def get(self, key: int) -> list[list[int]]:
+        """The ids of each record of the key."""
+        out = []
+        for r in self.manifest.where((F.col("low") <= key) & (F.col("high") >= key)).orderBy("low", "path").collect():  # ranges meet at their ends only
+            if r.path not in self.shards:
+                self.shards[r.path] = Shard(self._read(r.path, 0, r.index_bytes))
+            s = self.shards[r.path]
+            first, count = s.locate(np.array([key], dtype="<i8"))
+            for k in range(int(first[0]), int(first[0]) + int(count[0])):
+                if int(s.keys[k - s.head["nulls"]]) != key:  # another key with the same fingerprint
+                    break
+                at, n = int(s.offsets[k]) * s.head["item"], int(s.offsets[k + 1] - s.offsets[k]) * s.head["item"]
+                out.append(np.frombuffer(self._read(r.path, s.at + at, n), dtype="<u2" if s.head["item"] == 2 else "<u4").tolist())
+        return out
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                if got := Shard(content.as_py()[:-1]).get(key):
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in got], pa.list_(pa.int64()))], ["ids"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("content").mapInArrow(find, "ids array<bigint>")
+def lookup(spark: SparkSession, folder: str, key: int) -> list[list[int]]:
+    """The ids of each record of one key."""
+    return TokenIndex(spark, folder).get(key)
 
 
 def op3_tokens(spark: SparkSession, documents: DataFrame, path: str | None = None) -> DataFrame:
