@@ -312,7 +312,8 @@ def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     ra, rb = average_ranks(x, "a").withColumnRenamed("rank", "ra"), average_ranks(x, "b").withColumnRenamed("rank", "rb")
     y = x.join(ra, "a").join(rb, "b")
     good = (F.count(F.lit(1)) >= 2) & (F.stddev_samp("a") > 0) & (F.stddev_samp("b") > 0)
-    return y.agg(F.when(good, F.corr("a", "b")).alias("pearson"), F.when(good, F.corr("ra", "rb")).alias("spearman"))
+    r = lambda a, b: F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    return y.agg(F.when(good, r("a", "b")).alias("pearson"), F.when(good, r("ra", "rb")).alias("spearman"))
 
 
 def classical_score(pairs: DataFrame, coords: DataFrame, floor: float = 1e-8) -> DataFrame:

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import warnings
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 MAX_ALL_PAIRS_VERTICES = 5_000
 ADVISORY_BYTES = 512 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 HOT_KEYS = 4096
 _LOCAL: dict[str, str] = {}
 _PATHS: dict[int, str] = {}
@@ -31,20 +34,28 @@ def materialize(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage. ``tidy``: the plan's shuffle files go as soon as it is written. ``discard`` deletes the table."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/meshlark/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    if tidy and before is not None:
-        spark.conf.set(CLEANUP, "true")
-    try:
+    with held(spark, tidy):
         df.write.parquet(path)
-    finally:
-        if tidy and before is not None:
-            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(schema).parquet(path)
     _PATHS[id(out)] = path
     weakref.finalize(out, _PATHS.pop, id(out), None)
     return out
 
 
+@contextmanager
+def held(spark: SparkSession, tidy: bool = True) -> Iterator[None]:
+    """While a table is written: batches for Python workers are small, so neither side holds many long texts, and with ``tidy`` shuffle files go with the plan."""
+    want = {BATCH: str(min(BATCH_ROWS, int(spark.conf.get(BATCH, "10000"))))} | ({CLEANUP: "true"} if tidy and spark.conf.get(CLEANUP, None) is not None else {})
+    before = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote for these tables; nothing that is still to run may read them."""
     for df in tables:
