@@ -45,7 +45,7 @@ def materialize(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
 @contextmanager
 def held(spark: SparkSession, tidy: bool = True) -> Iterator[None]:
     """While a table is written: batches for Python workers are small, so neither side holds many long texts, and with ``tidy`` shuffle files go with the plan."""
-    want = {BATCH: str(min(BATCH_ROWS, int(spark.conf.get(BATCH, "10000"))))} | ({CLEANUP: "true"} if tidy and spark.conf.get(CLEANUP, None) is not None else {})
+    want = {BATCH: str(min(BATCH_ROWS, int(spark.conf.get(BATCH, "10000"))))} | ({CLEANUP: "true"} if tidy else {})  # Spark before 4.1 does not know the last one, and ignores it
     before = {k: spark.conf.get(k, None) for k in want}
     for k, v in want.items():
         spark.conf.set(k, v)
