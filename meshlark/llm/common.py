@@ -9,9 +9,9 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.plans.shared import discard, join_counted, materialize, shared_dir
+from meshlark.plans.shared import discard, held, join_counted, materialize, shared_dir
 
-__all__ = ["cleanup", "enter", "holds", "trim", "discard", "join_counted", "materialize", "shared_dir", "shared_path", "table"]
+__all__ = ["cleanup", "enter", "held", "holds", "trim", "discard", "join_counted", "materialize", "shared_dir", "shared_path", "table"]
 
 
 _CACHES: dict[str, Callable[[], object]] = {}

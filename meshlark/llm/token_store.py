@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.llm.bpe import LONG_PIECE, byte_table, load, tokenizer_path
-from meshlark.llm.common import enter, holds, materialize, shared_path
+from meshlark.llm.common import enter, held, holds, materialize, shared_path
 
 MAGIC, END_ID, SHARD_IDS, CACHE_WORDS = b"MLTOKEN1", 1, 4_000_000, 400_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -240,7 +240,8 @@ def write_tokens(documents: DataFrame, folder: str, path: str, shard_ids: int =
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = documents.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     s = d.mapInArrow(_shards(path, shard_ids), "shard binary")
-    s.select(F.col("shard").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(folder)
+    with held(documents.sparkSession):
+        s.select(F.col("shard").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(folder)
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +261,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every record, read from the shards through their indexes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("content")
-    r = materialize(files.mapInArrow(_records, "part int, seq int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"), "tokens")
+    r = materialize(files.mapInArrow(_records, "part int, seq int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"), "tokens", True)
     shards = r.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
     # Two levels: one row per range partition in a single window, then the shards within each partition.
     parts = shards.groupBy("part").agg(F.sum("n").alias("n_part"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import discard, join_counted, materialize, shared_path
+from meshlark.llm.common import discard, held, join_counted, materialize, shared_path
 
 # Fixed values of the ARC and WARC formats.
 ARC_FIELDS = {
@@ -42,7 +42,7 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, URLs
 END = b"\r\n\r\n"
 ARC_DATE = re.compile(r"\d{4,14}|-")
 
-ARCHIVE_BYTES, BROADCAST_REVISITS = 16 << 20, 100_000
+ARCHIVE_BYTES, BROADCAST_REVISITS = 8 << 20, 100_000
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 FIELDS = "page_id bigint, uri string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string"
 PLACES = "path string, place bigint, page_id bigint, digest string, n bigint"
@@ -207,7 +207,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def _save(archives: DataFrame, path: str) -> None:
     """One file a row of ``archives`` (value: the bytes of a file)."""
     separator = EMPTY_MEMBER.decode("latin-1")
-    archives.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", 1).text(path)
+    with held(archives.sparkSession):
+        archives.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", 1).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
