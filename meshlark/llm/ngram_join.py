@@ -184,7 +184,7 @@ def _signed(n: int, num: int, den: int, buckets: int):
                     keep = ~many
                     keep[start[size > HOT_GROUP]] = True
                     sig, owner, inst, hot, bucket = sig[keep], owner[keep], inst[keep], hot[keep], bucket[keep]
-                words = ((sig & SIG) << np.uint64(18)) | (inst << INST) | (hot << np.uint64(11)) | owner.astype(np.uint64)
+                words = ((sig & SIG) << np.uint64(18)) | ((inst & np.uint64(63)) << INST) | (hot << np.uint64(11)) | owner.astype(np.uint64)
                 words = words.astype("<u8").view("u1").reshape(-1, 8)[:, :7]
                 ends = np.searchsorted(bucket, np.arange(buckets + 1))
                 name = keys.tobytes()
@@ -233,7 +233,7 @@ def _meet(num: int, den: int):
             out.append((fill(kind), a, b, fill(n), fill(need), np.zeros(len(a), np.int64) if th is None else th))
 
         enum = PartEnum(num, den)
-        enum.band(2**40)
+        enum.band(2**22)  # instances past the 64th, of sets of millions, are named as the first ones are, which ask for less: more candidates, no link lost
         needs = np.array([enum.plan(i)[2] for i in range(min(64, len(enum.bands)))], dtype=np.int64)
         words, owners = [], []
         for bucket, x, y in zip(*(table.column(i) for i in range(3)), strict=True):
@@ -243,7 +243,7 @@ def _meet(num: int, den: int):
                 add(np.where(r[:, 4] == 1, 3, 0), r[:, 0], r[:, 1], r[:, 3], 0, r[:, 2])
             elif bucket == -2:
                 r = ints(x).reshape(-1, 3)
-                add(2, r[:, 0], r[:, 1], 1, needs[r[:, 2]])
+                add(2, r[:, 0], r[:, 1], 1, needs[r[:, 2] & 63])
             else:
                 here = np.uint64(bucket)
                 w = np.zeros((len(x) // 7, 8), dtype="u1")
