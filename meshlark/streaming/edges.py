@@ -1,4 +1,4 @@
-"""An extension: degrees of a stream of edge batches, kept in a table of the shared folder."""
+"""An extension: degrees of a stream of edge batches; the state is the stream's own."""
 
 from __future__ import annotations
 
