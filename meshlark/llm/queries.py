@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.llm import bpe, html_extract, license_scan, mtree, ngram_join, packing, quality_rules, secret_scan, token_store, warc
+from meshlark.llm import bpe, filter_audit, html_extract, license_scan, mtree, ngram_join, packing, quality_rules, secret_scan, token_store, warc
 from meshlark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license": lambda s, d: license_scan.op8_license(s, table(s, d, "documents")),
     "op9_secrets": lambda s, d: secret_scan.op9_secrets(s, table(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe.op10_bpe(s, table(s, d, "documents")),
+    "op11_audit": lambda s, d: filter_audit.op11_audit(s, table(s, d, "documents"), table(s, d, "labels")),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_topk_mtree": mtree.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op8_license": license_scan.oracle_sql(),
+    "op11_audit": filter_audit.ORACLE_SQL,
 }
