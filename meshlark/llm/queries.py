@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshlark.llm import bpe, filter_audit, html_extract, license_scan, mtree, ngram_join, packing, quality_rules, secret_scan, token_store, warc
+from meshlark.llm import bpe, filter_audit, html_extract, license_scan, maxent, mtree, ngram_join, packing, quality_rules, resample, secret_scan, token_store, warc
 from meshlark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": lambda s, d: secret_scan.op9_secrets(s, table(s, d, "documents")),
     "op10_bpe": lambda s, d: bpe.op10_bpe(s, table(s, d, "documents")),
     "op11_audit": lambda s, d: filter_audit.op11_audit(s, table(s, d, "documents"), table(s, d, "labels")),
+    "op12_resample": lambda s, d: resample.op12_resample(s, table(s, d, "documents"), table(s, d, "benchmark")),
+    "op13_lm": lambda s, d: maxent.op13_lm(s, table(s, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc": warc.ORACLE_SQL,
     "op8_license": license_scan.oracle_sql(),
     "op11_audit": filter_audit.ORACLE_SQL,
+    "op12_resample": resample.ORACLE_SQL,
 }
