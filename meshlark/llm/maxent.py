@@ -6,8 +6,8 @@ features of the context: the symbol before (bigram), the one before that (skip),
 smoothed share of all rare tokens, so probabilities of all tokens sum to 1.
 
 Training: the features look at two symbols, so counts of (context, symbol), aggregated over all training texts, hold all that the gradient needs (``context_counts``). A round sends
-each task the weights; tasks return sums of gradients and curvatures of their contexts by feature, which Spark adds by feature; the step is a damped Newton step by weight under a
-Gaussian prior. Weights are a table of fixed size (``Shape``). Contexts and the symbols after them grow with the texts up to the square and cube of the number of symbols.
+each task the weights; tasks return what their contexts have seen and what the model expected there, by weight, which Spark adds: their difference is the gradient. Three features change a
+probability by at most exp(3 step), so the step by weight that balances the gradient with that bound and a Gaussian prior never lowers the likelihood less the prior. Weights are a table of fixed size (``Shape``). Contexts and the symbols after them grow with the texts up to the square and cube of the number of symbols.
 
 Token counts are exact: tokens of more than a ``HOT_SHARE``-th of all tokens (fewer than that many) go to the tasks; all others, none of which is hot, are joined.
 
@@ -48,8 +48,8 @@ class Shape:
     classes: int = 32
     members: int = 32
     rows: int = 1 << 15
-    rounds: int = 6
-    prior: float = 10.0
+    rounds: int = 8
+    prior: float = 4.0
 
     @property
     def symbols(self) -> int:
@@ -286,8 +286,8 @@ def _spread(rows: np.ndarray, g: np.ndarray, into: np.ndarray, touched: np.ndarr
         touched[r[starts]] = True
 
 
-def gradient(context: np.ndarray, owner: np.ndarray, symbol: np.ndarray, n: np.ndarray, w: Weights, shape: Shape, grad: np.ndarray, curve: np.ndarray, touched: np.ndarray) -> float:
-    """Adds the gradient of the log likelihood of counted symbols, and its curvature by weight, by feature; returns the log likelihood (natural)."""
+def gradient(context: np.ndarray, owner: np.ndarray, symbol: np.ndarray, n: np.ndarray, w: Weights, shape: Shape, found: np.ndarray, wanted: np.ndarray, touched: np.ndarray) -> float:
+    """Adds how often each weight's feature and class (or member) were found together, and how often the model expects it; returns the log likelihood (natural)."""
     total = 0.0
     cls, member, n = symbol // shape.members, symbol % shape.members, n.astype(np.float64)
     pairs, pair_at = np.unique(owner * shape.classes + cls, return_inverse=True)
@@ -299,24 +299,24 @@ def gradient(context: np.ndarray, owner: np.ndarray, symbol: np.ndarray, n: np.n
         seen = np.bincount(where * width + cell, weights=n, minlength=log.size).reshape(log.shape)
         total += float((seen * log).sum())
         p, size = np.exp(log), seen.sum(axis=1, keepdims=True)
-        _spread(rows, (seen - size * p).astype(np.float32), grad, touched)
-        _spread(rows, (size * p * (1 - p)).astype(np.float32), curve, touched)
+        _spread(rows, seen, found, touched)
+        _spread(rows, size * p, wanted, touched)
     return total
 
 
 def _gradients(shape: Shape, weights: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, total = weights.value, 0.0
-        grad, curve, touched = (np.zeros((shape.rows, shape.width), dtype=np.float32) for _ in range(2)), None, np.zeros(shape.rows, dtype=bool)
-        grad, curve = grad
+        found, wanted = np.zeros((2, shape.rows, shape.width))
+        touched = np.zeros(shape.rows, dtype=bool)
         for b in batches:
             ends = np.concatenate([[0], np.cumsum(b.column(1).value_lengths().to_numpy())])
             symbol, n = (b.column(c).flatten().to_numpy().astype(np.int64) for c in (1, 2))
-            total += gradient(b.column(0).to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(ends)), symbol, n, w, shape, grad, curve, touched)
+            total += gradient(b.column(0).to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(ends)), symbol, n, w, shape, found, wanted, touched)
         rows = np.flatnonzero(touched)
         for k in np.unique(rows // BLOCK):
             r = rows[rows // BLOCK == k]
-            cols = ([int(k)], [r.astype("<i4").tobytes()], [np.stack([grad[r], curve[r]]).tobytes()], [0.0])
+            cols = ([int(k)], [r.astype("<i4").tobytes()], [np.stack([found[r], wanted[r]]).astype(np.float32).tobytes()], [0.0])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.float64()), strict=True)], ["block", "rows", "sums", "log"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""]), pa.array([b""]), pa.array([total])], ["block", "rows", "sums", "log"])
 
@@ -326,7 +326,7 @@ def _gradients(shape: Shape, weights: Broadcast):
 def _added(shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of a block's rows, one batch after another."""
-        sums, log, block = np.zeros((2, BLOCK, shape.width), dtype=np.float32), 0.0, -1
+        sums, log, block = np.zeros((2, BLOCK, shape.width)), 0.0, -1
         for b in batches:
             for k in range(b.num_rows):
                 block = b.column(0)[k].as_py()
@@ -339,6 +339,17 @@ def _added(shape: Shape):
     return run
 
 
+def step(found: np.ndarray, wanted: np.ndarray, weight: np.ndarray, prior: float) -> np.ndarray:
+    """x with found - wanted exp(3 x) - prior (weight + x) = 0: Newton's method from above the root, where it only falls."""
+    wanted = np.maximum(wanted, 1e-6)
+    top = np.log(np.maximum((found + prior * np.maximum(-weight, 0)) / wanted, 1e-12)) / 3
+    x = np.minimum(np.maximum(top, 0), found / prior - weight)
+    for _ in range(20):
+        e = wanted * np.exp(np.minimum(3 * x, 60))
+        x = x + (found - e - prior * (weight + x)) / (3 * e + prior)
+    return x
+
+
 def train(contexts: DataFrame, counts: np.ndarray, shape: Shape) -> tuple[Weights, list[float]]:
     """Weights, and the log likelihood of the training symbols before each round. A round's sums have the size of the weights, whatever the number of texts."""
     spark, w, trace = contexts.sparkSession, Weights.of_counts(counts, shape), []
@@ -350,9 +361,9 @@ def train(contexts: DataFrame, counts: np.ndarray, shape: Shape) -> tuple[Weight
         for r in sums.toLocalIterator():
             log += r.log
             if r.block >= 0:
-                grad, curve = np.frombuffer(r.sums, dtype=np.float32).reshape(2, BLOCK, shape.width)[:, : shape.rows - r.block * BLOCK]
+                found, wanted = np.frombuffer(r.sums).reshape(2, BLOCK, shape.width)[:, : shape.rows - r.block * BLOCK]
                 own = hashed[r.block * BLOCK : (r.block + 1) * BLOCK]
-                own += (grad - shape.prior * own) / (3 * curve + shape.prior)  # three features share each step
+                own += step(found, wanted, own.astype(np.float64), shape.prior)
         trace.append(log)
         w = Weights(w.classes, w.members, hashed)
         sent.destroy()
