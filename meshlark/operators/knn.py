@@ -1,92 +1,47 @@
 """Exact nearest neighbours of vectors and the graphs made of them.
 
-Vectors are packed into blocks; each pair of blocks is one task's matrix kernel, which keeps k candidates per row, and a window picks
-the k nearest of all. Memory is bounded by the block size, whatever the number of vectors.
+Vectors are packed into blocks around pivots (``blocks``); pairs of blocks that the triangle inequality does not rule out are matrix kernels, which keep k candidates per row, and a window
+picks the k nearest of all. Memory is bounded by the block size, whatever the number of vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.operators.components import numbered
-from meshlark.plans.shared import materialize
-
-BLOCK = 1024
-
-
-def _matrix(x: pd.Series) -> np.ndarray:
-    return np.array(x.tolist(), dtype=np.float64)
-
-
-def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of all rows of a to all rows of b, some rows at a time; differences come first, as in a scalar loop."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, (1 << 22) // max(1, b.size))
-    for lo in range(0, len(a), step):
-        d = np.abs(a[lo : lo + step, None, :] - b[None, :, :])
-        out[lo : lo + step] = d.max(axis=2, initial=0.0) if metric == "linf" else np.sqrt((d * d).sum(axis=2))
-    return out
+from meshlark.operators import blocks as B
+from meshlark.operators.blocks import pairwise
+from meshlark.operators.components import contraction, numbered, onward
+from meshlark.plans.shared import Rounds, discard, materialize
 
+__all__ = ["connected_knn_graph", "knn", "knn_graph", "minimum_spanning_tree", "nearest", "observation_tree", "overlap_graph", "pairwise", "pca_knn_graph", "prune_geometric", "prune_geometric_rounds", "prune_geometric_sequential", "prune_quantile"]
 
-def _packed(obs: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """b, ids, xs, dim: vectors in about equal blocks; and the number of blocks."""
-    blocks = max(1, -(-obs.count() // block))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf["x"])
-        return pd.DataFrame({"b": [pdf["b"].iloc[0]], "ids": [pdf["v"].to_numpy("<i8").tobytes()], "xs": [x.tobytes()], "dim": [x.shape[1]]})
-
-    o = obs.select("v", F.transform("x", lambda a: a.cast("double")).alias("x"), F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("b"))
-    return materialize(o.groupBy("b").applyInPandas(pack, "b int, ids binary, xs binary, dim int"), "blocks"), blocks
-
-
-def _block_pairs(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
-    """Each block of ``left`` beside each of the ``blocks`` blocks of ``right``; what is dealt are blocks, not rows."""
-    l = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = right.select(F.col("b").alias("c"), F.col("ids").alias("ids2"), F.col("xs").alias("xs2"))
-    return l.join(r, "c").repartition(F.col("b"), F.col("c"))
+def knn_pairs(obs: DataFrame, k: int, metric: str = "linf", block: int = B.BLOCK) -> tuple[DataFrame, DataFrame, B.Pivots]:
+    """b, other: the pairs of blocks that a search of k neighbours looks into; the blocks; and the pivots."""
+    n = obs.count()
+    if k >= n:
+        raise ValueError("k must be less than the number of observations")
+    p = B.pivots_of(obs, metric, n)
+    packed, cells = B.with_own_bounds(*B.packed(obs, p, block), p, k)
+    return B.block_pairs(packed, cells, packed, cells, p), packed, p
 
 
-def knn(obs: DataFrame, k: int, metric: str = "linf", block: int = BLOCK) -> DataFrame:
+def knn(obs: DataFrame, k: int, metric: str = "linf", block: int = B.BLOCK) -> DataFrame:
     """v, u, d, rank: the k nearest other rows of each row of ``obs`` (v, x), ties to the smaller id."""
-    if k >= obs.count():
-        raise ValueError("k must be less than the number of observations")
-    p, blocks = _packed(obs, block)
-
-    def kernel(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                ids, other = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.ids2, "<i8")
-                d = pairwise(np.frombuffer(r.xs).reshape(-1, r.dim), np.frombuffer(r.xs2).reshape(-1, r.dim), metric)
-                d[ids[:, None] == other[None, :]] = np.inf
-                take = min(k, len(other))
-                # Ties at the edge are all kept, so that the smaller ids can win.
-                edge = np.partition(d, take - 1, axis=1)[:, take - 1]
-                i, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-                yield pd.DataFrame({"v": ids[i], "u": other[j], "d": d[i, j]})
-
-    found = _block_pairs(p, p, blocks).mapInPandas(kernel, "v bigint, u bigint, d double")
+    pairs, packed, p = knn_pairs(obs, k, metric, block)
     w = Window.partitionBy("v").orderBy("d", "u")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("v", "u", "d", "rank")
-
+    return B.searched(pairs, packed, packed, p, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("v", "u", "d", "rank")
 
-def nearest(source: DataFrame, target: DataFrame, metric: str = "euclid", block: int = BLOCK) -> DataFrame:
-    """v, d: the distance of each row of ``source`` (v, x) to the nearest row of ``target``, in block pairs."""
-    s, _ = _packed(source, block)
-    t, blocks = _packed(target, block)
-
-    def kernel(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                d = pairwise(np.frombuffer(r.xs).reshape(-1, r.dim), np.frombuffer(r.xs2).reshape(-1, r.dim), metric)
-                yield pd.DataFrame({"v": np.frombuffer(r.ids, "<i8"), "d": d.min(axis=1)})
 
-    return _block_pairs(s, t, blocks).mapInPandas(kernel, "v bigint, d double").groupBy("v").agg(F.min("d").alias("d"))
+def nearest(source: DataFrame, target: DataFrame, metric: str = "euclid", block: int = B.BLOCK) -> DataFrame:
+    """v, d: the distance of each row of ``source`` (v, x) to the nearest row of ``target``. A row's pivot, a row of the target, bounds its search."""
+    p = B.pivots_of(target, metric)
+    near = B.assigned(source, p).select("v", "x", F.col("at").alias("t"))
+    s, s_cells = B.packed(near, p, block)
+    t, t_cells = B.packed(target.select((-1 - F.monotonically_increasing_id()).alias("v"), "x"), p, block)  # no row of the target is the row itself
+    return B.searched(B.block_pairs(s, s_cells, t, t_cells, p), s, t, p, 1).groupBy("v").agg(F.min("d").alias("d"))
 
 
 def pca_knn_graph(obs: DataFrame, k: int, target: float = 0.95, metric: str = "euclid") -> DataFrame:
@@ -108,37 +63,103 @@ def knn_graph(neighbours: DataFrame) -> DataFrame:
     return e
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """v, c after the components that ``links`` (a, b) join have become one; only labels are contracted, not the tree so far."""
+    up, _ = contraction(links)
+    out = onward(comp.select(F.col("v").alias("id"), F.col("c").alias("root")), up.select("id", F.col("component").alias("top")), "id", False)
+    discard(up)
+    return materialize(out.select(F.col("id").alias("v"), F.col("root").alias("c")), "forest")
+
+
+def _least(ends: DataFrame) -> DataFrame:
+    """src, dst, w, c, d: the least edge by (w, src, dst) of each component c, and the component d at its other end."""
+    return ends.groupBy("c").agg(F.min(F.struct("w", "src", "dst", "d")).alias("e")).select("c", "e.*")
+
+
 def minimum_spanning_tree(edges: DataFrame, vertices: DataFrame, rounds: int = 60) -> DataFrame:
     """Boruvka rounds with the order (w, src, dst): each component takes its least outgoing edge."""
-    from meshlark.operators.components import components
-
     tree = None
     comp = materialize(vertices.select("v", F.col("v").alias("c")), "forest")
     for _ in range(rounds):
         a, b = (comp.select(F.col("v").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst"))
         out = edges.join(a, "src").join(b, "dst").where("c_src <> c_dst")
-        ends = out.select("src", "dst", "w", F.explode(F.array("c_src", "c_dst")).alias("c"))
-        pick = materialize(ends.groupBy("c").agg(F.min(F.struct("w", "src", "dst")).alias("e")).select("e.*").distinct(), "picked")
+        ends = out.select("src", "dst", "w", F.explode(F.array(F.struct(F.col("c_src").alias("c"), F.col("c_dst").alias("d")), F.struct(F.col("c_dst").alias("c"), F.col("c_src").alias("d")))).alias("e"))
+        pick = materialize(_least(ends.select("src", "dst", "w", "e.*")), "picked")
         if pick.isEmpty():
-            return tree if tree is not None else edges.limit(0)
-        tree = pick if tree is None else tree.union(pick)
-        c = components(tree.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("id", "v")
-        comp = materialize(vertices.select("v").join(c, "v", "left").select("v", F.coalesce("component", "v").alias("c")), "forest")
+            return tree.all() if tree is not None else edges.select("src", "dst", "w").limit(0)
+        new = pick.select("src", "dst", "w").distinct()
+        if tree is None:
+            tree = Rounds(new, "tree")
+        else:
+            tree.add(new)
+        comp = _merged(comp, pick.select(F.col("c").alias("a"), F.col("d").alias("b")))
+    raise RuntimeError("the forest did not settle")
+
+
+def observation_tree(obs: DataFrame, near: DataFrame, metric: str = "euclid", rounds: int = 60) -> DataFrame:
+    """src, dst, w: the minimum spanning tree of all pairs of ``obs`` (v, x) by (w, src, dst), from ``near`` (v, u, d), the k nearest of each.
+
+    A round takes each component's least edge. A row with a neighbour outside its component has its nearest one in its list. Others can only matter where their list ends before the least
+    edge that their component has so far; these search blocks for the nearest row of another component, no farther than that edge or a pivot of another component.
+    """
+    k = near.groupBy("v").agg(F.max("d").alias("reach"))
+    p = B.pivots_of(obs, metric)
+    t_rows = B.assigned(obs, p).select("v", "x")
+    comp, tree = materialize(obs.select("v", F.col("v").alias("c")), "forest"), None
+    for _ in range(rounds):
+        if comp.select("c").distinct().limit(2).count() < 2:
+            return tree.all() if tree is not None else near.select(F.col("v").alias("src"), F.col("u").alias("dst"), F.col("d").alias("w")).limit(0)
+        a, b = comp.select("v", "c"), comp.select(F.col("v").alias("u"), F.col("c").alias("d_"))
+        lists = materialize(near.join(a, "v").join(b, "u").select("v", "c", F.col("d_").alias("d"), F.least("v", "u").alias("src"), F.greatest("v", "u").alias("dst"), F.col("d").alias("w")), "lists")
+        out = lists.where("c <> d")
+        known = materialize(_least(out.select("src", "dst", "w", "c", "d").union(out.select("src", "dst", "w", F.col("d"), F.col("c")))), "known")
+        inside = lists.groupBy("v", "c").agg(F.min(F.col("c") == F.col("d")).alias("closed")).where("closed").join(k, "v")
+        ask = inside.join(known.select("c", F.col("w").alias("most")), "c", "left").where("most is null or reach <= most").select("v", "c", F.coalesce("most", F.lit(float("inf"))).alias("most"))
+        ask = materialize(ask.join(t_rows, "v"), "asking")
+        found = known
+        if not ask.isEmpty():
+            found = _least(known.unionByName(_nearest_apart(ask, t_rows.join(comp, "v"), p)))
+        pick = materialize(found, "picked")
+        new = pick.select("src", "dst", "w").distinct()
+        if tree is None:
+            tree = Rounds(new, "tree")
+        else:
+            tree.add(new)
+        comp, old = _merged(comp, pick.select(F.col("c").alias("a"), F.col("d").alias("b"))), comp
+        discard(old, lists, known, ask, pick)
     raise RuntimeError("the forest did not settle")
 
 
+def _nearest_apart(ask: DataFrame, target: DataFrame, p: B.Pivots) -> DataFrame:
+    """c, w, src, dst, d: for each row of ``ask`` (v, x, c, most) the nearest rows of ``target`` (v, x, c) with another label, as far as its component's least edge can be."""
+    ids = target.sparkSession.createDataFrame([(k, int(v)) for k, v in enumerate(p.ids)], "k int, v bigint")
+    labels = np.array([r.c for r in ids.join(target.select("v", "c"), "v").orderBy("k").collect()])  # at most MAX_PIVOTS rows
+
+    def bound(parts):
+        for pdf in parts:
+            if len(pdf):
+                d = B.pairwise(B.matrix(pdf["x"]), p.at, p.metric)
+                d[pdf["c"].to_numpy()[:, None] == labels[None, :]] = np.inf
+                yield pdf[["v", "x", "c"]].assign(t=np.minimum(pdf["most"].to_numpy(), d.min(axis=1)))
+
+    rows = materialize(ask.select("v", "x", "c", "most").mapInPandas(bound, "v bigint, x array<double>, c bigint, t double"), "bounds")
+    least = rows.groupBy("c").agg(F.min("t").alias("t"))  # only the least edge of a component counts
+    s, s_cells = B.packed(rows.drop("t").join(least, "c"), p)
+    t, t_cells = B.packed(target, p)
+    got = B.searched(B.block_pairs(s, s_cells, t, t_cells, p), s, t, p, 1, apart=True)
+    got = got.join(rows.select("v", "c"), "v").join(target.select(F.col("v").alias("u"), F.col("c").alias("d_")), "u")
+    return got.select("c", F.col("d").alias("w"), F.least("v", "u").alias("src"), F.greatest("v", "u").alias("dst"), F.col("d_").alias("d"))
+
+
 def connected_knn_graph(obs: DataFrame, k: int, metric: str = "euclid", connect: str = "mst") -> DataFrame:
     """Symmetric kNN edges; if they leave parts apart, the minimum spanning tree of all pairs joins them (or an error)."""
-    from meshlark.plans.shared import guard_all_pairs
-
-    e = materialize(knn_graph(knn(obs, k, metric)), "knn")
+    near = materialize(knn(obs, k, metric), "near")
+    e = materialize(knn_graph(near), "knn")
     if numbered(obs, e).agg(F.max("component")).first()[0] <= 1:
         return e.withColumn("added", F.lit(False))
     if connect != "mst":
         raise ValueError("the neighbour graph is not connected")
-    guard_all_pairs(n := obs.count())
-    every = knn_graph(knn(obs, n - 1, metric))
-    t = minimum_spanning_tree(every, obs.select("v"))
+    t = observation_tree(obs, near.select("v", "u", "d"), metric)
     return e.withColumn("added", F.lit(False)).union(t.select("src", "dst", "w").join(e, ["src", "dst"], "left_anti").withColumn("added", F.lit(True)))
 
 
@@ -153,7 +174,7 @@ def overlap_graph(neighbours: DataFrame) -> DataFrame:
 def prune_geometric(edges: DataFrame, threshold: float = 0.1, quantile: float = 0.5) -> DataFrame:
     """Long edges whose ends have a way of at most (1 + threshold) times the length through one other vertex go, all at once.
 
-    (The sequential rule looks at one edge after another; ``prune_geometric_sequential`` has it as a kernel for bounded graphs.)
+    (The sequential rule looks at one edge after another: ``prune_geometric_rounds``.)
     """
     cut = edges.agg(F.percentile("w", F.lit(quantile)).alias("cut"))
     both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w"))
@@ -162,6 +183,56 @@ def prune_geometric(edges: DataFrame, threshold: float = 0.1, quantile: float =
     return e.where(~((F.col("w") >= F.col("cut")) & (F.col("other") <= F.col("w") * (1 + threshold) + 1e-12)) | F.col("other").isNull()).select(*edges.columns)
 
 
+def prune_geometric_rounds(edges: DataFrame, threshold: float = 0.1, quantile: float = 0.5, tol: float = 1e-12, rounds: int = 10_000) -> DataFrame:
+    """Longest edges first (then by greater src and dst): an edge goes if the graph without it has a way between its ends of at most (1 + threshold) times its length.
+
+    The sequential rule as rounds of joins. Every edge has its place in the order; an undecided edge's short ways are looked for in two graphs: what is there for sure (edges that stay, and those
+    that come later in the order, which are still there when the edge's turn comes) and what may be there (that and undecided earlier ones). A way in the first lets the edge go, no way in the second lets
+    it stay, and the first edge of the order has both graphs alike, so a round decides at least one; edges that are no part of each other's ways are decided in the same round.
+    """
+    cut = edges.agg(F.percentile("w", F.lit(quantile))).first()[0]
+    if cut is None:
+        return edges
+    place = F.struct(F.col("w"), F.col("src"), F.col("dst"))
+    e = materialize(edges.select("src", "dst", "w", F.when(F.col("w") >= cut, "open").otherwise("kept").alias("state")), "pruning")
+    for _ in range(rounds):
+        todo = materialize(e.where("state = 'open'").select("src", "dst", "w", (F.col("w") * (1 + threshold) + tol).alias("most"), place.alias("place")), "open")
+        if todo.isEmpty():
+            kept = e.where("state = 'kept'").select("src", "dst")
+            out = materialize(edges.join(kept, ["src", "dst"]).select(*edges.columns), "pruned")
+            discard(e, todo)
+            return out
+        there = e.select("src", "dst", "w", "state", place.alias("own"))
+        both = materialize(there.union(there.select("dst", "src", "w", "state", "own")), "ways")
+        sure = _short_ways(todo, both, lambda own, place: (own < place) | (F.col("state") == "kept"))
+        maybe = _short_ways(todo, both, lambda own, place: (own < place) | (own > place) & (F.col("state") != "gone"))
+        verdict = todo.select("src", "dst").join(sure.withColumn("sure", F.lit(True)), ["src", "dst"], "left").join(maybe.withColumn("maybe", F.lit(True)), ["src", "dst"], "left")
+        verdict = verdict.select("src", "dst", F.when(F.col("sure"), "gone").when(F.col("maybe").isNull(), "kept").otherwise("open").alias("now"))
+        e, old = materialize(e.join(verdict, ["src", "dst"], "left").select("src", "dst", "w", F.coalesce("now", "state").alias("state")), "pruning"), e
+        discard(old, todo, both, sure, maybe)
+    raise RuntimeError("pruning did not settle")
+
+
+def _short_ways(todo: DataFrame, both: DataFrame, passes) -> DataFrame:
+    """src, dst of the edges of ``todo`` with a way of at most ``most`` over edges that pass: frontiers of (edge, vertex, length), the shortest to each vertex."""
+    key, met = ["src", "dst", "at"], None
+    seen = Rounds(todo.select("src", "dst", "most", "place", F.col("src").alias("at"), F.lit(0.0).alias("d")), "seen")
+    front = seen.last
+    while not front.isEmpty():
+        step = front.alias("f").join(both.alias("b"), F.col("f.at") == F.col("b.src")).where(passes(F.col("b.own"), F.col("f.place"))).where(F.col("f.d") + F.col("b.w") <= F.col("f.most"))
+        step = step.select("f.src", "f.dst", "f.most", "f.place", F.col("b.dst").alias("at"), (F.col("f.d") + F.col("b.w")).alias("d"))
+        best = step.groupBy(*key).agg(F.min("d").alias("d"), F.first("most").alias("most"), F.first("place").alias("place"))
+        old = seen.all().groupBy(*key).agg(F.min("d").alias("had"))
+        front = seen.add(best.join(old, key, "left").where("had is null or d < had"))
+        there = front.where("at = dst").select("src", "dst")
+        if met is None:
+            met = Rounds(there, "met")
+        else:
+            met.add(there)
+        front = front.join(met.all().distinct(), ["src", "dst"], "left_anti")
+    return materialize(met.all().distinct(), "reached")
+
+
 def prune_geometric_sequential(edges: list[tuple[int, int, float]], threshold: float = 0.1, quantile: float = 0.5, tol: float = 1e-12) -> list[tuple[int, int, float]]:
     """Longest edges first: an edge goes if the graph without it has a way between its ends that is short enough."""
     import heapq

@@ -1,26 +1,29 @@
-"""Metric MDS: sequential SGD as a kernel (one group per start), SMACOF as DataFrame iterations, classical MDS, continuation.
+"""Metric MDS: SGD by strata of tables, SMACOF as DataFrame iterations, classical MDS, continuation.
 
-SGD visits pairs one after another, so a start is one task's kernel (numpy, bounded by ``max_pairs``) and parallelism comes from starts; it draws with
-PCG64, so runs repeat within this library. SMACOF majorises over all pairs at once and is the distributed backend.
+SGD visits pairs one after another. ``sgd_tables`` deals vertices to blocks and an epoch to rounds of a tournament between blocks: the tasks of a round share no vertex, so they run side by side and
+every pair still moves its ends from where the last pair left them. ``sgd_kernel`` is the same for what fits one task, with continuation; both draw from seeds, so runs repeat within this library.
+SMACOF majorises over all pairs at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.functions import vectors as V
 from meshlark.operators import objectives
 from meshlark.operators.schedules import sgd_rates
-from meshlark.plans.shared import materialize
+from meshlark.plans.shared import discard, materialize
 
 MAX_KERNEL_PAIRS = 20_000_000
+BLOCK_VERTICES, BLOCK_PAIRS, ROUNDS_A_JOB = 20_000, 200_000, 3
 
 
 def normalise_targets(pairs: DataFrame) -> DataFrame:
@@ -37,24 +40,30 @@ def pair_weights(pairs: DataFrame, weighting: str = "uniform") -> DataFrame:
     return pairs.withColumn("w", F.lit(1.0) if weighting == "uniform" else 1 / (F.col("d") * F.col("d")))
 
 
-def sgd_epoch(x: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray, wi: np.ndarray, wj: np.ndarray, rate: float, rng: np.random.Generator | None) -> None:
-    """One pass over all pairs in random order (as they come without a generator): each end moves by its own step min(rate * w, 1)."""
-    order = np.arange(len(i)) if rng is None else rng.permutation(len(i))
-    mi, mj = np.minimum(rate * wi, 1.0), np.minimum(rate * wj, 1.0)
+def sgd_pass(x: list[list[float]], order, i: list[int], j: list[int], t: list[float], mi: list[float], mj: list[float], rng: np.random.Generator) -> None:
+    """Pairs one after another in the given order: each end moves by its own step towards or from the other."""
     for k in order:
-        a, b = i[k], j[k]
-        gap = x[a] - x[b]
-        d = float(np.sqrt(gap @ gap))
+        a, b = x[i[k]], x[j[k]]
+        gap = [p - q for p, q in zip(a, b)]  # noqa: B905
+        d = math.sqrt(sum([g * g for g in gap]))
         if d == 0.0:
             if t[k] == 0.0:
                 continue
-            gap = (rng or np.random.default_rng(int(k))).normal(size=x.shape[1])
-            gap /= np.sqrt(gap @ gap)
-            move = -t[k] / 2
+            gap = rng.normal(size=len(a)).tolist()
+            d, move = math.sqrt(sum([g * g for g in gap])), -t[k] / 2
         else:
-            gap, move = gap / d, (d - t[k]) / 2
-        x[a] -= mi[k] * move * gap
-        x[b] += mj[k] * move * gap
+            move = (d - t[k]) / 2
+        f, g = mi[k] * move / d, mj[k] * move / d
+        x[i[k]] = [p - f * q for p, q in zip(a, gap)]  # noqa: B905
+        x[j[k]] = [p + g * q for p, q in zip(b, gap)]  # noqa: B905
+
+
+def sgd_epoch(x: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray, wi: np.ndarray, wj: np.ndarray, rate: float, rng: np.random.Generator | None) -> None:
+    """One pass over all pairs in random order (as they come without a generator) with steps min(rate * w, 1)."""
+    order = range(len(i)) if rng is None else rng.permutation(len(i)).tolist()
+    rows = x.tolist()
+    sgd_pass(rows, order, i.tolist(), j.tolist(), t.tolist(), np.minimum(rate * wi, 1.0).tolist(), np.minimum(rate * wj, 1.0).tolist(), rng or np.random.default_rng(0))
+    x[:] = rows
 
 
 @dataclass
@@ -70,6 +79,15 @@ class SgdControl:
     change_tol: float = 1e-6
     motion_tol: float = 1e-5
 
+    def rate(self, e: int, lo: float, hi: float) -> float:
+        """The rate of epoch ``e`` (from 0) for weights from ``lo`` to ``hi``."""
+        last = max(1, self.epochs - 1)
+        if self.schedule == "hybrid":
+            tau, ten = int(0.4 * self.epochs), self.start / 10
+            return self.start * 10 ** (-e / max(1, tau)) if e < tau else ten / (1 + (e - tau) / max(1, last - tau) * (ten / self.final - 1))
+        a, b = (1 / lo, self.eps / hi) if self.schedule == "zheng" else (self.start, self.final)
+        return a * (b / a) ** (e / last)
+
 
 @dataclass
 class SgdState:
@@ -114,13 +132,7 @@ def sgd_kernel(n: int, i, j, t, wi, wj, dim: int, control: SgdControl, seed: int
     lo, hi = (float(pos.min()), float(pos.max())) if len(pos) else (1.0, 1.0)
     end, why = min(control.epochs, upto or control.epochs), "iteration_limit"
     for e in range(state.epoch, end):
-        a, b = {"zheng": (1 / lo, control.eps / hi)}.get(control.schedule, (control.start, control.final))
-        if control.schedule == "hybrid":
-            tau = int(0.4 * control.epochs)
-            ten = control.start / 10
-            rate = control.start * 10 ** (-e / max(1, tau)) if e < tau else ten / (1 + (e - tau) / max(1, control.epochs - 1 - tau) * (ten / control.final - 1))
-        else:
-            rate = a * (b / a) ** (e / max(1, control.epochs - 1))
+        rate = control.rate(e, lo, hi)
         before = x.copy()
         sgd_epoch(x, i, j, t, wi, wj, rate, rng)
         raw, loss = _profiled(x, i, j, t, w)
@@ -160,6 +172,179 @@ def sgd(pairs: DataFrame, starts: int = 1, dim: int = 2, control: SgdControl | N
     return each.groupBy("start").applyInPandas(run, "start int, v bigint, x array<double>")
 
 
+def _as_constraints(pairs: DataFrame) -> DataFrame:
+    """i, j, t, wi, wj of a constraint table (i, j, target, count_i, count_j) or pair table (i, j, d)."""
+    if "d" in pairs.columns:
+        return pairs.select("i", "j", F.col("d").cast("double").alias("t"), F.lit(1.0).alias("wi"), F.lit(1.0).alias("wj"))
+    w = lambda c: (F.col(c) / (F.col("target") * F.col("target"))).alias(f"w{c[-1]}")
+    return pairs.select("i", "j", F.col("target").alias("t"), w("count_i"), w("count_j"))
+
+
+def tournament_round(lo: Column, hi: Column, blocks: int) -> Column:
+    """The round, of ``blocks`` - 1, in which two of an even number of blocks meet; no block meets two others in one round."""
+    m = blocks - 1
+    return F.when(hi == m, lo).otherwise(F.pmod((lo + hi) * ((m + 1) // 2), F.lit(m))).cast("int")
+
+
+def _partner(b: Column, r: int, blocks: int) -> Column:
+    m = blocks - 1
+    return F.when(b == m, F.lit(r)).when(b == r, F.lit(m)).otherwise(F.pmod(F.lit(2 * r) - b, F.lit(m))).cast("int")
+
+
+def strata(constraints: DataFrame, blocks: int, seed: int = 1) -> DataFrame:
+    """round, lo, hi, body: the pairs between each two blocks, and those within a block where it first meets another. Every meeting has a row, with or without pairs."""
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(blocks)).cast("int")
+    x = constraints.withColumn("bi", block("i")).withColumn("bj", block("j"))
+    x = x.withColumn("bj", F.when(F.col("bi") == F.col("bj"), _partner(F.col("bi"), 0, blocks)).otherwise(F.col("bj")))
+    x = x.select("i", "j", "t", "wi", "wj", F.least("bi", "bj").alias("lo"), F.greatest("bi", "bj").alias("hi"))
+    b = x.sparkSession.range(blocks * blocks).select((F.col("id") / blocks).cast("int").alias("lo"), (F.col("id") % blocks).cast("int").alias("hi")).where("lo < hi")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset="i").sort_values(["i", "j"])
+        cols = [pdf["i"].to_numpy("<i8"), pdf["j"].to_numpy("<i8"), *(pdf[c].to_numpy("<f8") for c in ("t", "wi", "wj"))]
+        return pd.DataFrame({"body": [b"".join(c.tobytes() for c in cols)]})
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pack(pdf).assign(lo=key[0], hi=key[1])[["lo", "hi", "body"]]
+
+    rows = b.join(x, ["lo", "hi"], "left").groupBy("lo", "hi").applyInPandas(run, "lo int, hi int, body binary")
+    return materialize(rows.withColumn("round", tournament_round(F.col("lo"), F.col("hi"), blocks)), "strata", by="round")
+
+
+def _held(state: pd.DataFrame, body: bytes, dim: int):
+    """Vertex ids and coordinates of two blocks, and the places, targets and weights of the pairs between them."""
+    ids, n = [np.frombuffer(q, "<i8") for q in state["ids"]], len(body) // 40
+    at = np.concatenate(ids)
+    order = np.argsort(at, kind="stable")
+    pair, own = np.frombuffer(body, "<i8", 2 * n).reshape(2, n), np.frombuffer(body, "<f8", 3 * n, 16 * n).reshape(3, n)
+    return len(ids[0]), np.concatenate([np.frombuffer(q) for q in state["xs"]]).reshape(-1, dim), order[np.searchsorted(at, pair, sorter=order)], own
+
+
+def _meet(dim: int, rate: float, seed: int):
+    def run(state: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        """The pairs of one meeting, in an order drawn for it, over the coordinates of its two blocks."""
+        r = pairs.iloc[0]
+        cut, x, (i, j), own = _held(state, r["body"], dim)
+        rng, x = np.random.default_rng([seed, int(r["lo"]), int(r["hi"])]), x.tolist()
+        sgd_pass(x, rng.permutation(len(i)).tolist(), i.tolist(), j.tolist(), own[0].tolist(), *np.minimum(rate * own[1:], 1.0).tolist(), rng)
+        x = np.array(x).reshape(-1, dim)
+        return state.assign(xs=[x[:cut].tobytes(), x[cut:].tobytes()])[["b", "ids", "xs"]]
+
+    return run
+
+
+def drawn_start(vertices: DataFrame, dim: int, seed: int = 1) -> DataFrame:
+    """v, x: coordinates from 0 to 1 by hash."""
+    return vertices.select("v", F.array(*(F.pmod(F.xxhash64("v", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30) for k in range(dim))).alias("x"))
+
+
+def _unpacked(state: DataFrame, dim: int) -> DataFrame:
+    def run(parts):
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                yield pd.DataFrame({"v": np.frombuffer(r.ids, "<i8"), "x": list(np.frombuffer(r.xs).reshape(-1, dim))})
+
+    return state.mapInPandas(run, "v bigint, x array<double>")
+
+
+def sgd_tables(pairs: DataFrame, dim: int = 2, control: SgdControl | None = None, seed: int = 1, start: DataFrame | None = None, blocks: int | None = None, traced: bool | None = None) -> tuple[DataFrame, list[dict], str]:
+    """v, x after SGD over a constraint or pair table; a row for each traced epoch; and why it ended. Traced runs (pair tables unless said otherwise) return the coordinates of least profiled stress.
+
+    Vertices are dealt to an even number of blocks, at least four, of at most ``BLOCK_VERTICES`` vertices and so many that a meeting has some ``BLOCK_PAIRS`` pairs; a job takes ``ROUNDS_A_JOB`` rounds.
+    """
+    control, full = control or SgdControl(), "d" in pairs.columns
+    traced = full or control.stop if traced is None else traced
+    c = materialize(_as_constraints(pairs), "constraints")
+    if not c.where("t is null or t < 0 or wi < 0 or wj < 0 or i = j").isEmpty():
+        raise ValueError("targets and weights are at least 0, and the ends of a pair differ")
+    v = materialize(c.select(F.explode(F.array("i", "j")).alias("v")).distinct(), "vertices")
+    ends = F.array("wi", "wj")
+    low = c.select(F.explode(ends).alias("w")).where("w > 0").agg(F.min("w"), F.max("w")).first()
+    lo, hi = (float(low[0]), float(low[1])) if low[0] is not None else (1.0, 1.0)
+    blocks = blocks or max(4, 2 * math.ceil(max(v.count() / BLOCK_VERTICES, math.sqrt(2 * c.count() / BLOCK_PAIRS)) / 2))
+    if blocks < 2 or blocks % 2:
+        raise ValueError("the number of blocks is even")
+    table = strata(c, blocks, seed)
+    x = start if start is not None else drawn_start(v, dim, seed)
+    every = v.sparkSession.range(blocks).select(F.col("id").cast("int").alias("b"))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset="v").sort_values("v")
+        return pd.DataFrame({"b": [key[0]], "ids": [pdf["v"].to_numpy("<i8").tobytes()], "xs": [np.array(pdf["x"].tolist(), dtype="<f8").tobytes()]})
+
+    x = v.join(x, "v").withColumn("b", F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(blocks)).cast("int"))
+    state = materialize(every.join(x, "b", "left").groupBy("b").applyInPandas(pack, "b int, ids binary, xs binary"), "blocks")
+    trace, best, stable, why = [], None, 0, "iteration_limit"
+    for e in range(control.epochs):
+        before, rate = state, control.rate(e, lo, hi)
+        for r in range(blocks - 1):
+            met = state.withColumn("lo", F.least("b", _partner(F.col("b"), r, blocks))).groupBy("lo")  # two rows a meeting
+            state = met.cogroup(table.where(F.col("round") == r).drop("round").groupBy("lo")).applyInPandas(_meet(dim, rate, seed * 1_000_003 + e), "b int, ids binary, xs binary")
+            if r % ROUNDS_A_JOB == ROUNDS_A_JOB - 1 or r == blocks - 2:
+                state = materialize(state, "blocks")
+        if traced:
+            row = _traced(table, state, before, dim)
+            last = trace[-1]["profiled_stress"] if trace else row["profiled_stress"]
+            change = abs(last - row["profiled_stress"]) / max(1.0, abs(last))
+            stable = stable + 1 if change <= control.change_tol and row["centered_motion"] <= control.motion_tol else 0
+            trace.append({"epoch": e + 1, **row, "learning_rate": rate, "relative_change": change, "stable_checkpoints": stable})
+            if best is None or row["profiled_stress"] < best[0]:
+                best = (row["profiled_stress"], state)
+            if control.stop and e + 1 >= control.min_epochs and stable >= control.patience:
+                why = "practical_stabilization"
+                break
+        if best is None or before is not best[1]:
+            discard(before)
+    out = materialize(_unpacked(best[1] if full and best else state, dim), "coordinates")
+    discard(state, c, table)
+    return out, trace, why
+
+
+def _traced(table: DataFrame, state: DataFrame, before: DataFrame, dim: int) -> dict:
+    """Raw and profiled stress, summed meeting by meeting, and the centred motion since ``before``."""
+    a, b = (state.select(F.col("b").alias(n), F.col("ids").alias(f"ids_{n}"), F.col("xs").alias(f"xs_{n}")) for n in ("lo", "hi"))
+
+    def run(parts):
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                held = pd.DataFrame({"ids": [r.ids_lo, r.ids_hi], "xs": [r.xs_lo, r.xs_hi]})
+                _, x, (i, j), (t, wi, wj) = _held(held, r.body, dim)
+                o, w = np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1)), (wi + wj) / 2
+                yield pd.DataFrame({"raw": [(w * (o - t) ** 2).sum()], "oo": [(w * o * o).sum()], "ot": [(w * o * t).sum()], "tt": [(w * t * t).sum()]})
+
+    def moved(parts):
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                d = (np.frombuffer(r.xs) - np.frombuffer(r.old)).reshape(-1, dim)
+                yield pd.DataFrame({"raw": np.zeros(dim), "oo": (d * d).sum(axis=0), "ot": d.sum(axis=0), "tt": float(len(d)), "axis": np.arange(dim)})
+
+    sums = table.join(a, "lo").join(b, "hi").select("ids_lo", "xs_lo", "ids_hi", "xs_hi", "body").mapInPandas(run, "raw double, oo double, ot double, tt double").withColumn("axis", F.lit(-1))
+    steps = state.join(before.select("b", F.col("xs").alias("old")), "b").mapInPandas(moved, "raw double, oo double, ot double, tt double, axis int")
+    got = {r["axis"]: r for r in sums.unionByName(steps).groupBy("axis").agg(*(F.sum(c).alias(c) for c in ("raw", "oo", "ot", "tt"))).collect()}
+    s = got.pop(-1)
+    motion = math.sqrt(sum(max(0.0, r.oo - r.ot * r.ot / r.tt) / r.tt for r in got.values() if r.tt))
+    return {"raw_stress": s.raw, "profiled_stress": s.tt - s.ot * s.ot / s.oo if s.oo else s.tt, "centered_motion": motion}
+
+
+def multistart(pairs: DataFrame, seeds: list[int], dim: int = 2, control: SgdControl | None = None) -> tuple[DataFrame, DataFrame]:
+    """The coordinates of the start with the least profiled stress, and start, seed, status, message, profiled_stress of every start; a start that fails is a row, not the end."""
+    rows, best = [], None
+    for k, seed in enumerate(seeds, 1):
+        try:
+            coords, trace, why = sgd_tables(pairs, dim, control, seed, traced=True)
+            loss = min(r["profiled_stress"] for r in trace)
+            if not math.isfinite(loss):
+                raise ArithmeticError("the stress is not finite")
+            rows.append((k, seed, why, None, loss))
+            if best is None or loss < best[0]:
+                best = (loss, coords)
+        except (ValueError, ArithmeticError) as err:
+            rows.append((k, seed, "failed", str(err), None))
+    if best is None:
+        raise RuntimeError("every start has failed: " + "; ".join(sorted({str(r[3]) for r in rows})))
+    return best[1], pairs.sparkSession.createDataFrame(rows, "start int, seed int, status string, message string, profiled_stress double")
+
+
 def smacof_step(pairs: DataFrame, coords: DataFrame) -> DataFrame:
     """One Guttman transform for unit weights over all pairs (i, j, d): x_i becomes the sum over j of d / o (x_i - x_j), by n."""
     a, b = (coords.select(F.col("v").alias(c), F.col("x").alias(f"x{c}")) for c in ("i", "j"))

@@ -182,27 +182,48 @@ def point_triangle(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
 
 
 def surface_distance(points: DataFrame, faces: DataFrame, block: int = 512) -> DataFrame:
-    """id, d: the exact distance of each point (id, x) to the nearest triangle of ``faces`` (f, a, b, c: corner coordinates), in pairs of blocks. Within a block pair a
-    triangle's bounding sphere rules it out for points that have a nearer one."""
+    """id, d: the exact distance of each point (id, x) to the nearest triangle of ``faces`` (f, a, b, c: corner coordinates).
+
+    A face is a ball around its centroid, which is a point of the face: the nearest pivot, some face's centroid, bounds a point's search, and blocks of faces that lie farther are left out. A block of points
+    takes its blocks of faces nearest first, passes over those whose bounding boxes are beyond what its points have, and within a block over faces whose balls are.
+    """
     import pandas as pd
 
-    from meshlark.operators.knn import _block_pairs, _packed
+    from meshlark.operators import blocks as B
 
-    p, _ = _packed(points.select(F.col("id").alias("v"), "x"), block)
-    t, blocks = _packed(faces.select(F.col("f").alias("v"), F.concat("a", "b", "c").alias("x")), block)
+    corner = lambda k: (F.get("a", F.lit(k)) + F.get("b", F.lit(k)) + F.get("c", F.lit(k))) / 3
+    f = faces.select(F.col("f").alias("v"), F.array(*(corner(k) for k in range(3))).alias("x"), "a", "b", "c")
+    f = f.select("v", "x", F.greatest(*(V.euclid(c, "x") for c in "abc")).alias("r"), F.concat("a", "b", "c").alias("body"))
+    p = B.pivots_of(f, "euclid")
+    s, s_cells = B.packed(B.assigned(points.select(F.col("id").alias("v"), "x"), p).select("v", "x", F.col("at").alias("t")), p, block)
+    t, t_cells = B.packed(f, p, block)
+    pairs = B.block_pairs(s, s_cells, t, t_cells, p).join(s.select("b", "ids", "xs", "bounds"), "b").join(t.select(F.col("b").alias("other"), F.col("xs").alias("centres"), "bodies"), "other")
 
     def run(parts):
+        at, ids, x, best = None, None, None, None
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                x, tri = np.frombuffer(r.xs).reshape(-1, 3), np.frombuffer(r.xs2).reshape(-1, 3, 3)
-                centre = tri.mean(axis=1)
+                if r.b != at:
+                    if at is not None:
+                        yield pd.DataFrame({"id": ids, "d": best})
+                    at, ids, x = r.b, np.frombuffer(r.ids, "<i8"), np.frombuffer(r.xs).reshape(-1, 3)
+                    best, bound = np.full(len(ids), np.inf), np.frombuffer(r.bounds) * (1 + B.SLACK) + B.SLACK
+                tri, centre = np.frombuffer(r.bodies).reshape(-1, 3, 3), np.frombuffer(r.centres).reshape(-1, 3)
+                least = np.minimum(best, bound)
+                if r.gap > least.max():
+                    continue
+                lo, hi = tri.min(axis=(0, 1)), tri.max(axis=(0, 1))
+                rows = np.flatnonzero(np.sqrt((np.maximum(0, np.maximum(lo - x, x - hi)) ** 2).sum(axis=1)) <= least)
                 radius = np.sqrt(((tri - centre[:, None]) ** 2).sum(axis=2)).max(axis=1)
-                gap = np.sqrt(((x[:, None] - centre[None]) ** 2).sum(axis=2))
-                may = gap - radius[None] <= (gap + radius[None]).min(axis=1)[:, None] + 1e-12
-                d = np.array([point_triangle(x[k : k + 1], tri[may[k]])[0] for k in range(len(x))])
-                yield pd.DataFrame({"id": np.frombuffer(r.ids, "<i8"), "d": d})
-
-    return _block_pairs(p, t, blocks).mapInPandas(run, "id bigint, d double").groupBy("id").agg(F.min("d").alias("d"))
+                gap = np.sqrt(((x[rows, None] - centre[None]) ** 2).sum(axis=2))
+                may = gap - radius[None] <= np.minimum(least[rows], (gap + radius[None]).min(axis=1) + 1e-12)[:, None]
+                for k, m in zip(rows, may, strict=True):
+                    if m.any():
+                        best[k] = min(best[k], point_triangle(x[k : k + 1], tri[m])[0])
+        if at is not None:
+            yield pd.DataFrame({"id": ids, "d": best})
+
+    return materialize(pairs.repartition("b").sortWithinPartitions("b", "gap").mapInPandas(run, "id bigint, d double"), "surface")
 
 
 def face_table(spark, triangles: np.ndarray) -> DataFrame:

@@ -30,12 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage. ``tidy``: the plan's shuffle files go as soon as it is written. ``discard`` deletes the table."""
+def materialize(df: DataFrame, what: str, tidy: bool = False, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage. ``tidy``: the plan's shuffle files go as soon as it is written. ``by``: a folder for each value of this
+    column, so a filter on it reads no others. ``discard`` deletes the table."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/meshlark/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     with held(spark, tidy):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     _PATHS[id(out)] = path
     weakref.finalize(out, _PATHS.pop, id(out), None)
