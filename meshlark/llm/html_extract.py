@@ -2,15 +2,18 @@
 
 First pass: each page's containers are scored by their clean text, and the page votes for the generalised tag-class path
 (ids dropped, digits taken out) of the deepest container with nearly all of it (``SHARE``) and with the page's h1 headings; an article or
-main element around it is taken instead. Spark counts the votes by host and path and picks each host's winner. Second pass: pages are read
-again and the blocks below their host's winning path are taken where they hold nearly all of the page's clean text and its h1 headings;
-other pages fall back to their own best container, or to all their clean text if no container has nearly all.
+main element around it is taken instead. What comes after the article in that container, in lists or in several elements of one shape (reader comments, further stories), is left out: the vote
+goes to the container inside that has the headings and most of the text. Spark counts the votes by host and path and picks each host's winner. Second pass: pages are read
+again and the blocks below their host's winning path are taken where they hold nearly all of the page's clean text and its h1 headings. They are also taken, against the page's own best, where they
+hold the headings and most of the text, and all that they leave out comes after them in containers of its own: other pages of the host have shown that such containers are no part of its articles.
+Other pages fall back to their own best container, or to all their clean text if no container has nearly all.
 
 An element whose class, id or role holds a mark of boilerplate is dropped unless it has most of the page's text (nearly all of it, where the mark
 is a whole name and not a part of one; so too for forms). Other elements of dropped kinds and hidden ones always go.
 
 Defined results: a null html is empty and has empty text; a null url votes with host ''; pages cut off in the middle of a tag
-or element are read as far as they go. Ties in votes go to more text, then to the smaller path. An empty table gives no rows.
+or element are read as far as they go. Ties in votes go to more text, then to the smaller path. Rows that repeat vote, and are extracted, each. A very long page is one task's work and is
+read whole. Clashing and other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template svg iframe textarea title math object canvas audio video".split())
 DROPPED = frozenset("head nav header footer aside form button select dialog menu label".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINER = frozenset("html body main article section div td center blockquote details figure".split())
+LISTS = frozenset("ul ol".split())  # containers that no page's article is made of
+CONTAINER = frozenset("html body main article section div td center blockquote details figure".split()) | LISTS
 CLOSES_P = BLOCK - frozenset("dd dt li td th tr tbody thead tfoot caption".split()) | frozenset(["p"])
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 MARKS = frozenset(
@@ -43,7 +47,7 @@ TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)")
-SHARE, MOST, BROADCAST_HOSTS = 0.95, 0.5, 20_000
+SHARE, MOST, SERIAL, BROADCAST_HOSTS = 0.95, 0.5, 0.8, 20_000
 
 
 @dataclass
@@ -52,6 +56,10 @@ class Page:
     parents: list[int] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)  # container, text
     heads: set[int] = field(default_factory=set)  # containers of h1 headings
+    items: dict[int, int] = field(default_factory=dict)  # of lists
+
+    def _tag(self, k: int) -> str:
+        return self.paths[k].rsplit("/", 1)[-1].split(".")[0]
 
     def best(self) -> tuple[int, int]:
         """The deepest container with nearly all of the clean text and the headings, or the article or main around it, and its length; -1 if there is none."""
@@ -66,15 +74,88 @@ class Page:
                 at = self.parents[at]
         total, best = sum(len(t) for _, t in self.blocks), -1
         for k, n in enumerate(size):  # a container comes after those around it
-            if total and n >= SHARE * total and heads[k] == len(self.heads):
+            if total and n >= SHARE * total and heads[k] == len(self.heads) and self._tag(k) not in LISTS:
                 best = k
         up = best
         while up >= 0:
-            if self.paths[up].rsplit("/", 1)[-1].split(".")[0] in ("article", "main"):
+            if self._tag(up) in ("article", "main"):
                 best = up
             up = self.parents[up]
+        best = self.without_tail(best)
         return best, size[best] if best >= 0 else 0
 
+    def without_tail(self, k: int) -> int:
+        """The container, or the one inside it that has the headings and most of its text and is followed there by nothing but ``serial`` containers."""
+        n = len(self.paths)
+        size, count, heads = [0] * n, [0] * n, [0] * n
+        kids: list[list[int]] = [[] for _ in range(n)]
+        for at, text in self.blocks:
+            if at >= 0:
+                size[at] += len(text)
+                count[at] += 1
+        for at in self.heads:
+            if at >= 0:
+                heads[at] += 1
+        for at in range(n - 1, -1, -1):  # a container comes after those around it
+            if (up := self.parents[at]) >= 0:
+                size[up], count[up], heads[up] = size[up] + size[at], count[up] + count[at], heads[up] + heads[at]
+                kids[up].append(at)
+        out = k
+        while k >= 0 and kids[k]:
+            main = max(kids[k], key=lambda c: (size[c], -c))
+            if self._tag(main) in LISTS or size[main] <= MOST * size[k] or heads[main] != heads[k]:
+                break
+            if count[main] < count[k]:
+                own = self._inside({k})
+                child = [self._child(k, at) for at, _ in self.blocks if own[at]]
+                if any(c != main for c in child[: count[main]]) or not all(c >= 0 and self.serial(c) for c in set(child[count[main] :])):
+                    break
+                out = main
+            k = main
+        return out
+
+    def _child(self, k: int, at: int) -> int:
+        """The child of container k in which ``at`` is; -1 for k itself."""
+        if at == k:
+            return -1
+        while self.parents[at] != k:
+            at = self.parents[at]
+        return at
+
+    def serial(self, k: int) -> bool:
+        """Whether most of a container's text is in two items or more of a list, or in two containers or more of one path."""
+        own = self._inside({k})
+        size, count, total = {}, {}, 0
+        for at, text in self.blocks:
+            if own[at]:
+                total += len(text)
+                while at >= 0 and own[at]:
+                    size[at] = size.get(at, 0) + len(text)
+                    at = self.parents[at]
+        shapes: dict[str, int] = {}
+        for c, n in size.items():
+            if self._tag(c) in LISTS and self.items.get(c, 0) > 1 and n >= SERIAL * total:
+                return True
+            if c != k and self._tag(c) not in LISTS:
+                shapes[self.paths[c]] = shapes.get(self.paths[c], 0) + n
+                count[self.paths[c]] = count.get(self.paths[c], 0) + 1
+        return any(count[p] > 1 and n >= SERIAL * total for p, n in shapes.items())
+
+    def overrules(self, wanted: set[int]) -> bool:
+        """Whether the containers have the headings and most of the text, and what they leave out comes after them, in containers that they are not in."""
+        inside = self._inside(wanted)
+        flags = [inside[at] for at, _ in self.blocks]
+        if not any(flags) or not all(inside[at] for at in self.heads):
+            return False
+        last = len(flags) - 1 - flags[::-1].index(True)
+        around = set()
+        for k in wanted:
+            while k >= 0:
+                around.add(k)
+                k = self.parents[k]
+        n = sum(len(text) for (_, text), f in zip(self.blocks, flags, strict=True) if f)
+        return all(flags[: last + 1]) and n > MOST * sum(len(text) for _, text in self.blocks) and not any(at in around or at < 0 for at, _ in self.blocks[last + 1 :])
+
     def _inside(self, wanted: set[int]) -> dict[int, bool]:
         inside: dict[int, bool] = {-1: False}
         for k, up in enumerate(self.parents):
@@ -197,6 +278,8 @@ def parse(html: str) -> Page:
             page.parents.append(container)
             of.append(doubt)
             container = len(page.paths) - 1
+        if tag == "li" and container >= 0:
+            page.items[container] = page.items.get(container, 0) + 1
         stack.append((tag, container, dropped, doubt))
     flush(-1)
     _settle(page, stream, doubts, of, heads)
@@ -263,6 +346,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page, want = parse(html.as_py() or ""), path.as_py()
             wanted = {k for k, p in enumerate(page.paths) if p == want}
             if wanted and page.holds(wanted):
+                text = page.under({page.without_tail(k) for k in wanted} if len(wanted) == 1 else wanted)
+            elif wanted and page.overrules(wanted):
                 text = page.under(wanted)
             else:
                 best, _ = page.best()

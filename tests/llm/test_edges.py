@@ -176,3 +176,65 @@ def test_pipeline_edges(spark, tmp_path):
     want = Counter((k, t, 7) for k, t in enumerate(long) if k not in (4,)) + Counter([(None, long[0], 7), (3, long[4], 7), (53, LONG, 7)])
     assert got == want
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+# HTML: what follows an article ------------------------------------------------------------------------------------------
+
+STORY = "".join(f"<p>This is paragraph number {k} of the story, and it is quite long.</p>" for k in range(12))
+TAILS = {
+    "discussion": "".join(f'<div class="entry"><p>I am reader {k} and I say so.</p></div>' for k in range(4)),
+    "feedback-list": "<ul>" + "".join(f"<li>Reader {k} thinks this.</li>" for k in range(4)) + "</ul>",
+    "more-stories": "".join(f'<div><a href="#">A further tale {k}</a></div>' for k in range(5)),
+    "reader-notes": "".join(f"<section><h3>reader {k}</h3><p>My note.</p></section>" for k in range(3)),
+}
+
+
+def extracted(spark, rows):
+    df = spark.createDataFrame([(k, u, h, "clash") for k, (u, h) in enumerate(rows)], "page_id bigint, url string, html string, text string")
+    return [r.text for r in html_extract.extract(df).orderBy("page_id").collect()]
+
+
+def test_unmarked_comments_and_further_stories_are_left_out(spark):
+    wraps = ("{}", "<article>{}</article>", "<main><div>{}</div></main>")
+    rows = [(f"http://h{k}{w}/x", f"<html><body>{wrap.format(f'<div class=story><h1>Title</h1>{STORY}</div><div class={cls}>{tail}</div>')}</body></html>") for k, (cls, tail) in enumerate(TAILS.items()) for w, wrap in enumerate(wraps)]
+    for text in extracted(spark, rows):
+        assert text.split("\n")[0] == "Title" and len(text.split("\n")) == 13
+
+
+def test_whole_articles_stay_whole(spark):
+    parts = f"<h1>Title</h1><div class=lead><p>The lead comes first.</p></div><div class=body>{STORY}</div>"
+    rows = [
+        ("http://a/1", f"<html><body><article>{parts}</article></body></html>"),
+        ("http://b/1", f"<html><body><div class=page>{parts}</div></body></html>"),
+        ("http://c/1", f"<html><body><article><h1>Title</h1>{STORY}<ul><li>The lead is an item</li><li>and another</li></ul></article></body></html>"),
+        ("http://d/1", f"<html><body><div class=one><h1>Title</h1>{STORY}</div><div class=two>{STORY.replace('paragraph', 'lead')}<p>An end.</p></div></body></html>"),
+        ("http://e/1", f"<html><body><div class=one><h1>Title</h1>{STORY}</div><p>The lead stands alone, in no container of its own, at some length: words and words.</p></body></html>"),
+    ]
+    for text in extracted(spark, rows):
+        assert text.startswith("Title") and "lead" in text
+
+
+def test_a_hosts_votes_overrule_a_page(spark):
+    """A remark in one piece looks like a part of the article; only the host's other pages tell that it is none."""
+    page = lambda more: f"<html><body><div class=story><h1>Title</h1>{STORY[: len(STORY) // 2]}</div>{more}</body></html>"
+    remark = "<div class=zz><p>" + "One remark of a reader, at some length and without an end. " * 3 + "</p></div>"
+    rows = [("http://h/1", page("")), ("http://h/2", page("")), ("http://h/3", page(remark)), ("http://g/1", page(remark))]
+    got = extracted(spark, rows)
+    assert ["remark" in t for t in got] == [False, False, False, True]
+    assert got[2] == got[0]
+
+
+def test_extraction_of_pages_of_known_parts(spark):
+    """Pages put together from parts, so the text to find is known without reading HTML."""
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(90)]
+    rows, want = [], []
+    for k in range(60):
+        lines = [" ".join(rng.choices(words, k=rng.randint(12, 40))) for _ in range(rng.randint(6, 14))]
+        body = "<h1>" + lines[0] + "</h1>" + "".join(f"<p>{a.replace(' ', '  ', 1)}</p>" for a in lines[1:])
+        menu = "<nav><ul>" + "".join(f"<li><a href='#'>{w}</a></li>" for w in rng.sample(words, 5)) + "</ul></nav>"
+        tail = rng.choice(["", *(f"<div class={c}>{t}</div>" for c, t in TAILS.items())])
+        tag = ("div class=text", "article", "section class=main-text")[k % 3]
+        rows.append((f"http://host{k % 3}/{k}", f"<html><head><title>no</title><style>p {{}}</style></head><body>{menu}<header>Site</header><{tag}>{body}</{tag.split()[0]}>{tail}<footer>(c)</footer><script>x()</script></body></html>"))
+        want.append("\n".join(lines))
+    assert extracted(spark, rows) == want
