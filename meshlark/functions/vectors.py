@@ -100,3 +100,11 @@ def surface_height(u: Column, v: Column, kind: str, a: float, fu: float = 1.0, f
         "paraboloid": a * (u * u + v * v),
         "ripple": a * F.sin(F.lit(math.pi * fu) * u) * F.cos(F.lit(math.pi * fv) * v),
     }[kind]
+
+
+def hashed_draw(v: Column, k: int, seed: int = 1) -> Column:
+    """A number from 0 to below 1 that depends on an integer alone: multiplications and shifts modulo 2^32, as any SQL engine has them."""
+    m = F.lit(1 << 32)
+    mix = lambda h: F.pmod(h.bitwiseXOR(F.shiftrightunsigned(h, 16)) * F.lit(73244475), m)
+    h = mix(mix(F.pmod(v.cast("bigint") * F.lit(1103515245) + F.lit(k * 362437 + seed * 8675309), m)))
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 16)) / float(1 << 32)

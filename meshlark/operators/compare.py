@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import vectors as V
-from meshlark.operators.quality import rank01
+from meshlark.operators.quality import cluster_separation, crossings, rank01
 
 # The weights of the composite score; all are better when lower but the last two groups marked here.
 WEIGHTS = {"sampled_stress_mean": 0.35, "edge_length_cv_mean": 0.20, "sampled_nonedge_sep_ratio_mean": 0.20, "stability_mean": 0.15, "edge_crossings_mean": 0.05, "cluster_separation_mean": 0.05}
@@ -66,8 +66,26 @@ def run_candidates(edges: DataFrame, vertices: DataFrame, candidates: dict[str,
     return rows.groupBy("run").applyInPandas(run, "candidate string, seed int, status string, error_message string, v bigint, x array<double>")
 
 
-def score_runs(layouts: DataFrame, edges: DataFrame, dist: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per run with sampled stress, edge statistics and non-edge separation; every run's pairs are scored in the same aggregates."""
+def run_candidates_tables(edges: DataFrame, vertices: DataFrame, candidates: dict[str, dict], seeds: list[int]) -> DataFrame:
+    """The same for graphs of any size: each run is the layout on tables, one after another; a run that fails is a row with its error."""
+    from meshlark.operators.layout import LayoutParams
+    from meshlark.operators.layout_tables import multiscale_tables
+
+    out, columns = None, "candidate string, seed int, status string, error_message string, v bigint, x array<double>"
+    for c, p in candidates.items():
+        for s in seeds:
+            try:
+                x = multiscale_tables(edges, vertices, LayoutParams.of(**(p | {"seed": s})))
+                x = x.select(F.lit(c).alias("candidate"), F.lit(s).alias("seed"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error_message"), "v", "x")
+            except ValueError as error:
+                x = vertices.sparkSession.createDataFrame([(c, s, "error", str(error), None, None)], columns)
+            out = x if out is None else out.union(x)
+    return out
+
+
+def score_runs(layouts: DataFrame, edges: DataFrame, dist: DataFrame, pairs: DataFrame, clusters: DataFrame | None = None, count_crossings: bool | None = None) -> DataFrame:
+    """One row per run with sampled stress, edge statistics, non-edge separation, crossings (of layouts in two dimensions; unless asked for, up to 1000 edges) and cluster separation;
+    every run's pairs are scored in the same aggregates."""
     key = ["candidate", "seed"]
     ok = layouts.where("status = 'ok'")
     a, b = (ok.select(*key, F.col("v").alias(c), F.col("x").alias(f"x{c}")) for c in ("i", "j"))
@@ -79,7 +97,14 @@ def score_runs(layouts: DataFrame, edges: DataFrame, dist: DataFrame, pairs: Dat
     n = pairs.select("i", "j").join(edges.select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")), ["i", "j"], "left_anti")
     n = n.join(a, "i").join(b, [*key, "j"]).groupBy(key).agg(F.min(V.euclid("xi", "xj")).alias("gap"))
     runs = layouts.groupBy(*key, "status").agg(F.first("error_message").alias("error_message"))
-    return runs.join(s, key, "left").join(e, key, "left").join(n, key, "left").withColumn("sampled_nonedge_sep_ratio", F.col("gap") / F.col("median_edge_length")).drop("gap").withColumns({"edge_crossings": F.lit(None).cast("bigint"), "cluster_separation": F.lit(None).cast("double")})
+    out = runs.join(s, key, "left").join(e, key, "left").join(n, key, "left").withColumn("sampled_nonedge_sep_ratio", F.col("gap") / F.col("median_edge_length")).drop("gap")
+    if count_crossings or count_crossings is None and edges.count() <= 1000:
+        flat = ok.where(F.size("x") == 2)
+        runs_2d = flat.select(*key).distinct().withColumn("flat", F.lit(True))
+        out = out.join(crossings(edges, flat, tuple(key)), key, "left").join(runs_2d, key, "left").withColumn("edge_crossings", F.when(F.col("flat"), F.coalesce("edge_crossings", F.lit(0)))).drop("flat")
+    else:
+        out = out.withColumn("edge_crossings", F.lit(None).cast("bigint"))
+    return out.join(cluster_separation(ok, clusters, tuple(key)), key, "left") if clusters is not None else out.withColumn("cluster_separation", F.lit(None).cast("double"))
 
 
 def summarise(runs: DataFrame, stability: DataFrame | None = None) -> DataFrame:
@@ -129,8 +154,9 @@ def params_of_first(summary: DataFrame, columns: list[str]) -> dict:
     return {c: r[c] for c in columns if r[c] is not None and not (c == "preset" and r[c] == "")}
 
 
-def compare(edges: DataFrame, vertices: DataFrame, candidates: dict[str, dict], seeds: list[int], dist: DataFrame, pairs: DataFrame) -> DataFrame:
+def compare(edges: DataFrame, vertices: DataFrame, candidates: dict[str, dict], seeds: list[int], dist: DataFrame, pairs: DataFrame, clusters: DataFrame | None = None, how: str = "kernel", count_crossings: bool | None = None) -> DataFrame:
+    """Summary and rank of candidates over seeds. ``how``: a kernel a run side by side, or ``tables``, run by run."""
     from meshlark.plans.shared import materialize
 
-    layouts = materialize(run_candidates(edges, vertices, candidates, seeds), "layouts")
-    return rank(summarise(score_runs(layouts, edges, dist, pairs), stability(layouts).select("candidate", "stability_mean")))
+    layouts = materialize((run_candidates_tables if how == "tables" else run_candidates)(edges, vertices, candidates, seeds), "layouts")
+    return rank(summarise(score_runs(layouts, edges, dist, pairs, clusters, count_crossings), stability(layouts).select("candidate", "stability_mean")))

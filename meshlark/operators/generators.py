@@ -399,65 +399,65 @@ def recursive_mask_surface(spark: SparkSession, mask: str | Mask, levels: int, m
     return _bundle(cells_edges(c, side, dims), lattice_coords(c, side, dims, mode, **kw), str(mask), by, levels=levels)
 
 
-def _points(spark: SparkSession, x: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(k + 1, p) for k, p in enumerate(x.tolist())], "v bigint, x array<double>")
+def irregular_points(spark: SparkSession, family: str, n: int, seed: int = 1, small: float = 0.6, big: float = 2.0, a: float = 0.3) -> DataFrame:
+    """v, x: points of a surface or solid from four hashed draws a vertex, uniform by area or volume but for the tori (uniform in their angles) and the pants (in their legs)."""
+    d = spark.range(1, n + 1).withColumnRenamed("id", "v").select("v", *(V.hashed_draw(F.col("v"), k, seed).alias(f"u{k}") for k in range(4)))
+    u, t, p, z = F.col("u0"), 2 * math.pi * F.col("u1"), 2 * math.pi * F.col("u2"), 2 * F.col("u3") - 1
+    flat = F.sqrt(1 - z * z)
+    ball = (flat * F.cos(t), flat * F.sin(t), z)
+    times = lambda r: tuple(r * c for c in ball)
+    ring = lambda cx: (F.lit(cx) + (big + small * F.cos(p)) * F.cos(t), (big + small * F.cos(p)) * F.sin(t), small * F.sin(p))
+    either = lambda x, y: tuple(F.when(F.col("v") % 2 == 0, i).otherwise(j) for i, j in zip(x, y, strict=True))
+    arm, rad = F.col("v") % 3 * (2 * math.pi / 3), F.sqrt(0.25 + 0.75 * u)
+    x = {
+        "rectangle": (2 * u - 1, z, a * F.sin(math.pi * u) * F.cos(math.pi * z)),
+        "annulus": (rad * F.cos(t), rad * F.sin(t), 0 * u),
+        "sphere": ball,
+        "torus": ring(0.0),
+        "double_torus": either(ring(-big), ring(big)),
+        "pair_of_pants": (2 * u * F.cos(arm) - 0.5 * F.cos(t) * F.sin(arm), 2 * u * F.sin(arm) + 0.5 * F.cos(t) * F.cos(arm), 0.5 * F.sin(t)),
+        "ball": times(F.cbrt(u)),
+        "shell": times(F.cbrt(0.125 + 0.875 * u)),
+    }
+    if family not in x:
+        raise ValueError(f"unknown family {family!r}")
+    return d.select("v", F.array(*(c.cast("double") for c in x[family])).alias("x"))
 
 
 def irregular(spark: SparkSession, family: str, n: int, k: int = 6, seed: int = 1, by: str = "median", **kw) -> Bundle:
-    """Random points of a surface or solid (some thousands: made on the driver) and their connected kNN graph."""
+    """``irregular_points`` and their connected kNN graph."""
     from meshlark.operators.knn import connected_knn_graph
+    from meshlark.plans.shared import materialize
 
-    rng = np.random.default_rng(seed)
-    u, t, p, z = rng.random(n), 2 * np.pi * rng.random(n), 2 * np.pi * rng.random(n), 2 * rng.random(n) - 1
-    ball = rng.normal(size=(n, 3))
-    ball /= np.linalg.norm(ball, axis=1, keepdims=True)
-    r, big = kw.get("small", 0.6), kw.get("big", 2.0)
-    ring = lambda cx: np.stack([cx + (big + r * np.cos(p)) * np.cos(t), (big + r * np.cos(p)) * np.sin(t), r * np.sin(p)], axis=1)
-    make = {
-        "rectangle": lambda: np.stack([2 * u - 1, z, kw.get("a", 0.3) * np.sin(np.pi * u) * np.cos(np.pi * z)], axis=1),
-        "annulus": lambda: np.stack([(rad := np.sqrt(0.25 + 0.75 * u)) * np.cos(t), rad * np.sin(t), 0 * u], axis=1),
-        "sphere": lambda: ball,
-        "torus": lambda: ring(0.0),
-        "double_torus": lambda: np.where((np.arange(n) % 2 == 0)[:, None], ring(-big), ring(big)),
-        "pair_of_pants": lambda: np.stack([(arm := np.arange(n) % 3 * 2 * np.pi / 3, d := 2 * u)[0] * 0 + d * np.cos(arm) + 0.5 * np.cos(t) * -np.sin(arm), d * np.sin(arm) + 0.5 * np.cos(t) * np.cos(arm), 0.5 * np.sin(t)], axis=1),
-        "ball": lambda: ball * np.cbrt(u)[:, None],
-        "shell": lambda: ball * np.cbrt(0.125 + 0.875 * u)[:, None],
-    }
-    coords = _points(spark, make[family]())
+    coords = materialize(irregular_points(spark, family, n, seed, **kw), "points")
     e = connected_knn_graph(coords, k, "euclid").select("src", "dst")
     return _bundle(e, coords, f"irregular-{family}", by, n=n, k=k)
 
 
-def triangulated(spark: SparkSession, family: str, side: int = 16, by: str = "median") -> Bundle:
-    """Triangular lattice points inside an annulus or pair of pants, or an octahedron's faces blown up to the sphere; the largest component."""
-    from meshlark.operators.components import largest
-
-    g = _grid(spark, side, side)
-    x = (F.col("j") + (F.col("i") % 2) * 0.5) / (side - 1) * 2 - 1
-    y = F.col("i") / (side - 1) * 2 - 1
-    r = F.sqrt(x * x + y * y)
-    hole = lambda cx: F.sqrt((x - cx) * (x - cx) + y * y) >= 0.25
-    keep = {"annulus": (r <= 1.0) & (r >= 0.4), "pair_of_pants": (r <= 1.0) & hole(-0.45) & hole(0.45), "polyhedron": F.abs(x) + F.abs(y) <= 1.0}[family]
-    z = F.when(F.lit(family == "polyhedron"), 1 - F.abs(x) - F.abs(y)).otherwise(F.lit(0.0))
-    k = g.where(keep).select("v", "i", "j", F.array(x.cast("double"), y.cast("double"), z.cast("double")).alias("x"))
-    i, j, v = F.col("i"), F.col("j"), F.col("v")
-    e = _edges(k, [(v + 1, j < side - 1), (v + side, i < side - 1), (F.when(i % 2 == 1, v + side + 1).otherwise(v + side - 1), (i < side - 1) & F.when(i % 2 == 1, j < side - 1).otherwise(j > 0))])
-    e = e.join(k.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst")
-    big = largest(k.select("v"), e)
-    e = e.join(big.select(F.col("v").alias("src")), "src", "left_semi").select("src", "dst")
-    return _bundle(e, k.join(big, "v", "left_semi").select("v", "x"), f"triangulated-{family}", by, side=side)
+def sampled_points(spark: SparkSession, n: int, seed: int = 1, surface: str = "saddle", a: float = 0.5) -> DataFrame:
+    """v, x: uniform points by hash on the rectangle, lifted to the surface."""
+    unit = lambda k: 2 * V.hashed_draw(F.col("id"), k, seed) - 1
+    return spark.range(1, n + 1).select(F.col("id").alias("v"), unit(1).alias("u"), unit(2).alias("t")).select("v", F.array("u", "t", V.surface_height(F.col("u"), F.col("t"), surface, a)).alias("x"))
 
 
-def sampled_rectangle(spark: SparkSession, n: int, k: int, seed: int = 1, surface: str = "saddle", a: float = 0.5, prune: float | None = None) -> Bundle:
-    """Uniform points by hash on the rectangle, kNN sets, and the overlap graph of those."""
+def sampled_rectangles(spark: SparkSession, n: int, ks: list[int], seed: int = 1, surface: str = "saddle", a: float = 0.5, prune: float | None = None) -> list[Bundle]:
+    """kNN sets and the overlap graph of those for several k. The points are drawn, and the neighbours of the greatest k sought, once."""
     from meshlark.operators.knn import knn, overlap_graph, prune_geometric
+    from meshlark.plans.shared import materialize
+
+    if not ks or len(set(ks)) != len(ks) or min(ks) < 1:
+        raise ValueError("the numbers of neighbours are distinct and at least 1")
+    coords = materialize(sampled_points(spark, n, seed, surface, a), "points")
+    near = materialize(knn(coords, max(ks), "euclid"), "near")
+    out = []
+    for k in ks:
+        e = overlap_graph(near.where(F.col("rank") <= k)).select("src", "dst", "w")
+        out.append(Bundle(prune_geometric(e, prune) if prune is not None else e, coords, "sampled-rectangle", {"n": n, "k": k}))
+    return out
 
-    unit = lambda s: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(1 << 40)) / float(1 << 40) * 2 - 1
-    coords = spark.range(1, n + 1).select(F.col("id").alias("v"), unit(1).alias("u"), unit(2).alias("t")).select("v", F.array("u", "t", V.surface_height(F.col("u"), F.col("t"), surface, a)).alias("x"))
-    e = overlap_graph(knn(coords, k, "euclid"))
-    if prune is not None:
-        e = prune_geometric(e.select("src", "dst", "w"), prune)
-    return Bundle(e.select("src", "dst", "w"), coords, "sampled-rectangle", {"n": n, "k": k})
+
+def sampled_rectangle(spark: SparkSession, n: int, k: int, seed: int = 1, surface: str = "saddle", a: float = 0.5, prune: float | None = None) -> Bundle:
+    return sampled_rectangles(spark, n, [k], seed, surface, a, prune)[0]
 
 
 def deduplicate_coordinates(edges: DataFrame, coords: DataFrame, digits: int = 12) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,7 @@ from meshlark.operators.paths import distances, hops
 from meshlark.plans.shared import Rounds, discard, materialize
 
 METRICS = {"euclid": V.euclid, "linf": V.linf}
+BATCH_PIVOTS, BROADCAST_PIVOTS, WORKSPACE_BYTES = 512, 4096, 512 << 20
 
 
 def pivot_table(spark: SparkSession, pivots: list[int]) -> DataFrame:
@@ -26,26 +27,63 @@ def pivot_table(spark: SparkSession, pivots: list[int]) -> DataFrame:
 
 def select_pivots(obs: DataFrame, count: int, method: str = "farthest", metric: str = "euclid", seed: int = 1) -> list[int]:
     """``farthest``: the smallest id, then always the row farthest from those chosen, ties to the smaller id. ``uniform``: by hash.
-    ``random``: the next is drawn by its distance to the nearest chosen one (weighted hash order)."""
+    ``random``: the next is drawn by its distance to the nearest chosen one (weighted hash order), one job each."""
     if method == "uniform":
         return [r.v for r in obs.select("v").orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(count).collect()]
-    first = obs.select("v", "x").orderBy("v" if method == "farthest" else F.xxhash64("v", F.lit(seed))).first()
+    return _farthest(obs, count, metric) if method == "farthest" else _drawn(obs, count, metric, seed)
+
+
+def _to_chosen(obs: DataFrame, chosen: list[int], rows: list, metric: str) -> DataFrame:
+    """v, x, d of the rows that are not chosen: the distance to the nearest chosen one."""
+    centres, ids = np.array(rows, dtype=np.float64), np.array(chosen, dtype=np.int64)
+
+    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from meshlark.operators.blocks import pairwise
+
+        for pdf in parts:
+            pdf = pdf[~np.isin(pdf["v"].to_numpy(), ids)]
+            if len(pdf):
+                yield pd.DataFrame({"v": pdf["v"], "x": pdf["x"], "d": pairwise(np.array(pdf["x"].tolist(), dtype=np.float64), centres, metric).min(axis=1)})
+
+    return obs.select("v", V.as_double("x").alias("x")).mapInPandas(nearest, "v bigint, x array<double>, d double")
+
+
+def _farthest(obs: DataFrame, count: int, metric: str, batch: int = BATCH_PIVOTS) -> list[int]:
+    """Farthest points in batches. A pass brings the ``batch`` rows that are farthest from all chosen ones, and the rule goes on among these alone for as long as its pick is
+    farther than any row left behind was; distances only fall, so that pick is the pick of all rows. Every pass yields one pivot at least."""
+    from meshlark.operators.blocks import pairwise
+
+    first = obs.select("v", "x").orderBy("v").first()
     chosen, rows = [first.v], [first.x]
     while len(chosen) < count:
-        centres = np.array(rows, dtype=np.float64)
-
-        def nearest(parts: Iterator[pd.DataFrame], centres=centres) -> Iterator[pd.DataFrame]:
-            from meshlark.operators.knn import pairwise
+        got = _to_chosen(obs, chosen, rows, metric).orderBy(F.desc("d"), "v").limit(batch + 1).collect()
+        if not got:
+            break
+        left = got[batch].d if len(got) > batch else -1.0
+        own = got[:batch]
+        ids, x, d = np.array([r.v for r in own]), np.array([r.x for r in own], dtype=np.float64), np.array([r.d for r in own])
+        open_ = np.ones(len(own), dtype=bool)
+        taken = 0
+        while len(chosen) < count and open_.any():
+            best = d[open_].max()
+            if taken and best <= left:
+                break
+            k = int(np.flatnonzero(open_ & (d == best))[np.argmin(ids[open_ & (d == best)])])
+            chosen.append(int(ids[k]))
+            rows.append(own[k].x)
+            open_[k] = False
+            taken += 1
+            d = np.minimum(d, pairwise(x, x[k : k + 1], metric)[:, 0])
+    return chosen
 
-            for pdf in parts:
-                if len(pdf):
-                    yield pd.DataFrame({"v": pdf["v"], "x": pdf["x"], "d": pairwise(np.array(pdf["x"].tolist(), dtype=np.float64), centres, metric).min(axis=1)})
 
-        d = obs.select("v", V.as_double("x").alias("x")).mapInPandas(nearest, "v bigint, x array<double>, d double").where(~F.col("v").isin(chosen))
-        if method == "random":  # exponential races: the least -log(u) / d wins with probability in proportion to d
-            u = (F.pmod(F.xxhash64("v", F.lit(seed), F.lit(len(chosen))), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-            d = d.withColumn("d", -(-F.log(u) / F.col("d")))
-        row = d.orderBy(F.desc("d"), "v").first()
+def _drawn(obs: DataFrame, count: int, metric: str, seed: int) -> list[int]:
+    first = obs.select("v", "x").orderBy(F.xxhash64("v", F.lit(seed))).first()
+    chosen, rows = [first.v], [first.x]
+    while len(chosen) < count:
+        # exponential races: the least -log(u) / d wins with probability in proportion to d
+        u = (F.pmod(F.xxhash64("v", F.lit(seed), F.lit(len(chosen))), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+        row = _to_chosen(obs, chosen, rows, metric).withColumn("d", -(-F.log(u) / F.col("d"))).orderBy(F.desc("d"), "v").first()
         if row is None:
             break
         chosen.append(row.v)
@@ -54,7 +92,9 @@ def select_pivots(obs: DataFrame, count: int, method: str = "farthest", metric:
 
 
 def observation_distances(obs: DataFrame, pivots: DataFrame, metric: str = "euclid") -> DataFrame:
-    """k, pivot, v, d. The pivots' vectors (few: checked by the caller's count) are joined to all rows."""
+    """k, pivot, v, d. The pivots' vectors, at most ``BROADCAST_PIVOTS``, meet all rows. Equal vectors would make a target of 0 and are an error."""
+    if (n := pivots.count()) > BROADCAST_PIVOTS:
+        raise ValueError(f"{n} pivots are more than the {BROADCAST_PIVOTS} that a task holds")
     p = pivots.join(obs.select(F.col("v").alias("pivot"), V.as_double("x").alias("px")), "pivot")
     d = obs.select("v", V.as_double("x").alias("x")).crossJoin(F.broadcast(p)).select("k", "pivot", "v", METRICS[metric]("x", "px").alias("d"))
     return d
@@ -99,6 +139,25 @@ def constraints(edges: DataFrame, pivot_dist: DataFrame, uniform: bool = False)
     return merged
 
 
+def agreed(rows: DataFrame, key: list[str], value: str, order: list[str], tol: float = 1e-10) -> DataFrame:
+    """The first row of each key in the given order, or an error if values of a key differ from its first by more than ``tol`` of it (at least 1)."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    x = materialize(rows.withColumn("_r", F.row_number().over(w)).withColumn("_first", F.first(value).over(w)), "groups")
+    odd = x.where(F.abs(F.col(value) - F.col("_first")) > tol * F.greatest(F.lit(1.0), F.abs("_first"))).select(*key).first()
+    if odd is not None:
+        raise ValueError(f"the values of {tuple(odd)} differ")
+    return x.where("_r = 1").drop("_r", "_first")
+
+
+def order_breaks(rows: DataFrame, position: str, key: list[str]) -> DataFrame:
+    """breaks: how many rows have a key that isn't above that of the row before, in the order of ``position``. Positions are sorted in ranges; a range's ends, a row each, meet."""
+    x = materialize(rows.select(F.col(position).alias("p"), F.struct(*key).alias("k")).repartitionByRange("p").withColumn("part", F.spark_partition_id()), "ordered")
+    inside = x.withColumn("before", F.lag("k").over(Window.partitionBy("part").orderBy("p"))).where("before is not null").agg(F.count_if(F.col("k") <= F.col("before")).alias("n"))
+    ends = x.groupBy("part").agg(F.min_by("k", "p").alias("first"), F.max_by("k", "p").alias("last"))
+    between = ends.withColumn("before", F.lag("last").over(Window.orderBy("part"))).where("before is not null").agg(F.count_if(F.col("first") <= F.col("before")).alias("m"))  # a row for each range
+    return inside.crossJoin(between).select((F.col("n") + F.col("m")).alias("breaks"))  # one row each
+
+
 def landmark_constraints(pivot_dist: DataFrame, local: DataFrame | None = None, uniform: bool = False, tol: float = 1e-10) -> DataFrame:
     """Constraints of a supplied distance table; ``local`` pairs (i, j, d) override counts with 1. Self-distances are 0, both rows of a pivot pair agree."""
     if not pivot_dist.where((F.col("v") == F.col("pivot")) & (F.abs("d") > tol)).isEmpty():
@@ -131,16 +190,63 @@ def check_constraints(c: DataFrame) -> DataFrame:
     return out
 
 
-def sparse_preparation(obs: DataFrame, pivots: list[int], k: int = 10, metric: str = "euclid", uniform: bool = False, geodesic: bool = False) -> dict[str, DataFrame]:
-    """Neighbour graph, pivot distances, regions and constraints of observations (v, x)."""
-    from meshlark.operators.knn import knn, knn_graph
-
-    if len(pivots) > max(1, obs.count() - 1):
-        raise ValueError("there are more pivots than other observations")
-    edges = materialize(knn_graph(knn(obs, k, metric)), "edges")
-    p = pivot_table(obs.sparkSession, pivots)
+def check_pivot_distances(dist: DataFrame) -> DataFrame:
+    """The rows (k, pivot, v, d), or an error: a distance is finite, and 0 for the pivot itself alone."""
+    bad = dist.where("d is null or isnan(d) or d = double('infinity') or d < 0 or (d = 0) <> (v = pivot)").orderBy("k", "v").first()
+    if bad is not None:
+        raise ValueError(f"pivot {bad.pivot} and row {bad.v} are at distance {bad.d}")
+    return dist
+
+
+def workspace_bytes(rows: int, count: int, k: int, features: int) -> int:
+    """What a preparation keeps at least: pivot rows of distances and counts, and neighbour lists with their vectors, 8 bytes a number."""
+    return 8 * rows * (2 * count + 2 * k + features)
+
+
+def search_space(obs: DataFrame, metric: str, share: float | None) -> DataFrame:
+    """The vectors in which neighbours are sought: the leading principal components with that share of the variance, or the vectors themselves."""
+    from meshlark.operators.mds import pca
+
+    if share is None:
+        return obs
+    if metric != "euclid" or not 0 < share <= 1:
+        raise ValueError("a search in principal components takes Euclidean distances and a share of variance above 0 and at most 1")
+    return pca(obs, share)[0]
+
+
+def sparse_preparation(
+    obs: DataFrame, pivots: list[int] | int, k: int = 10, metric: str = "euclid", uniform: bool = False, geodesic: bool = False, method: str = "farthest", pca_share: float | None = None,
+    connect: str | None = None, allowance: int | None = None, seed: int = 1,
+) -> dict[str, DataFrame]:
+    """Neighbour graph, pivots, their distances, regions and constraints of observations (v, x).
+
+    ``pivots`` are given or a number to select. Neighbours are sought in principal components with ``pca_share`` of the variance if it is given, and lengths are always those of the vectors.
+    ``connect``: mst joins the parts of the neighbour graph, error refuses them; geodesic distances need one part. ``allowance``: the bytes that ``workspace_bytes`` may reach; more is refused
+    before anything is run.
+    """
+    from meshlark.operators.knn import connected_knn_graph, knn, knn_graph
+
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    n, count = obs.count(), pivots if isinstance(pivots, int) else len(pivots)
+    if not 1 <= count <= max(1, n - 1):
+        raise ValueError("there are no pivots, or more than other observations")
+    if allowance is not None:
+        need = workspace_bytes(n, count, k, obs.select(F.size("x").alias("p")).first()["p"])
+        if need > allowance:
+            raise ValueError(f"the preparation takes {need} bytes, more than the {allowance} that are allowed; take fewer pivots or neighbours")
+    space = search_space(obs, metric, pca_share)
+    if pca_share is not None:
+        space = materialize(space, "search-space")
+    found = connected_knn_graph(space, k, metric, "mst" if connect == "mst" else "error") if connect or geodesic else knn_graph(knn(space, k, metric))
+    if pca_share is not None:
+        a, b = (obs.select(F.col("v").alias(c), V.as_double("x").alias(f"x_{c}")) for c in ("src", "dst"))
+        found = found.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", METRICS[metric]("x_src", "x_dst").alias("w"))
+    edges = materialize(found.select("src", "dst", "w"), "edges")
+    p = pivot_table(obs.sparkSession, select_pivots(obs, count, method, metric, seed) if isinstance(pivots, int) else pivots)
     d = materialize(graph_distances(edges, p) if geodesic else observation_distances(obs, p, metric), "pivot-distances")
-    return {"edges": edges, "pivots": p, "pivot_dist": d, "region": regions(d), "constraints": constraints(edges, d, uniform)}
+    check_pivot_distances(d)
+    return {"edges": edges, "pivots": p, "pivot_dist": d, "region": regions(d), "constraints": materialize(constraints(edges, d, uniform), "constraints")}
 
 
 def landmark_pairs(dist: DataFrame, landmarks: DataFrame, local: int) -> DataFrame:

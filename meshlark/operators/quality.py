@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -42,34 +43,61 @@ def nonedge_separation(pairs: DataFrame, edges: DataFrame, coords: DataFrame) ->
     return least.crossJoin(edge_stats(edges, coords)).select((F.col("o") / F.col("median_edge_length")).alias("sampled_nonedge_sep_ratio"))  # one row each
 
 
-def crossings(edges: DataFrame, coords: DataFrame, cells: int = 32) -> DataFrame:
-    """Pairs of edges without a common end that cross strictly (2-D). Edges meet in the cells of a grid that their boxes touch; a pair counts once,
-    in the first cell that both touch."""
-    a, b = (coords.select(F.col("v").alias(c), F.get("x", F.lit(0)).alias(f"{c}_x"), F.get("x", F.lit(1)).alias(f"{c}_y")) for c in ("src", "dst"))
-    e = edges.select("src", "dst").join(a, "src").join(b, "dst")
-    box = coords.agg(*(f(F.get("x", F.lit(k))).alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in (0, 1)))
-    e = e.crossJoin(F.broadcast(box))  # one row
-    cell = lambda c, k: F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.coalesce(F.try_divide(F.col(c) - F.col(f"lo{k}"), F.col(f"hi{k}") - F.col(f"lo{k}")) * cells, F.lit(0.0)).cast("int")))
-    for k, ax in ((0, "x"), (1, "y")):
-        e = e.withColumn(f"c{k}", F.least(cell(f"src_{ax}", k), cell(f"dst_{ax}", k))).withColumn(f"d{k}", F.greatest(cell(f"src_{ax}", k), cell(f"dst_{ax}", k)))
-    e = e.drop("lo0", "lo1", "hi0", "hi1").withColumn("gx", F.explode(F.sequence("c0", "d0"))).withColumn("gy", F.explode(F.sequence("c1", "d1")))
+CELL_EDGES, SPLIT_EDGES, MOST_CELLS = 4, 512, 2048
+
+
+def crossings(edges: DataFrame, coords: DataFrame, keys: tuple[str, ...] = (), cells: int | None = None) -> DataFrame:
+    """Pairs of edges without a common end that cross strictly (2-D), for each value of ``keys`` of the coordinates (one row without keys).
+
+    The grid has some ``CELL_EDGES`` edges a cell. An edge is in the cells that its line passes, column by column, and edges meet in cells. A cell of more than ``SPLIT_EDGES``
+    edges is split: one side is dealt to parts by hash and the other side goes to all of them. A pair that meets in several cells counts once.
+    """
+    keys = list(keys)
+    if cells is None:
+        cells = int(min(MOST_CELLS, max(8, math.ceil(math.sqrt(edges.count() / CELL_EDGES)))))
+    a, b = (coords.select(*keys, F.col("v").alias(c), F.get("x", F.lit(0)).alias(f"{c}_x"), F.get("x", F.lit(1)).alias(f"{c}_y")) for c in ("src", "dst"))
+    e = edges.select("src", "dst").join(a, "src").join(b, [*keys, "dst"])
+    box = coords.groupBy(*keys).agg(*(f(F.get("x", F.lit(k))).alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in (0, 1)))
+    e = e.join(box, keys) if keys else e.crossJoin(F.broadcast(box))  # one row
+    unit = lambda c, k: F.coalesce(F.try_divide(F.col(c) - F.col(f"lo{k}"), F.col(f"hi{k}") - F.col(f"lo{k}")) * cells, F.lit(0.0))
+    clip = lambda c: F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor(c).cast("int")))
+    e = e.withColumns({"ax": unit("src_x", 0), "ay": unit("src_y", 1), "bx": unit("dst_x", 0), "b_y": unit("dst_y", 1)}).drop("lo0", "lo1", "hi0", "hi1")
+    left, right = F.least("ax", "bx"), F.greatest("ax", "bx")
+    e = e.withColumn("gx", F.explode(F.sequence(clip(left - 1e-9), clip(right + 1e-9))))
+    slope = F.try_divide(F.col("b_y") - F.col("ay"), F.col("bx") - F.col("ax"))
+    at = lambda x: F.when(right - left < 1e-9, F.lit(None)).otherwise(F.col("ay") + (F.greatest(left, F.least(right, x)) - F.col("ax")) * slope)
+    y0, y1 = at(F.col("gx").cast("double")), at(F.col("gx") + 1.0)
+    low, high = F.coalesce(F.least(y0, y1), F.least("ay", "b_y")), F.coalesce(F.greatest(y0, y1), F.greatest("ay", "b_y"))
+    e = materialize(e.withColumn("gy", F.explode(F.sequence(clip(low - 1e-6), clip(high + 1e-6)))).select(*keys, "src", "dst", "src_x", "src_y", "dst_x", "dst_y", "gx", "gy"), "cells")
+    where = [*keys, "gx", "gy"]
+    size = e.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / SPLIT_EDGES)).drop("n")
+    e = e.join(size, where)
+    l = e.withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.col("parts"))).alias("l")
+    r = e.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("r")
     p = lambda t, c: (F.col(f"{t}.{c}_x"), F.col(f"{t}.{c}_y"))
-    l, r = e.alias("l"), e.alias("r")
-    once = (F.col("l.gx") == F.greatest("l.c0", "r.c0")) & (F.col("l.gy") == F.greatest("l.c1", "r.c1"))
     apart = (F.col("l.src") != F.col("r.src")) & (F.col("l.src") != F.col("r.dst")) & (F.col("l.dst") != F.col("r.src")) & (F.col("l.dst") != F.col("r.dst"))
     order = F.struct("l.src", "l.dst") < F.struct("r.src", "r.dst")
-    j = l.join(r, (F.col("l.gx") == F.col("r.gx")) & (F.col("l.gy") == F.col("r.gy"))).where(once & apart & order & V.crosses(p("l", "src"), p("l", "dst"), p("r", "src"), p("r", "dst")))
-    return j.agg(F.count(F.lit(1)).alias("edge_crossings"))
+    same = F.col("l.part") == F.col("r.part")
+    for c in where:
+        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    j = l.join(r, same).where(apart & order & V.crosses(p("l", "src"), p("l", "dst"), p("r", "src"), p("r", "dst")))
+    pairs = j.select(*(F.col(f"l.{k}").alias(k) for k in keys), F.col("l.src").alias("s1"), F.col("l.dst").alias("d1"), F.col("r.src").alias("s2"), F.col("r.dst").alias("d2")).distinct()
+    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("edge_crossings"))
 
 
-def cluster_separation(coords: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Mean distance of cluster centres by the mean of the clusters' mean distances to their centre; null below two clusters."""
+def cluster_separation(coords: DataFrame, clusters: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean distance of cluster centres by the mean of the clusters' mean distances to their centre, for each value of ``keys`` of the coordinates; null below two clusters."""
+    keys = list(keys)
     x = coords.join(clusters.where("cluster is not null"), "v")
-    m = x.select("cluster", F.posexplode("x").alias("k", "a")).groupBy("cluster", "k").agg(F.avg("a").alias("m")).groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("m"))
-    within = x.join(m, "cluster").withColumn("d", V.euclid("x", "m")).groupBy("cluster").agg(F.avg("d").alias("d")).agg(F.avg("d").alias("within"), F.count(F.lit(1)).alias("n"))
-    between = m.alias("a").join(m.alias("b"), F.col("a.cluster") < F.col("b.cluster")).agg(F.avg(V.euclid("a.m", "b.m")).alias("between"))
+    m = x.select(*keys, "cluster", F.posexplode("x").alias("k", "a")).groupBy(*keys, "cluster", "k").agg(F.avg("a").alias("m")).groupBy(*keys, "cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("m"))
+    within = x.join(m, [*keys, "cluster"]).withColumn("d", V.euclid("x", "m")).groupBy(*keys, "cluster").agg(F.avg("d").alias("d")).groupBy(*keys).agg(F.avg("d").alias("within"), F.count(F.lit(1)).alias("n"))
+    on = F.col("a.cluster") < F.col("b.cluster")
+    for k in keys:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    between = m.alias("a").join(m.alias("b"), on).groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(F.avg(V.euclid("a.m", "b.m")).alias("between"))
+    both = within.join(between, keys, "left") if keys else within.crossJoin(between)  # one row each
     ratio = F.when(F.col("n") < 2, F.lit(None)).when(F.col("within") > 0, F.col("between") / F.col("within")).when(F.col("between") > 0, F.lit(float("inf")))
-    return within.crossJoin(between).select(ratio.cast("double").alias("cluster_separation"))  # one row each
+    return both.select(*keys, ratio.cast("double").alias("cluster_separation"))
 
 
 def score_layout(vertices: DataFrame, edges: DataFrame, coords: DataFrame, dist: DataFrame, pairs: DataFrame, clusters: DataFrame | None = None, dim: int = 2, count_crossings: bool | None = None) -> DataFrame:

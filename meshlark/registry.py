@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions import vectors as V
-from meshlark.operators import catalogue, compare, components, generators, graph, hierarchy, knn, layout, mds, objectives, paths, pivots, quality, schedules
+from meshlark.operators import catalogue, compare, components, generators, graph, hierarchy, knn, layout, layout_tables, mds, objectives, paths, pivots, quality, schedules
 from meshlark.plans.shared import estimate_preparation, materialize
 from meshlark.sources import readers
 
@@ -829,7 +829,7 @@ def _(s, d):
 @query("sparse_mds_sgd")
 def _(s, d):
     prep = pivots.sparse_preparation(observations(s, d), PIVOTS, 5, "linf")
-    x = mds.sgd(prep["constraints"], control=mds.SgdControl(epochs=8))
+    x, _, _ = mds.sgd_tables(prep["constraints"], control=mds.SgdControl(epochs=8))
     return rounded(objectives.proxy_stress(prep["constraints"], x.select("v", "x")))
 
 
@@ -956,7 +956,7 @@ def _(s, d):
 @query("metric_mds_sgd_geo")
 def _(s, d):
     p = _geo_pairs(s, d)
-    x = mds.sgd(p, control=mds.SgdControl(epochs=15))
+    x, _, _ = mds.sgd_tables(p, control=mds.SgdControl(epochs=15), traced=False)
     return objectives.stress(p, x.select("v", "x")).select(r6("stress1").alias("stress1"), F.lit(x.count()).alias("placed"))
 
 
@@ -996,7 +996,7 @@ def _(s, d):
 
 @query("multiscale_layout_knn", "SELECT run, (SELECT count(*) FROM embeddings) AS placed, true AS finite FROM (VALUES (0), (1)) t(run)")
 def _(s, d):
-    x = layout.multiscale(knn_embedding(s, d), observations(s, d).select("v"), [{"rounds": 15, "final": 80}, {"dim": 3, "placement": "least_squares", "rounds": 15, "final": 80}])
+    x = layout_tables.multiscale_runs(knn_embedding(s, d), observations(s, d).select("v"), [{"rounds": 2, "final": 4}, {"dim": 3, "placement": "least_squares", "rounds": 2, "final": 4}])
     return x.groupBy("run").agg(F.count(F.lit(1)).alias("placed"), F.bool_and(V.norm("x") < float("inf")).alias("finite"))
 
 
@@ -1079,9 +1079,6 @@ e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x)
 _gen("sphere_surface", """WITH g AS (SELECT i * 10 + j + 2 AS v, i, j, pi() / 2 - pi() * (i + 1) / 7 AS lat, 2 * pi() * j / 10 AS t FROM range(6) a(i), range(10) b(j)),
 c AS (SELECT v, i, j, cos(lat) * cos(t) AS x, cos(lat) * sin(t) AS y, sin(lat) AS z FROM g UNION ALL SELECT 1, -1, NULL, 0, 0, 1 UNION ALL SELECT 62, 6, NULL, 0, 0, -1),
 e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = (a.j + 1) % 10) OR (b.i = a.i + 1 AND (b.j = a.j OR a.j IS NULL OR b.j IS NULL))) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.sphere_surface(s, 8, 10).edges))
-_gen("irregular", None, lambda s: rounded(generators.irregular(s, "sphere", 120, 6).edges))
-_gen("triangulated", None, lambda s: rounded(generators.triangulated(s, "annulus", 14).edges))
-_gen("sampled_rectangle", None, lambda s: rounded(generators.sampled_rectangle(s, 150, 5).edges))
 
 
-from meshlark import registry_fits  # noqa: E402, F401  adds its queries to the tables above
+from meshlark import registry_fits, registry_search  # noqa: E402, F401  they add their queries to the tables above

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshlark.operators import catalogue, fits, quality, traces
+from meshlark.operators import catalogue, fits, misf_fits, quality, traces
 from meshlark.registry import GEO, PAIRS, RING, STARS, XY, _pairs, _ring_w, geo_tree, load, observations, plane, query, r6, ring, rounded, vertices_of
 from meshlark.sources import readers
 
@@ -38,6 +38,16 @@ def _(s, d):
     return _coords(fits.edge_kk(_ring_w(s, d), plane(s, d), (0.0,), "identity", max_iter=1))
 
 
+# The stiffness 1 / w^2 of level-by-level fits: relative errors of all lengths count alike.
+@query("misf_refine_step", step_sql(
+    EDGES,
+    "SELECT src AS v, (l - w) / (l * w * w) * dx AS gx, (l - w) / (l * w * w) * dy AS gy FROM q UNION ALL SELECT dst, -(l - w) / (l * w * w) * dx, -(l - w) / (l * w * w) * dy FROM q",
+    [f"SELECT s, 0.5 * sum((({_len()} - w) / w) ** 2) AS e FROM ed JOIN st a ON a.v = src JOIN st b ON b.v = dst, k GROUP BY s"],
+))
+def _(s, d):
+    return _coords(misf_fits.refine(_ring_w(s, d).select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("d")), plane(s, d), max_iter=1))
+
+
 @query("repulsive_stage_step", step_sql(f"{XY}, {REPEL}", APART.format(w=0.5), [APART_ENERGY.format(w=0.5)]))
 def _(s, d):
     return _coords(fits.repulsive_stage(_pairs(s, d), plane(s, d), 0.5, max_iter=1))
