@@ -272,7 +272,8 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
     picked = blocks.join(roots, ["dim", "part"]).mapInPandas(_pick, "dim int, tree bigint, home bigint, qids binary, qs binary, qvs binary, floors binary")
     salts = max(1, -(-own.count() // MEET_BLOCKS))
     picked = materialize(picked.withColumn("salt", F.pmod(F.xxhash64("home", "qids"), F.lit(salts))), "picked", True)
-    dealt = trees.join(picked.select("dim", "tree", "salt").distinct(), ["dim", "tree"])  # a tree goes where queries have picked it
+    wanted = picked.select("dim", "tree", (F.col("salt") + 0).alias("salt")).distinct()  # a column of its own for the join below
+    dealt = trees.join(wanted, ["dim", "tree"])  # a tree goes where queries have picked it
     hits = dealt.groupBy("dim", "tree", "salt").cogroup(picked.groupBy("dim", "tree", "salt")).applyInPandas(_others(k), HIT)
     found = own.select(F.col("tree").alias("home"), "rows").union(hits).mapInPandas(_unpack, "query_id bigint, home bigint, q bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("query_id", "home", "q").orderBy(F.desc("score"), "vec_id")
