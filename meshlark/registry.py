@@ -257,24 +257,62 @@ def _(s, d):
     return paths.tree(e, paths.distances(e, single(s, 100, 10)))
 
 
-GRID_CTE = """g AS (SELECT i * 7 + j + 1 AS v, i, j FROM range(6) a(i), range(7) b(j))"""
+# Sizes that follow the suppliers, for graphs whose shape is given: rows of a mesh of seven columns, and rows, sides and levels of the generators.
+ROWS, SIDE, SUPPLIERS = "(SELECT 4 + count(*) // 50 FROM supplier)", "(SELECT 5 + count(*) // 10 FROM supplier)", "(SELECT count(*) FROM supplier)"
+LEVELS = "(SELECT 1 + (count(*) >= 10)::INT + (count(*) >= 1000)::INT FROM supplier)"
 
 
-def _mesh(s):
-    return generators.mesh(s, 6, 7).withColumn("w", F.lit(1.0))
+def upto(size: str, name: str) -> str:
+    return f"(SELECT unnest(range({size}::BIGINT)) AS {name})"
+
+
+def power(base: int) -> str:
+    return f"(SELECT {base} ** l FROM (SELECT {LEVELS} AS l))"
+
+
+def suppliers(s: SparkSession, d: str) -> int:
+    return load(s, d, "supplier").count()
+
+
+def side(s: SparkSession, d: str) -> int:
+    return 5 + suppliers(s, d) // 10
+
+
+def depth(s: SparkSession, d: str) -> int:
+    n = suppliers(s, d)
+    return 1 + (n >= 10) + (n >= 1000)
+
+
+def mesh_rows(s: SparkSession, d: str) -> int:
+    return 4 + suppliers(s, d) // 50
+
+
+GRID_CTE = f"g AS (SELECT i * 7 + j + 1 AS v, i, j FROM {upto(ROWS, 'i')} a, range(7) b(j))"
+
+
+def _cells(s, d) -> int:
+    return 7 * mesh_rows(s, d)
+
+
+def _mesh_vertices(s, d):
+    return s.range(1, _cells(s, d) + 1).withColumnRenamed("id", "v")
+
+
+def _mesh(s, d):
+    return generators.mesh(s, mesh_rows(s, d), 7).withColumn("w", F.lit(1.0))
 
 
 @query("path_counts", f"""WITH {GRID_CTE}, f AS (SELECT v, i, j, list_product(list_transform(range(1, i + j + 1), lambda k: k::DOUBLE)) AS a, list_product(list_transform(range(1, i + 1), lambda k: k::DOUBLE)) AS b, list_product(list_transform(range(1, j + 1), lambda k: k::DOUBLE)) AS c FROM g)
 SELECT 1::BIGINT AS s, v, round(coalesce(a, 1) / (coalesce(b, 1) * coalesce(c, 1)), 6) AS paths FROM f""")
 def _(s, d):
-    e = _mesh(s)
+    e = _mesh(s, d)
     return paths.path_counts(e, paths.distances(e, single(s, 1))).select("s", "v", r6("paths").alias("paths"))
 
 
 @query("tie_average", f"""WITH {GRID_CTE}, e AS (SELECT a.v AS u, b.v AS v, a.i, a.j, b.i AS bi, b.j AS bj FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j) WHERE b.i <= 2 AND b.j <= 3)
 SELECT 1::BIGINT AS i, 18::BIGINT AS j, u, v, round(CAST(factorial((i + j)::INTEGER) AS DOUBLE) / factorial(i::INTEGER) / factorial(j::INTEGER) * factorial((5 - bi - bj)::INTEGER) / factorial((2 - bi)::INTEGER) / factorial((3 - bj)::INTEGER) / 10, 6) AS coeff FROM e""")
 def _(s, d):
-    e = _mesh(s)
+    e = _mesh(s, d)
     p = s.createDataFrame([(1, 18)], "i bigint, j bigint")
     return rounded(paths.tie_average(e, paths.distances(e, single(s, 1, 18)), p))
 
@@ -291,12 +329,12 @@ def _(s, d):
 
 @query("all_pairs_mesh", f"WITH {GRID_CTE} SELECT a.v AS i, b.v AS j, (abs(a.i - b.i) + abs(a.j - b.j))::DOUBLE AS d FROM g a JOIN g b ON a.v < b.v")
 def _(s, d):
-    return paths.all_pairs(_mesh(s), s.range(1, 43).withColumnRenamed("id", "v"), weighted=False)
+    return paths.all_pairs(_mesh(s, d), _mesh_vertices(s, d), weighted=False)
 
 
 @query("diameter", f"WITH {GRID_CTE} SELECT max(abs(a.i - b.i) + abs(a.j - b.j))::DOUBLE AS diameter FROM g a, g b")
 def _(s, d):
-    return paths.diameter(paths.hops(_mesh(s), single(s, *range(1, 43))))
+    return paths.diameter(paths.hops(_mesh(s, d), single(s, *range(1, _cells(s, d) + 1))))
 
 
 @query("spanning_tree", f"WITH {XY} SELECT v AS src, v + 1 AS dst, 1.0::DOUBLE AS w FROM xy WHERE v < (SELECT max(v) FROM xy)")
@@ -416,7 +454,7 @@ def _(s, d):
 n AS (SELECT s, v FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, v) AS r FROM dd WHERE s <> v) WHERE r <= 3),
 m AS (SELECT s, arg_max(v, d * 1000 - v) AS v FROM dd WHERE s <> v GROUP BY s) SELECT DISTINCT least(s, v) AS i, greatest(s, v) AS j FROM (SELECT * FROM n UNION ALL SELECT * FROM m)""")
 def _(s, d):
-    h = paths.hops(_mesh(s), single(s, *range(1, 43)))
+    h = paths.hops(_mesh(s, d), single(s, *range(1, _cells(s, d) + 1)))
     return pivots.landmark_pairs(h, pivots.farthest_landmarks(h, 1), 3)
 
 
@@ -428,15 +466,15 @@ def _(s, d):
 
 @query("hierarchy_sizes")
 def _(s, d):
-    m = hierarchy.misf(_mesh(s), s.range(1, 43).withColumnRenamed("id", "v"), 6)
+    m = hierarchy.misf(_mesh(s, d), _mesh_vertices(s, d), 6)
     return hierarchy.sizes(m)
 
 
 @query("hierarchy_depth_bound", "SELECT true AS nested, true AS apart, true AS maximal")
 def _(s, d):
-    e, v = _mesh(s), s.range(1, 43).withColumnRenamed("id", "v")
+    e, v = _mesh(s, d), _mesh_vertices(s, d)
     m = hierarchy.misf(e, v, 6).persist()
-    h = paths.hops(e, single(s, *range(1, 43)))
+    h = paths.hops(e, single(s, *range(1, _cells(s, d) + 1)))
     up = m.select((F.col("level") - 1).alias("level"), "v").where("level >= 0")
     nested = up.join(m, ["level", "v"], "left_anti").isEmpty()
     top = m.agg(F.max("level")).first()[0]
@@ -742,8 +780,8 @@ def _(s, d):
 
 @query("compare_layouts")
 def _(s, d):
-    e, v = _mesh(s), s.range(1, 43).withColumnRenamed("id", "v")
-    dist = paths.hops(e, single(s, *range(1, 43))).where("s < v").select(F.col("s").alias("i"), F.col("v").alias("j"), F.col("d").cast("double").alias("d"))
+    e, v = _mesh(s, d), _mesh_vertices(s, d)
+    dist = paths.hops(e, single(s, *range(1, _cells(s, d) + 1))).where("s < v").select(F.col("s").alias("i"), F.col("v").alias("j"), F.col("d").cast("double").alias("d"))
     c = {"mesh": {"preset": "mesh", "rounds": 8, "final": 60}, "tree": {"preset": "tree", "rounds": 8, "final": 60}, "bad": {"preset": "none such"}}
     return rounded(compare.compare(e, v, c, [1, 2], dist, quality.sample_pairs(v, 200)).select("candidate", "n_ok", "n_fail", "composite_score", "rank"))
 
@@ -751,19 +789,22 @@ def _(s, d):
 # Schedules and optimisers ---------------------------------------------------------------------------------------------
 
 
-@query("sgd_rates_zheng", "SELECT e AS epoch, round(CASE WHEN e < 20 THEN 4.0 * pow(0.2 / 4.0, e / 19.0) ELSE 0.2 / (1 + (e - 19) / 20.0) END, 6) AS rate FROM range(25) t(e)")
+EPOCHS = "(SELECT 20 + count(*) FROM supplier)"
+
+
+@query("sgd_rates_zheng", f"SELECT e AS epoch, round(CASE WHEN e < 20 THEN 4.0 * pow(0.2 / 4.0, e / 19.0) ELSE 0.2 / (1 + (e - 19) / 20.0) END, 6) AS rate FROM {upto(EPOCHS, 'e')} t")
 def _(s, d):
-    return rounded(schedules.sgd_rates(s, 25, "zheng", w_min=0.25, w_max=0.5, eps=0.1, horizon=20))
+    return rounded(schedules.sgd_rates(s, 20 + suppliers(s, d), "zheng", w_min=0.25, w_max=0.5, eps=0.1, horizon=20))
 
 
-@query("sgd_rates_hybrid", "SELECT e AS epoch, round(CASE WHEN e < 12 THEN pow(10.0, -e / 12.0) ELSE 0.1 / (1 + (e - 12) / 17.0 * 9) END, 6) AS rate FROM range(30) t(e)")
+@query("sgd_rates_hybrid", f"WITH n AS (SELECT n, floor(0.4 * n) AS tau FROM (SELECT {EPOCHS} AS n)) SELECT e AS epoch, round(CASE WHEN e < tau THEN pow(10.0, -e / tau) ELSE 0.1 / (1 + (e - tau) / (n - 1 - tau) * 9) END, 6) AS rate FROM n, {upto(EPOCHS, 'e')} t")
 def _(s, d):
-    return rounded(schedules.sgd_rates(s, 30, "hybrid"))
+    return rounded(schedules.sgd_rates(s, 20 + suppliers(s, d), "hybrid"))
 
 
-@query("sgd_rates_exponential", "SELECT e AS epoch, round(pow(0.01, e / 29.0), 6) AS rate FROM range(30) t(e)")
+@query("sgd_rates_exponential", f"SELECT e AS epoch, round(pow(0.01, e / ({EPOCHS} - 1.0)), 6) AS rate FROM {upto(EPOCHS, 'e')} t")
 def _(s, d):
-    return rounded(schedules.sgd_rates(s, 30, "exponential"))
+    return rounded(schedules.sgd_rates(s, 20 + suppliers(s, d), "exponential"))
 
 
 @query("round_schedule", "SELECT l AS level, ceil(round(120 * pow(20 / 120.0, l / 6.0), 9))::BIGINT AS rounds FROM range(7) t(l)")
@@ -782,9 +823,9 @@ def _(s, d):
 
 
 @query("smacof_step", f"""WITH {GRID_CTE}, p AS (SELECT a.v AS i, b.v AS j, a.i * 1.0 - b.i AS dx, (a.j * a.j) * 0.1 - (b.j * b.j) * 0.1 AS dy, abs(a.i - b.i) + abs(a.j - b.j) AS d FROM g a JOIN g b ON a.v <> b.v), q AS (SELECT i, CASE WHEN dx * dx + dy * dy > 0 THEN d / sqrt((dx * dx + dy * dy)::DOUBLE) ELSE 0 END AS f, dx, dy FROM p)
-SELECT i AS v, round(sum(f * dx) / 42, 6)::DOUBLE + 0.0 AS x0, round(sum(f * dy) / 42, 6)::DOUBLE + 0.0 AS x1 FROM q GROUP BY i""")
+SELECT i AS v, round(sum(f * dx) / (SELECT count(*) FROM g), 6)::DOUBLE + 0.0 AS x0, round(sum(f * dy) / (SELECT count(*) FROM g), 6)::DOUBLE + 0.0 AS x1 FROM q GROUP BY i""")
 def _(s, d):
-    g = s.range(42).select((F.col("id") + 1).alias("v"), F.floor(F.col("id") / 7).alias("i"), (F.col("id") % 7).alias("j"))
+    g = s.range(_cells(s, d)).select((F.col("id") + 1).alias("v"), F.floor(F.col("id") / 7).alias("i"), (F.col("id") % 7).alias("j"))
     c = g.select("v", F.array(F.col("i").cast("double"), (F.col("j") * F.col("j") * 0.1).cast("double")).alias("x"))
     p = g.alias("a").join(g.alias("b"), F.col("a.v") < F.col("b.v")).select(F.col("a.v").alias("i"), F.col("b.v").alias("j"), (F.abs(F.col("a.i") - F.col("b.i")) + F.abs(F.col("a.j") - F.col("b.j"))).cast("double").alias("d"))
     return mds.smacof_step(p, c).select("v", r6(F.get("x", F.lit(0))).alias("x0"), r6(F.get("x", F.lit(1))).alias("x1"))
@@ -792,19 +833,19 @@ def _(s, d):
 
 @query("double_centring", f"""WITH {GRID_CTE}, p AS (SELECT a.v AS r, b.v AS c, ((a.i - b.i) ** 2 + (a.j - b.j) ** 2)::DOUBLE AS s FROM g a, g b) SELECT r, c, round(-0.5 * (s - avg(s) OVER (PARTITION BY r) - avg(s) OVER (PARTITION BY c) + avg(s) OVER ()), 6) + 0.0 AS b FROM p""")
 def _(s, d):
-    v = s.range(1, 43).withColumnRenamed("id", "v")
-    return rounded(mds.double_centred(_grid_distances(s), v))
+    v = _mesh_vertices(s, d)
+    return rounded(mds.double_centred(_grid_distances(s, d), v))
 
 
-def _grid_distances(s):
-    g = s.range(42).select((F.col("id") + 1).alias("v"), F.floor(F.col("id") / 7).alias("i"), (F.col("id") % 7).alias("j"))
+def _grid_distances(s, d):
+    g = s.range(_cells(s, d)).select((F.col("id") + 1).alias("v"), F.floor(F.col("id") / 7).alias("i"), (F.col("id") % 7).alias("j"))
     return g.alias("a").join(g.alias("b"), F.col("a.v") < F.col("b.v")).select(F.col("a.v").alias("i"), F.col("b.v").alias("j"), F.sqrt(F.pow(F.col("a.i") - F.col("b.i"), 2) + F.pow(F.col("a.j") - F.col("b.j"), 2)).alias("d"))
 
 
 @query("classical_mds", f"WITH {GRID_CTE} SELECT a.v AS i, b.v AS j, round(sqrt((a.i - b.i) ** 2 + (a.j - b.j) ** 2), 6) AS o FROM g a JOIN g b ON a.v < b.v")
 def _(s, d):
-    p = _grid_distances(s)
-    x, _ = mds.classical(p, s.range(1, 43).withColumnRenamed("id", "v"))
+    p = _grid_distances(s, d)
+    x, _ = mds.classical(p, _mesh_vertices(s, d))
     return rounded(objectives.observed(p, x).select("i", "j", "o"))
 
 
@@ -819,9 +860,9 @@ def _(s, d):
     return rounded(s.createDataFrame([(float(sum(val)),)], "total double"))
 
 
-@query("metric_mds_sgd", "SELECT true AS better_than_start, 42 AS placed")
+@query("metric_mds_sgd", f"SELECT true AS better_than_start, (7 * {ROWS})::INTEGER AS placed")
 def _(s, d):
-    p = _grid_distances(s)
+    p = _grid_distances(s, d)
     x = mds.sgd(p, control=mds.SgdControl(epochs=15))
     return objectives.stress(p, x.select("v", "x")).select((F.col("stress1") < 0.2).alias("better_than_start"), F.lit(x.count()).cast("int").alias("placed"))
 
@@ -833,21 +874,21 @@ def _(s, d):
     return rounded(objectives.proxy_stress(prep["constraints"], x.select("v", "x")))
 
 
-@query("multiscale_layout", "SELECT run, 42::BIGINT AS placed, true AS good FROM (VALUES (0), (1), (2)) t(run)")
+@query("multiscale_layout", f"SELECT run, (7 * {ROWS})::BIGINT AS placed, true AS good FROM (VALUES (0), (1), (2)) t(run)")
 def _(s, d):
-    e, v = _mesh(s), s.range(1, 43).withColumnRenamed("id", "v")
+    e, v = _mesh(s, d), _mesh_vertices(s, d)
     x = layout.multiscale(e, v, [{"rounds": 15, "final": 80}, {"metric": "edge_length", "preset": "mesh", "rounds": 15, "final": 80}, {"dim": 3, "placement": "least_squares", "rounds": 15, "final": 80}])
-    p = _grid_distances(s)
+    p = _grid_distances(s, d)
     a, b = (x.select("run", F.col("v").alias(c), F.col("x").alias(f"x{c}")) for c in ("i", "j"))
     o = p.join(a, "i").join(b, ["run", "j"]).withColumn("o", V.euclid("xi", "xj")).groupBy("run").agg(F.corr("o", "d").alias("c"))
     return x.groupBy("run").agg(F.count(F.lit(1)).alias("placed")).join(o, "run").select("run", "placed", (F.col("c") > 0.8).alias("good"))
 
 
-@query("kk_round", "SELECT 42::BIGINT AS n, true AS moved")
+@query("kk_round", f"SELECT (7 * {ROWS})::BIGINT AS n, true AS moved")
 def _(s, d):
-    p = _grid_distances(s)
+    p = _grid_distances(s, d)
     nbrs = p.select(F.col("i").alias("s"), F.col("j").alias("v"), "d").union(p.select("j", "i", "d")).where("d < 2.5")
-    st = s.range(42).select((F.col("id") + 1).alias("v"), F.array((F.col("id") % 7 * 20.0).cast("double"), F.floor(F.col("id") / 7).cast("double") * 50.0).alias("x"), F.lit(5.0).alias("heat"), F.array(F.lit(0.0), F.lit(0.0)).alias("old"), F.lit(0.0).alias("old_cos"))
+    st = s.range(_cells(s, d)).select((F.col("id") + 1).alias("v"), F.array((F.col("id") % 7 * 20.0).cast("double"), F.floor(F.col("id") / 7).cast("double") * 50.0).alias("x"), F.lit(5.0).alias("heat"), F.array(F.lit(0.0), F.lit(0.0)).alias("old"), F.lit(0.0).alias("old_cos"))
     n = layout.kk_round(nbrs, st)
     return n.join(st.select("v", F.col("x").alias("y")), "v").agg(F.count(F.lit(1)).alias("n"), (F.max(V.euclid("x", "y")) > 0).alias("moved"))
 
@@ -1013,27 +1054,26 @@ def _(s, d):
 
 
 def _gen(name, sql, make):
-    query(f"gen_{name}", sql)(lambda s, d: make(s))
+    query(f"gen_{name}", sql)(make)
 
 
-_gen("path", "SELECT v AS src, v + 1 AS dst FROM range(1, 50) t(v)", lambda s: generators.path(s, 50))
-_gen("cycle", "SELECT least(v, v % 50 + 1) AS src, greatest(v, v % 50 + 1) AS dst FROM range(1, 51) t(v)", lambda s: generators.cycle(s, 50))
-_gen("mesh", "SELECT i * 30 + j + 1 AS src, i * 30 + j + 2 AS dst FROM range(20) a(i), range(29) b(j) UNION ALL SELECT i * 30 + j + 1, (i + 1) * 30 + j + 1 FROM range(19) a(i), range(30) b(j)", lambda s: generators.mesh(s, 20, 30))
-_gen("mesh_diagonal", """WITH g AS (SELECT i * 30 + j + 1 AS v, i, j FROM range(20) a(i), range(30) b(j))
-SELECT a.v AS src, b.v AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j IN (a.j, a.j + 1))""", lambda s: generators.mesh(s, 20, 30, True))
-_gen("cylinder", "SELECT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT i * 12 + j + 1 AS a, i * 12 + (j + 1) % 12 + 1 AS b FROM range(9) a(i), range(12) b(j) UNION ALL SELECT i * 12 + j + 1, (i + 1) * 12 + j + 1 FROM range(8) a(i), range(12) b(j))", lambda s: generators.cylinder(s, 9, 12))
-_gen("torus", "SELECT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT i * 12 + j + 1 AS a, i * 12 + (j + 1) % 12 + 1 AS b FROM range(9) a(i), range(12) b(j) UNION ALL SELECT i * 12 + j + 1, ((i + 1) % 9) * 12 + j + 1 FROM range(9) a(i), range(12) b(j))", lambda s: generators.torus(s, 9, 12))
-_gen("sphere", """WITH g AS (SELECT i * 10 + j + 2 AS v, i, j FROM range(6) a(i), range(10) b(j))
+_gen("path", f"""SELECT v AS src, v + 1 AS dst FROM {upto(SUPPLIERS, 'v')} t WHERE v > 0""", lambda s, d: generators.path(s, suppliers(s, d)))
+_gen("cycle", f"""SELECT least(v, v % n + 1) AS src, greatest(v, v % n + 1) AS dst FROM (SELECT v + 1 AS v FROM {upto(SUPPLIERS, 'v')}) t, (SELECT count(*) AS n FROM supplier)""", lambda s, d: generators.cycle(s, suppliers(s, d)))
+_gen("mesh", f"""WITH g AS (SELECT i * 30 + j + 1 AS v, i, j FROM {upto(SIDE, 'i')} a, range(30) b(j)) SELECT a.v AS src, b.v AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j)""", lambda s, d: generators.mesh(s, side(s, d), 30))
+_gen("mesh_diagonal", f"""WITH g AS (SELECT i * 30 + j + 1 AS v, i, j FROM {upto(SIDE, 'i')} a, range(30) b(j)) SELECT a.v AS src, b.v AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j IN (a.j, a.j + 1))""", lambda s, d: generators.mesh(s, side(s, d), 30, True))
+_gen("cylinder", f"""WITH h AS (SELECT {SIDE} AS h), g AS (SELECT i * 12 + j + 1 AS v, i, j, h FROM h, {upto(SIDE, 'i')} a, range(12) b(j)) SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = (a.j + 1) % 12) OR (b.i = a.i + 1 AND b.j = a.j)""", lambda s, d: generators.cylinder(s, side(s, d), 12))
+_gen("torus", f"""WITH h AS (SELECT {SIDE} AS h), g AS (SELECT i * 12 + j + 1 AS v, i, j, h FROM h, {upto(SIDE, 'i')} a, range(12) b(j)) SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = (a.j + 1) % 12) OR (b.i = (a.i + 1) % a.h AND b.j = a.j)""", lambda s, d: generators.torus(s, side(s, d), 12))
+_gen("sphere", f"""WITH h AS (SELECT {SIDE} AS h), g AS (SELECT i * 10 + j + 2 AS v, i, j, h FROM h, {upto(SIDE, 'i')} a, range(10) b(j))
 SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = (a.j + 1) % 10) OR (b.i = a.i + 1 AND b.j = a.j)
-UNION ALL SELECT 1, v FROM g WHERE i = 0 UNION ALL SELECT v, 62 FROM g WHERE i = 5""", lambda s: generators.sphere(s, 8, 10))
-_gen("kary_tree", "SELECT (v - 2) // 3 + 1 AS src, v AS dst FROM range(2, 122) t(v)", lambda s: generators.kary_tree(s, 3, 4))
-_gen("kary_tree_weighted", "SELECT (v - 2) // 2 + 1 AS src, v AS dst, round(pow(0.5, floor(log2(v)) - 1) * CASE WHEN (v - 2) % 2 = 0 THEN 0.9 ELSE 1.1 END, 6) AS w FROM range(2, 64) t(v)", lambda s: rounded(generators.kary_tree_weighted(s, 2, 5, decay=0.5, spread=0.2)))
-_gen("cube_surface", """WITH c AS (SELECT x * 25 + y * 5 + z + 1 AS v, x, y, z FROM range(5) a(x), range(5) b(y), range(5) c(z) WHERE x IN (0, 4) OR y IN (0, 4) OR z IN (0, 4))
-SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y AND b.z = a.z) OR (b.x = a.x AND b.y = a.y + 1 AND b.z = a.z) OR (b.x = a.x AND b.y = a.y AND b.z = a.z + 1)""", lambda s: generators.cube_surface(s, 5))
-_gen("carpet", """WITH c AS (SELECT x * 27 + y + 1 AS v, x, y FROM range(27) a(x), range(27) b(y) WHERE NOT (x % 3 = 1 AND y % 3 = 1) AND NOT (x // 3 % 3 = 1 AND y // 3 % 3 = 1) AND NOT (x // 9 = 1 AND y // 9 = 1))
-SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s: generators.recursive_mask_graph(s, "carpet", 3))
-_gen("vicsek", """WITH c AS (SELECT x * 9 + y + 1 AS v, x, y FROM range(9) a(x), range(9) b(y) WHERE (x % 3 = 1 OR y % 3 = 1) AND (x // 3 = 1 OR y // 3 = 1))
-SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s: generators.recursive_mask_graph(s, "vicsek", 2))
+UNION ALL SELECT 1, v FROM g WHERE i = 0 UNION ALL SELECT v, 10 * h + 2 FROM g WHERE i = h - 1""", lambda s, d: generators.sphere(s, side(s, d) + 2, 10))
+_gen("kary_tree", f"""SELECT (v - 2) // 3 + 1 AS src, v AS dst FROM (SELECT v + 2 AS v FROM {upto(f'(SELECT (3 ** (l + 1) - 1) // 2 - 1 FROM (SELECT {LEVELS} + 2 AS l))', 'v')})""", lambda s, d: generators.kary_tree(s, 3, depth(s, d) + 2))
+_gen("kary_tree_weighted", f"""SELECT (v - 2) // 2 + 1 AS src, v AS dst, round(pow(0.5, floor(log2(v)) - 1) * CASE WHEN (v - 2) % 2 = 0 THEN 0.9 ELSE 1.1 END, 6) AS w FROM (SELECT v + 2 AS v FROM {upto(f'(SELECT 2 ** ({LEVELS} + 4) - 2)', 'v')})""", lambda s, d: rounded(generators.kary_tree_weighted(s, 2, depth(s, d) + 3, decay=0.5, spread=0.2)))
+_gen("cube_surface", f"""WITH c AS (SELECT x * h * h + y * h + z + 1 AS v, x, y, z FROM (SELECT {SIDE} AS h), {upto(SIDE, 'x')} a, {upto(SIDE, 'y')} b, {upto(SIDE, 'z')} c WHERE x IN (0, h - 1) OR y IN (0, h - 1) OR z IN (0, h - 1))
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y AND b.z = a.z) OR (b.x = a.x AND b.y = a.y + 1 AND b.z = a.z) OR (b.x = a.x AND b.y = a.y AND b.z = a.z + 1)""", lambda s, d: generators.cube_surface(s, side(s, d)))
+_gen("carpet", f"""WITH c AS (SELECT x * n + y + 1 AS v, x, y FROM (SELECT l, (3 ** l)::BIGINT AS n FROM (SELECT {LEVELS} AS l)), {upto(power(3), 'x')} tx, {upto(power(3), 'y')} ty WHERE len(list_filter(range(l), lambda k: (x // (3 ** k)::BIGINT) % 3 = 1 AND (y // (3 ** k)::BIGINT) % 3 = 1)) = 0)
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s, d: generators.recursive_mask_graph(s, "carpet", depth(s, d)))
+_gen("vicsek", f"""WITH c AS (SELECT x * n + y + 1 AS v, x, y FROM (SELECT l, (3 ** l)::BIGINT AS n FROM (SELECT {LEVELS} AS l)), {upto(power(3), 'x')} tx, {upto(power(3), 'y')} ty WHERE len(list_filter(range(l), lambda k: (x // (3 ** k)::BIGINT) % 3 <> 1 AND (y // (3 ** k)::BIGINT) % 3 <> 1)) = 0)
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s, d: generators.recursive_mask_graph(s, "vicsek", depth(s, d)))
 _gen("mask_cells", """WITH q AS (SELECT x, y FROM range(7) a(x), range(7) b(y)), c AS (SELECT x, y, z FROM range(5) a(x), range(5) b(y), range(5) c(z))
 SELECT m AS mask, x::INTEGER AS c0, y::INTEGER AS c1, -1::INTEGER AS c2 FROM q, (VALUES ('cross_5', 5), ('cross_7_3', 7), ('border_5', 5), ('border_7_2', 7), ('corner_top_left', 5), ('corner_bottom_right', 5), ('corner_top_right_6_4', 6), ('holes_5', 5), ('holes_7_2', 7)) t(m, k)
 WHERE x < k AND y < k AND CASE m WHEN 'cross_5' THEN x = 2 OR y = 2 WHEN 'cross_7_3' THEN x IN (2, 3, 4) OR y IN (2, 3, 4) WHEN 'border_5' THEN x IN (0, 4) OR y IN (0, 4) WHEN 'border_7_2' THEN NOT (x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4)
@@ -1042,43 +1082,43 @@ WHERE x < k AND y < k AND CASE m WHEN 'cross_5' THEN x = 2 OR y = 2 WHEN 'cross_
 UNION ALL SELECT m, x::INTEGER, y::INTEGER, z::INTEGER FROM c, (VALUES ('menger', 3), ('tunnels_5', 5), ('cavities_5', 5), ('channels_5', 5)) t(m, k)
 WHERE x < k AND y < k AND z < k AND CASE m WHEN 'menger' THEN (x = 1)::INT + (y = 1)::INT + (z = 1)::INT < 2 WHEN 'tunnels_5' THEN (x IN (1, 3))::INT + (y IN (1, 3))::INT + (z IN (1, 3))::INT < 2
  WHEN 'cavities_5' THEN NOT (x IN (1, 2) AND y IN (2, 3) AND z IN (1, 2)) AND NOT (x = 3 AND y = 1 AND z = 3) ELSE NOT ((x = 2 AND z = 2) OR (y = 2 AND z = 2) OR (x = 2 AND y = 2) OR (x = 1 AND z = 2) OR (x = 2 AND y = 3)) END""",
-     lambda s: generators.mask_cells(s, {"cross_5": generators.mask_cross(), "cross_7_3": generators.mask_cross(7, 3), "border_5": generators.mask_border(), "border_7_2": generators.mask_border(7, 2), "corner_top_left": generators.mask_corner(), "corner_bottom_right": generators.mask_corner(corner="bottom_right"),
+     lambda s, d: generators.mask_cells(s, {"cross_5": generators.mask_cross(), "cross_7_3": generators.mask_cross(7, 3), "border_5": generators.mask_border(), "border_7_2": generators.mask_border(7, 2), "corner_top_left": generators.mask_corner(), "corner_bottom_right": generators.mask_corner(corner="bottom_right"),
                                          "corner_top_right_6_4": generators.mask_corner(6, 4, "top_right"), "holes_5": generators.mask_asymmetric_holes(), "holes_7_2": generators.mask_asymmetric_holes(7, 2), "menger": generators.mask_menger(), "tunnels_5": generators.mask_periodic_tunnels(),
                                          "cavities_5": generators.mask_asymmetric_cavities(), "channels_5": generators.mask_channel_network()}))
-_gen("menger", """WITH c AS (SELECT x * 81 + y * 9 + z + 1 AS v, x, y, z FROM range(9) a(x), range(9) b(y), range(9) c(z) WHERE (x % 3 = 1)::INT + (y % 3 = 1)::INT + (z % 3 = 1)::INT < 2 AND (x // 3 = 1)::INT + (y // 3 = 1)::INT + (z // 3 = 1)::INT < 2)
-SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y AND b.z = a.z) OR (b.x = a.x AND b.y = a.y + 1 AND b.z = a.z) OR (b.x = a.x AND b.y = a.y AND b.z = a.z + 1)""", lambda s: generators.recursive_mask_graph(s, "menger", 2))
-_gen("corner_mask", """WITH c AS (SELECT x * 25 + y + 1 AS v, x, y FROM range(25) a(x), range(25) b(y) WHERE x % 5 < 3 AND y % 5 < 3 AND x // 5 < 3 AND y // 5 < 3)
-SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s: generators.recursive_mask_graph(s, generators.mask_corner(5, 3), 2))
+_gen("menger", f"""WITH c AS (SELECT x * n * n + y * n + z + 1 AS v, x, y, z FROM (SELECT l, (3 ** l)::BIGINT AS n FROM (SELECT {LEVELS} AS l)), {upto(power(3), 'x')} tx, {upto(power(3), 'y')} ty, {upto(power(3), 'z')} tz WHERE len(list_filter(range(l), lambda k: ((x // (3 ** k)::BIGINT) % 3 = 1)::INT + ((y // (3 ** k)::BIGINT) % 3 = 1)::INT + ((z // (3 ** k)::BIGINT) % 3 = 1)::INT >= 2)) = 0)
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y AND b.z = a.z) OR (b.x = a.x AND b.y = a.y + 1 AND b.z = a.z) OR (b.x = a.x AND b.y = a.y AND b.z = a.z + 1)""", lambda s, d: generators.recursive_mask_graph(s, "menger", depth(s, d)))
+_gen("corner_mask", f"""WITH c AS (SELECT x * n + y + 1 AS v, x, y FROM (SELECT l, (5 ** l)::BIGINT AS n FROM (SELECT {LEVELS} AS l)), {upto(power(5), 'x')} tx, {upto(power(5), 'y')} ty WHERE len(list_filter(range(l), lambda k: (x // (5 ** k)::BIGINT) % 5 >= 3 OR (y // (5 ** k)::BIGINT) % 5 >= 3)) = 0)
+SELECT a.v AS src, b.v AS dst FROM c a JOIN c b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)""", lambda s, d: generators.recursive_mask_graph(s, generators.mask_corner(5, 3), depth(s, d)))
 # Points of the triangle are (i, j) steps along two sides; a cell is there if i and j have no bit in common. Vertices are in coordinate order.
-_gen("sierpinski_triangle", """WITH c AS (SELECT i, j FROM range(16) a(i), range(16) b(j) WHERE i + j < 16 AND (i & j) = 0), p AS (SELECT i, j FROM c UNION SELECT i + 1, j FROM c UNION SELECT i, j + 1 FROM c),
+_gen("sierpinski_triangle", f"""WITH s AS (SELECT (2 ** ({LEVELS} + 2))::BIGINT AS n), c AS (SELECT i, j FROM s, {upto(f'(SELECT 2 ** ({LEVELS} + 2))', 'i')} a, {upto(f'(SELECT 2 ** ({LEVELS} + 2))', 'j')} b WHERE i + j < n AND (i & j) = 0), p AS (SELECT i, j FROM c UNION SELECT i + 1, j FROM c UNION SELECT i, j + 1 FROM c),
 v AS (SELECT i, j, row_number() OVER (ORDER BY 2 * i + j, j) AS v FROM p), e AS (SELECT i AS i, j AS j, i + 1 AS k, j AS l FROM c UNION ALL SELECT i, j, i, j + 1 FROM c UNION ALL SELECT i + 1, j, i, j + 1 FROM c)
-SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, 0.0625::DOUBLE AS w FROM e JOIN v a ON a.i = e.i AND a.j = e.j JOIN v b ON b.i = e.k AND b.j = e.l""", lambda s: rounded(generators.sierpinski(s, 4).edges))
-_gen("sierpinski_tetrahedron", """WITH c AS (SELECT i, j, k FROM range(8) a(i), range(8) b(j), range(8) c(k) WHERE i + j + k < 8 AND (i & j) = 0 AND (i & k) = 0 AND (j & k) = 0),
+SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, round(1.0::DOUBLE / (SELECT n FROM s), 6) AS w FROM e JOIN v a ON a.i = e.i AND a.j = e.j JOIN v b ON b.i = e.k AND b.j = e.l""", lambda s, d: rounded(generators.sierpinski(s, depth(s, d) + 2).edges))
+_gen("sierpinski_tetrahedron", f"""WITH s AS (SELECT (2 ** ({LEVELS} + 1))::BIGINT AS n), c AS (SELECT i, j, k FROM s, {upto(f'(SELECT 2 ** ({LEVELS} + 1))', 'i')} a, {upto(f'(SELECT 2 ** ({LEVELS} + 1))', 'j')} b, {upto(f'(SELECT 2 ** ({LEVELS} + 1))', 'k')} d WHERE i + j + k < n AND (i & j) = 0 AND (i & k) = 0 AND (j & k) = 0),
 q AS (SELECT i, j, k, n FROM c, range(4) t(n)), p AS (SELECT DISTINCT i + (n = 1)::INT AS i, j + (n = 2)::INT AS j, k + (n = 3)::INT AS k FROM q), v AS (SELECT i, j, k, row_number() OVER (ORDER BY 2 * i + j + k, 3 * j + k, k) AS v FROM p),
 m AS (SELECT c.i AS ci, c.j AS cj, c.k AS ck, n, v.v FROM c, range(4) t(n) JOIN v ON v.i = c.i + (n = 1)::INT AND v.j = c.j + (n = 2)::INT AND v.k = c.k + (n = 3)::INT)
-SELECT DISTINCT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, 0.125::DOUBLE AS w FROM m a JOIN m b ON a.ci = b.ci AND a.cj = b.cj AND a.ck = b.ck AND a.n < b.n""", lambda s: rounded(generators.sierpinski(s, 3, 3).edges))
+SELECT DISTINCT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, round(1.0::DOUBLE / (SELECT n FROM s), 6) AS w FROM m a JOIN m b ON a.ci = b.ci AND a.cj = b.cj AND a.ck = b.ck AND a.n < b.n""", lambda s, d: rounded(generators.sierpinski(s, depth(s, d) + 1, 3).edges))
 # The bridge without its top: after one level three triangles on the base, the middle one upside down.
-_gen("triangle_bridge", """SELECT src, dst, 0.5::DOUBLE AS w FROM (VALUES (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (3, 5), (4, 5)) t(src, dst)""", lambda s: rounded(generators.simplex_mask_graph(s, 1, generators.mask_triangle("top")).edges))
+_gen("triangle_bridge", """SELECT src, dst, 0.5::DOUBLE AS w FROM (VALUES (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (3, 5), (4, 5)) t(src, dst)""", lambda s, d: rounded(generators.simplex_mask_graph(s, 1, generators.mask_triangle("top")).edges))
 _gen("tetrahedron_corner", """WITH c AS (SELECT i, j, 0 AS k FROM range(4) a(i), range(4) b(j) WHERE i + j < 4 AND (i & j) = 0),
 q AS (SELECT i, j, k, n FROM c, range(4) t(n)), p AS (SELECT DISTINCT i + (n = 1)::INT AS i, j + (n = 2)::INT AS j, k + (n = 3)::INT AS k FROM q), v AS (SELECT i, j, k, row_number() OVER (ORDER BY 2 * i + j + k, 3 * j + k, k) AS v FROM p),
 m AS (SELECT c.i AS ci, c.j AS cj, n, v.v FROM c, range(4) t(n) JOIN v ON v.i = c.i + (n = 1)::INT AND v.j = c.j + (n = 2)::INT AND v.k = (n = 3)::INT)
-SELECT DISTINCT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, 0.25::DOUBLE AS w FROM m a JOIN m b ON a.ci = b.ci AND a.cj = b.cj AND a.n < b.n""", lambda s: rounded(generators.simplex_mask_graph(s, 2, generators.mask_tetrahedron("apex"), 3).edges))
+SELECT DISTINCT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, 0.25::DOUBLE AS w FROM m a JOIN m b ON a.ci = b.ci AND a.cj = b.cj AND a.n < b.n""", lambda s, d: rounded(generators.simplex_mask_graph(s, 2, generators.mask_tetrahedron("apex"), 3).edges))
 GRID = "g AS (SELECT i * 16 + j + 1 AS v, i, j FROM range(12) a(i), range(16) b(j) WHERE {})"
 OCCUPIED = " SELECT a.v AS src, b.v AS dst FROM g a JOIN g b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j)"
-_gen("periodic_holes", "WITH " + GRID.format("NOT (i IN (1, 5, 9) AND j IN (1, 5, 9, 13))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_periodic_holes(12, 16)))
-_gen("staggered_windows", "WITH " + GRID.format("NOT (i IN (1, 9) AND j IN (1, 2, 6, 7, 11, 12)) AND NOT (i = 5 AND j IN (3, 4, 8, 9, 13, 14))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_staggered_windows(12, 16)))
-_gen("slit_channels", "WITH " + GRID.format("NOT (j IN (1, 6, 11) AND i NOT IN (0, 4, 8))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_slit_channels(12, 16)))
-_gen("slit_channels_across", "WITH " + GRID.format("NOT (i IN (2, 3, 6, 7, 10, 11) AND j NOT IN (0, 1, 6, 7, 12, 13))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_slit_channels(12, 16, "horizontal", 4, 2, 6, 2, 3)))
-_gen("asymmetric_notches", "WITH " + GRID.format("NOT (i < 3 AND j IN (4, 5)) AND NOT (i IN (4, 5, 6) AND j > 12) AND NOT (i > 9 AND j IN (8, 9))") + OCCUPIED, lambda s: generators.occupied_mesh(s, 12, 16, generators.keep_asymmetric_notches(12, 16)))
-_gen("mesh_surface", """WITH g AS (SELECT i * 10 + j + 1 AS v, 2 * j / 9.0 - 1 AS u, 2 * i / 7.0 - 1 AS t, i, j FROM range(8) a(i), range(10) b(j)), c AS (SELECT *, 0.5 * (u * u - t * t) AS z FROM g),
-e AS (SELECT a.v AS src, b.v AS dst, sqrt((a.u - b.u) ** 2 + (a.t - b.t) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.mesh_surface(s, 8, 10, "saddle").edges))
-_gen("torus_surface", """WITH g AS (SELECT i * 12 + j + 1 AS v, i, j, (2 + 0.7 * cos(2 * pi() * i / 8)) * cos(2 * pi() * j / 12) AS x, (2 + 0.7 * cos(2 * pi() * i / 8)) * sin(2 * pi() * j / 12) AS y, 0.7 * sin(2 * pi() * i / 8) AS z FROM range(8) a(i), range(12) b(j)),
-e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM g a JOIN g b ON (b.i = a.i AND b.j = (a.j + 1) % 12) OR (b.i = (a.i + 1) % 8 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT avg(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.torus_surface(s, 8, 12, by="mean").edges))
-_gen("cylinder_surface", """WITH g AS (SELECT i * 12 + j + 1 AS v, i, j, 1 - 2 * i / 7.0 AS s, 1 + 0.2 * (1 - (1 - 2 * i / 7.0) ** 2) AS r, 2 * pi() * j / 12 AS t FROM range(8) a(i), range(12) b(j)), c AS (SELECT v, i, j, r * cos(t) AS x, r * sin(t) AS y, s AS z FROM g),
-e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = (a.j + 1) % 12) OR (b.i = a.i + 1 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.cylinder_surface(s, 8, 12, mode="barrel").edges))
-_gen("sphere_surface", """WITH g AS (SELECT i * 10 + j + 2 AS v, i, j, pi() / 2 - pi() * (i + 1) / 7 AS lat, 2 * pi() * j / 10 AS t FROM range(6) a(i), range(10) b(j)),
-c AS (SELECT v, i, j, cos(lat) * cos(t) AS x, cos(lat) * sin(t) AS y, sin(lat) AS z FROM g UNION ALL SELECT 1, -1, NULL, 0, 0, 1 UNION ALL SELECT 62, 6, NULL, 0, 0, -1),
-e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = (a.j + 1) % 10) OR (b.i = a.i + 1 AND (b.j = a.j OR a.j IS NULL OR b.j IS NULL))) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s: rounded(generators.sphere_surface(s, 8, 10).edges))
+_gen("periodic_holes", "WITH " + GRID.format("NOT (i IN (1, 5, 9) AND j IN (1, 5, 9, 13))") + OCCUPIED, lambda s, d: generators.occupied_mesh(s, 12, 16, generators.keep_periodic_holes(12, 16)))
+_gen("staggered_windows", "WITH " + GRID.format("NOT (i IN (1, 9) AND j IN (1, 2, 6, 7, 11, 12)) AND NOT (i = 5 AND j IN (3, 4, 8, 9, 13, 14))") + OCCUPIED, lambda s, d: generators.occupied_mesh(s, 12, 16, generators.keep_staggered_windows(12, 16)))
+_gen("slit_channels", "WITH " + GRID.format("NOT (j IN (1, 6, 11) AND i NOT IN (0, 4, 8))") + OCCUPIED, lambda s, d: generators.occupied_mesh(s, 12, 16, generators.keep_slit_channels(12, 16)))
+_gen("slit_channels_across", "WITH " + GRID.format("NOT (i IN (2, 3, 6, 7, 10, 11) AND j NOT IN (0, 1, 6, 7, 12, 13))") + OCCUPIED, lambda s, d: generators.occupied_mesh(s, 12, 16, generators.keep_slit_channels(12, 16, "horizontal", 4, 2, 6, 2, 3)))
+_gen("asymmetric_notches", "WITH " + GRID.format("NOT (i < 3 AND j IN (4, 5)) AND NOT (i IN (4, 5, 6) AND j > 12) AND NOT (i > 9 AND j IN (8, 9))") + OCCUPIED, lambda s, d: generators.occupied_mesh(s, 12, 16, generators.keep_asymmetric_notches(12, 16)))
+_gen("mesh_surface", f"""WITH g AS (SELECT i * 10 + j + 1 AS v, 2 * j / 9.0 - 1 AS x, 2 * i / (h - 1.0) - 1 AS y, i, j FROM (SELECT {SIDE} AS h) q, {upto(SIDE, 'i')} a, range(10) b(j)), c AS (SELECT *, 0.5 * (x * x - y * y) AS z FROM g),
+e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s, d: rounded(generators.mesh_surface(s, side(s, d), 10, "saddle").edges))
+_gen("torus_surface", f"""WITH c AS (SELECT i * 12 + j + 1 AS v, i, j, h, (2 + 0.7 * cos(2 * pi() * i / h)) * cos(2 * pi() * j / 12) AS x, (2 + 0.7 * cos(2 * pi() * i / h)) * sin(2 * pi() * j / 12) AS y, 0.7 * sin(2 * pi() * i / h) AS z FROM (SELECT {SIDE} AS h) q, {upto(SIDE, 'i')} a, range(12) b(j)),
+e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = (a.j + 1) % 12) OR (b.i = (a.i + 1) % a.h AND b.j = a.j)) SELECT src, dst, round(w / (SELECT avg(w) FROM e), 6) AS w FROM e""", lambda s, d: rounded(generators.torus_surface(s, side(s, d), 12, by="mean").edges))
+_gen("cylinder_surface", f"""WITH g AS (SELECT i * 12 + j + 1 AS v, i, j, 1 - 2 * i / (h - 1.0) AS s, 1 + 0.2 * (1 - (1 - 2 * i / (h - 1.0)) ** 2) AS r, 2 * pi() * j / 12 AS t FROM (SELECT {SIDE} AS h) q, {upto(SIDE, 'i')} a, range(12) b(j)), c AS (SELECT v, i, j, r * cos(t) AS x, r * sin(t) AS y, s AS z FROM g),
+e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = (a.j + 1) % 12) OR (b.i = a.i + 1 AND b.j = a.j)) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s, d: rounded(generators.cylinder_surface(s, side(s, d), 12, mode="barrel").edges))
+_gen("sphere_surface", f"""WITH g AS (SELECT i * 10 + j + 2 AS v, i, j, pi() / 2 - pi() * (i + 1) / (h + 1) AS lat, 2 * pi() * j / 10 AS t FROM (SELECT {SIDE} AS h) q, {upto(SIDE, 'i')} a, range(10) b(j)),
+c AS (SELECT v, i, j, cos(lat) * cos(t) AS x, cos(lat) * sin(t) AS y, sin(lat) AS z FROM g UNION ALL SELECT 1, -1, NULL, 0, 0, 1 UNION ALL SELECT 10 * h + 2, h, NULL, 0, 0, -1 FROM (SELECT {SIDE} AS h)),
+e AS (SELECT least(a.v, b.v) AS src, greatest(a.v, b.v) AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM c a JOIN c b ON (b.i = a.i AND b.j = (a.j + 1) % 10) OR (b.i = a.i + 1 AND (b.j = a.j OR a.j IS NULL OR b.j IS NULL))) SELECT src, dst, round(w / (SELECT median(w) FROM e), 6) AS w FROM e""", lambda s, d: rounded(generators.sphere_surface(s, side(s, d) + 2, 10).edges))
 
 
 from meshlark import registry_fits, registry_search  # noqa: E402, F401  they add their queries to the tables above
