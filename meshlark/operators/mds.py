@@ -242,7 +242,8 @@ def _unpacked(state: DataFrame, dim: int) -> DataFrame:
     def run(parts):
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                yield pd.DataFrame({"v": np.frombuffer(r.ids, "<i8"), "x": list(np.frombuffer(r.xs).reshape(-1, dim))})
+                if len(r.ids):  # a block may have no vertices
+                    yield pd.DataFrame({"v": np.frombuffer(r.ids, "<i8"), "x": list(np.frombuffer(r.xs).reshape(-1, dim))})
 
     return state.mapInPandas(run, "v bigint, x array<double>")
 
@@ -345,6 +346,49 @@ def multistart(pairs: DataFrame, seeds: list[int], dim: int = 2, control: SgdCon
     return best[1], pairs.sparkSession.createDataFrame(rows, "start int, seed int, status string, message string, profiled_stress double")
 
 
+FRAME = "frame int, epoch int, update_in_epoch bigint, pair_updates bigint, v bigint, x array<double>"
+
+
+def trace_bytes(vertices: int, dim: int, pairs: int, epochs: int, every: int) -> int:
+    """What the frames of an update trace take: coordinates and 512 bytes each, one at the start and one after every ``every`` updates and at the end of each epoch."""
+    if every < 1 or every != int(every):
+        raise ValueError("frames are a whole number of updates apart")
+    return (-(-pairs // every) * epochs + 1) * (8 * vertices * dim + 512)
+
+
+def update_trace(pairs: DataFrame, every: int, max_bytes: int, dim: int = 2, control: SgdControl | None = None, seed: int = 1) -> DataFrame:
+    """frame, epoch, update_in_epoch, pair_updates, v, x: coordinates while pairs are visited one after another. The budget bounds what the run holds and is checked before it starts,
+    so it is one task's kernel; ``sgd_tables`` has the traces of epochs for tables of any size."""
+    control, c = control or SgdControl(), materialize(_as_constraints(pairs), "constraints")
+    n, m = c.select(F.explode(F.array("i", "j"))).distinct().count(), c.count()
+    need = max(trace_bytes(n, dim, m, control.epochs, every), 40 * m)
+    if not max_bytes > 0 or need > max_bytes:
+        raise ValueError(f"the trace takes {need} bytes, more than the {max_bytes} that are allowed; take more updates between frames")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "j"])
+        ids, at = np.unique(np.concatenate([pdf["i"], pdf["j"]]), return_inverse=True)
+        i, j = at[: len(pdf)], at[len(pdf) :]
+        t, wi, wj = (pdf[k].to_numpy(float) for k in ("t", "wi", "wj"))
+        rng = np.random.default_rng(seed)
+        x, w = rng.random((len(ids), dim)).tolist(), np.concatenate([wi[wi > 0], wj[wj > 0]])
+        steps, frames = [(0, 0)], [np.array(x)]
+        for e in range(control.epochs):
+            rate = control.rate(e, float(w.min()), float(w.max()))
+            order, sizes = rng.permutation(len(i)).tolist(), (np.minimum(rate * wi, 1.0).tolist(), np.minimum(rate * wj, 1.0).tolist())
+            for done in range(0, len(order), every):
+                part = order[done : done + every]
+                sgd_pass(x, part, i.tolist(), j.tolist(), t.tolist(), *sizes, rng)
+                steps.append((e + 1, done + len(part)))
+                frames.append(np.array(x))
+        own = np.repeat(np.arange(len(frames)), len(ids))
+        epoch, within = np.array(steps).T
+        total = np.maximum(epoch - 1, 0) * len(i) + within
+        return pd.DataFrame({"frame": own, "epoch": epoch[own], "update_in_epoch": within[own], "pair_updates": total[own], "v": np.tile(ids, len(frames)), "x": [r for f in frames for r in f.tolist()]})
+
+    return c.groupBy().applyInPandas(run, FRAME)
+
+
 def smacof_step(pairs: DataFrame, coords: DataFrame) -> DataFrame:
     """One Guttman transform for unit weights over all pairs (i, j, d): x_i becomes the sum over j of d / o (x_i - x_j), by n."""
     a, b = (coords.select(F.col("v").alias(c), F.col("x").alias(f"x{c}")) for c in ("i", "j"))

@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meshlark.functions import vectors as V
-from meshlark.operators import compare, components, generators, knn, layout, layout_tables, misf_fits, pivots, quality, triangulated
+from meshlark.operators import catalogue, compare, components, families, generators, knn, layout, layout_tables, mds, misf_fits, pivots, quality, triangulated
 from meshlark.plans.shared import materialize
-from meshlark.registry import KNN5, OBS, RING, XY, load, observations, plane, query, r6, ring, rounded
+from meshlark.registry import KNN5, LEVELS, OBS, RING, SIDE, SUPPLIERS, XY, depth, load, observations, plane, query, r6, ring, rounded, side, suppliers
 
 # The orders of a customer in the order of their keys are a chain: there are as many components as customers with two orders or more.
 
@@ -260,3 +260,32 @@ def _(s, d):
     pairs = o.select(F.col("v").alias("i"), F.explode(F.array(*map(F.lit, (1, 4, 15)))).alias("k")).select("i", (F.col("i") + F.col("k")).alias("j"), (F.floor(F.col("k") / 7) + F.col("k") % 7).cast("double").alias("d")).where(F.col("j") <= n)
     x = compare.score_runs(materialize(runs, "runs"), ring(s, d), pairs, pairs.select("i", "j"), o.select("v", "cluster"), True)
     return rounded(x.select("candidate", "seed", *compare.SCORES))
+
+
+# Graphs of the catalogue at the suppliers' size: what they must have of vertices and edges.
+@query("family_catalogue", f"""WITH h AS (SELECT {SIDE} AS h, {SUPPLIERS} AS n, {LEVELS} + 2 AS l), t(id, n_vertices, n_edges) AS (
+SELECT 'path', n, n - 1 FROM h UNION ALL SELECT 'cycle', n, n FROM h UNION ALL SELECT 'kary_tree', (3 ** (l + 1) - 1) // 2, (3 ** (l + 1) - 1) // 2 - 1 FROM h UNION ALL SELECT 'mesh', h * 10, h * 9 + (h - 1) * 10 FROM h
+UNION ALL SELECT 'cylinder', h * 12, h * 12 + (h - 1) * 12 FROM h UNION ALL SELECT 'torus', h * 12, h * 24 FROM h UNION ALL SELECT 'sphere', (h - 2) * 10 + 2, (h - 2) * 10 + (h - 3) * 10 + 20 FROM h
+UNION ALL SELECT 'cube_surface', h ** 3 - (h - 2) ** 3, 12 * (h - 1) + 12 * (h - 1) * (h - 2) FROM h UNION ALL SELECT 'triangulated_polyhedron', 2 + 4 * 4 ** l, 12 * 4 ** l FROM h)
+SELECT id, id AS name, id AS family, n_vertices::BIGINT AS n_vertices, n_edges::BIGINT AS n_edges, 1::BIGINT AS n_components FROM t""")
+def _(s, d):
+    h, n, l = side(s, d), suppliers(s, d), depth(s, d) + 2
+    sizes = {"path": {"n": n}, "cycle": {"n": n}, "kary_tree": {"depth": l}, "mesh": {"h": h, "w": 10}, "cylinder": {"h": h}, "torus": {"h": h}, "sphere": {"h": h}, "cube_surface": {"side": h}, "triangulated_polyhedron": {"level": l}}
+    out = None
+    for f, p in sizes.items():
+        b = families.build(s, f, **p)
+        row = catalogue.graph_row(s, f, f, b.edges, b.coords.select("v"))
+        out = row if out is None else out.union(row)
+    return catalogue.check_catalogue(out)
+
+
+# Frames of an update trace: one after every thousand updates and at the end of each epoch.
+@query("update_trace", f"""WITH {XY}, p AS (SELECT count(*) AS n FROM xy a JOIN xy b ON a.v < b.v WHERE a.v <= 60 + (SELECT count(*) FROM supplier) // 10 AND b.v <= 60 + (SELECT count(*) FROM supplier) // 10), e AS (SELECT unnest([1, 2]) AS epoch),
+f AS (SELECT epoch, u * 1000 AS update_in_epoch FROM e, p, LATERAL (SELECT unnest(range(1, n // 1000 + 1)) AS u) UNION SELECT epoch, n FROM e, p), k AS (SELECT 0 AS epoch, 0 AS update_in_epoch, 0 AS pair_updates UNION ALL SELECT epoch, update_in_epoch, (epoch - 1) * n + update_in_epoch FROM f, p)
+SELECT (row_number() OVER (ORDER BY pair_updates) - 1)::INTEGER AS frame, epoch::INTEGER AS epoch, update_in_epoch::BIGINT AS update_in_epoch, pair_updates::BIGINT AS pair_updates, 60 + (SELECT count(*) FROM supplier) // 10 AS placed FROM k""")
+def _(s, d):
+    x = observations(s, d).where(F.col("v") <= 60 + suppliers(s, d) // 10).select("v", "x")
+    a, b = (x.select(F.col("v").alias(i), F.col("x").alias(f"x{i}")) for i in ("i", "j"))
+    pairs = a.join(b, F.col("i") < F.col("j")).select("i", "j", V.euclid("xi", "xj").alias("d"))
+    frames = mds.update_trace(pairs, every=1000, max_bytes=1 << 22, control=mds.SgdControl(epochs=2))
+    return frames.groupBy("frame", "epoch", "update_in_epoch", "pair_updates").agg(F.count(F.lit(1)).alias("placed"))

@@ -258,3 +258,170 @@ def test_layout_of_two_components(spark):
     near = np.mean([np.linalg.norm(got[a] - got[a + 1]) for a in range(1, 20) if a % 5])
     far = np.mean([np.linalg.norm(got[a] - got[b]) for a in range(1, 6) for b in range(16, 21)])
     assert far > 1.5 * near
+
+
+# Pivots, preparation, order checks -----------------------------------------------------------------------------------------
+
+
+def one_by_one(x, count, metric):
+    d, chosen = blocks.pairwise(x, x, metric), [0]
+    while len(chosen) < min(count, len(x)):
+        near = d[:, chosen].min(axis=1)
+        near[chosen] = -1
+        chosen.append(int(np.flatnonzero(near == near.max())[0]))
+    return [k + 1 for k in chosen]
+
+
+@pytest.mark.parametrize(("metric", "batch"), [("euclid", 40), ("linf", 7)])
+def test_pivots_in_batches_are_those_of_one_job_each(spark, monkeypatch, metric, batch):
+    from meshlark.operators import pivots
+
+    monkeypatch.setattr(pivots, "BATCH_PIVOTS", batch)
+    x = clustered(7, 15)
+    jobs, real = [], pivots._to_chosen
+    monkeypatch.setattr(pivots, "_to_chosen", lambda *a: (jobs.append(1), real(*a))[1])
+    assert pivots._farthest(coords(spark, x), 60, metric, batch) == one_by_one(x, 60, metric)
+    assert len(jobs) < (12 if batch == 40 else 40)
+    assert pivots.select_pivots(coords(spark, x[:4]), 9, "farthest", metric) == one_by_one(x[:4], 9, metric)
+
+
+def test_preparation_refuses_and_searches_in_components(spark):
+    from meshlark.operators import pivots
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 6))  # two components hold all variance
+    o = coords(spark, x)
+    with pytest.raises(ValueError, match="more than the 1000"):
+        pivots.sparse_preparation(o, 3, 4, allowance=1000)
+    with pytest.raises(ValueError, match="Euclidean"):
+        pivots.sparse_preparation(o, 3, 4, "linf", pca_share=0.9)
+    with pytest.raises(ValueError, match="more than other"):
+        pivots.sparse_preparation(o, 40, 4)
+    with pytest.raises(ValueError, match="are equal"):
+        pivots.sparse_preparation(coords(spark, np.concatenate([x, x[:1]])), [1, 5], 4, "linf")
+    for d in (0.0, -1.0, float("nan"), float("inf"), None):
+        with pytest.raises(ValueError, match="row 3 "):
+            pivots.check_pivot_distances(spark.createDataFrame([(1, 2, 2, 0.0), (1, 2, 3, d)], "k int, pivot bigint, v bigint, d double"))
+    edges = lambda p: {(r.src, r.dst): round(r.w, 8) for r in p["edges"].collect()}
+    plain, found = pivots.sparse_preparation(o, 3, 4), pivots.sparse_preparation(o, 3, 4, pca_share=0.999)
+    assert edges(plain) == edges(found)
+    assert plain["constraints"].count() == found["constraints"].count() > 0
+
+
+def test_groups_agree_and_orders_break(spark):
+    from meshlark.operators import pivots
+
+    rows = spark.createDataFrame([(1, 2, 5.0, 3), (1, 2, 5.0 + 1e-12, 1), (2, 3, 1.0, 2)], "i int, j int, t double, n int")
+    assert sorted((r.i, r.j, r.n) for r in pivots.agreed(rows, ["i", "j"], "t", ["n"]).collect()) == [(1, 2, 1), (2, 3, 2)]
+    with pytest.raises(ValueError, match=r"\(1, 2\)"):
+        pivots.agreed(rows.withColumn("t", F.col("t") + F.col("n")), ["i", "j"], "t", ["n"])
+    x = [(k, k // 3, k % 3) for k in range(50)]
+    assert pivots.order_breaks(spark.createDataFrame(x, "p int, a int, b int").repartition(5), "p", ["a", "b"]).first().breaks == 0
+    x[20], x[40] = (20, 0, 0), (40, *x[39][1:])
+    assert pivots.order_breaks(spark.createDataFrame(x, "p int, a int, b int").repartition(5), "p", ["a", "b"]).first().breaks == 2
+
+
+# Comparison, level-by-level fits, families ------------------------------------------------------------------------------------
+
+
+def crossed(e, x):
+    turn = lambda a, b, c: (x[b][0] - x[a][0]) * (x[c][1] - x[a][1]) - (x[b][1] - x[a][1]) * (x[c][0] - x[a][0])
+    return sum(1 for k, (a, b) in enumerate(e) for c, d in e[:k] if not {a, b} & {c, d} and turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0)
+
+
+@pytest.mark.parametrize(("cells", "split"), [(None, 512), (3, 4), (40, 512)])
+def test_crossings_of_many_runs(spark, monkeypatch, cells, split):
+    monkeypatch.setattr(quality, "SPLIT_EDGES", split)
+    rng = np.random.default_rng(5)
+    e = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(1, 31, size=(80, 2)) if a != b})
+    xs = {s: {k + 1: tuple(p) for k, p in enumerate(rng.integers(0, 20 * s, size=(30, 2)))} for s in (1, 7)}
+    c = spark.createDataFrame([(s, v, [float(a) for a in p]) for s, x in xs.items() for v, p in x.items()], "seed int, v bigint, x array<double>")
+    got = {r.seed: r.edge_crossings for r in quality.crossings(spark.createDataFrame(e, "src bigint, dst bigint"), c, ("seed",), cells).collect()}
+    assert got == {s: crossed(e, x) for s, x in xs.items()}
+
+
+def test_comparison_has_crossings_clusters_and_errors(spark):
+    from meshlark.operators import compare, paths
+
+    e, v = generators.mesh(spark, 4, 4).withColumn("w", F.lit(1.0)), spark.range(1, 17).withColumnRenamed("id", "v")
+    d = paths.hops(e, v.select(F.col("v").alias("s"))).where("s < v").select(F.col("s").alias("i"), F.col("v").alias("j"), F.col("d").cast("double").alias("d"))
+    good, bad = {"rounds": 1, "final": 2, "num_init": 5}, {"preset": "none such"}
+    got = {r.candidate: r for r in compare.compare(e, v, {"good": good, "bad": bad}, [1, 2], d, d.select("i", "j"), v.withColumn("cluster", (F.col("v") > 8).cast("string")), "tables").collect()}
+    assert (got["good"].n_ok, got["good"].n_fail, got["bad"].n_ok, got["bad"].n_fail) == (2, 0, 0, 2)
+    assert got["good"].edge_crossings_mean is not None and got["good"].cluster_separation_mean > 0
+    assert got["good"]["rank"] == 1
+
+
+def test_level_by_level_geodesic_fit(spark):
+    from meshlark.operators import misf_fits
+
+    e, v = generators.mesh(spark, 6, 6).withColumn("w", F.lit(1.0)), spark.range(1, 37).withColumnRenamed("id", "v")
+    fit, table = misf_fits.misf_geodesic(e, v, 2, num_init=8, near_k=6, landmarks=3, restarts=2, max_iter=4)
+    rows = table.orderBy(F.desc("level")).collect()
+    assert rows[-1].level == 0 and rows[-1].vertices == 36 and rows[0].vertices <= 8
+    assert all(r.energy <= r.start_energy for r in rows)
+    x = {r.v: np.array(r.x) for r in fit.coords.collect()}
+    at = lambda a: np.array([(a - 1) // 6, (a - 1) % 6])
+    o, g = zip(*((np.linalg.norm(x[a] - x[b]), np.abs(at(a) - at(b)).sum()) for a in range(1, 37) for b in range(a + 1, 37)), strict=True)
+    assert len(x) == 36 and np.corrcoef(o, g)[0, 1] > 0.9
+    with pytest.raises(ValueError, match="not connected"):
+        misf_fits.misf_geodesic(e.where("src > 6 and dst > 6"), v, 2, num_init=8)
+
+
+def test_polyhedra_close(spark):
+    from meshlark.operators import triangulated
+
+    for base, faces in (("tetrahedron", 4), ("octahedron", 8), ("icosahedron", 20)):
+        b = triangulated.polyhedron(spark, base, 2, surface="inflated", a=1.0)
+        n, m = b.coords.count(), b.edges.count()
+        assert (n, m) == (faces * 16 // 2 + 2, faces * 16 * 3 // 2)  # a closed surface without holes
+        assert b.coords.where(F.abs(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)) - 1) > 1e-9).isEmpty()
+        assert components.numbered(b.coords, b.edges).agg(F.max("component")).first()[0] == 1
+    with pytest.raises(ValueError, match="radius"):
+        triangulated.polyhedron(spark, "octahedron", 1, surface="inflated", a=-9.0)
+    with pytest.raises(ValueError, match="annulus"):
+        triangulated.annulus(spark, 12, 1.0, 0.95)
+
+
+def test_irregular_points_lie_on_their_surfaces(spark):
+    norm = lambda f, **kw: [np.linalg.norm(r.x) for r in generators.irregular_points(spark, f, 300, **kw).collect()]
+    assert np.allclose(norm("sphere"), 1)
+    assert max(norm("ball")) <= 1 and min(norm("shell")) >= 0.5
+    ring = np.array([r.x for r in generators.irregular_points(spark, "torus", 300).collect()])
+    assert np.allclose((np.hypot(ring[:, 0], ring[:, 1]) - 2) ** 2 + ring[:, 2] ** 2, 0.36)
+    u = np.array([r.x[2] for r in generators.irregular_points(spark, "sphere", 4000).collect()])
+    assert abs(u.mean()) < 0.05 and abs((u < 0).mean() - 0.5) < 0.03  # uniform by area
+    assert norm("sphere", seed=2)[0] == pytest.approx(1)
+
+
+def test_update_trace_keeps_within_its_budget(spark):
+    x = np.random.default_rng(1).normal(size=(9, 2))
+    p = pair_table(spark, np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)))
+    c = mds.SgdControl(epochs=2)
+    rows = mds.update_trace(p, 10, 1 << 20, 2, c, seed=3).collect()
+    steps = sorted({(r.frame, r.epoch, r.update_in_epoch, r.pair_updates) for r in rows})
+    assert steps == [(0, 0, 0, 0), *((1 + k, 1, u, u) for k, u in enumerate((10, 20, 30, 36))), *((5 + k, 2, u, 36 + u) for k, u in enumerate((10, 20, 30, 36)))]
+    end = {r.v: r.x for r in rows if r.frame == 8}
+    state, _ = mds.sgd_kernel(9, *np.triu_indices(9, 1), np.array([r.d for r in p.orderBy("i", "j").collect()]), np.ones(36), np.ones(36), 2, c, 3)
+    assert np.allclose([end[v + 1] for v in range(9)], state.coords)  # the kernel's run, cut into frames
+    with pytest.raises(ValueError, match="more than the 2000"):
+        mds.update_trace(p, 10, 2000, 2, c)
+    with pytest.raises(ValueError, match="whole number"):
+        mds.update_trace(p, 0, 1 << 20, 2, c)
+
+
+def test_catalogue_of_families_checks_values(spark):
+    from meshlark.operators import families
+
+    t = families.table(spark).collect()
+    assert {r.family for r in t} == set(families.FAMILIES) and all(r.kind in ("int", "float", "choice") for r in t)
+    assert families.presets(spark).where("family = 'mesh' and preset = 'ripple'").count() == 4
+    b = families.build(spark, "mesh", "paraboloid", h=4, w=5)
+    assert b.edges.count() == 31 and all(abs(r.x[2] - 0.55 * (r.x[0] ** 2 + r.x[1] ** 2)) < 1e-9 for r in b.coords.collect())
+    for bad in ({"h": 1}, {"h": 2.5}, {"surface": "cube"}, {"nonsense": 1}, {"a": "x"}):
+        with pytest.raises(ValueError):
+            families.build(spark, "mesh", **bad)
+    with pytest.raises(ValueError, match="preset"):
+        families.build(spark, "mesh", "none")
+    with pytest.raises(ValueError, match="unknown"):
+        families.build(spark, "klein_bottle")
