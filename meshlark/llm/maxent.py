@@ -31,11 +31,11 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import discard, materialize
+from meshlark.llm.common import discard, held, materialize
 
 TOKEN = re.compile(rb"[^\x20\x09-\x0d]+")  # of lower-cased UTF-8 bytes
 FOLDS, HELD = 7, 2
-HOT_SHARE, COUNTED_TOKENS, SLICE_ROWS, TASK_PAIRS = 1 << 20, 300_000, 256, 2_000_000
+HOT_SHARE, COUNTED_TOKENS, SLICE_ROWS, TASK_PAIRS = 1 << 20, 300_000, 256, 100_000
 RARE, END = 0, 1
 BLOCK = 256  # rows of weights that are summed as one
 ENCODED = "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, base_log double, rare_log double, n_known bigint, n_rare bigint, ids binary, tail array<binary>"
@@ -358,7 +358,9 @@ def train(contexts: DataFrame, counts: np.ndarray, shape: Shape) -> tuple[Weight
         sent = spark.sparkContext.broadcast(w)
         sums = contexts.mapInArrow(_gradients(shape, sent), "block int, rows binary, sums binary, log double").groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(list(added(iter(t.to_batches())))), "block int, sums binary, log double")
         hashed, log = w.hashed.copy(), 0.0
-        for r in sums.toLocalIterator():
+        with held(spark):
+            rows = sums.collect()  # as large as the weights
+        for r in rows:
             log += r.log
             if r.block >= 0:
                 found, wanted = np.frombuffer(r.sums).reshape(2, BLOCK, shape.width)[:, : shape.rows - r.block * BLOCK]
