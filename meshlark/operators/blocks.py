@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.plans.shared import discard, join_counted, materialize
+from meshlark.plans.shared import join_counted, materialize
 
 BLOCK, CELL_ROWS, MAX_PIVOTS = 512, 128, 1024
 SLACK = 1e-9  # of a bound, for rounding
@@ -78,8 +78,11 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def packed(obs: DataFrame, p: Pivots, block: int = BLOCK) -> tuple[DataFrame, pd.DataFrame]:
-    """The blocks of ``obs`` (v, x, maybe c and t), and a row for each cell: cell, n, lo, hi, most. Rings of many rows, such as copies of one vector, are cut by hash."""
+def packed(obs: DataFrame, p: Pivots, block: int = BLOCK, k: int | None = None) -> tuple[DataFrame, pd.DataFrame]:
+    """The blocks of ``obs`` (v, x, maybe c and t), and a row for each cell: cell, n, lo, hi, most. Rings of many rows, such as copies of one vector, are cut by hash.
+
+    With ``k`` each row's bound is lowered to where k other rows are sure to be: from the rows of its own block, and from the nearest cells that hold more than k rows together.
+    """
     rows = materialize(assigned(obs, p), "assigned")
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("at") - F.col("r")).alias("lo"), F.max(F.col("at") + F.col("r")).alias("hi"), F.max("t").alias("most")).toPandas().sort_values("cell")  # at most MAX_PIVOTS rows
     b = F.col("cell").cast("bigint") * F.lit(1 << 42)
@@ -90,8 +93,38 @@ def packed(obs: DataFrame, p: Pivots, block: int = BLOCK) -> tuple[DataFrame, pd
         count = rows.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("count"))
         rows = join_counted(rows, count.withColumn("parts", F.ceil(F.col("count") / block)), ["cell", "ring"], int(sizes["n"].sum()))
         b = b + F.col("ring") * F.lit(1 << 21) + F.pmod(F.xxhash64("v"), F.col("parts"))
-    out = rows.select("v", "x", "c", "t", "r", "body", "cell", "at", b.alias("b")).groupBy("b").applyInPandas(_pack, PACKED)
-    return materialize(out, "blocks"), sizes
+    out = rows.select("v", "x", "c", "t", "r", "body", "cell", "at", b.alias("b"))
+    if k is None:
+        return materialize(out.groupBy("b").applyInPandas(_pack, PACKED), "blocks"), sizes
+    out = materialize(out.groupBy("b").applyInPandas(_bounded(_reach(sizes, p, k), p.metric, k), PACKED), "blocks")
+    most = out.groupBy("cell").agg(F.max("most").alias("most")).toPandas()
+    return out, sizes.drop(columns="most").merge(most, on="cell").sort_values("cell")
+
+
+def _reach(cells: pd.DataFrame, p: Pivots, k: int) -> np.ndarray:
+    """For each cell the distance from its pivot within which cells hold more than k rows."""
+    n, out = cells["n"].to_numpy(), np.full(len(p.at), np.inf)
+    for c in cells["cell"]:
+        far = p.apart[c, cells["cell"]] + cells["hi"].to_numpy()
+        order = np.argsort(far)
+        enough = np.searchsorted(np.cumsum(n[order]), k + 1)
+        if enough < len(order):
+            out[c] = far[order[enough]]
+    return out
+
+
+def _bounded(reach: np.ndarray, metric: str, k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
+        t = np.minimum(pdf["t"].to_numpy(), pdf["at"].to_numpy() + reach[pdf["cell"].iloc[0]])
+        if len(pdf) > k:
+            x = matrix(pdf["x"])
+            d = pairwise(x, x, metric)
+            np.fill_diagonal(d, np.inf)
+            t = np.minimum(t, np.partition(d, k - 1, axis=1)[:, k - 1])
+        return _pack(pdf.assign(t=t))
+
+    return run
 
 
 def _gap(apart, lo, hi, other_lo, other_hi, least):
@@ -140,30 +173,3 @@ def searched(pairs: DataFrame, source: DataFrame, target: DataFrame, p: Pivots,
         return pd.concat(found) if found else pd.DataFrame({"v": np.empty(0, np.int64), "u": np.empty(0, np.int64), "d": np.empty(0)})
 
     return pairs.select("b", "other").join(s, "b").join(t, "other").groupBy("b", "other").applyInPandas(run, "v bigint, u bigint, d double")
-
-
-def with_own_bounds(blocks: DataFrame, cells: pd.DataFrame, p: Pivots, k: int) -> tuple[DataFrame, pd.DataFrame]:
-    """Blocks and cells with each row's bound: k other rows are as near as that. It comes from the rows of its own block and from the cells that hold more than k rows together."""
-    n = cells["n"].to_numpy()
-    reach = np.full(len(p.at), np.inf)
-    for c in cells["cell"]:
-        far = p.apart[c, cells["cell"]] + cells["hi"].to_numpy()
-        order = np.argsort(far)
-        enough = np.searchsorted(np.cumsum(n[order]), k + 1)
-        if enough < len(order):
-            reach[c] = far[order[enough]]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        bounds = np.frombuffer(r["at"]) + reach[r["cell"]]
-        if r["n"] > k:
-            x = np.frombuffer(r["xs"]).reshape(-1, r["dim"])
-            d = pairwise(x, x, p.metric)
-            np.fill_diagonal(d, np.inf)
-            bounds = np.minimum(bounds, np.partition(d, k - 1, axis=1)[:, k - 1])
-        return pdf.assign(bounds=[bounds.tobytes()], most=[bounds.max()])
-
-    out = materialize(blocks.groupBy("b").applyInPandas(run, PACKED), "bounded")
-    most = out.groupBy("cell").agg(F.max("most").alias("most")).toPandas()
-    discard(blocks)
-    return out, cells.drop(columns="most").merge(most, on="cell").sort_values("cell")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meshlark.plans.shared import average_ranks, discard, join_counted, materialize
 
-TASK_EDGES = 500_000
+TASK_EDGES, BROADCAST_ROOTS = 500_000, 500_000
 
 
 def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +130,12 @@ def _rooted(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def numbered(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """v, component numbered from 1 by its smallest vertex; isolated vertices are components of their own. Roots are ranked in ranges."""
     c = _rooted(vertices, edges)
-    sizes = c.groupBy("root").agg(F.count(F.lit(1)).alias("count"))
     place: Column = F.col("rank").cast("int").alias("component")
-    k = sizes.join(average_ranks(sizes.select("root"), "root"), "root").select("root", place, "count")
-    return join_counted(c, materialize(k, "numbers"), ["root"], c.count()).select("v", "component")
+    k = average_ranks(c.select("root").distinct(), "root").select("root", place)
+    if c.count() <= BROADCAST_ROOTS:
+        return c.join(F.broadcast(k), "root").select("v", "component")
+    sizes = c.groupBy("root").agg(F.count(F.lit(1)).alias("count"))
+    return join_counted(c, materialize(sizes.join(k, "root"), "numbers"), ["root"], c.count()).select("v", "component")
 
 
 def largest(vertices: DataFrame, edges: DataFrame) -> DataFrame:

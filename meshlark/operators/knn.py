@@ -24,7 +24,7 @@ def knn_pairs(obs: DataFrame, k: int, metric: str = "linf", block: int = B.BLOCK
     if k >= n:
         raise ValueError("k must be less than the number of observations")
     p = B.pivots_of(obs, metric, n)
-    packed, cells = B.with_own_bounds(*B.packed(obs, p, block), p, k)
+    packed, cells = B.packed(obs, p, block, k)
     return B.block_pairs(packed, cells, packed, cells, p), packed, p
 
 

@@ -23,7 +23,7 @@ from meshlark.operators.schedules import sgd_rates
 from meshlark.plans.shared import discard, materialize
 
 MAX_KERNEL_PAIRS = 20_000_000
-BLOCK_VERTICES, BLOCK_PAIRS, ROUNDS_A_JOB = 20_000, 200_000, 3
+BLOCK_VERTICES, BLOCK_PAIRS, ROUNDS_A_JOB = 20_000, 200_000, 6
 
 
 def normalise_targets(pairs: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _unpacked(state: DataFrame, dim: int) -> DataFrame:
 def sgd_tables(pairs: DataFrame, dim: int = 2, control: SgdControl | None = None, seed: int = 1, start: DataFrame | None = None, blocks: int | None = None, traced: bool | None = None) -> tuple[DataFrame, list[dict], str]:
     """v, x after SGD over a constraint or pair table; a row for each traced epoch; and why it ended. Traced runs (pair tables unless said otherwise) return the coordinates of least profiled stress.
 
-    Vertices are dealt to an even number of blocks, at least four, of at most ``BLOCK_VERTICES`` vertices and so many that a meeting has some ``BLOCK_PAIRS`` pairs; a job takes ``ROUNDS_A_JOB`` rounds.
+    Vertices are dealt to an even number of blocks, at least four, of at most ``BLOCK_VERTICES`` vertices and so many that a meeting has some ``BLOCK_PAIRS`` pairs; a job takes up to ``ROUNDS_A_JOB`` rounds, of one epoch or more.
     """
     control, full = control or SgdControl(), "d" in pairs.columns
     traced = full or control.stop if traced is None else traced
@@ -276,13 +276,18 @@ def sgd_tables(pairs: DataFrame, dim: int = 2, control: SgdControl | None = None
     x = v.join(x, "v").withColumn("b", F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(blocks)).cast("int"))
     state = materialize(every.join(x, "b", "left").groupBy("b").applyInPandas(pack, "b int, ids binary, xs binary"), "blocks")
     trace, best, stable, why = [], None, 0, "iteration_limit"
+    stored, waiting = state, 0
     for e in range(control.epochs):
-        before, rate = state, control.rate(e, lo, hi)
+        before, rate = stored, control.rate(e, lo, hi)
         for r in range(blocks - 1):
             met = state.withColumn("lo", F.least("b", _partner(F.col("b"), r, blocks))).groupBy("lo")  # two rows a meeting
             state = met.cogroup(table.where(F.col("round") == r).drop("round").groupBy("lo")).applyInPandas(_meet(dim, rate, seed * 1_000_003 + e), "b int, ids binary, xs binary")
-            if r % ROUNDS_A_JOB == ROUNDS_A_JOB - 1 or r == blocks - 2:
-                state = materialize(state, "blocks")
+            waiting += 1
+            if waiting >= ROUNDS_A_JOB or r == blocks - 2 and (traced or e == control.epochs - 1):
+                state, old, waiting = materialize(state, "blocks"), stored, 0
+                stored = state
+                if old is not before and (best is None or old is not best[1]):
+                    discard(old)
         if traced:
             row = _traced(table, state, before, dim)
             last = trace[-1]["profiled_stress"] if trace else row["profiled_stress"]
@@ -294,7 +299,7 @@ def sgd_tables(pairs: DataFrame, dim: int = 2, control: SgdControl | None = None
             if control.stop and e + 1 >= control.min_epochs and stable >= control.patience:
                 why = "practical_stabilization"
                 break
-        if best is None or before is not best[1]:
+        if before is not stored and (best is None or before is not best[1]):
             discard(before)
     out = materialize(_unpacked(best[1] if full and best else state, dim), "coordinates")
     discard(state, c, table)

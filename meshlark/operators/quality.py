@@ -50,7 +50,7 @@ def crossings(edges: DataFrame, coords: DataFrame, keys: tuple[str, ...] = (), c
     """Pairs of edges without a common end that cross strictly (2-D), for each value of ``keys`` of the coordinates (one row without keys).
 
     The grid has some ``CELL_EDGES`` edges a cell. An edge is in the cells that its line passes, column by column, and edges meet in cells. A cell of more than ``SPLIT_EDGES``
-    edges is split: one side is dealt to parts by hash and the other side goes to all of them. A pair that meets in several cells counts once.
+    edges is split: one side is dealt to parts by hash and the other side goes to all of them. A pair counts in the cell in which it crosses; edges are in all cells that their lines pass or touch, so rounding moves no crossing out of its cell.
     """
     keys = list(keys)
     if cells is None:
@@ -65,10 +65,10 @@ def crossings(edges: DataFrame, coords: DataFrame, keys: tuple[str, ...] = (), c
     left, right = F.least("ax", "bx"), F.greatest("ax", "bx")
     e = e.withColumn("gx", F.explode(F.sequence(clip(left - 1e-9), clip(right + 1e-9))))
     slope = F.try_divide(F.col("b_y") - F.col("ay"), F.col("bx") - F.col("ax"))
-    at = lambda x: F.when(right - left < 1e-9, F.lit(None)).otherwise(F.col("ay") + (F.greatest(left, F.least(right, x)) - F.col("ax")) * slope)
+    at = lambda x: F.when(right - left < 1e-3, F.lit(None)).otherwise(F.col("ay") + (F.greatest(left, F.least(right, x)) - F.col("ax")) * slope)
     y0, y1 = at(F.col("gx").cast("double")), at(F.col("gx") + 1.0)
     low, high = F.coalesce(F.least(y0, y1), F.least("ay", "b_y")), F.coalesce(F.greatest(y0, y1), F.greatest("ay", "b_y"))
-    e = materialize(e.withColumn("gy", F.explode(F.sequence(clip(low - 1e-6), clip(high + 1e-6)))).select(*keys, "src", "dst", "src_x", "src_y", "dst_x", "dst_y", "gx", "gy"), "cells")
+    e = materialize(e.withColumn("gy", F.explode(F.sequence(clip(low - 1e-6), clip(high + 1e-6)))).select(*keys, "src", "dst", "src_x", "src_y", "dst_x", "dst_y", "ax", "ay", "bx", "b_y", "gx", "gy"), "cells")
     where = [*keys, "gx", "gy"]
     size = e.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / SPLIT_EDGES)).drop("n")
     e = e.join(size, where)
@@ -81,8 +81,11 @@ def crossings(edges: DataFrame, coords: DataFrame, keys: tuple[str, ...] = (), c
     for c in where:
         same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
     j = l.join(r, same).where(apart & order & V.crosses(p("l", "src"), p("l", "dst"), p("r", "src"), p("r", "dst")))
-    pairs = j.select(*(F.col(f"l.{k}").alias(k) for k in keys), F.col("l.src").alias("s1"), F.col("l.dst").alias("d1"), F.col("r.src").alias("s2"), F.col("r.dst").alias("d2")).distinct()
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("edge_crossings"))
+    c = lambda n: F.col(n)
+    dx, dy, ex, ey = c("l.bx") - c("l.ax"), c("l.b_y") - c("l.ay"), c("r.bx") - c("r.ax"), c("r.b_y") - c("r.ay")
+    along = ((c("r.ax") - c("l.ax")) * ey - (c("r.ay") - c("l.ay")) * ex) / (dx * ey - dy * ex)
+    here = j.where((clip(c("l.ax") + along * dx) == c("l.gx")) & (clip(c("l.ay") + along * dy) == c("l.gy")))
+    return here.groupBy(*(F.col(f"l.{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("edge_crossings"))
 
 
 def cluster_separation(coords: DataFrame, clusters: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
