@@ -8,7 +8,7 @@ after the first common one on both sides; what remains is counted. Runs of words
 the same filters (candidates come from an inverted map of prefix words), from each word of the template on (a run that starts with another word has no more of them). Templates are a fixed list, so each row meets them within itself, without a shuffle.
 
 Defined results: a null or empty text has no words, no places (null first and last), empty labels and score 0. An empty
-table gives no rows; repeated rows are scanned alike; other columns are ignored.
+table gives no rows; repeated rows are scanned alike; other columns are ignored. A very long text is scanned whole, as one row's work.
 """
 
 from __future__ import annotations

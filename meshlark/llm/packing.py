@@ -8,7 +8,7 @@ downsized to the least capacity that holds its contents.
 Documents are dealt by hash to blocks of about ``BLOCK_DOCS``; each block is packed on its own, so no bin crosses blocks.
 
 Defined results: null or empty text has its end id alone; a null doc_id is packed like any other; repeated rows are packed each.
-An empty table gives no rows; other columns are ignored.
+An empty table gives no rows; other columns are ignored. A very long text is counted whole, in one task, and packed as slices of the greatest capacity.
 """
 
 from __future__ import annotations

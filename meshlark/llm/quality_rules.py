@@ -7,7 +7,7 @@ bin reaches the driver). ``DecisionList.reject`` is the ordered conditional expr
 
 Defined results: a null or empty text has no words and fails the base rule; labels without a quality or for unknown documents are left out;
 without labels the list is empty and the base rule alone decides. A doc_id's several labels count as its largest. Repeated rows are judged alike.
-A null doc_id has no label but is judged. Other columns pass through ``keep``.
+A null doc_id has no label but is judged. Other columns, clashing names included, pass through ``keep``. A very long text is judged whole, as one row's work.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ Tokens of ``SHORT`` or more characters that hold a letter and score above the th
 replace the patterns' spans, and what such spans leave of a token is scored for itself.
 
 Defined results: null and empty texts have no spans; a span is the whole match, in code points, end exclusive.
-An empty table gives no rows. Repeated rows are scanned alike. ``redact`` keeps all columns and rows.
+An empty table gives no rows and trains on generated samples alone. Repeated rows are scanned alike. A null doc_id is scanned but does not teach. A very long text is scanned whole, in one task.
+``scan`` ignores other columns; ``redact`` keeps all columns and rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ Shards are written by Spark's text writer, one row and file for each (the row's
 any Hadoop file system serves. Documents are range-partitioned and sorted by doc_id, nulls first, ties by text.
 
 Defined results: null text is empty and has the end id alone; a null doc_id sorts first and is reached by position only; rows that
-repeat a doc_id are records of one key. An empty table gives no rows. Other columns are ignored.
+repeat a doc_id are records of one key. A very long text is one record, encoded whole in one task, in a shard of its own if it fills one. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
