@@ -38,8 +38,8 @@ def roots(edges):
 
 @pytest.mark.parametrize("order", ["by id", "shuffled"])
 def test_long_chains_end_in_few_levels(spark, monkeypatch, order):
-    monkeypatch.setattr(components, "TASK_EDGES", 1000)
-    n = 200_000
+    monkeypatch.setattr(components, "TASK_EDGES", 500)
+    n = 60_000
     e = spark.range(1, n + 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     e = e.orderBy(F.xxhash64("a")) if order == "shuffled" else e
     got, levels = components.contraction(e)
@@ -343,10 +343,10 @@ def test_crossings_of_many_runs(spark, monkeypatch, cells, split):
 def test_comparison_has_crossings_clusters_and_errors(spark):
     from meshlark.operators import compare, paths
 
-    e, v = generators.mesh(spark, 4, 4).withColumn("w", F.lit(1.0)), spark.range(1, 17).withColumnRenamed("id", "v")
+    e, v = generators.mesh(spark, 3, 4).withColumn("w", F.lit(1.0)), spark.range(1, 13).withColumnRenamed("id", "v")
     d = paths.hops(e, v.select(F.col("v").alias("s"))).where("s < v").select(F.col("s").alias("i"), F.col("v").alias("j"), F.col("d").cast("double").alias("d"))
-    good, bad = {"rounds": 1, "final": 2, "num_init": 5}, {"preset": "none such"}
-    got = {r.candidate: r for r in compare.compare(e, v, {"good": good, "bad": bad}, [1, 2], d, d.select("i", "j"), v.withColumn("cluster", (F.col("v") > 8).cast("string")), "tables").collect()}
+    good, bad = {"rounds": 1, "final": 2, "num_init": 12}, {"preset": "none such"}
+    got = {r.candidate: r for r in compare.compare(e, v, {"good": good, "bad": bad}, [1, 2], d, d.select("i", "j"), v.withColumn("cluster", (F.col("v") > 6).cast("string")), "tables").collect()}
     assert (got["good"].n_ok, got["good"].n_fail, got["bad"].n_ok, got["bad"].n_fail) == (2, 0, 0, 2)
     assert got["good"].edge_crossings_mean is not None and got["good"].cluster_separation_mean > 0
     assert got["good"]["rank"] == 1
@@ -355,17 +355,17 @@ def test_comparison_has_crossings_clusters_and_errors(spark):
 def test_level_by_level_geodesic_fit(spark):
     from meshlark.operators import misf_fits
 
-    e, v = generators.mesh(spark, 6, 6).withColumn("w", F.lit(1.0)), spark.range(1, 37).withColumnRenamed("id", "v")
-    fit, table = misf_fits.misf_geodesic(e, v, 2, num_init=8, near_k=6, landmarks=3, restarts=2, max_iter=4)
+    e, v = generators.mesh(spark, 5, 5).withColumn("w", F.lit(1.0)), spark.range(1, 26).withColumnRenamed("id", "v")
+    fit, table = misf_fits.misf_geodesic(e, v, 2, num_init=10, near_k=6, landmarks=2, restarts=2, max_iter=3)
     rows = table.orderBy(F.desc("level")).collect()
-    assert rows[-1].level == 0 and rows[-1].vertices == 36 and rows[0].vertices <= 8
+    assert rows[-1].level == 0 and rows[-1].vertices == 25 and rows[0].vertices <= 10
     assert all(r.energy <= r.start_energy for r in rows)
     x = {r.v: np.array(r.x) for r in fit.coords.collect()}
-    at = lambda a: np.array([(a - 1) // 6, (a - 1) % 6])
-    o, g = zip(*((np.linalg.norm(x[a] - x[b]), np.abs(at(a) - at(b)).sum()) for a in range(1, 37) for b in range(a + 1, 37)), strict=True)
-    assert len(x) == 36 and np.corrcoef(o, g)[0, 1] > 0.9
+    at = lambda a: np.array([(a - 1) // 5, (a - 1) % 5])
+    o, g = zip(*((np.linalg.norm(x[a] - x[b]), np.abs(at(a) - at(b)).sum()) for a in range(1, 26) for b in range(a + 1, 26)), strict=True)
+    assert len(x) == 25 and np.corrcoef(o, g)[0, 1] > 0.9
     with pytest.raises(ValueError, match="not connected"):
-        misf_fits.misf_geodesic(e.where("src > 6 and dst > 6"), v, 2, num_init=8)
+        misf_fits.misf_geodesic(e.where("src > 5 and dst > 5"), v, 2, num_init=25)
 
 
 def test_polyhedra_close(spark):
