@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.operators import generators, paths
+from meshlark.operators import generators, knn, paths, pivots
 
 
 def _line(spark, n):
@@ -48,3 +48,27 @@ def test_searches_and_rounds_agree(spark, monkeypatch):
     apart, other = rows()
     assert apart == held and counts.keys() == other.keys()
     assert all(math.isclose(counts[k], other[k], abs_tol=1e-12) for k in counts)
+
+
+def test_regions_weigh_the_place_of_a_pivot(spark):
+    d = spark.createDataFrame([(1, 5, 7, 0.3000004), (2, 6, 7, 0.3), (1, 5, 8, 0.300002), (2, 6, 8, 0.3)], "k int, pivot bigint, v bigint, d double")
+    assert {r.v: r.owner for r in pivots.regions(d, 1_000_000).collect()} == {7: 5, 8: 6}
+    assert {r.v: r.owner for r in pivots.regions(d).collect()} == {7: 6, 8: 6}
+
+
+def test_copies_on_a_line(spark):
+    x = spark.createDataFrame([(1, [0.0]), (2, [2.0]), (3, [5.0]), (4, [2.0]), (5, [9.0]), (6, [2.0])], "v bigint, x array<double>")
+    assert sorted(map(tuple, knn.line_tree(x).collect())) == [(1, 2, 2.0), (2, 4, 0.0), (3, 5, 4.0), (3, 6, 3.0), (4, 6, 0.0)]
+    e = knn.connected_knn_graph(x, 2, copies=True)
+    assert e.where("w = 0").count() == 3 and not e.where("added").count()
+
+
+def test_update_trace_of_more_suppliers(spark, tmp_path):
+    from meshlark import registry
+
+    n = 6000  # 660 vertices
+    spark.range(n).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(700).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos(F.col("id") * 2)).cast("array<float>").alias("embedding"), F.lit(0).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["update_trace"](spark, str(tmp_path))
+    m = 660 * 659 // 2
+    assert got.count() == 1 + 2 * -(-m // 1000) and got.where("placed <> 660").isEmpty()
