@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.operators import generators, knn, paths, pivots
+from meshlark.operators import blocks, generators, knn, paths, pivots
 
 
 def _line(spark, n):
@@ -72,3 +73,17 @@ def test_update_trace_of_more_suppliers(spark, tmp_path):
     got = registry.QUERIES["update_trace"](spark, str(tmp_path))
     m = 660 * 659 // 2
     assert got.count() == 1 + 2 * -(-m // 1000) and got.where("placed <> 660").isEmpty()
+
+
+def test_a_block_goes_to_no_task_for_each_block_it_meets(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "CELL_ROWS", 10)
+    monkeypatch.setattr(blocks, "STRIPES", 2)
+    x = np.random.default_rng(4).normal(size=(300, 16))
+    o = spark.createDataFrame([(i + 1, r) for i, r in enumerate(x.tolist())], "v bigint, x array<double>")
+    pairs, packed, p = knn.knn_pairs(o, 3, "linf", 10)
+    found = blocks.searched(pairs, packed, packed, p, 3)
+    assert found.count() <= 2 * 3 * 300 < pairs.count()  # three of each stripe, not of each block
+    d = blocks.pairwise(x, x, "linf")
+    np.fill_diagonal(d, np.inf)
+    got = {(r.v, r["rank"]): r.d for r in knn.knn(o, 3, "linf", 10).collect()}
+    assert got == {(i + 1, k + 1): q for i in range(300) for k, q in enumerate(np.sort(d[i])[:3])}
