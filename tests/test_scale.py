@@ -87,3 +87,12 @@ def test_a_block_goes_to_no_task_for_each_block_it_meets(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     got = {(r.v, r["rank"]): r.d for r in knn.knn(o, 3, "linf", 10).collect()}
     assert got == {(i + 1, k + 1): q for i in range(300) for k, q in enumerate(np.sort(d[i])[:3])}
+
+
+@pytest.mark.parametrize("side", [1, 2, 3, 5])
+def test_cube_surface_forms_its_vertices_only(spark, side):
+    ids = {(x, y, z): (x * side + y) * side + z + 1 for x in range(side) for y in range(side) for z in range(side) if {x, y, z} & {0, side - 1}}
+    want = sorted((v, ids[t]) for (x, y, z), v in ids.items() for t in ((x + 1, y, z), (x, y + 1, z), (x, y, z + 1)) if t in ids)
+    e = generators.cube_surface(spark, side)
+    assert sorted(map(tuple, e.collect())) == want
+    assert "Join" not in e._jdf.queryExecution().toString() and generators.cube_surface(spark, 36_005).limit(1).count() == 1
