@@ -35,3 +35,25 @@ def test_balls_are_halved_where_they_are_large(spark, monkeypatch):
     start, to = np.searchsorted(src[order], np.arange(41)), dst[order]
     cell = paths._ball(start, to, np.ones(len(to)), np.arange(0, 40, 3), 10.0)
     assert {(c // 40 * 3, c % 40) for c in cell.tolist()} == {(s, v) for s in range(0, 40, 3) for v in range(40) if abs(s - v) <= 10}
+
+
+def test_long_edges_are_not_spread_over_cells(spark, monkeypatch):
+    from meshlark.operators import quality
+
+    written, before = [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, what, *a: written.append(what) or before(df, what, *a))
+    monkeypatch.setattr(quality, "STRIPE_EDGES", 100, raising=False)
+    rng, n = np.random.default_rng(3), 150
+    x = {s: np.concatenate([rng.normal(size=(n - 20, 2)), rng.integers(0, 3, size=(20, 2))]) for s in (1, 2)}  # some points coincide or lie on a line
+    e = [(i, i + k) for i in range(n) for k in (1, 7) if i + k < n] + [(5, 5), (9, 8)]
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    want = {}
+    for s, p in x.items():
+        o = lambda a, b, c: turn(p[a], p[b], p[c])  # noqa: B023, E731
+        far = [((a, b), (c, d)) for k, (a, b) in enumerate(e) for c, d in e[:k] if not {a, b} & {c, d}]
+        want[s] = sum(all(abs(y) > 1e-12 for y in (o(a, b, c), o(a, b, d), o(c, d, a), o(c, d, b))) and (o(a, b, c) > 0) != (o(a, b, d) > 0) and (o(c, d, a) > 0) != (o(c, d, b) > 0) for (a, b), (c, d) in far)
+    c = spark.createDataFrame([(s, v, p.tolist()) for s, y in x.items() for v, p in enumerate(y)], "seed int, v bigint, x array<double>")
+    edges = spark.createDataFrame(e, "src bigint, dst bigint")
+    assert {r.seed: r.edge_crossings for r in quality.crossings(edges, c, ("seed",)).collect()} == want
+    assert quality.crossings(edges, c.where("seed = 1")).first()[0] == want[1]
+    assert "cells" not in written
