@@ -76,3 +76,9 @@ def test_lattice_regions_follow_from_runs(spark):
     assert {(min(r.src, r.dst), max(r.src, r.dst)) for r in e.collect()} == near and e.count() == len(near)
     plan = c._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_cube_surfaces_have_the_sizes_of_other_lattices():
+    from meshlark.operators import families
+
+    assert {p.name: p for p in families.FAMILIES["cube_surface"].params}["side"].check(6005) == 6005
