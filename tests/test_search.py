@@ -260,6 +260,17 @@ def test_layout_of_two_components(spark):
     assert far > 1.5 * near
 
 
+def test_long_meshes_lie_unfolded_after_few_rounds():
+    rows = 60
+    i, j = np.divmod(np.arange(7 * rows), 7)
+    e = np.array([(a, a + 1) for a in range(7 * rows) if j[a] < 6] + [(a, a + 7) for a in range(7 * (rows - 1))])
+    a, b = np.triu_indices(7 * rows, 1)
+    d = np.hypot(i[a] - i[b], j[a] - j[b])
+    for given in ({}, {"dim": 3, "placement": "least_squares"}):
+        x = layout.layout_graph(np.arange(7 * rows), e, np.ones(len(e)), layout.LayoutParams.of(rounds=15, final=80, **given))
+        assert np.corrcoef(d, np.linalg.norm(x[a] - x[b], axis=1))[0, 1] > 0.95
+
+
 # Pivots, preparation, order checks -----------------------------------------------------------------------------------------
 
 
