@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.operators import blocks, generators, knn, paths, pivots
+from meshlark.operators import blocks, generators, knn, mds, paths, pivots
 
 
 def _line(spark, n):
@@ -96,3 +96,23 @@ def test_cube_surface_forms_its_vertices_only(spark, side):
     e = generators.cube_surface(spark, side)
     assert sorted(map(tuple, e.collect())) == want
     assert "Join" not in e._jdf.queryExecution().toString() and generators.cube_surface(spark, 36_005).limit(1).count() == 1
+
+
+def test_classical_mds_of_points_stores_no_pairs(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(60, 2)) * [5.0, 1.0]
+    points = spark.createDataFrame([(3 * k, r) for k, r in enumerate(x.tolist())], "v bigint, x array<double>")
+    written, real = [], mds.materialize
+    monkeypatch.setattr(mds, "materialize", lambda df, what, *a, **k: (written.append((what, (out := real(df, what, *a, **k)).count())), out)[1])
+    monkeypatch.setattr(mds, "POINT_ROWS", 7)
+    y, val = mds.classical_of(points, driver_limit=10)
+    got = np.array([r.x for r in y.orderBy("v").collect()])
+    gaps = lambda p: np.linalg.norm(p[:, None] - p[None], axis=2)
+    assert np.allclose(gaps(got), gaps(x), atol=1e-9) and val[0] > val[1] > 0
+    assert max(n for _, n in written) <= 60  # points and blocks, not pairs
+    monkeypatch.setattr(mds, "TILE_ROWS", 16)
+    d = gaps(x)
+    pairs = spark.createDataFrame([(3 * a, 3 * b, float(d[a, b])) for a in range(60) for b in range(a + 1, 60)], "i bigint, j bigint, d double")
+    z, _ = mds.classical(pairs, points.select("v"), driver_limit=10)
+    assert np.allclose(gaps(np.array([r.x for r in z.orderBy("v").collect()])), d, atol=1e-9)
+    with pytest.raises(Exception, match="every pair"):
+        mds.classical(pairs.where("i + j <> 9"), points.select("v"), driver_limit=10)
