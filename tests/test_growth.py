@@ -82,3 +82,10 @@ def test_cube_surfaces_have_the_sizes_of_other_lattices():
     from meshlark.operators import families
 
     assert {p.name: p for p in families.FAMILIES["cube_surface"].params}["side"].check(6005) == 6005
+
+
+def test_edges_are_shuffled_as_often_in_large_tables_as_in_small_ones():
+    from meshlark.operators import quality
+
+    assert quality._edge_stripes(40_000) == quality._edge_stripes(400_000) == quality._edge_stripes(3_000_000)
+    assert quality._edge_stripes(1) == 1
