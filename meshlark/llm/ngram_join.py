@@ -191,10 +191,12 @@ def _signed(n: int, num: int, den: int, buckets: int):
                 for b in range(buckets):
                     if ends[b] < ends[b + 1]:
                         part = owner[ends[b] : ends[b + 1]]
-                        if 4 * len(part) > len(keys):
+                        there = np.zeros(len(keys), dtype=bool)
+                        there[part] = True
+                        if there.all():
                             out.append((b, words[ends[b] : ends[b + 1]].tobytes(), name))
-                        else:  # only the owners that are there
-                            used, local = np.unique(part, return_inverse=True)
+                        else:  # only the owners that are there: with many buckets most have no word in one, and all names would be many times the words
+                            used, local = np.flatnonzero(there), (np.cumsum(there) - 1)[part]
                             w = words[ends[b] : ends[b + 1]].copy()
                             w[:, 0] = local & 255
                             w[:, 1] = (w[:, 1] & 0xF8) | (local >> 8)

@@ -238,3 +238,18 @@ def test_extraction_of_pages_of_known_parts(spark):
         rows.append((f"http://host{k % 3}/{k}", f"<html><head><title>no</title><style>p {{}}</style></head><body>{menu}<header>Site</header><{tag}>{body}</{tag.split()[0]}>{tail}<footer>(c)</footer><script>x()</script></body></html>"))
         want.append("\n".join(lines))
     assert extracted(spark, rows) == want
+
+
+def test_names_of_signatures_are_bounded_by_their_words():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, size=120)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for buckets in (4, 200, 1600):
+        words = names = 0
+        for b in ngram_join._signed(5, 80, 100, buckets)(iter([batch])):
+            for k, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k >= 0:
+                    words, names = words + len(x) // 7, names + len(y) // 8
+        assert names <= min(words, 300 * buckets)
