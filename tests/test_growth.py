@@ -89,3 +89,43 @@ def test_edges_are_shuffled_as_often_in_large_tables_as_in_small_ones():
 
     assert quality._edge_stripes(40_000) == quality._edge_stripes(400_000) == quality._edge_stripes(3_000_000)
     assert quality._edge_stripes(1) == 1
+
+
+def test_meetings_run_side_by_side_and_by_matchings(spark):
+    from meshlark.operators import mds
+
+    rng, n, cut = np.random.default_rng(5), 90, 40
+    i, j = (c.ravel() for c in np.triu_indices(n, 1))
+    i, j = np.concatenate([i, i[:7], j[:3]]), np.concatenate([j, j[:7], i[:3]])  # some pairs come again, also with their ends changed
+    order = np.lexsort((np.maximum(i, j), np.minimum(i, j)))
+    i, j = i[order], j[order]
+    z = rng.normal(size=(n, 3))
+    t, w = np.sqrt(((z[i] - z[j]) ** 2).sum(axis=1)), np.full(len(i), 0.05)
+    order, starts = mds.matchings(n, cut, i, j, rng)
+    assert sorted(order.tolist()) == list(range(len(i))) and len(starts) < len(i) / 8
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        ends = np.concatenate([i[order[a:b]], j[order[a:b]]])
+        assert len(set(ends.tolist())) == len(ends)
+    x = z + 0.01 * rng.random((n, 3))
+    y = x.tolist()
+    mds.sgd_runs(x, order, starts, i, j, t, w, w, rng)
+    mds.sgd_pass(y, order.tolist(), i.tolist(), j.tolist(), t.tolist(), w.tolist(), w.tolist(), rng)
+    np.testing.assert_allclose(x, y, atol=1e-12)
+    same = np.zeros((n, 2))  # all at one point: each pair goes apart by a drawn direction
+    mds.sgd_runs(same, order, starts, i, j, t, w, w, rng)
+    assert np.isfinite(same).all() and len(np.unique(same, axis=0)) == n
+
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    p = spark.createDataFrame([(a, b, float(d[a, b])) for a in range(n) for b in range(a)], "i bigint, j bigint, d double")
+    spark.sparkContext.setJobGroup("meetings", "count")
+    got, _, _ = mds.sgd_tables(p, 2, mds.SgdControl(epochs=2), blocks=6, traced=False)
+    spark.sparkContext.setJobGroup("rest", "rest")
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for k in tracker.getJobIdsForGroup("meetings") for s in tracker.getJobInfo(k).stageIds}
+    assert got.count() == n
+    assert [tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)].count(12) >= 2 * 5  # of each round
+    c, (i, j) = mds.SgdControl(epochs=12), np.triu_indices(n, 1)
+    kernel, _ = mds.sgd_kernel(n, i, j, d[i, j], np.ones(len(i)), np.ones(len(i)), 2, c)
+    mine = np.array([r.x for r in mds.sgd_tables(p, 2, c, blocks=2, traced=False)[0].orderBy("v").collect()])
+    stress = [1 - (o @ d[i, j]) ** 2 / (o @ o) / (d[i, j] @ d[i, j]) for o in (np.sqrt(((q[i] - q[j]) ** 2).sum(axis=1)) for q in (mine, kernel.coords))]
+    assert stress[0] <= 1.1 * stress[1]
