@@ -129,3 +129,19 @@ def test_meetings_run_side_by_side_and_by_matchings(spark):
     mine = np.array([r.x for r in mds.sgd_tables(p, 2, c, blocks=2, traced=False)[0].orderBy("v").collect()])
     stress = [1 - (o @ d[i, j]) ** 2 / (o @ o) / (d[i, j] @ d[i, j]) for o in (np.sqrt(((q[i] - q[j]) ** 2).sum(axis=1)) for q in (mine, kernel.coords))]
     assert stress[0] <= 1.1 * stress[1]
+
+
+def test_nearest_rows_are_found_once_and_rows_assigned_once(spark, monkeypatch):
+    from meshlark.operators import blocks, knn
+
+    found, calls, searched, assigned = [], [], blocks.searched, blocks.assigned
+    monkeypatch.setattr(blocks, "searched", lambda *a, **k: found.append(searched(*a, **k)) or found[-1])
+    monkeypatch.setattr(blocks, "assigned", lambda *a: calls.append(1) or assigned(*a))
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(60, 2)), np.concatenate([rng.normal(size=(100, 2)), np.zeros((300, 2))])  # 300 copies
+    s, t = (spark.createDataFrame([(k, r) for k, r in enumerate(x.tolist())], "v bigint, x array<double>") for x in (a, b))
+    got = {r.v: r.d for r in knn.nearest(s, t, block=64).collect()}
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).min(axis=1)
+    np.testing.assert_allclose([got[k] for k in range(60)], want, atol=1e-12)
+    assert found[0].groupBy("v").count().agg({"count": "max"}).first()[0] <= blocks.STRIPES  # one of a pair of stripes, whatever ties
+    assert len(calls) == 2
