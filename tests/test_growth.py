@@ -145,3 +145,24 @@ def test_nearest_rows_are_found_once_and_rows_assigned_once(spark, monkeypatch):
     np.testing.assert_allclose([got[k] for k in range(60)], want, atol=1e-12)
     assert found[0].groupBy("v").count().agg({"count": "max"}).first()[0] <= blocks.STRIPES  # one of a pair of stripes, whatever ties
     assert len(calls) == 2
+
+
+def test_pairs_of_blocks_come_to_a_task_few_at_a_time(spark, monkeypatch):
+    from meshlark.operators import blocks, quality
+
+    sizes, calls, before, assigned = [], [], quality.materialize, blocks.assigned
+
+    def watched(df, what, *a, **k):
+        if what == "surface":
+            seen = before(df.sparkSession.range(0, 500, 1, 1).mapInPandas(lambda parts: (p.assign(id=len(p)) for p in parts), "id bigint"), "seen", *a, **k)
+            sizes.append(seen.agg({"id": "max"}).first()[0])
+        return before(df, what, *a, **k)
+
+    monkeypatch.setattr(quality, "materialize", watched)
+    monkeypatch.setattr(blocks, "assigned", lambda *a: calls.append(1) or assigned(*a))
+    rng = np.random.default_rng(9)
+    x, tri = rng.normal(size=(50, 3)), rng.normal(size=(40, 3, 3))
+    p = spark.createDataFrame([(k, r) for k, r in enumerate(x.tolist())], "id bigint, x array<double>")
+    got = {r.id: r.d for r in quality.surface_distance(p, quality.face_table(spark, tri), block=8).collect()}
+    np.testing.assert_allclose([got[k] for k in range(50)], quality.point_triangle(x, tri), atol=1e-12)
+    assert sizes == [quality.PAIR_ROWS] and len(calls) == 2
