@@ -166,3 +166,15 @@ def test_pairs_of_blocks_come_to_a_task_few_at_a_time(spark, monkeypatch):
     got = {r.id: r.d for r in quality.surface_distance(p, quality.face_table(spark, tri), block=8).collect()}
     np.testing.assert_allclose([got[k] for k in range(50)], quality.point_triangle(x, tri), atol=1e-12)
     assert sizes == [quality.PAIR_ROWS] and len(calls) == 2
+
+def test_crossings_of_runs_do_not_depend_on_the_number_of_edges(spark):
+    from meshlark.operators import compare
+
+    n = 501  # rungs of a ladder: two long edges of each run cross, and there are more than 1000 edges
+    e = [(i, i + 1) for i in range(n)] + [(1000 + i, 1001 + i) for i in range(n)] + [(2000, 2001), (2002, 2003)]
+    x = [(i, [float(i), 0.0]) for i in range(n + 1)] + [(1000 + i, [float(i), 9.0]) for i in range(n + 1)] + [(2000, [0.0, 3.0]), (2001, [9.0, 6.0]), (2002, [0.0, 6.0]), (2003, [9.0, 3.0])]
+    layouts = spark.createDataFrame([("a", 1, "ok", None, v, p) for v, p in x], "candidate string, seed int, status string, error_message string, v bigint, x array<double>")
+    pairs = spark.createDataFrame([(0, 5, 5.0), (3, 1003, 9.0)], "i bigint, j bigint, d double")
+    edges = spark.createDataFrame(e, "src bigint, dst bigint")
+    assert len(e) > 1000 and compare.score_runs(layouts, edges, pairs, pairs.select("i", "j")).first()["edge_crossings"] == 1
+    assert compare.score_runs(layouts, edges, pairs, pairs.select("i", "j"), count_crossings=False).first()["edge_crossings"] is None
