@@ -178,3 +178,29 @@ def test_crossings_of_runs_do_not_depend_on_the_number_of_edges(spark):
     edges = spark.createDataFrame(e, "src bigint, dst bigint")
     assert len(e) > 1000 and compare.score_runs(layouts, edges, pairs, pairs.select("i", "j")).first()["edge_crossings"] == 1
     assert compare.score_runs(layouts, edges, pairs, pairs.select("i", "j"), count_crossings=False).first()["edge_crossings"] is None
+
+
+def test_kernels_take_a_task_each_and_graphs_of_any_size(spark):
+    from meshlark.operators import layout
+    from meshlark.operators.layout import AdjacencyIndex
+
+    assert not hasattr(layout, "MAX_KERNEL_VERTICES")
+    e = spark.range(1, 12).selectExpr("id as src", "id + 1 as dst")
+    x = layout.multiscale(e, spark.range(1, 13).withColumnRenamed("id", "v"), [{"rounds": 2, "final": 3, "seed": k} for k in range(3)])
+    tasks = [r[0] for r in x.selectExpr("spark_partition_id() as task", "run").distinct().select("task").collect()]
+    assert len(tasks) == len(set(tasks)) == 3
+    rng = np.random.default_rng(2)
+    u, v = rng.integers(0, 60, size=(2, 90))
+    near = AdjacencyIndex(60, u, v, np.ones(90))  # rings of hops are what lengths of 1 give
+    want = np.arange(60) % 3 == 0
+    for root in range(60):
+        assert near.near(root, False, 3.0) == near.near(root, True, 3.0)
+        assert near.near(root, False, want=want, count=4) == near.near(root, True, want=want, count=4)
+
+
+def test_layouts_of_neighbour_graphs_take_all_rounds():
+    import inspect
+
+    from meshlark import registry
+
+    assert "rounds" not in inspect.getsource(registry.QUERIES["multiscale_layout_knn"])
