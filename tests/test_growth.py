@@ -1,6 +1,7 @@
 """What must not grow with the size of a graph or of its coordinates: jobs, tasks' memory, shuffles; and the results that go with it."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from meshlark.operators import hierarchy
 
@@ -204,3 +205,21 @@ def test_layouts_of_neighbour_graphs_take_all_rounds():
     from meshlark import registry
 
     assert "rounds" not in inspect.getsource(registry.QUERIES["multiscale_layout_knn"])
+
+
+def test_farthest_landmarks_may_weigh_ids_by_steps(spark):
+    from meshlark.operators import pivots
+
+    d = spark.createDataFrame([(1, 1, 0), (1, 2, 5), (1, 3000, 7), (1, 3001, 7), (2, 10, 4), (2, 20, 4)], "s bigint, v bigint, d int")
+    assert {r.s: r.v for r in pivots.farthest_landmarks(d, 1).collect()} == {1: 3000, 2: 10}
+    assert {r.s: r.v for r in pivots.farthest_landmarks(d, 1, steps=1000).collect()} == {1: 2, 2: 10}  # 5000 - 2 is more than 7000 - 3000
+
+
+def test_path_counts_are_whole_numbers(spark):
+    from math import comb
+
+    from meshlark.operators import generators, paths
+
+    e = generators.mesh(spark, 60, 6).withColumn("w", F.lit(1.0))
+    got = {r.v: r.paths for r in paths.path_counts(e, paths.distances(e, spark.createDataFrame([(1,)], "s bigint"))).collect()}
+    assert got == {i * 6 + j + 1: float(comb(i + j, j)) for i in range(60) for j in range(6)}
