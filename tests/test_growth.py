@@ -223,3 +223,33 @@ def test_path_counts_are_whole_numbers(spark):
     e = generators.mesh(spark, 60, 6).withColumn("w", F.lit(1.0))
     got = {r.v: r.paths for r in paths.path_counts(e, paths.distances(e, spark.createDataFrame([(1,)], "s bigint"))).collect()}
     assert got == {i * 6 + j + 1: float(comb(i + j, j)) for i in range(60) for j in range(6)}
+
+
+def _leafy(spark):
+    """A ring of six with a chord, two leaves on one of its vertices and one on another; ids are not in the order of the ring. With distances by Floyd and Warshall."""
+    e = [(3, 9, 1.0), (9, 4, 2.0), (4, 12, 1.5), (12, 7, 1.0), (7, 5, 0.5), (5, 3, 2.0), (3, 12, 4.0), (9, 1, 0.25), (9, 30, 0.75), (7, 2, 3.0)]
+    ids = sorted({v for a, b, _ in e for v in (a, b)})
+    d = np.full((len(ids), len(ids)), np.inf)
+    np.fill_diagonal(d, 0)
+    for a, b, w in e:
+        d[ids.index(a), ids.index(b)] = d[ids.index(b), ids.index(a)] = w
+    for k in range(len(ids)):
+        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1])
+    return spark.createDataFrame(e, "src bigint, dst bigint, w double"), spark.createDataFrame([(v,) for v in ids], "v bigint"), ids, d
+
+
+def test_all_pairs_are_not_stored(spark, monkeypatch):
+    from meshlark.operators import paths
+
+    e, v, ids, d = _leafy(spark)
+    written, before = [], paths.materialize
+    monkeypatch.setattr(paths, "materialize", lambda df, what, *a: written.append(what) or before(df, what, *a))
+    got = paths.all_pairs(e, v)
+    assert {(r.i, r.j): r.d for r in got.collect()} == {(a, b): d[i, j] for i, a in enumerate(ids) for j, b in enumerate(ids) if a < b}
+    assert written == ["packed"] and "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert paths.diameter_of(e, v).first()[0] == d.max()
+    two = spark.createDataFrame([(8, 5, 2.0)], "src bigint, dst bigint, w double")
+    assert [tuple(r) for r in paths.all_pairs(two, two.selectExpr("explode(array(src, dst)) as v")).collect()] == [(5, 8, 2.0)]
+    for more in (v.union(spark.createDataFrame([(99,)], "v bigint")), v.unionByName(two.selectExpr("explode(array(src + 100, dst + 100)) as v"))):
+        with np.testing.assert_raises(ValueError):
+            paths.all_pairs(e.union(two.selectExpr("src + 100", "dst + 100", "w")) if more.count() > 10 else e, more)
