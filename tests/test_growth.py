@@ -253,3 +253,20 @@ def test_all_pairs_are_not_stored(spark, monkeypatch):
     for more in (v.union(spark.createDataFrame([(99,)], "v bigint")), v.unionByName(two.selectExpr("explode(array(src + 100, dst + 100)) as v"))):
         with np.testing.assert_raises(ValueError):
             paths.all_pairs(e.union(two.selectExpr("src + 100", "dst + 100", "w")) if more.count() > 10 else e, more)
+
+
+def test_landmarks_centring_and_smacof_of_rows_in_tasks(spark):
+    from meshlark.operators import mds, paths, pivots
+
+    e, v, ids, d = _leafy(spark)
+    p = paths.all_pairs(e, v)
+    rows = p.selectExpr("i as s", "j as v", "d").union(p.select("j", "i", "d")).union(v.selectExpr("v", "v", "0.0D"))
+    want = pivots.landmark_pairs(rows, pivots.farthest_landmarks(rows, 1), 3)
+    assert {tuple(r) for r in pivots.landmark_pairs_of(e, v, 3).collect()} == {tuple(r) for r in want.collect()}
+    b = {(r.r, r.c): r.b for r in mds.double_centred_of(e, v).collect()}
+    assert b.keys() == {(i, j) for i in ids for j in ids}
+    assert all(abs(b[r.r, r.c] - r.b) < 1e-9 for r in mds.double_centred(p, v).collect())
+    x = spark.createDataFrame([(i, [float(i % 4), float(i % 3)]) for i in ids[2:]], "v bigint, x array<double>")  # not all have coordinates, and some coincide
+    want = {r.v: r.x for r in mds.smacof_step(p, x).collect()}
+    got = {r.v: r.x for r in mds.smacof_step_of(e, v, x).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
