@@ -270,3 +270,11 @@ def test_landmarks_centring_and_smacof_of_rows_in_tasks(spark):
     want = {r.v: r.x for r in mds.smacof_step(p, x).collect()}
     got = {r.v: r.x for r in mds.smacof_step_of(e, v, x).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_sgd_of_all_pairs_has_no_limit(spark, monkeypatch):
+    from meshlark import registry
+    from meshlark.operators import mds
+
+    monkeypatch.setattr(mds, "MAX_KERNEL_PAIRS", 10)
+    assert [tuple(r) for r in registry.QUERIES["metric_mds_sgd"](spark, "/root/testdata/sf0.001").collect()] == [(True, 28)]
